@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lakejobs.llm import decontaminate
+from lakejobs.llm import decontaminate, secrets
 
-QUERIES = {"op6_decontamination": decontaminate.query}
-ORACLES = {"op6_decontamination": decontaminate.ORACLE_SQL}
+QUERIES = {"op5_secret_scans": secrets.query, "op6_decontamination": decontaminate.query}
+ORACLES = {"op5_secret_scans": secrets.ORACLE_SQL, "op6_decontamination": decontaminate.ORACLE_SQL}
