@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
-from lakejobs.llm import decontaminate, secrets
+from lakejobs.llm import decontaminate, secrets, simhash
 
-QUERIES = {"op5_secret_scans": secrets.query, "op6_decontamination": decontaminate.query}
-ORACLES = {"op5_secret_scans": secrets.ORACLE_SQL, "op6_decontamination": decontaminate.ORACLE_SQL}
+QUERIES = {
+    "op4_simhash": simhash.query,
+    "op5_secret_scans": secrets.query,
+    "op6_decontamination": decontaminate.query,
+}
+ORACLES = {
+    "op5_secret_scans": secrets.ORACLE_SQL,
+    "op6_decontamination": decontaminate.ORACLE_SQL,
+}
