@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lakejobs.llm import decontaminate, secrets, simhash
+from lakejobs.llm import decontaminate, quality, secrets, simhash
 
 QUERIES = {
+    "op2_quality": quality.query,
     "op4_simhash": simhash.query,
     "op5_secret_scans": secrets.query,
     "op6_decontamination": decontaminate.query,
