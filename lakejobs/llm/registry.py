@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from lakejobs.llm import decontaminate, quality, secrets, simhash
+from lakejobs.llm import decontaminate, pieces, quality, secrets, simhash
 
 QUERIES = {
     "op2_quality": quality.query,
     "op4_simhash": simhash.query,
     "op5_secret_scans": secrets.query,
     "op6_decontamination": decontaminate.query,
+    "op8_sentencepiece": pieces.query,
 }
 ORACLES = {
     "op5_secret_scans": secrets.ORACLE_SQL,
