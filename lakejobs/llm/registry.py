@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from lakejobs.llm import decontaminate, pieces, quality, secrets, simhash
+from lakejobs.llm import decontaminate, hmm, pieces, quality, secrets, simhash
 
 QUERIES = {
     "op2_quality": quality.query,
+    "op3_hmm_scoring": hmm.query,
     "op4_simhash": simhash.query,
     "op5_secret_scans": secrets.query,
     "op6_decontamination": decontaminate.query,
