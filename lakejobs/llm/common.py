@@ -36,8 +36,14 @@ def scratch_dir(spark: SparkSession) -> str:
 def saved(df: DataFrame, label: str) -> DataFrame:
     """Write a frame as Parquet into the shared scratch folder and read it back. This cuts the lineage at a
     place that survives lost executors, and pins the row order decisions of whatever made the frame."""
+    conf, clean = df.sparkSession.conf, "spark.sql.shuffleDependency.fileCleanup.enabled"
     path = f"{scratch_dir(df.sparkSession)}/lakejobs/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = conf.get(clean, None)
+    conf.set(clean, "true")  # the shuffle files of this write aren't needed after it
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.unset(clean) if before is None else conf.set(clean, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lakejobs.llm import decontaminate, hmm, pieces, quality, secrets, simhash
+from lakejobs.llm import decontaminate, hmm, pieces, quality, secrets, simhash, substrings
 
 QUERIES = {
     "op2_quality": quality.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_simhash": simhash.query,
     "op5_secret_scans": secrets.query,
     "op6_decontamination": decontaminate.query,
+    "op7_suffix_dedup": substrings.query,
     "op8_sentencepiece": pieces.query,
 }
 ORACLES = {
