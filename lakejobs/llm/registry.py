@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lakejobs.llm import decontaminate, hmm, pieces, quality, secrets, simhash, substrings
+from lakejobs.llm import decontaminate, hmm, pieces, quality, secrets, simhash, substrings, tokencount
 
 QUERIES = {
+    "op1_token_counts": tokencount.query,
     "op2_quality": quality.query,
     "op3_hmm_scoring": hmm.query,
     "op4_simhash": simhash.query,
