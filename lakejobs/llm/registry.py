@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lakejobs.llm import decontaminate, hmm, htmltext, pieces, quality, secrets, simhash, substrings, tokencount
+from lakejobs.llm import decontaminate, hmm, htmltext, neighbours, pieces, quality, secrets, simhash, substrings, tokencount
 
 QUERIES = {
     "op1_token_counts": tokencount.query,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_suffix_dedup": substrings.query,
     "op8_sentencepiece": pieces.query,
     "op9_html_extraction": htmltext.query,
+    "op10_nearest_neighbours": neighbours.query,
 }
 ORACLES = {
     "op5_secret_scans": secrets.ORACLE_SQL,
