@@ -46,11 +46,11 @@ def replaced(target: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
 
 def incremental(target: DataFrame, staged: DataFrame, keys: list[str], watermark: str = "__extract_run_datetime", lookback: str | None = None, order: list[Column] | None = None, strategy: str = "delete+insert") -> DataFrame:
     """The silver table after one incremental build; only the new slice is deduplicated."""
-    fresh = latest_run(after_watermark(staged, target, watermark, lookback), keys, order)
+    if strategy not in ("delete+insert", "merge", "append"):
+        raise ValueError(f"unknown strategy {strategy!r}")
+    fresh = latest_run(after_watermark(staged, target, watermark, lookback), keys, order or [F.col(watermark).desc_nulls_last()])
     if strategy == "append":
         return target.unionByName(fresh, allowMissingColumns=True)
-    if strategy not in ("delete+insert", "merge"):
-        raise ValueError(f"unknown strategy {strategy!r}")
     return replaced(target, fresh, keys)
 
 
