@@ -93,9 +93,23 @@ class Vocabulary:
         self.log_class = np.log10(self.class_weight)
 
 
+def frequent(counts: DataFrame, most: int) -> int:
+    """Least count, of those with three leading digits, that at most so many words reach. The histogram that comes to the
+    driver has 900 bins for each power of ten, so only that many rows and the words themselves are ever sent."""
+    unit = F.pow(F.lit(10.0), F.greatest(F.length(F.col("n").cast("string")) - 3, F.lit(0))).cast("long")
+    bins = counts.select((F.floor(F.col("n") / unit) * unit).cast("long").alias("low")).groupBy("low").agg(F.count("*").alias("words")).collect()
+    reached, least = 0, 1 << 62
+    for low, words in sorted(((r["low"], r["words"]) for r in bins), reverse=True):
+        reached += words
+        if reached > most:
+            break
+        least = low
+    return least
+
+
 def vocabulary(counts: DataFrame, ends: int) -> Vocabulary:
     sums = counts.agg(F.sum("n"), F.count("*")).first()
-    top = [(bytes(r["word"]), r["n"]) for r in counts.orderBy(F.desc("n"), "word").limit(KNOWN).collect()]
+    top = sorted(((bytes(r["word"]), r["n"]) for r in counts.where(F.col("n") >= frequent(counts, KNOWN)).collect()), key=lambda x: (-x[1], x[0]))
     own = {w: i for i, (w, _) in enumerate(top[:OWN])}
     shared = counts.sparkSession.sparkContext.broadcast(own)
 
@@ -143,15 +157,17 @@ def encode(docs: DataFrame, words: Vocabulary, text: str, kept: list[str]) -> Da
             own = [batch.column(names.index(c)) for c in ("row", *kept)]
             found = common.texts(batch, text)
             for a, b in common.steps([len(t) for t in found]):
-                out: list[list] = [[], [], [], [], [], []]
+                out: list[list] = [[], [], [], [], []]
+                rest, times, ends = [], [], [0]
                 for t in found[a:b]:
                     all_words = tokens(t)
                     numbers = np.fromiter(map(symbol.__getitem__, all_words), dtype=np.uint16, count=len(all_words))
-                    log_top, log_class, known, rest = log_end, 0.0, known_end, []
+                    log_top, log_class, known = log_end, 0.0, known_end
                     for w, n in Counter(all_words).items():
                         x = log.get(w)
                         if x is None:
-                            rest.append({"word": w, "n": n})
+                            rest.append(w)
+                            times.append(n)
                         else:
                             known += n
                             log_top += n * x
@@ -159,11 +175,13 @@ def encode(docs: DataFrame, words: Vocabulary, text: str, kept: list[str]) -> Da
                                 log_class += n * x
                     classes = numbers[numbers >= OWN].astype(np.int64) - OWN
                     log_class -= float(v.log_class[classes].sum())
-                    for column, x in zip(out, (len(all_words) + 1, known, log_top, log_class, np.append(numbers, np.uint16(END)).astype("<u2").tobytes(), rest), strict=True):
+                    for column, x in zip(out, (len(all_words) + 1, known, log_top, log_class, np.append(numbers, np.uint16(END)).astype("<u2").tobytes()), strict=True):
                         column.append(x)
-                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())])))
+                    ends.append(len(rest))
+                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary())
+                rare = pa.StructArray.from_arrays([pa.array(rest, pa.binary()), pa.array(times, pa.int64())], names=["word", "n"])
                 yield pa.RecordBatch.from_arrays(
-                    [*[c.slice(a, b - a) for c in own], *[pa.array(x, k) for x, k in zip(out, kinds, strict=True)]],
+                    [*[c.slice(a, b - a) for c in own], *[pa.array(x, k) for x, k in zip(out, kinds, strict=True)], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rare)],
                     names=["row", *kept, "n_tokens", "known_top", "log_top", "log_own", "symbols", "rest"],
                 )
 
