@@ -93,32 +93,35 @@ def _refuse_unknown(schema: dict[str, Any], path: str) -> None:
         _refuse_unknown(schema["items"], f"{path}[]")
 
 
-def coerced(value: Column, field: Field) -> tuple[Column, Column]:
-    """(value, error) of a text column for a scalar field: one of the two is null."""
+def _number(value: Column, field: Field) -> Column | None:
+    """The text as a double, for fields that need it."""
+    return casts.double(value) if {"integer", "number"} & field.types else None
+
+
+def _coerced(value: Column, number: Column | None, field: Field) -> Column:
+    """The typed value of a text; null if it is blank or can't be coerced."""
     t = F.trim(value)
-    blank = value.isNull() | (t == "")
-    as_double = casts.double(value)
-    whole = (as_double == F.floor(as_double)) & as_double.between(-2147483648.0, 2147483647.0)
-    failed = F.lit(None).cast("string")
     if "integer" in field.types:
-        out = F.when(t.rlike(r"^[+-]?\d+$"), t.try_cast("int")).otherwise(F.when(whole, as_double).cast("int"))
-        kind = "integer"
+        whole = (number == F.floor(number)) & number.between(-2147483648.0, 2147483647.0)
+        out = F.when(t.rlike(r"^[+-]?\d{1,9}$"), t.try_cast("int")).otherwise(F.when(whole, number).cast("int"))
     elif "number" in field.types:
-        out, kind = as_double, "number"
+        out = number
     elif "boolean" in field.types:
-        low = F.lower(t)
-        out, kind = F.when(low.isin("true", "1", "yes"), F.lit(True)).when(low.isin("false", "0", "no"), F.lit(False)), "boolean"
+        out = F.when(F.lower(t).isin("true", "1", "yes"), F.lit(True)).when(F.lower(t).isin("false", "0", "no"), F.lit(False))
     else:
-        out, kind = value, "string"
+        blank_text = F.when(t == "", F.lit("")) if field.types and not field.nullable else F.lit(None).cast("string")
+        out = F.when(t != "", value).otherwise(blank_text)
+    return out.cast(field.spark_type)
+
+
+def _coercion_error(value: Column, out: Column, field: Field) -> Column:
+    """What is wrong with a text whose typed value is out; null if nothing."""
+    blank = value.isNull() | (F.trim(value) == "")
+    kind = next((k for k in ("integer", "number", "boolean") if k in field.types), "string")
+    failed = F.when(~blank & out.isNull(), F.concat(F.lit(f"{field.name}: cannot coerce "), value, F.lit(f" to {kind}")))
     if field.types and not field.nullable:
-        empty = F.lit("") if "string" in field.types else None
-        on_blank = F.concat(F.lit(f"{field.name}: empty value is not valid"), F.lit(""))
-        if empty is not None:
-            return F.when(blank & value.isNotNull(), empty).otherwise(out).cast(field.spark_type), F.when(value.isNull(), on_blank).otherwise(failed)
-        error = F.when(blank, on_blank).when(out.isNull(), F.concat(F.lit(f"{field.name}: cannot coerce "), value, F.lit(f" to {kind}")))
-    else:
-        error = F.when(~blank & out.isNull(), F.concat(F.lit(f"{field.name}: cannot coerce "), value, F.lit(f" to {kind}")))
-    return F.when(~blank, out).cast(field.spark_type), error
+        return F.when(blank & out.isNull(), F.lit(f"{field.name}: empty value is not valid")).otherwise(failed)
+    return failed
 
 
 def _violations(value: Column, field: Field) -> list[Column]:
@@ -128,8 +131,6 @@ def _violations(value: Column, field: Field) -> list[Column]:
     def bad(condition: Column, message: str) -> None:
         out.append(F.when(value.isNotNull() & condition, F.lit(f"{name}: {message}")))
 
-    if not field.nullable:
-        out.append(F.when(value.isNull(), F.lit(f"{name}: null is not valid")))
     if "enum" in r:
         bad(~value.isin([x for x in r["enum"] if x is not None]), f"not one of {r['enum']}")
     if "const" in r:
@@ -154,25 +155,27 @@ def with_errors(df: DataFrame, contract: Contract) -> DataFrame:
     """
     fields = {f.name: f for f in contract.fields}
     kept = [c for c in df.columns if c.startswith("__")]
-    values, errors = [], []
-    for name in (c for c in df.columns if c in fields):
-        f = fields[name]
-        if f.nested:
-            values.append(F.col(f"`{name}`").alias(name))
-            continue
-        value, error = coerced(F.col(f"`{name}`"), f)
-        values.append(value.alias(name))
+    own = [c for c in df.columns if c in fields]
+    plain = [c for c in own if not fields[c].nested]
+    unknown = [c for c in df.columns if c not in fields and c not in kept]
+    # Three projections, as later ones use what is costly more than once: numbers, values, errors.
+    numbers = {c: n for c in plain if (n := _number(F.col(f"`{c}`"), fields[c])) is not None}
+    base = df.select("*", *[n.alias(f"__number_{c}") for c, n in numbers.items()])
+    typed = [_coerced(F.col(f"`{c}`"), F.col(f"`__number_{c}`") if c in numbers else None, fields[c]).alias(c) if c in plain else F.col(f"`{c}`") for c in own]
+    values = base.select(*typed, *[F.col(f"`{c}`") for c in [*unknown, *kept]], *[F.col(f"`{c}`").alias(f"__raw_{c}") for c in plain])
+    errors = []
+    for c in plain:
+        error = _coercion_error(F.col(f"`__raw_{c}`"), F.col(f"`{c}`"), fields[c])
         errors.append(error)
-        if {"enum", "const", "minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum", "minLength", "maxLength", "pattern"} & set(f.rules):
-            errors += [F.when(error.isNull(), e) for e in _violations(value, f)]
+        if {"enum", "const", "minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum", "minLength", "maxLength", "pattern"} & set(fields[c].rules):
+            errors += _violations(F.col(f"`{c}`"), fields[c])
     for name in contract.required:
         if name not in df.columns:
             errors.append(F.lit(f"{name}: required"))
-    unknown = [c for c in df.columns if c not in fields and c not in kept]
     if contract.closed:
         errors += [F.lit(f"{c}: unknown field") for c in unknown]
     groups = [F.array_compact(F.array(*errors[i : i + 25])) for i in range(0, len(errors), 25)] or [F.array().cast("array<string>")]
-    return df.select(*values, *[F.col(f"`{c}`") for c in unknown], *[F.col(f"`{c}`") for c in kept], F.concat(*groups).alias("__errors"))
+    return values.select(*[F.col(f"`{c}`") for c in [*own, *unknown, *kept]], F.concat(*groups).alias("__errors"))
 
 
 def validated(df: DataFrame, contract: Contract) -> DataFrame:

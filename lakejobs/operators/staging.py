@@ -114,17 +114,19 @@ def staging_frame(bronze: DataFrame, contract: Contract, adapt: Adapt | None = N
     """One narrow select over a bronze frame: typed columns, flattened leaves, adaptations, meta columns."""
     adapt = adapt or Adapt()
     columns: dict[str, Column] = {}
+    leaves = flatten_plan(contract, relations=relations, **plan) if flatten else []
+    meta = [F.col(c) for c in META_COLUMNS if c in bronze.columns]
+    # Leaf texts are taken out once, in a projection of their own; the casts look at a text more than once.
+    found = [x for x in leaves if x.root in bronze.columns]
+    bronze = bronze.select(*[F.col(f"`{f.name}`") for f in contract.fields if f.name in bronze.columns], *meta, *[F.get_json_object(f"`{x.root}`", "$." + ".".join(x.path)).alias(f"__leaf_{x.name}") for x in found])
     for f in contract.fields:
         if f.name in bronze.columns and not f.nested:
             columns[f.name] = casts.CASTS[_cast_name(set(f.types))](F.col(f"`{f.name}`"))
         elif f.name in bronze.columns and f.nested and not flatten:
             columns[f.name] = F.col(f"`{f.name}`").cast("string")
-    leaves = flatten_plan(contract, relations=relations, **plan) if flatten else []
     check_collisions([x.name for x in leaves], [*columns, *META_COLUMNS])
-    for leaf in leaves:
-        if leaf.root in bronze.columns:
-            columns[leaf.name] = casts.json_path(F.col(f"`{leaf.root}`"), ".".join(leaf.path), leaf.kind)
-    meta = [F.col(c) for c in META_COLUMNS if c in bronze.columns]
+    for leaf in found:
+        columns[leaf.name] = casts.CASTS[leaf.kind](F.col(f"`__leaf_{leaf.name}`"))
     return bronze.select(*adapted(columns, adapt), *meta)
 
 
@@ -183,7 +185,7 @@ def relation_frame(bronze: DataFrame, contract: Contract, path: str, key: str, n
     if "properties" not in rules:
         return now.select(F.col(f"`{key}`"), *names, casts.CASTS[_cast_name(_kinds(rules))](F.col("__item")).alias("value"), *meta)
     deeper = {p.split(".")[len(parts)] for p in nested or () if p.startswith(path + ".")}
-    columns: list[Column] = []
+    leaves: list[tuple[str, str, str]] = []
 
     def walk(own: dict[str, Any], at: tuple[str, ...]) -> None:
         for name, r in (own.get("properties") or {}).items():
@@ -192,10 +194,11 @@ def relation_frame(bronze: DataFrame, contract: Contract, path: str, key: str, n
             if "properties" in r:
                 walk(r, (*at, name))
             elif "array" not in _kinds(r) and "items" not in r:
-                columns.append(casts.json_path(F.col("__item"), ".".join((*at, name)), _cast_name(_kinds(r))).alias("__".join((*at, name))))
+                leaves.append(("__".join((*at, name)), ".".join((*at, name)), _cast_name(_kinds(r))))
 
     walk(rules, ())
-    return now.select(F.col(f"`{key}`"), *names, *columns, *meta)
+    now = now.select(F.col(f"`{key}`"), *names, *[F.get_json_object("__item", f"$.{where}").alias(f"__leaf_{name}") for name, where, _ in leaves], *meta)
+    return now.select(F.col(f"`{key}`"), *names, *[casts.CASTS[kind](F.col(f"`__leaf_{name}`")).alias(name) for name, _, kind in leaves], *meta)
 
 
 def explode_estimate(df: DataFrame, column: str, parent_limit: int = 500_000, child_limit: int = 2_000_000) -> DataFrame:
