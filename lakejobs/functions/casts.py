@@ -22,7 +22,7 @@ def double(value: Column) -> Column:
 
 
 def integer(value: Column) -> Column:
-    """32-bit integers; fractions round half away from zero, as the SQL engine of the reference models does."""
+    """32-bit integers; fractions round half away from zero, as DuckDB does."""
     t = text(value)
     rounded = F.round(F.when(t.rlike(_NUMBER), double(value)), 0)
     fits = rounded.between(-2147483648.0, 2147483647.0)

@@ -54,9 +54,9 @@ def test_attempt_window():
 
 
 def test_identifiers():
-    assert timekeys.dataset_id("NOAA Storm", 2) == "noaa_storm_v2"
-    assert timekeys.source_slug("noaa", "storm-events") == "noaa__storm_events"
-    assert timekeys.bronze_schema("Open Library") == "bronze_open_library"
+    assert timekeys.dataset_id("Severe Weather", 2) == "severe_weather_v2"
+    assert timekeys.source_slug("weather", "storm-events") == "weather__storm_events"
+    assert timekeys.bronze_schema("Book Index") == "bronze_book_index"
 
 
 @pytest.mark.parametrize(("text", "number"), [("5.5", 6), ("5.0", 5), ("1e3", 1000), ("1_000", 1000), ("2.5", 3), ("-0.5", -1), ("2147483647.6", None), ("", None), ("x", None), ("5d", None), (" 7 ", 7)])
