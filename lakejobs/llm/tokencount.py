@@ -77,10 +77,17 @@ def allocate(begin: np.ndarray, end: np.ndarray, first: np.ndarray, last: np.nda
     return section, crossing
 
 
-def attribute(docs: DataFrame, sections: str = "sections", text: str = "text", ranks: bytes | None = None, rule: str = "most", keep_text: bool = True) -> DataFrame:
+def line_spans(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Byte spans of the lines of a text; a line holds the line end that closes it."""
+    stops = np.flatnonzero(raw == 0x0A) + 1
+    ends = stops if len(stops) and stops[-1] == len(raw) or not len(raw) else np.append(stops, len(raw))
+    return np.append(0, ends)[:-1], ends
+
+
+def attribute(docs: DataFrame, sections: str | None = "sections", text: str = "text", ranks: bytes | None = None, rule: str = "most", keep_text: bool = True) -> DataFrame:
     """docs with __n_tokens, __outside, and __counts: array of (start, end, n_tokens, n_crossing), one for each section.
 
-    sections: a column array<struct<start:int,end:int>> of character offsets, end exclusive.
+    sections: a column array<struct<start:int,end:int>> of character offsets, end exclusive; None: the lines of the text.
     """
     if rule not in RULES:
         raise ValueError(f"unknown rule {rule!r}")
@@ -97,12 +104,18 @@ def attribute(docs: DataFrame, sections: str = "sections", text: str = "text", r
                 part = batch.slice(a, b - a)
                 tokens, outside = np.zeros(b - a, dtype=np.int64), np.zeros(b - a, dtype=np.int64)
                 begins, ends, numbers, crossings, sizes = [], [], [], [], []
-                for i, (t, own) in enumerate(zip(texts[a:b], part.column(names.index(sections)).to_pylist(), strict=True)):
+                given = part.column(names.index(sections)).to_pylist() if sections is not None else [None] * (b - a)
+                for i, (t, own) in enumerate(zip(texts[a:b], given, strict=True)):
                     size = lengths[np.array(coder.encode_ordinary(t.decode()), dtype=np.int64)]
                     end = np.cumsum(size)
-                    spans = np.array(sorted((s["start"], s["end"]) for s in own or ()), dtype=np.int64).reshape(-1, 2)
                     raw = np.frombuffer(t, dtype=np.uint8)
-                    first, last = byte_offsets(raw, spans[:, 0]), byte_offsets(raw, spans[:, 1])
+                    if sections is None:
+                        first, last = line_spans(raw)
+                        before = np.append(0, np.cumsum((raw & 0xC0) != 0x80))
+                        spans = np.stack([before[first], before[last]], axis=1)
+                    else:
+                        spans = np.array(sorted((s["start"], s["end"]) for s in own or ()), dtype=np.int64).reshape(-1, 2)
+                        first, last = byte_offsets(raw, spans[:, 0]), byte_offsets(raw, spans[:, 1])
                     if (first[1:] < last[:-1]).any():
                         raise ValueError("sections overlap")
                     section, crossing = allocate(end - size, end, first, last, rule)
@@ -125,19 +138,6 @@ def attribute(docs: DataFrame, sections: str = "sections", text: str = "text", r
     return docs.mapInArrow(run, ", ".join([*kept, added]))
 
 
-def line_sections(text: str = "text"):  # noqa: ANN201
-    """Column of the sections that are the lines of a text; a line holds the line end that closes it."""
-    sizes = F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1), lambda x: F.char_length(x))
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("done"))
-    whole = F.char_length(F.coalesce(F.col(text), F.lit("")))
-
-    def add(state, n):  # noqa: ANN001, ANN202
-        end = F.least(state["at"] + n + 1, whole)
-        return F.struct(end.cast("int").alias("at"), F.concat(state["done"], F.array(F.struct(state["at"].alias("start"), end.cast("int").alias("end")))).alias("done"))
-
-    return F.filter(F.aggregate(sizes, begin, add, lambda s: s["done"]), lambda s: s["start"] < s["end"])
-
-
 def field_sections(columns: list[str], separator: str = "\n"):  # noqa: ANN201
     """(text, sections) columns of a document made of fields joined by a separator; null fields are empty."""
     parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]
@@ -152,7 +152,7 @@ def field_sections(columns: list[str], separator: str = "\n"):  # noqa: ANN201
 def query(spark: SparkSession, sf_dir: str, path: str = RANKS) -> DataFrame:
     """op1_token_counts: one row for each document and line; a document without lines has one row of section -1."""
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = attribute(docs.withColumn("sections", line_sections()), ranks=read_ranks(path), keep_text=False)
+    out = attribute(docs, None, ranks=read_ranks(path), keep_text=False)
     lines = out.select("doc_id", F.col("__n_tokens").alias("doc_tokens"), F.col("__outside").alias("outside_tokens"), F.posexplode_outer("__counts").alias("section", "s"))
     return lines.select(
         "doc_id", F.coalesce("section", F.lit(-1)).alias("section"), F.coalesce("s.start", F.lit(0)).alias("start"), F.coalesce("s.end", F.lit(0)).alias("end"),

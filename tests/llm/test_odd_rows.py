@@ -48,11 +48,11 @@ def test_boundary_rules():
 
 
 def test_token_counts_of_odd_rows(odd, none):
-    out = tokencount.attribute(odd.withColumn("sections", tokencount.line_sections()))
+    out = tokencount.attribute(odd, None)
     for r in out.collect():
         assert sum(s["n_tokens"] for s in r["__counts"]) + r["__outside"] == r["__n_tokens"] and r["__outside"] == 0
         assert (r["__n_tokens"] == 0) == (not r["text"]) and r["id"] == "extra"
-    assert tokencount.attribute(none.withColumn("sections", tokencount.line_sections())).count() == 0
+    assert tokencount.attribute(none, None).count() == 0
 
 
 def test_tokens_across_fields(spark):
