@@ -13,7 +13,7 @@ the anchor, then by digits of DIGIT bytes, and the members of the last groups ar
 
 Equal runs of one task are merged before the shuffle, so a passage that a third of all documents hold is a record per
 task. Anchors that one task holds in more than HOT different runs (the edges of such passages) are dealt out by their
-whole run, and then window by window, so no task gets all of one anchor.
+whole run, and those with more than HOT_ANCHOR different runs in all window by window, so no task gets all of one anchor.
 
 Exact copies of whole texts are settled first, by the SHA-256 of the text: a later copy of at least LENGTH bytes goes.
 
@@ -37,7 +37,8 @@ from lakejobs.llm import common
 LENGTH = 100
 SEED = 32
 DIGIT = 25
-HOT = 2000
+HOT = 128
+HOT_ANCHOR = 4000
 #: Bytes of a segment of one text; windows that begin in a segment belong to it.
 SEGMENT = 1 << 20
 #: Text behind the records that a task merges before it hands them on.
@@ -231,7 +232,7 @@ def _settle_runs(packed: DataFrame, length: int) -> DataFrame:
             through = np.flatnonzero(kinds == _SPAN)
             if len(through):
                 part = batch.take(pa.array(through))
-                yield _candidates(np.zeros(0, dtype=_RUN), False, tuple(part.column(i).to_numpy(zero_copy_only=False) for i in (2, 3, 4)))
+                yield _candidates(np.zeros(0, dtype=_RUN), tuple(part.column(i).to_numpy(zero_copy_only=False) for i in (2, 3, 4)))
             data = batch.column(5)
             for i in np.flatnonzero(kinds != _SPAN):
                 held[int(kinds[i])].append(data[int(i)].as_py())
@@ -251,12 +252,12 @@ def _settle_runs(packed: DataFrame, length: int) -> DataFrame:
                 kept = kept[np.repeat(count > 1, count) | np.isin(kept["anchor"], marks)]
             spans = _spans(late["row"], begin, begin + late["span"] + length)
             for i in range(0, max(len(kept), len(spans[0])), 50_000):
-                yield _candidates(kept[i : i + 50_000], kind == _HOT_RUNS, tuple(s[i : i + 50_000] for s in spans))
+                yield _candidates(kept[i : i + 50_000], tuple(s[i : i + 50_000] for s in spans))
 
-    return packed.mapInArrow(run, "row long, start long, end long, anchor long, at long, hot boolean")
+    return packed.mapInArrow(run, "row long, start long, end long, anchor long, at long")
 
 
-def _candidates(kept: np.ndarray, hot: bool, spans: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+def _candidates(kept: np.ndarray, spans: tuple[np.ndarray, ...]) -> pa.RecordBatch:
     first = kept["at"].astype(np.int64) - kept["back"]
     n, m = len(kept), len(spans[0])
     mask = np.append(np.zeros(n, dtype=bool), np.ones(m, dtype=bool))
@@ -264,9 +265,9 @@ def _candidates(kept: np.ndarray, hot: bool, spans: tuple[np.ndarray, ...]) -> p
         [
             pa.array(np.append(kept["row"], spans[0]).astype(np.int64)), pa.array(np.append(first, spans[1]).astype(np.int64)), pa.array(np.append(first + kept["span"], spans[2]).astype(np.int64)),
             pa.array(np.append(kept["anchor"].view(np.int64) if n else kept["at"].astype(np.int64), np.zeros(m, dtype=np.int64)), mask=mask),
-            pa.array(np.append(kept["at"], np.zeros(m)).astype(np.int64), mask=mask), pa.array(np.append(np.full(n, hot), np.zeros(m, dtype=bool)).astype(bool)),
+            pa.array(np.append(kept["at"], np.zeros(m)).astype(np.int64), mask=mask),
         ],
-        names=["row", "start", "end", "anchor", "at", "hot"],
+        names=["row", "start", "end", "anchor", "at"],
     )
 
 
@@ -402,7 +403,7 @@ def _sort_windows(packed: DataFrame, length: int) -> DataFrame:
     return packed.mapInArrow(run, _PACKED)
 
 
-def removals(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
+def removals(docs: DataFrame, length: int = LENGTH, hot: int = HOT, hot_anchor: int = HOT_ANCHOR) -> DataFrame:
     """(row, spans array<struct<start, end>>): maximal removed byte runs of the rows that have any.
 
     docs: id long, row long (unique, the same on each read), text. Null ids are last.
@@ -422,7 +423,10 @@ def removals(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame
     originals = docs.where(size >= length).join(copies.select("row"), "row", "left_anti").select("id", "row", "text")
     packed = _find_runs(originals, buckets, length, hot)
     settled = common.saved(_settle_runs(packed.repartition(parts, "bucket"), length), "runs")
-    runs_of = settled.where("anchor is not null").groupBy("row").agg(F.collect_list(F.struct("start", "end", "anchor", "at", "hot")).alias("runs"))
+    candidates = settled.where("anchor is not null")
+    crowded = candidates.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > hot_anchor).select("anchor", F.lit(True).alias("hot"))
+    candidates = candidates.join(crowded, "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    runs_of = candidates.groupBy("row").agg(F.collect_list(F.struct("start", "end", "anchor", "at", "hot")).alias("runs"))
     cut = _cut_out(docs.join(runs_of, "row").select("id", "row", "text", "runs"), buckets, length)
     spans = common.saved(_sort_windows(cut.repartition(parts, "bucket"), length).select("row", "start", "end"), "window-spans")
     every = settled.where("anchor is null").select("row", "start", "end").unionByName(spans).unionByName(copies.select("row", F.lit(0).cast("long").alias("start"), F.col("size").alias("end")))
