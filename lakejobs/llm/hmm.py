@@ -23,6 +23,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 from math import log10
 from zlib import crc32
 
@@ -83,8 +84,8 @@ class Vocabulary:
     total: int
     distinct: int
     ends: int
-    known: dict[bytes, int]
-    own: dict[bytes, int]
+    known: dict[bytes, int]  # the most frequent words and their places; the first OWN have a symbol each
+    counts: np.ndarray  # of the known words, by place
     class_weight: np.ndarray  # Z of each class
     symbol_count: np.ndarray
     log_class: np.ndarray = field(init=False)
@@ -110,7 +111,7 @@ def frequent(counts: DataFrame, most: int) -> int:
 def vocabulary(counts: DataFrame, ends: int) -> Vocabulary:
     sums = counts.agg(F.sum("n"), F.count("*")).first()
     top = sorted(((bytes(r["word"]), r["n"]) for r in counts.where(F.col("n") >= frequent(counts, KNOWN)).collect()), key=lambda x: (-x[1], x[0]))
-    own = {w: i for i, (w, _) in enumerate(top[:OWN])}
+    own = {w for w, _ in top[:OWN]}
     shared = counts.sparkSession.sparkContext.broadcast(own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,10 +128,9 @@ def vocabulary(counts: DataFrame, ends: int) -> Vocabulary:
     for r in counts.select("word", "n").mapInArrow(run, "k long, n long, v long").groupBy("k").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect():
         weight[r["k"]] = r["n"] + r["v"] + 1
         symbols[OWN + r["k"]] = r["n"]
-    for w, i in own.items():
-        symbols[i] = top[i][1]
+    symbols[: len(top[:OWN])] = [n for _, n in top[:OWN]]
     symbols[END] = ends
-    return Vocabulary((sums[0] or 0) + ends, sums[1] + (ends > 0), ends, dict(top), own, weight, symbols)
+    return Vocabulary((sums[0] or 0) + ends, sums[1] + (ends > 0), ends, {w: i for i, (w, _) in enumerate(top)}, np.array([n for _, n in top], dtype=np.int64), weight, symbols)
 
 
 _ENCODED = "row long, n_tokens long, known_top long, log_top double, log_own double, symbols binary, rest array<struct<word:binary,n:long>>"
@@ -140,7 +140,7 @@ def encode(docs: DataFrame, words: Vocabulary, text: str, kept: list[str]) -> Da
     """Each row's symbols and sums over its known words; rest has its rarer words. docs: row, kept columns, text."""
     shared = docs.sparkSession.sparkContext.broadcast(words)
 
-    class Symbols(dict):
+    class Classes(dict):
         def __missing__(self, word: bytes) -> int:
             k = word_class(word)
             if len(self) < FLUSH:
@@ -148,9 +148,9 @@ def encode(docs: DataFrame, words: Vocabulary, text: str, kept: list[str]) -> Da
             return k
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = shared.value
-        symbol = Symbols(v.own)
-        log = {w: log10(c + 1) for w, c in v.known.items()}
+        v, classes = shared.value, Classes()
+        log = np.log10(v.counts + 1.0)
+        symbol = np.array([i if i < OWN else word_class(w) for w, i in v.known.items()], dtype=np.uint16)
         log_end, known_end = log10(v.ends + 1), int(v.ends > 0)
         for batch in batches:
             names = batch.schema.names
@@ -160,28 +160,27 @@ def encode(docs: DataFrame, words: Vocabulary, text: str, kept: list[str]) -> Da
                 out: list[list] = [[], [], [], [], []]
                 rest, times, ends = [], [], [0]
                 for t in found[a:b]:
-                    all_words = tokens(t)
-                    numbers = np.fromiter(map(symbol.__getitem__, all_words), dtype=np.uint16, count=len(all_words))
-                    log_top, log_class, known = log_end, 0.0, known_end
-                    for w, n in Counter(all_words).items():
-                        x = log.get(w)
-                        if x is None:
-                            rest.append(w)
-                            times.append(n)
-                        else:
-                            known += n
-                            log_top += n * x
-                            if w not in v.own:
-                                log_class += n * x
-                    classes = numbers[numbers >= OWN].astype(np.int64) - OWN
-                    log_class -= float(v.log_class[classes].sum())
-                    for column, x in zip(out, (len(all_words) + 1, known, log_top, log_class, np.append(numbers, np.uint16(END)).astype("<u2").tobytes()), strict=True):
-                        column.append(x)
+                    words_of = tokens(t)
+                    place = np.fromiter(map(v.known.get, words_of, repeat(-1)), dtype=np.int32, count=len(words_of))
+                    held = place >= 0
+                    numbers = np.zeros(len(place) + 1, dtype=np.uint16)
+                    numbers[:-1][held] = symbol[place[held]]
+                    rare = [words_of[i] for i in np.flatnonzero(~held)]
+                    numbers[:-1][~held] = np.fromiter(map(classes.__getitem__, rare), dtype=np.uint16, count=len(rare))
+                    numbers[-1] = END
+                    counted = Counter(rare)
+                    rest += counted
+                    times += counted.values()
                     ends.append(len(rest))
+                    in_class = numbers[:-1][numbers[:-1] >= OWN].astype(np.int64) - OWN
+                    log_class = float(log[place[place >= OWN]].sum()) - float(v.log_class[in_class].sum())
+                    row = (len(place) + 1, int(held.sum()) + known_end, log_end + float(log[place[held]].sum()), log_class, numbers.astype("<u2").tobytes())
+                    for column, x in zip(out, row, strict=True):
+                        column.append(x)
                 kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary())
-                rare = pa.StructArray.from_arrays([pa.array(rest, pa.binary()), pa.array(times, pa.int64())], names=["word", "n"])
+                rare_words = pa.StructArray.from_arrays([pa.array(rest, pa.binary()), pa.array(times, pa.int64())], names=["word", "n"])
                 yield pa.RecordBatch.from_arrays(
-                    [*[c.slice(a, b - a) for c in own], *[pa.array(x, k) for x, k in zip(out, kinds, strict=True)], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rare)],
+                    [*[c.slice(a, b - a) for c in own], *[pa.array(x, k) for x, k in zip(out, kinds, strict=True)], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rare_words)],
                     names=["row", *kept, "n_tokens", "known_top", "log_top", "log_own", "symbols", "rest"],
                 )
 
