@@ -35,6 +35,8 @@ from lakejobs.llm import common
 DEGREE, WIDTH, OFFER = 64, 40, 16
 LEAF, TREES, ITERATIONS = 400, 3, 6
 BEAM, EXPAND, ROUNDS = 96, 16, 3
+#: Nodes whose edges travel together in a row, at least.
+BUCKET_NODES = 500
 #: Leaves over this size are cut into blocks.
 BLOCK = 1000
 
@@ -213,7 +215,7 @@ def _first_graph(nodes: DataFrame, n: int, size: int, parts: int, buckets: int)
 def build(nodes: DataFrame, n: int, size: int) -> DataFrame:
     """The neighbour graph of nodes (node long, v binary of float32 of equal norms)."""
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = parts * 8
+    buckets = max(1, min(parts, n // BUCKET_NODES))  # a task gives a row per bucket, so buckets follow the nodes
     graph = common.saved(_first_graph(nodes, n, size, parts, buckets), "graph")
     for i in range(ITERATIONS if n > LEAF else 0):
         ahead = graph.select("node", F.explode(F.slice("neighbours", 1, WIDTH)).alias("to"))
