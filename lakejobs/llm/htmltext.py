@@ -306,7 +306,8 @@ def seed_labels() -> list[tuple[list[Block], list[int]]]:
 def train(pages: DataFrame, id_column: str = "page_id", column: str = "html", max_pages: int = MAX_PAGES) -> Field:
     """Fit on at most max_pages pages that label themselves, and the seed pages."""
     marked = pages.where(F.col(column).rlike(r"(?i)<(article|main)\b")).select(F.col(id_column).cast("string").alias("id"), F.col(column).alias("html"))
-    rows = marked.orderBy(F.xxhash64("id"), "id").select("html").limit(max_pages).toLocalIterator()
+    chosen = common.smallest_hashes(marked.select("id").distinct(), "id", max_pages)  # ids first: pages are long
+    rows = marked.join(F.broadcast(chosen), "id").select("html").limit(max_pages).toLocalIterator()
     slots = _Slots()
     data = []
     for r in rows:

@@ -181,7 +181,7 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 250, pair_rounds: int = 80,
 def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", label: str = "quality", folds: int = 5, max_rows: int = MAX_ROWS) -> Additive:
     """Fit on the labelled rows whose fold is not 0, at most max_rows of them (those of smallest hash of the id)."""
     chosen = labels.where((common.crc_fold(id_column, folds) != 0) & F.col(label).isNotNull()).select(F.col(id_column).alias("__id"), F.col(label).cast("int").alias("__y"))
-    chosen = chosen.orderBy(F.xxhash64("__id"), "__id", "__y").limit(max_rows)
+    chosen = common.smallest_hashes(chosen, "__id", max_rows)
     rows = docs.select(F.col(id_column).alias("__id"), F.col(text).alias("__t")).join(F.broadcast(chosen), "__id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -435,3 +435,10 @@ def test_iterations_raise_recall(spark, monkeypatch):
 
 def test_json_of_the_odd_rows_is_stable(odd):
     assert json.dumps([r["score"] for r in odd.orderBy("score").collect()]) == json.dumps(list(range(odd.count())))
+
+
+def test_smallest_hashes_are_those_of_a_full_sort(spark):
+    df = spark.range(1000).select(F.col("id").alias("k"))
+    want = [r["k"] for r in df.orderBy(F.xxhash64("k"), "k").limit(20).collect()]
+    assert [r["k"] for r in common.smallest_hashes(df, "k", 20).collect()] == want
+    assert common.smallest_hashes(df, "k", 5000).count() == 1000 and common.smallest_hashes(df.where("false"), "k", 5).count() == 0
