@@ -113,7 +113,7 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text: str = "text", reposit
 def redact(docs: DataFrame, text: str = "text", mask: str = "[SECRET]", repository: str = "source", owner: str = "source", max_owners: int = MAX_OWNERS) -> DataFrame:
     """The documents with every live-looking candidate cut out for the mask; widely copied examples stay.
 
-    Only values that are live-looking come back to the documents, as the list of those of that document.
+    Documents without candidates pass by; only the others are joined, with the list of their live-looking spans.
     """
     marked = with_spans(docs.withColumn("__row", F.monotonically_increasing_id()), text)
     scanned = common.saved(marked, "secret-spans")
@@ -130,8 +130,9 @@ def redact(docs: DataFrame, text: str = "text", mask: str = "[SECRET]", reposito
         return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(fresh, out).otherwise(state["out"]).alias("out"))
 
     cleaned = F.aggregate("__live", begin, cut, lambda x: F.concat(x["out"], F.substring(body, x["at"] + 1, F.char_length(body))))
-    joined = scanned.join(live, "__row", "left")
-    return joined.withColumn(text, F.when(F.col("__live").isNull(), body).otherwise(cleaned)).select(*docs.columns)
+    joined = scanned.where(F.size("__spans") > 0).join(live, "__row", "left")
+    joined = joined.withColumn(text, F.when(F.col("__live").isNull(), body).otherwise(cleaned))
+    return joined.select(*docs.columns).unionByName(scanned.where(F.size("__spans") == 0).select(*docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
