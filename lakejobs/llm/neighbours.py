@@ -2,13 +2,15 @@
 
 Equal vectors are one node. Vectors get one more coordinate, which makes all norms equal, so that the neighbours by inner
 product are neighbours in space. The first graph comes from trees of random hyperplanes: the nodes of a leaf are compared
-with each other. Then each iteration joins the graph with itself: a node's list (the best of its neighbours, and nodes
+with each other; if nodes end up with under DEGREE neighbours (lone ones, small far groups), all nodes are compared once more in
+random groups, so that none stays apart. Then each iteration joins the graph with itself: a node's list (the best of its neighbours, and nodes
 that have it as neighbour) is joined with the vectors, the list's members are compared with each other, and every node
-keeps its DEGREE best. It ends when few neighbours still change.
+keeps its DEGREE best. It ends when few neighbours still change. Nodes that few lists hold are
+added to the lists of their own neighbours, so that searches find them.
 
-Queries search greedily: from its own node's neighbours a query expands the best nodes that it hasn't expanded, joins
+Queries search greedily: from its own node's neighbours, and the nodes of a random group, a query expands the best nodes that it hasn't expanded, joins
 them with the graph and the vectors, and keeps the BEAM best, round by round. The last beam is scored in double precision
-on the original vectors, with all rows of equal vectors.
+on the original vectors, with all rows of equal vectors. A query whose beam has under k rows is scored against all nodes.
 
 All steps are joins and repartitions of rows; no task holds the table, and nothing is broadcast. Lists are bounded by
 construction (WIDTH of either kind), which is the method's own sampling. Parameters are for hard, high-dimensional data:
@@ -37,6 +39,10 @@ LEAF, TREES, ITERATIONS = 400, 3, 6
 BEAM, EXPAND, ROUNDS = 96, 16, 3
 #: Nodes whose edges travel together in a row, at least.
 BUCKET_NODES = 500
+#: Nodes of a random group, on average: for nodes without enough neighbours, and for the start of a search.
+PARTNERS, ENTRIES = 128, 64
+#: Nodes that fewer lists than this hold are offered to searches by their own neighbours too.
+SELDOM = 20
 #: Leaves over this size are cut into blocks.
 BLOCK = 1000
 
@@ -212,24 +218,52 @@ def _first_graph(nodes: DataFrame, n: int, size: int, parts: int, buckets: int)
     return _merge(None, offers, parts, buckets)
 
 
+def _group(column: str, n: int, size: int, seed: int) -> Column:
+    """A random group of about so many of n nodes."""
+    return F.pmod(F.xxhash64(column, F.lit(seed)), F.lit(max(1, n // size)))
+
+
+def _known(nodes: DataFrame, graph: DataFrame) -> DataFrame:
+    """(to, v, least): nodes with the score that an offer must exceed."""
+    worst = graph.select(F.col("node").alias("to"), F.when(F.size("scores") < DEGREE, F.lit(float("-inf"))).otherwise(F.element_at("scores", -1)).cast("float").alias("least"))
+    return nodes.select(F.col("node").alias("to"), "v").join(worst, "to", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf")).cast("float")))
+
+
+def _partners(graph: DataFrame, nodes: DataFrame, n: int, parts: int, buckets: int) -> DataFrame:
+    """Offers between the nodes of random groups."""
+    dealt = _known(nodes, graph).select(_group("to", n, PARTNERS, 23).alias("group"), "to", "v", "least").repartition(parts, "group").sortWithinPartitions("group", "to")
+    return dealt.mapInArrow(lambda batches: _compare(_groups(batches, [0], BLOCK), 1, 2, 3, DEGREE, buckets), "bucket int, edges binary")
+
+
 def build(nodes: DataFrame, n: int, size: int) -> DataFrame:
     """The neighbour graph of nodes (node long, v binary of float32 of equal norms)."""
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(1, min(parts, n // BUCKET_NODES))  # a task gives a row per bucket, so buckets follow the nodes
     graph = common.saved(_first_graph(nodes, n, size, parts, buckets), "graph")
+    if n > LEAF and graph.where(F.size("neighbours") >= DEGREE).count() < n:
+        graph = common.saved(_merge(graph, _partners(graph, nodes, n, parts, buckets), parts, buckets), "graph")
     for i in range(ITERATIONS if n > LEAF else 0):
         ahead = graph.select("node", F.explode(F.slice("neighbours", 1, WIDTH)).alias("to"))
         back = graph.select(F.col("node").alias("to"), F.explode("neighbours").alias("node"))
         order = Window.partitionBy("node").orderBy(F.xxhash64("to", F.lit(i)), "to")
         back = back.withColumn("place", F.row_number().over(order)).where(F.col("place") <= WIDTH).select("node", "to")
-        worst = graph.select(F.col("node").alias("to"), F.when(F.size("scores") < DEGREE, F.lit(float("-inf"))).otherwise(F.element_at("scores", -1)).cast("float").alias("least"))
-        known = nodes.select(F.col("node").alias("to"), "v").join(worst, "to", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf")).cast("float")))
-        lists = ahead.unionByName(back).join(known, "to").select("node", "to", "v", "least").repartition(parts, "node").sortWithinPartitions("node")
+        lists = ahead.unionByName(back).join(_known(nodes, graph), "to").select("node", "to", "v", "least").repartition(parts, "node").sortWithinPartitions("node")
         offers = lists.mapInArrow(lambda batches: _compare(_groups(batches, [0]), 1, 2, 3, OFFER, buckets), "bucket int, edges binary")
         graph = common.saved(_merge(graph, offers, parts, buckets), "graph")
         if (graph.agg(F.sum("fresh")).first()[0] or 0) < 0.01 * n * DEGREE:
             break
-    return graph
+    return common.saved(_with_seldom(graph), "graph") if n > LEAF else graph
+
+
+def _with_seldom(graph: DataFrame) -> DataFrame:
+    """(node, neighbours): the graph with edges back to nodes that few lists hold, the DEGREE best for a node."""
+    held = graph.select(F.explode("neighbours").alias("node")).groupBy("node").agg(F.count("*").alias("n"))
+    few = graph.join(held, "node", "left").where(F.coalesce("n", F.lit(0)) < SELDOM).select("node", F.explode(F.arrays_zip("neighbours", "scores")).alias("e"))
+    back = few.select(F.col("e.neighbours").alias("to"), "node", F.col("e.scores").alias("s"))
+    back = back.withColumn("place", F.row_number().over(Window.partitionBy("to").orderBy(F.desc("s"), "node"))).where(F.col("place") <= DEGREE)
+    back = back.groupBy(F.col("to").alias("node")).agg(F.collect_list("node").alias("back"))
+    every = F.array_union("neighbours", F.coalesce("back", F.array().cast("array<long>")))
+    return graph.join(back, "node", "left").select("node", every.alias("neighbours"))
 
 
 def _scored(pairs: DataFrame, left: str, right: str) -> DataFrame:
@@ -247,11 +281,14 @@ def _scored(pairs: DataFrame, left: str, right: str) -> DataFrame:
     return pairs.mapInArrow(run, ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in keep], "s float"]))
 
 
-def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, n: int, rounds: int = ROUNDS) -> DataFrame:
     """(query, node): the beam of each query. queries: query long, node long (where it starts), w binary (its vector, the
     added coordinate zero)."""
     start = queries.select("query", F.col("node").alias("of")).join(graph.select(F.col("node").alias("of"), "neighbours"), "of", "left")
     pairs = start.select("query", F.explode(F.concat(F.array("of"), F.coalesce("neighbours", F.array().cast("array<long>")))).alias("node"))
+    # Graph edges may not lead out of a group of near nodes, and small vectors have their best products far away.
+    entries = queries.select("query", _group("query", n, ENTRIES, 29).alias("group")).join(nodes.select("node", _group("node", n, ENTRIES, 29).alias("group")), "group")
+    pairs = pairs.unionByName(entries.select("query", "node")).distinct()
     beam = None
     best = Window.partitionBy("query").orderBy(F.desc("s"), "node")
     for i in range(rounds + 1):
@@ -299,8 +336,14 @@ def nearest(df: DataFrame, is_query: Column, k: int = 20, id_column: str = "vec_
     asked = common.saved(ok.where(is_query).join(grouped.select("x", "node"), "x").select(F.col("id").alias("query"), "node", "x"), "queries")
     # A repeated id of several vectors asks with each; its rows are told apart by their node.
     asked = asked.withColumn("query_id", F.col("query")).withColumn("query", F.xxhash64("query", "node"))
-    beam = search(graph, nodes, asked.select("query", "node").join(nodes.select("node", "w"), "node").select("query", "node", "w"))
-    pairs = beam.join(grouped.select("node", F.col("x").alias("y"), "members"), "node").join(asked.select("query", "query_id", "x"), "query")
+    beam = search(graph, nodes, asked.select("query", "node").join(nodes.select("node", "w"), "node").select("query", "node", "w"), n)
+    candidates = grouped.select("node", F.col("x").alias("y"), "members")
+    pairs = beam.join(candidates, "node").join(asked.select("query", "query_id", "x"), "query")
+    held = beam.join(grouped.select("node", "members"), "node").join(asked.select("query", "query_id"), "query")
+    held = held.groupBy("query").agg(F.count("*").alias("nodes"), F.sum(F.size("members") - F.array_contains("members", F.col("query_id")).cast("int")).alias("rows"))
+    short = common.saved(asked.join(held, "query", "left").where((F.coalesce("rows", F.lit(0)) < k) & (F.coalesce("nodes", F.lit(0)) < n)).select("query", "query_id", "x"), "short")
+    if short.limit(1).count():
+        pairs = pairs.join(short.select("query"), "query", "left_anti").unionByName(short.crossJoin(candidates))
     product = F.aggregate(F.zip_with("x", "y", lambda a, b: a * b), F.lit(0.0), lambda s, c: s + c)
     rows = pairs.select("query", "query_id", product.alias("score"), F.explode("members").alias("id")).where(F.col("id") != F.col("query_id"))
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))

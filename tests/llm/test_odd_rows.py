@@ -433,6 +433,48 @@ def test_iterations_raise_recall(spark, monkeypatch):
     assert recall > 0.95
 
 
+def neighbour_recall(spark, x, ids):
+    """Recall at 20 against brute force, by query; each query must have 20 rows."""
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<float>")
+    got = {}
+    for r in neighbours.nearest(df, F.col("id") % 20 == 0).collect():
+        got.setdefault(r["query_id"], []).append(r["id"])
+    out = {}
+    for at, q in enumerate(ids):
+        if q % 20 == 0:
+            s = x.astype(float) @ x[at].astype(float)
+            s[at] = -np.inf
+            assert len(got.get(q, ())) == 20, (q, len(got.get(q, ())))
+            out[q] = len(set(got[q]) & {ids[i] for i in np.argsort(-s)[:20]}) / 20
+    return out
+
+
+def test_lone_vectors_and_small_far_groups_are_found(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "LEAF", 10)
+    r = np.random.default_rng(4)
+    line = r.standard_normal(16) + np.linspace(-1, 1, 1000)[:, None] * r.standard_normal(16) + 0.001 * r.standard_normal((1000, 16))  # all planes split it alike
+    far = np.concatenate([5 * r.standard_normal((1, 16)) + 0.01 * r.standard_normal((m, 16)) for m in (1, 1, 1, 4, 12)])
+    x = np.concatenate([line, far])
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    ids = [*range(1, 1001), *range(2000, 2000 + 20 * len(far), 20)]
+    recall = neighbour_recall(spark, x, ids)
+    assert np.mean([recall[i] for i in ids[1000:]]) >= 0.9 and np.mean(list(recall.values())) >= 0.9
+
+
+def test_small_vectors_reach_large_ones(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "LEAF", 60)
+    r = np.random.default_rng(6)
+    x = np.concatenate([r.standard_normal((800, 8)), 1e-3 * r.standard_normal((200, 8))]).astype(np.float32)
+    recall = neighbour_recall(spark, x, list(range(1, 1001)))
+    assert np.mean([v for q, v in recall.items() if q > 800]) >= 0.9
+
+
+def test_a_query_with_too_few_rows_is_scored_against_all(spark, monkeypatch):
+    x = np.random.default_rng(8).standard_normal((200, 4)).astype(np.float32)
+    monkeypatch.setattr(neighbours, "search", lambda graph, nodes, queries, *a: queries.select("query", "node"))
+    assert set(neighbour_recall(spark, x, list(range(200))).values()) == {1.0}
+
+
 def test_json_of_the_odd_rows_is_stable(odd):
     assert json.dumps([r["score"] for r in odd.orderBy("score").collect()]) == json.dumps(list(range(odd.count())))
 
