@@ -2,15 +2,16 @@
 
 Equal vectors are one node. Vectors get one more coordinate, which makes all norms equal, so that the neighbours by inner
 product are neighbours in space. The first graph comes from trees of random hyperplanes: the nodes of a leaf are compared
-with each other; if nodes end up with under DEGREE neighbours (lone ones, small far groups), all nodes are compared once more in
-random groups, so that none stays apart. Then each iteration joins the graph with itself: a node's list (the best of its neighbours, and nodes
-that have it as neighbour) is joined with the vectors, the list's members are compared with each other, and every node
-keeps its DEGREE best. It ends when few neighbours still change. Nodes that few lists hold are
-added to the lists of their own neighbours, so that searches find them.
+with each other; if nodes end up with under DEGREE neighbours (lone ones, small far groups), all are compared once more in
+random groups, so that none stays apart. Then each iteration joins the graph with itself: a node's list (the best of its
+neighbours, and nodes that have it as neighbour) is joined with the vectors, the list's members are compared with each
+other, and every node keeps its DEGREE best. It ends when few neighbours still change, however many iterations that takes.
+Nodes that few lists hold are added to the lists of their own neighbours, so that searches find them.
 
-Queries search greedily: from its own node's neighbours, and the nodes of a random group, a query expands the best nodes that it hasn't expanded, joins
-them with the graph and the vectors, and keeps the BEAM best, round by round. The last beam is scored in double precision
-on the original vectors, with all rows of equal vectors. A query whose beam has under k rows is scored against all nodes.
+Queries search greedily: from its own node's neighbours, and the nodes of a random group, a query expands the best nodes
+that it hasn't expanded, joins them with the graph and the vectors, and keeps the BEAM best, round by round, until no
+query has an open node in its beam. The last beam is scored in double precision on the original vectors, with all rows of
+equal vectors. A query whose beam has under k rows is scored against all nodes.
 
 All steps are joins and repartitions of rows; no task holds the table, and nothing is broadcast. Lists are bounded by
 construction (WIDTH of either kind), which is the method's own sampling. Parameters are for hard, high-dimensional data:
@@ -24,6 +25,7 @@ rows of one id and vector count once; fewer candidates than k give all; an empty
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 from math import ceil, log2
 
 import numpy as np
@@ -35,8 +37,8 @@ from pyspark.sql.window import Window
 from lakejobs.llm import common
 
 DEGREE, WIDTH, OFFER = 64, 40, 16
-LEAF, TREES, ITERATIONS = 400, 3, 6
-BEAM, EXPAND, ROUNDS = 96, 16, 3
+LEAF, TREES = 400, 3
+BEAM, EXPAND = 96, 16
 #: Nodes whose edges travel together in a row, at least.
 BUCKET_NODES = 500
 #: Nodes of a random group, on average: for nodes without enough neighbours, and for the start of a search.
@@ -242,7 +244,7 @@ def build(nodes: DataFrame, n: int, size: int) -> DataFrame:
     graph = common.saved(_first_graph(nodes, n, size, parts, buckets), "graph")
     if n > LEAF and graph.where(F.size("neighbours") >= DEGREE).count() < n:
         graph = common.saved(_merge(graph, _partners(graph, nodes, n, parts, buckets), parts, buckets), "graph")
-    for i in range(ITERATIONS if n > LEAF else 0):
+    for i in count() if n > LEAF else ():  # ends: lists only get better
         ahead = graph.select("node", F.explode(F.slice("neighbours", 1, WIDTH)).alias("to"))
         back = graph.select(F.col("node").alias("to"), F.explode("neighbours").alias("node"))
         order = Window.partitionBy("node").orderBy(F.xxhash64("to", F.lit(i)), "to")
@@ -281,7 +283,7 @@ def _scored(pairs: DataFrame, left: str, right: str) -> DataFrame:
     return pairs.mapInArrow(run, ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in keep], "s float"]))
 
 
-def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, n: int, rounds: int = ROUNDS) -> DataFrame:
+def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, n: int) -> DataFrame:
     """(query, node): the beam of each query. queries: query long, node long (where it starts), w binary (its vector, the
     added coordinate zero)."""
     start = queries.select("query", F.col("node").alias("of")).join(graph.select(F.col("node").alias("of"), "neighbours"), "of", "left")
@@ -291,7 +293,7 @@ def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, n: int, round
     pairs = pairs.unionByName(entries.select("query", "node")).distinct()
     beam = None
     best = Window.partitionBy("query").orderBy(F.desc("s"), "node")
-    for i in range(rounds + 1):
+    while True:  # a node is expanded once at most, as one that has left the beam doesn't come back
         full = pairs.join(nodes.select("node", "v"), "node").join(queries.select("query", "w"), "query")
         found = _scored(full.select("query", "node", "v", "w"), "v", "w").withColumn("done", F.lit(False))
         every = found if beam is None else beam.unionByName(found)
@@ -299,7 +301,7 @@ def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, n: int, round
         kept = every.withColumn("place", F.row_number().over(best)).where(F.col("place") <= BEAM).drop("place")
         turn = F.row_number().over(Window.partitionBy("query", "done").orderBy(F.desc("s"), "node"))
         kept = common.saved(kept.withColumn("open", ~F.col("done") & (turn <= EXPAND)), "beam")
-        if i == rounds:
+        if not kept.where("open").limit(1).count():
             break
         following = kept.where("open").select("query", F.col("node").alias("of")).join(graph.select(F.col("node").alias("of"), "neighbours"), "of")
         following = following.select("query", F.explode("neighbours").alias("node")).distinct()

@@ -461,6 +461,14 @@ def test_lone_vectors_and_small_far_groups_are_found(spark, monkeypatch):
     assert np.mean([recall[i] for i in ids[1000:]]) >= 0.9 and np.mean(list(recall.values())) >= 0.9
 
 
+def test_a_search_goes_on_while_nodes_are_open(spark):
+    raw = lambda x: np.array([np.cos(x), np.sin(x)], dtype=np.float32).tobytes()
+    nodes = spark.createDataFrame([(i, bytearray(raw(i / 10))) for i in range(12)], "node long, v binary")
+    graph = spark.createDataFrame([(i, [j for j in (i - 1, i + 1) if 0 <= j < 12]) for i in range(12)], "node long, neighbours array<long>")
+    queries = spark.createDataFrame([(0, 0, bytearray(raw(1.1)))], "query long, node long, w binary")
+    assert {r["node"] for r in neighbours.search(graph, nodes, queries, 1 << 40).collect()} == set(range(12))
+
+
 def test_small_vectors_reach_large_ones(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "LEAF", 60)
     r = np.random.default_rng(6)
