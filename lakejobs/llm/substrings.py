@@ -467,9 +467,9 @@ def _cut_series(texts, spans):  # noqa: ANN001, ANN202
 
 
 def report(docs: DataFrame, id_column: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, kept_sha256) of every row. The row number of a file scan is the same on each
-    read; give a frame that isn't one to common.saved() first."""
-    rows = docs.select(F.col(id_column).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), F.col(text).alias("text"))
+    """(id, n_bytes, n_removed, n_spans, kept_sha256) of every row. The numbered rows are written first, as another
+    read of the scan may be split otherwise."""
+    rows = common.saved(docs.select(F.col(id_column).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), F.col(text).alias("text")), "numbered")
     joined = rows.join(removals(rows, length), "row", "left").select("id", F.coalesce("text", F.lit("")).alias("text"), "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -291,6 +291,30 @@ def test_removals_are_by_segment_too(spark, monkeypatch):
     assert spans_of(spark, docs) == brute_spans(docs, 100)
 
 
+def test_report_when_the_splits_of_the_scan_change(spark, tmp_path, monkeypatch):
+    r = np.random.default_rng(9)
+    shared = "".join(r.choice(list("abcd "), 300))
+    texts = [(i, "".join(r.choice(list("abcd "), 20 * (i + 1))) + (shared if i % 3 == 0 else "")) for i in range(24)]
+    for i, row in enumerate(texts):
+        spark.createDataFrame([row], "doc_id long, text string").coalesce(1).write.mode("append").parquet(str(tmp_path / "documents"))
+    key = "spark.sql.files.minPartitionNum"
+    real, splits = common.saved, iter([1, 24] * 50)
+
+    def saved(df, label):
+        out = real(df, label)
+        spark.conf.set(key, str(next(splits)))
+        return out
+
+    monkeypatch.setattr(common, "saved", saved)
+    try:
+        spark.conf.set(key, "24")
+        got = {r["doc_id"]: (r["n_bytes"], r["n_removed"]) for r in substrings.report(spark.read.parquet(str(tmp_path / "documents"))).collect()}
+    finally:
+        spark.conf.unset(key)
+    want = brute_spans(texts, 100)
+    assert got == {i: (len(t), sum(b - a for a, b in want.get(i, ()))) for i, t in texts}
+
+
 def test_deduplicated_texts(odd, none):
     out = substrings.deduplicate(odd)
     assert out.columns == odd.columns and out.count() == odd.count()
