@@ -1,7 +1,8 @@
 """HTML main-text extraction: a linear-chain conditional random field over DOM leaf blocks.
 
 A page is split at its tags into leaf blocks: the text between block-level tags, with the block's open ancestors. Inline
-tags don't split. Text of scripts, styles, templates, comments and the head is no block. A block's observations are its
+tags don't split. Text of scripts, styles, templates, comments, titles and the head is no block; a head without an end
+tag ends at what can't stand in it. A block's observations are its
 ancestors' tags and the words of their class, id and role attributes, what precedes it, and counts of its text (length,
 share of link text, punctuation, position). Two labels, keep and drop; the weights of (observation, label) and of
 (label, next label) are learnt by gradient ascent on the conditional likelihood (forward-backward), and a page is
@@ -42,8 +43,13 @@ WEIGHTS = 1 << 14
 #: Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-SKIPPED = frozenset("script style noscript template head title svg math iframe object canvas textarea select option".split())
-RAW = frozenset("script style textarea title noscript iframe template".split())
+SKIPPED = frozenset("script style template head title".split())
+RAW = frozenset("script style textarea title template".split())
+IN_HEAD = frozenset("html head base basefont bgsound link meta title style script noscript template".split())
+#: Elements whose own rules hold until one that HTML is read in again, and tags that end them.
+FOREIGN = frozenset("svg math".split())
+HTML_AGAIN = frozenset("foreignobject desc annotation-xml".split())
+BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 BOILERPLATE = frozenset("nav header footer aside form menu dialog button".split())
 _SIBLING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -86,9 +92,23 @@ def blocks(page: str) -> list[Block]:
             skipping -= tag in SKIPPED
         del stack[k:]
 
+    def foreign() -> int | None:
+        """Number of the open svg or math element whose rules hold."""
+        for k in range(len(stack) - 1, -1, -1):
+            if stack[k][0] in FOREIGN:
+                return k
+            if stack[k][0] in HTML_AGAIN:
+                return None
+        return None
+
+    def end_head() -> None:
+        close(next((k for k, (tag, _) in enumerate(stack) if tag == "head"), len(stack)))
+
     while at < len(page):
         m = _TAG.search(page, at)
         end = m.start() if m else len(page)
+        if skipping and stack[-1][0] in ("head", "noscript") and page[at:end].strip(" \t\n\f\r"):
+            end_head()
         if end > at and not skipping:
             held.append(page[at:end])
             linked += (end - at) * (links > 0)
@@ -109,6 +129,12 @@ def blocks(page: str) -> list[Block]:
                     close(k)
                     break
             continue
+        if skipping and tag not in IN_HEAD:
+            end_head()
+        own = foreign()
+        if own is not None and tag in BREAKOUT:
+            close(own)
+            own = None
         if tag in CLOSES_P:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == "p":
@@ -123,7 +149,7 @@ def blocks(page: str) -> list[Block]:
                     break
                 if stack[k][0] in _SCOPE:
                     break
-        if tag in VOID or m[3].rstrip().endswith("/") and not block:
+        if tag in VOID or m[3].rstrip().endswith("/") and (not block or tag in FOREIGN or own is not None):
             continue
         words = tuple(_WORDS.findall(" ".join(a[1] or a[2] or a[3] for a in _ATTRIBUTE.findall(m[3])).lower())) if m[3] else ()
         stack.append((tag, words))
@@ -131,6 +157,8 @@ def blocks(page: str) -> list[Block]:
         skipping += tag in SKIPPED
         if tag in RAW:  # its content is no mark-up
             stop = re.compile(rf"</{tag}\b", re.I).search(page, at)
+            if not skipping:
+                held.append(page[at : stop.start() if stop else len(page)])
             at = stop.start() if stop else len(page)
     flush()
     return out

@@ -423,6 +423,24 @@ def test_odd_pages(spark, field):
     assert isinstance(htmltext.train(df.where("false")), htmltext.Field)
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<html><head><title>t</title><meta a=b><body><p>one</p><p>two</p></body></html>", ["one", "two"]),
+        ("<head><script>x</script><style>y</style><link a=b><p>one</p>", ["one"]),
+        ("<head><noscript><link a=b></noscript><title>t</title></head><p>one</p>", ["one"]),
+        ("<head><title>t</title>bare text<p>one</p>", ["bare text", "one"]),
+        ("<article><p>one <svg width='1'/> two</p><p>three</p></article>", ["one", "two", "three"]),
+        ("<article><p>one <math/> two</p><svg><title/><path d='x'/></svg><p>three</p></article>", ["one", "two", "three"]),
+        ("<div><svg><path d='x'><p>one</p><p>two</p></div>", ["one", "two"]),
+        ("<p>a<math><mi>x</mi></math></p><noscript><p>b</p></noscript><object>c</object><canvas>d</canvas><textarea>e &lt; <b></textarea><iframe>f</iframe>", ["a", "x", "b", "c", "d", "e < <b>", "f"]),
+        ("<p>a</p><script>b</script><style>c</style><template><p>d</p></template><!-- e --><p>f</p>", ["a", "f"]),
+    ],
+)
+def test_blocks_lose_nothing_else(page, want):
+    assert [b.text for b in htmltext.blocks(page)] == want
+
+
 # -- neighbours
 
 
