@@ -28,8 +28,8 @@ class Source:
     style: str = "snake_case"
     mapper: Mapper | None = None
 
-    def read(self, spark: SparkSession, files: list[str]) -> DataFrame:
-        return raw.read_csv(spark, files) if self.kind == "csv" else raw.read_pages(spark, files, self.record_path)
+    def read(self, spark: SparkSession, files: list[str], located: bool = False) -> DataFrame:
+        return raw.read_csv(spark, files, located) if self.kind == "csv" else raw.read_pages(spark, files, self.record_path, located)
 
 
 def bronze_frame(rows: DataFrame, contract: Contract, source: Source, loaded_at: str, strict: bool = True, stop_at: str | None = None) -> DataFrame:
@@ -69,12 +69,8 @@ def run_rows(spark: SparkSession, runs: DataFrame, source: Source) -> DataFrame:
     the chosen runs' manifests."""
     listed = raw.artifacts(runs)
     files = [r["file"] for r in listed.select("file").toLocalIterator()]
-    rows = source.read(spark, files)
-    keys = listed.select(F.element_at(F.split("file", "/"), -1).alias("__filename"), *KEYS)
-    twice = keys.groupBy("__filename").count().where("count > 1").limit(1).count()
-    if twice:
-        raise ValueError("two runs hold artifacts of one name; load them run by run")
-    return rows.join(keys, "__filename")
+    keys = listed.select(raw.same_file("file").alias("__file"), *KEYS)
+    return source.read(spark, files, located=True).join(keys, "__file").drop("__file")
 
 
 def load_run(spark: SparkSession, raw_root: str, bronze_path: str, contract: Contract, source: Source, loaded_at: str, run: str | None = None, start: str | None = None, end: str | None = None) -> dict:

@@ -55,8 +55,13 @@ def integrity(spark: SparkSession, listed: DataFrame, root: str) -> DataFrame:
     return j.withColumn("ok", F.coalesce((F.col("sha256") == F.col("found_sha256")) & (F.col("bytes") == F.col("found_bytes")), F.lit(False)))
 
 
-def read_csv(spark: SparkSession, files: list[str]) -> DataFrame:
-    """CSV artifacts as text columns and __filename: one read per different header, then a union by name. Quoted line ends
+def same_file(path: str) -> Column:
+    """A file's path in one form, whether listed or from _metadata."""
+    return F.regexp_replace(F.coalesce(F.try_url_decode(path), F.col(path)), "^file:/+", "/")
+
+
+def read_csv(spark: SparkSession, files: list[str], located: bool = False) -> DataFrame:
+    """CSV artifacts as text columns and __filename (located: and __file, the path): one read per different header, then a union by name. Quoted line ends
     are part of values, short rows are filled with null, repeated header rows are dropped."""
     first = spark.read.text(files).select(F.col("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
     heads = first.where("at = 0").groupBy("file").agg(F.first("value").alias("head")) if len(files) else None
@@ -69,6 +74,8 @@ def read_csv(spark: SparkSession, files: list[str]) -> DataFrame:
         schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
         df = spark.read.schema(schema).options(header=True, multiLine=True, escape='"', enforceSchema=True, mode="PERMISSIVE").csv(own)
         parts.append(drop_header_rows(df).withColumn("__filename", F.element_at(F.split(F.col("_metadata.file_name"), "/"), -1)))
+        if located:
+            parts[-1] = parts[-1].withColumn("__file", same_file("_metadata.file_path"))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
@@ -93,10 +100,10 @@ def page_records(pages: DataFrame, path: str, text: str = "value", keep: list[st
     return rows.where(F.schema_of_variant("__x").startswith("OBJECT")).select(*keep, F.to_json("__x").alias("record"))
 
 
-def read_pages(spark: SparkSession, files: list[str] | str, path: str) -> DataFrame:
-    """JSON page artifacts: (record, __filename)."""
-    pages = spark.read.text(files, wholetext=True).select("value", F.col("_metadata.file_name").alias("__filename"))
-    return page_records(pages, path, keep=["__filename"])
+def read_pages(spark: SparkSession, files: list[str] | str, path: str, located: bool = False) -> DataFrame:
+    """JSON page artifacts: (record, __filename); located: and __file, the path."""
+    pages = spark.read.text(files, wholetext=True).select("value", F.col("_metadata.file_name").alias("__filename"), same_file("_metadata.file_path").alias("__file"))
+    return page_records(pages, path, keep=["__filename", *(["__file"] if located else [])])
 
 
 def with_page_key(pages: DataFrame, path: str, key: str, fallback: str, text: str = "value") -> DataFrame:

@@ -129,6 +129,21 @@ def test_migrate_with_a_mapper(spark, tmp_path):
     assert rename_if_present(spark.sql("select 1 as severity"), "severity", "level").columns == ["level"]
 
 
+@pytest.mark.parametrize("kind", ["json", "csv"])
+def test_runs_that_share_a_file_name(spark, tmp_path, kind):
+    root, bronze = tmp_path / "raw", str(tmp_path / "bronze")
+    for day, stamp, key in ((1, "20260805T100000Z", "e1"), (2, "20260805T110000Z", "e2")):
+        page = json.dumps({"data": {"events": [{"id": key, "level": "low", "state": "x"}]}}).encode()
+        land(root, day, stamp, "0001.json" if kind == "json" else "2026.csv", page if kind == "json" else f"id,level,state\n{key},low,x\n".encode())
+    source = load.Source(kind, "data.events")
+    plan = load.plan_runs(spark, str(root), LEVELS, source, "2026-08-09 00:00:00").collect()
+    assert [(r["rows"], r["bad_rows"]) for r in plan] == [(1, 0), (1, 0)]
+    assert load.migrate(spark, str(root), bronze, LEVELS, source, "2026-08-09 00:00:00", recreate=True, all_raw=True) == 2
+    got = tables.read_bronze(spark, bronze, LEVELS).orderBy("id").collect()
+    name = "0001.json" if kind == "json" else "2026.csv"
+    assert [(r["id"], r[KEYS[2]].hour, r["__filename"]) for r in got] == [("e1", 10, name), ("e2", 11, name)]
+
+
 def run_rows(spark, *stamps):
     df = spark.createDataFrame([("2026-08-01", "2026-08-02", s, i, None) for i, s in enumerate(stamps)], ", ".join(f"{k} string" for k in KEYS) + ", n int, e string")
     return df.select("n", "e", *[F.col(k).cast("timestamp").alias(k) for k in KEYS])
