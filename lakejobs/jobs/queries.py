@@ -170,7 +170,7 @@ def header_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("page_records", "SELECT event_id % 50 AS page, CAST(event_id AS VARCHAR) AS id, event_type AS kind FROM events")
 def page_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     item = F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("kind"))
-    pages = table(spark, sf_dir, "events").groupBy((F.col("event_id") % 50).alias("page")).agg(F.to_json(F.struct(F.struct(F.collect_list(item).alias("events")).alias("data"))).alias("value"))
+    pages = table(spark, sf_dir, "events").groupBy((F.col("event_id") % 50).alias("page"), F.expr("event_id div 50000")).agg(F.to_json(F.struct(F.struct(F.collect_list(item).alias("events")).alias("data"))).alias("value"))
     found = raw.page_records(pages, "data.events", keep=["page"])
     return found.select("page", F.get_json_object("record", "$.id").alias("id"), F.get_json_object("record", "$.kind").alias("kind"))
 
