@@ -41,6 +41,38 @@ _NONE = np.iinfo(np.int32).max
 _BASE = np.uint64(0x100000001B3)
 
 
+def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """(number, value) of the fields of a protocol buffer message."""
+    at = 0
+
+    def varint() -> int:
+        nonlocal at
+        out = shift = 0
+        while True:
+            b = raw[at]
+            at += 1
+            out |= (b & 127) << shift
+            shift += 7
+            if b < 128:
+                return out
+
+    while at < len(raw):
+        key = varint()
+        if key & 7 == 0:
+            yield key >> 3, varint()
+        else:
+            size = {1: 8, 5: 4}.get(key & 7) or varint()
+            yield key >> 3, raw[at : at + size]
+            at += size
+
+
+def model_kind(raw: bytes) -> str:
+    """The model type in the trainer_spec of a model file."""
+    spec = b"".join(v for k, v in _fields(raw) if k == 2)
+    kind = [v for k, v in _fields(spec) if k == 3]
+    return {1: "unigram", 2: "bpe", 3: "word", 4: "char"}.get(kind[-1] if kind else 1, "?")
+
+
 class PieceModel:
     """A model's pieces as arrays: small enough (a few MB for 32,000 pieces) to broadcast."""
 
@@ -113,7 +145,7 @@ class PieceModel:
         import sentencepiece
 
         raw = open(path, "rb").read()
-        return cls.from_bytes(raw, sentencepiece.SentencePieceProcessor(model_proto=raw))
+        return cls.from_bytes(raw, sentencepiece.SentencePieceProcessor(model_proto=raw), model_kind(raw))
 
     @classmethod
     def from_bytes(cls, raw: bytes, sp, kind: str = "bpe") -> PieceModel:  # noqa: ANN001

@@ -352,6 +352,14 @@ def test_units_by_heap_and_by_matrix_agree(monkeypatch):
     assert ids.tolist() == ids2.tolist() and sizes.tolist() == sizes2.tolist()
 
 
+def test_the_kind_is_that_of_the_model_file(tmp_path):
+    raw = open(pieces.MODEL, "rb").read()
+    at = raw.rindex(b"tok_v0\x18\x02")
+    path = tmp_path / "unigram.model"
+    path.write_bytes(raw[:at] + b"tok_v0\x18\x01" + raw[at + 8 :])
+    assert (pieces.PieceModel.load(pieces.MODEL).kind, pieces.PieceModel.load(str(path)).kind) == ("bpe", "unigram")
+
+
 def test_viterbi_paths_are_the_best():
     import sentencepiece
 
