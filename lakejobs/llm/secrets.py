@@ -2,8 +2,8 @@
 
 Candidates are found by kind: assign (a named assignment), access (access key ids), hex (long lower-case hex runs)
 and, added by this module, pem (private key headers), provider (prefixed tokens of public providers) and jwt.
-Positions come from splitting the text at the matches: gaps and matches alternate, so running sums of their
-lengths are the offsets, in code points, end exclusive.
+Positions come from splitting the text at the matches: gaps and matches alternate, so running sums of their lengths
+(a window over the matches of a row, linear in their number) are the offsets, in code points, end exclusive.
 
 The value of each candidate (of an assignment, what is assigned) is hashed, and the hashes are aggregated over the
 corpus by distinct repositories and distinct owners. A value seen in more than max_owners owners is a widely copied
@@ -11,13 +11,15 @@ example; otherwise it is owner-specific and live-looking. Values that are one re
 
 Defined cases: null text counts as empty; a null repository or owner counts as one repository or owner of its own;
 repeated rows are scanned as rows of their own and add no owner; overlapping kinds are all reported; an empty
-table gives no rows; columns of the input that clash with the added ones (they start with __) are replaced.
+table gives no rows; a text of many matches costs in proportion to them; other columns of any name are kept by redact()
+and ignored by scan().
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lakejobs.llm import common
 
@@ -30,7 +32,7 @@ BASE_KINDS = (
     ("hex", r"[0-9a-f]{24,}", 0, 24),
 )
 ADDED_KINDS = (
-    ("pem", r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----", 0, 1),
+    ("pem", r"-----BEGIN (?:[A-Z0-9]+ ){0,4}PRIVATE KEY-----", 0, 1),
     ("provider", r"(?:gh[pousr]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{22,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35})", 0, 1),
     ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 1),
 )
@@ -38,37 +40,34 @@ KINDS = BASE_KINDS + ADDED_KINDS
 #: Owners that may share a value before it counts as a copied example.
 MAX_OWNERS = 2
 
-_SPAN = "struct<start:int,end:int,kind_no:int,value:string>"
+#: Code points of a chunk of a text that is masked; spans are cut at its ends.
+CHUNK = 4096
 
 
-def _found(text: Column, kind_no: int, pattern: str, group: int, least: int) -> Column:
-    """Array of the matches of one kind, leftmost and non-overlapping, without those whose value is too short."""
+def _hits(text: Column, kind_no: int, pattern: str, group: int) -> Column:
+    """Array of (kind_no, code points since the match before, code points of the match, value) of the matches of one
+    kind, leftmost and non-overlapping."""
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
-    gaps = F.split(text, pattern, -1)
-    both = F.arrays_zip(F.slice(gaps, 1, F.greatest(F.size(whole), F.lit(1))).alias("gap"), whole.alias("hit"), values.alias("value"))
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("spans"))
+    both = F.arrays_zip(F.slice(F.split(text, pattern, -1), 1, F.size(whole)).alias("gap"), whole.alias("hit"), values.alias("value"))
+    return F.transform(both, lambda x: F.struct(F.lit(kind_no).alias("kind_no"), F.char_length(x["gap"]).alias("gap"), F.char_length(x["hit"]).alias("size"), x["value"].alias("value")))
 
-    def add(state: Column, x: Column) -> Column:
-        start = state["at"] + F.char_length(x["gap"])
-        end = start + F.char_length(x["hit"])
-        span = F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), F.lit(kind_no).alias("kind_no"), x["value"].alias("value"))
-        kept = F.when(F.char_length(x["value"]) >= least, F.array(span)).otherwise(F.array().cast(f"array<{_SPAN}>"))
-        return F.struct(end.cast("int").alias("at"), F.concat(state["spans"], kept).alias("spans"))
 
-    return F.aggregate(both, begin, add, lambda state: state["spans"])
+def hits(text: Column) -> Column:
+    """The matches of all kinds as one array, kind by kind; matches() turns them into spans."""
+    body = F.coalesce(text, F.lit(""))
+    none = F.array().cast("array<struct<kind_no:int,gap:int,size:int,value:string>>")
+    return F.concat(*[F.when(body.rlike(pattern), _hits(body, i, pattern, group)).otherwise(none) for i, (_, pattern, group, _) in enumerate(KINDS)])
 
 
-def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with __spans: array of (start, end, kind_no, value) of all kinds, by start, then kind."""
-    body = F.coalesce(F.col(text), F.lit(""))
-    none = F.array().cast(f"array<{_SPAN}>")
-    parts = [F.when(body.rlike(pattern), _found(body, i, pattern, group, least)).otherwise(none) for i, (kind, pattern, group, least) in enumerate(KINDS)]
-    by_place = F.array_sort(
-        F.concat(*parts),
-        lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["kind_no"] - b["kind_no"]),
-    )
-    return docs.withColumn("__spans", by_place)
+def matches(scanned: DataFrame) -> DataFrame:
+    """(row, repository, owner, start, end, kind_no, value, value_sha256), a row per candidate of (row, repository, owner,
+    hits). An end is the running sum of gaps and sizes within a row and a kind."""
+    each = scanned.where(F.size("hits") > 0).select("row", "repository", "owner", F.posexplode("hits").alias("place", "h"))
+    each = each.select("row", "repository", "owner", "place", "h.kind_no", (F.col("h.gap") + F.col("h.size")).alias("step"), "h.size", "h.value")
+    end = F.sum("step").over(Window.partitionBy("row", "kind_no").orderBy("place")).cast("int")
+    spans = each.withColumn("end", end).where(F.char_length("value") >= F.element_at(F.array(*[F.lit(least) for *_, least in KINDS]), F.col("kind_no") + 1))
+    return spans.select("row", "repository", "owner", (F.col("end") - F.col("size")).alias("start"), "end", "kind_no", "value", F.sha2("value", 256).alias("value_sha256"))
 
 
 def spans_text(spans: Column) -> Column:
@@ -77,13 +76,6 @@ def spans_text(spans: Column) -> Column:
     return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", F.element_at(kinds, s["kind_no"] + 1), s["start"].cast("string"), s["end"].cast("string"))))
 
 
-def candidates(scanned: DataFrame, repository: str, owner: str) -> DataFrame:
-    """One row per candidate of a scanned frame: (repository, owner, value_sha256)."""
-    found = scanned.where(F.size("__spans") > 0)
-    found = found.select(F.col(repository).alias("repository"), F.col(owner).alias("owner"), F.explode("__spans").alias("s"))
-    return found.select("repository", "owner", F.sha2("s.value", 256).alias("value_sha256"))
-
-
 def ownership(found: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
     """(value_sha256, n_seen, n_repositories, n_owners, example) of candidates. Two grouped counts: the first, by value,
     owner and repository, is combined before its shuffle, so a value copied into a third of all rows is a few rows."""
@@ -93,46 +85,67 @@ def ownership(found: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
     return out.withColumn("example", F.col("n_owners") > max_owners)
 
 
-def scan(docs: DataFrame, id_column: str = "doc_id", text: str = "text", repository: str = "source", owner: str = "source", max_owners: int = MAX_OWNERS) -> DataFrame:
-    """One row per document: (id, spans, n_live, n_example, max_owners_of_value); spans as in with_spans().
+def _judged(found: DataFrame, max_owners: int) -> DataFrame:
+    """matches() with n_owners and live: whether a value looks live, being of few owners and not one repeated character.
+    Values meet their counts in an equi-join that adaptive execution splits where one value is very frequent."""
+    return found.join(ownership(found, max_owners), "value_sha256").withColumn("live", ~F.col("example") & ~F.col("value").rlike(r"^(.)\1*$"))
 
-    Documents without candidates don't take part in the join. Values meet their counts in an equi-join that adaptive
-    execution splits where one value is very frequent; the sums go back by document, combined before the shuffle.
-    """
-    scanned = common.saved(with_spans(docs, text).select(F.monotonically_increasing_id().alias("__row"), F.col(id_column).alias("__id"), F.col(repository).alias("repository"), F.col(owner).alias("owner"), "__spans"), "secret-spans")
-    stats = ownership(candidates(scanned, "repository", "owner"), max_owners)
-    rows = scanned.where(F.size("__spans") > 0).select("__row", F.explode("__spans").alias("s")).select("__row", F.sha2("s.value", 256).alias("value_sha256"), F.col("s.value").rlike(r"^(.)\1*$").alias("blank"))
-    judged = rows.join(stats, "value_sha256").groupBy("__row").agg(
-        F.count_if(~(F.col("example") | F.col("blank"))).alias("n_live"), F.count_if(F.col("example") | F.col("blank")).alias("n_example"), F.max("n_owners").alias("most_owners")
-    )
-    out = scanned.join(judged, "__row", "left")
+
+def scan(docs: DataFrame, id_column: str = "doc_id", text: str = "text", repository: str = "source", owner: str = "source", max_owners: int = MAX_OWNERS) -> DataFrame:
+    """One row per document: (id, spans, n_live, n_example, most_owners); spans: array of (start, end, kind_no, value), by
+    start, then kind. Documents without candidates take part in the last join only."""
+    base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_column).alias("id"), F.col(repository).alias("repository"), F.col(owner).alias("owner"), hits(F.col(text)).alias("hits"))
+    base = common.saved(base, "secret-hits")
+    judged = _judged(common.saved(matches(base), "secret-spans"), max_owners)
+    per_row = judged.groupBy("row").agg(
+        F.count_if("live").alias("n_live"), F.count_if(~F.col("live")).alias("n_example"), F.max("n_owners").alias("most_owners"),
+        F.sort_array(F.collect_list(F.struct("start", "kind_no", "end", "value"))).alias("found"),
+    )
+    spans = F.transform(F.coalesce("found", F.array().cast("array<struct<start:int,kind_no:int,end:int,value:string>>")), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind_no"].alias("kind_no"), s["value"].alias("value")))
     zero = F.lit(0).cast("long")
-    return out.select(F.col("__id").alias(id_column), F.col("__spans").alias("spans"), *[F.coalesce(c, zero).alias(c) for c in ("n_live", "n_example", "most_owners")])
+    return base.select("row", "id").join(per_row, "row", "left").select(F.col("id").alias(id_column), spans.alias("spans"), *[F.coalesce(c, zero).alias(c) for c in ("n_live", "n_example", "most_owners")])
+
+
+def _without_overlap(spans: DataFrame) -> DataFrame:
+    """(row, start, end): spans of a row that overlap are one."""
+    order = Window.partitionBy("row").orderBy("start", "end")
+    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    marked = spans.withColumn("first", (reach.isNull() | (F.col("start") >= reach)).cast("int"))
+    return marked.withColumn("turn", F.sum("first").over(order.rowsBetween(Window.unboundedPreceding, 0))).groupBy("row", "turn").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+
+
+def _masked(text: Column, cuts: Column, mask: str) -> Column:
+    """The text with its cuts (a map from chunk to the cuts in it) masked, chunk by chunk."""
+
+    def cut(state: Column, s: Column, chunk: Column) -> Column:
+        out = F.concat(state["out"], F.substring(chunk, state["at"] + 1, s["start"] - state["at"]), F.when(s["first"], F.lit(mask)).otherwise(""))
+        return F.struct(s["end"].alias("at"), out.alias("out"))
+
+    def one(chunk: Column, i: Column) -> Column:
+        begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+        done = F.aggregate(F.try_element_at(cuts, i), begin, lambda state, s: cut(state, s, chunk), lambda state: F.concat(state["out"], F.substring(chunk, state["at"] + 1, F.lit(CHUNK))))
+        return F.coalesce(done, chunk)
+
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0)), one), "")
 
 
 def redact(docs: DataFrame, text: str = "text", mask: str = "[SECRET]", repository: str = "source", owner: str = "source", max_owners: int = MAX_OWNERS) -> DataFrame:
     """The documents with every live-looking candidate cut out for the mask; widely copied examples stay.
 
-    Documents without candidates pass by; only the others are joined, with the list of their live-looking spans.
+    Documents without candidates pass by; only the others are joined, with their cuts by chunk of the text.
     """
-    marked = with_spans(docs.withColumn("__row", F.monotonically_increasing_id()), text)
-    scanned = common.saved(marked, "secret-spans")
-    stats = ownership(candidates(scanned, repository, owner), max_owners)
-    rows = scanned.where(F.size("__spans") > 0).select("__row", F.explode("__spans").alias("s")).where(~F.col("s.value").rlike(r"^(.)\1*$"))
-    rows = rows.withColumn("value_sha256", F.sha2("s.value", 256)).join(stats.where("not example"), "value_sha256")
-    live = rows.groupBy("__row").agg(F.array_sort(F.collect_list(F.struct("s.start", "s.end"))).alias("__live"))
-    body = F.col(text)
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def cut(state: Column, s: Column) -> Column:
-        fresh = s["start"] >= state["at"]
-        out = F.concat(state["out"], F.substring(body, state["at"] + 1, s["start"] - state["at"]), F.lit(mask))
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(fresh, out).otherwise(state["out"]).alias("out"))
-
-    cleaned = F.aggregate("__live", begin, cut, lambda x: F.concat(x["out"], F.substring(body, x["at"] + 1, F.char_length(body))))
-    joined = scanned.where(F.size("__spans") > 0).join(live, "__row", "left")
-    joined = joined.withColumn(text, F.when(F.col("__live").isNull(), body).otherwise(cleaned))
-    return joined.select(*docs.columns).unionByName(scanned.where(F.size("__spans") == 0).select(*docs.columns))
+    row, own, cuts = (common.free_name(docs, n) for n in ("__row", "__hits", "__cuts"))
+    base = common.saved(docs.select("*", F.monotonically_increasing_id().alias(row), hits(F.col(text)).alias(own)), "secret-hits")
+    found = matches(base.select(F.col(row).alias("row"), F.col(repository).alias("repository"), F.col(owner).alias("owner"), F.col(own).alias("hits")))
+    spans = _without_overlap(_judged(common.saved(found, "secret-spans"), max_owners).where("live").select("row", "start", "end"))
+    parts = spans.select("row", "start", "end", F.explode(F.sequence(*[F.floor(x / CHUNK).cast("int") for x in (F.col("start"), F.col("end") - 1)])).alias("chunk"))
+    at = F.col("chunk") * CHUNK
+    inside = F.struct(F.greatest(F.col("start") - at, F.lit(0)).alias("start"), F.least(F.col("end") - at, F.lit(CHUNK)).alias("end"), (F.col("start") >= at).alias("first"))
+    by_chunk = parts.groupBy("row", "chunk").agg(F.sort_array(F.collect_list(inside)).alias("cuts"))
+    by_row = by_chunk.groupBy(F.col("row").alias(row)).agg(F.map_from_entries(F.collect_list(F.struct("chunk", "cuts"))).alias(cuts))
+    joined = base.where(F.size(own) > 0).join(by_row, row, "left")
+    joined = joined.withColumn(text, F.when(F.col(cuts).isNull(), F.col(text)).otherwise(_masked(F.col(text), F.col(cuts), mask)))
+    return joined.select(*docs.columns).unionByName(base.where(F.size(own) == 0).select(*docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,38 +157,31 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *count, F.sha2(spans_text(base), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"), "n_live", "n_example", "most_owners")
 
 
-def _oracle() -> str:
-    parts = []
-    for i, (kind, pattern, group, least) in enumerate(KINDS):
-        p = "'" + pattern.replace("'", "''") + "'"
-        parts.append(f"""
-        SELECT r, source, {i} AS kind_no, '{kind}' AS kind, unnest(list_transform(range(1, len(hits) + 1), lambda k: struct_pack(
-            s := CAST(coalesce(list_sum(list_transform(gaps[1:k], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(hits[1:k-1], lambda x: length(x))), 0) AS BIGINT),
-            n := length(hits[k]), v := vals[k]))) AS m
-        FROM (SELECT r, source, regexp_extract_all(t, {p}, 0) AS hits, regexp_extract_all(t, {p}, {group}) AS vals, string_split_regex(t, {p}) AS gaps
-              FROM docs WHERE regexp_matches(t, {p})) WHERE len(hits) > 0""")
-        parts[-1] = f"SELECT r, source, kind_no, kind, m.s AS s, m.s + m.n AS e, m.v AS v FROM ({parts[-1]}) WHERE length(m.v) >= {least}"
-    union = " UNION ALL ".join(parts)
-    base = len(BASE_KINDS)
-    counts = ", ".join(f"CAST(count(*) FILTER (kind_no = {i}) AS BIGINT) AS n_{k}" for i, (k, *_) in enumerate(BASE_KINDS))
-    zero = ", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k, *_ in BASE_KINDS)
-    return f"""
-    WITH docs AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents),
-    found AS ({union}),
-    stats AS (SELECT v, count(DISTINCT coalesce('s' || source, 'null')) AS owners FROM found GROUP BY v),
-    judged AS (SELECT f.*, owners, owners > {MAX_OWNERS} OR v = repeat(v[1:1], length(v)) AS example FROM found f JOIN stats USING (v)),
-    per AS (SELECT r, {counts},
-        sha256(coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, kind_no) FILTER (kind_no < {base}), '')) AS base_sha256,
-        string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, kind_no) AS spans,
-        CAST(count(*) FILTER (NOT example) AS BIGINT) AS n_live, CAST(count(*) FILTER (example) AS BIGINT) AS n_example, CAST(max(owners) AS BIGINT) AS most_owners
-        FROM judged GROUP BY r)
-    SELECT doc_id, {zero}, coalesce(base_sha256, sha256('')) AS base_sha256, coalesce(spans, '') AS spans,
-        coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example, coalesce(most_owners, 0) AS most_owners
-    FROM docs LEFT JOIN per USING (r)
-    """
-
-
-#: DuckDB SQL of query().
-ORACLE_SQL = _oracle()
-
-
+#: DuckDB SQL of query(), its patterns and lengths written from the rules; places are running sums over lazy prefixes.
+ORACLE_SQL = r"""
+WITH kinds(kind_no, kind, part, pattern, least) AS (VALUES
+    (0, 'assign', 4, '(?s)(.*?)(([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+))', 6),
+    (1, 'access', 2, '(?s)(.*?)(AKIA[A-Z0-9]+)', 20),
+    (2, 'hex', 2, '(?s)(.*?)([0-9a-f]+)', 24),
+    (3, 'pem', 2, '(?s)(.*?)(-----BEGIN ([A-Z0-9]+ ){0,4}PRIVATE KEY-----)', 1),
+    (4, 'provider', 2, '(?s)(.*?)(gh[pousr]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{22,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35})', 1),
+    (5, 'jwt', 2, '(?s)(.*?)(eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})', 1)),
+docs AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents),
+lists AS (SELECT r, source, kind_no, kind, least, regexp_extract_all(t, pattern, 1) AS gaps, regexp_extract_all(t, pattern, 2) AS hits,
+        CASE part WHEN 4 THEN regexp_extract_all(t, pattern, 4) ELSE regexp_extract_all(t, pattern, 2) END AS vals
+    FROM docs, kinds),
+each AS (SELECT r, source, kind_no, kind, least, unnest(range(len(hits))) AS n, unnest(gaps) AS gap, unnest(hits) AS hit, unnest(vals) AS v FROM lists),
+placed AS (SELECT *, CAST(sum(length(gap) + length(hit)) OVER (PARTITION BY r, kind_no ORDER BY n) AS BIGINT) AS e FROM each),
+found AS (SELECT r, source, kind_no, kind, v, e - length(hit) AS s, e FROM placed WHERE length(v) >= least),
+stats AS (SELECT v, count(DISTINCT coalesce('s' || source, 'null')) AS owners FROM found GROUP BY v),
+judged AS (SELECT f.*, owners, owners > 2 OR v = repeat(v[1:1], length(v)) AS example FROM found f JOIN stats USING (v)),
+per AS (SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+    sha256(coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, kind_no) FILTER (kind_no < 3), '')) AS base_sha256,
+    string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, kind_no) AS spans,
+    count(*) FILTER (NOT example) AS n_live, count(*) FILTER (example) AS n_example, max(owners) AS most_owners
+    FROM judged GROUP BY r)
+SELECT doc_id, CAST(coalesce(n_assign, 0) AS BIGINT) AS n_assign, CAST(coalesce(n_access, 0) AS BIGINT) AS n_access, CAST(coalesce(n_hex, 0) AS BIGINT) AS n_hex,
+    coalesce(base_sha256, sha256('')) AS base_sha256, coalesce(spans, '') AS spans,
+    CAST(coalesce(n_live, 0) AS BIGINT) AS n_live, CAST(coalesce(n_example, 0) AS BIGINT) AS n_example, CAST(coalesce(most_owners, 0) AS BIGINT) AS most_owners
+FROM docs LEFT JOIN per USING (r)
+"""

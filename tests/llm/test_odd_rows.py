@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import time
 
 import numpy as np
 import pytest
@@ -211,6 +212,26 @@ def test_secrets_of_odd_rows(odd):
     assert plain(secrets.redact(odd).collect()) == plain(odd.collect())
 
 
+def test_a_text_of_many_matches(spark):
+    text = " ".join(f"token=abc{i:07d}x" for i in range(40_000))
+    long = "é🎉" * 3000 + " password: hunter2222 " + "x" * 9000
+    edge = "y" * (secrets.CHUNK - 6) + " secret=abcdefgh " + "z" * 100
+    df = spark.createDataFrame([(1, text, "a"), (2, long, "b"), (3, edge, "c"), (4, "token=token=abcdefgh1234567", "d")], "doc_id long, text string, source string")
+    secrets.scan(df.limit(0)).count()
+    began = time.perf_counter()
+    found = {r["doc_id"]: r["spans"] for r in secrets.scan(df).collect()}
+    assert time.perf_counter() - began < 20  # about 3 s; copies of arrays per match took over 40
+    assert [(s["start"], s["end"]) for s in found[1]] == [(18 * i, 18 * i + 17) for i in range(40_000)]
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact(df).collect()}
+    assert clean[1] == " ".join(["[SECRET]"] * 40_000) and clean[2] == "é🎉" * 3000 + " [SECRET] " + "x" * 9000
+    assert clean[3] == "y" * (secrets.CHUNK - 6) + " [SECRET] " + "z" * 100 and clean[4] == "[SECRET]"
+
+
+def test_overlapping_spans_are_one_mask(spark):
+    df = spark.createDataFrame([(1, "a secret=0123456789abcdef0123456789 b", "s"), (2, "api_key=AKIA" + "Q" * 16 + "AKIA" + "Q" * 16, "t")], "doc_id long, text string, source string")
+    assert {r["doc_id"]: r["text"] for r in secrets.redact(df).collect()} == {1: "a [SECRET] b", 2: "[SECRET]"}
+
+
 def test_secret_scan_stays_in_the_engine(odd):
     plan = secrets.scan(odd)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
