@@ -1,24 +1,27 @@
-"""SentencePiece encoding and decoding in numpy batches.
+"""SentencePiece encoding and decoding by a batched Viterbi in numpy.
 
 A text is cut into units that no piece crosses (before a space that follows something else, and at line ends), units
-are encoded once per task, and all units of one length advance together as rows of a matrix:
+are encoded once per task, and all units of one length advance together as rows of a matrix. At each end position
+rolling hashes of the substrings that end there probe the sorted keys of the pieces, each piece found gets a score by
+the path up to its start, and the vectorised maximum over the lengths is stored with its backpointer.
 
-* unigram models: Viterbi. Rolling hashes of the substrings that end at a position probe the sorted keys of the
-  pieces; the vectorised maximum over the lengths is stored with its backpointer.
-* BPE models: a best path by piece scores isn't what such a model encodes (its scores are merge ranks), so the same
-  matrices are merged: adjacent pairs probe the sorted pair keys, and in each row the best pair (leftmost of equals)
-  is merged, until none is left. Units over LONG characters use a heap instead, with the same result.
+* unigram models: the score is that of the path plus the piece's.
+* BPE models: their piece scores are merge ranks, so a sum of them isn't what the model encodes. What it encodes is the
+  one path on which merging makes every piece from its own characters and leaves every two neighbours apart, so the
+  score is whether the piece is apart from the last piece of the path at its start. Exactly one piece passes at each
+  position. Two pieces are apart if, undoing their merges from the last to the first, no pair across the border would
+  have been merged earlier than the merge undone.
 
-Characters without a piece become byte pieces. The ids are those of the public sentencepiece library for the model.
+Units over LONG characters are walked alone, with the same scores. Characters without a piece become byte pieces. The
+ids are those of the public sentencepiece library for the model.
 
 Defined cases: null and empty texts have no ids; the space mark U+2581 in a text decodes to a space, as in the public
-library; unknown ids raise; repeated rows are encoded alike; an empty table gives no rows; extra columns are kept,
-and those that start with __ and clash are replaced.
+library; unknown ids raise; repeated rows are encoded alike; an empty table gives no rows; extra columns of any name
+are kept, but for those named like a column that is added, which are replaced.
 """
 
 from __future__ import annotations
 
-import heapq
 import re
 from collections.abc import Iterator
 
@@ -90,22 +93,9 @@ class PieceModel:
         self.nodes = max(node.values(), default=0) + 1
         self.nodes = max(self.nodes, self.size)
         self.chars = {ord(p): i for p, i in node.items() if len(p) == 1}
-        order = {s: r for r, s in enumerate(sorted({scores[i] for i in node.values() if i < self.size}, reverse=True))}
-        keys, merged, ranks = [], [], []
-        for p, i in node.items():
-            if len(p) < 2:
-                continue
-            for k in range(1, len(p)):
-                a, b = node.get(p[:k]), node.get(p[k:])
-                if a is not None and b is not None:
-                    keys.append(a * self.nodes + b)
-                    merged.append(i)
-                    ranks.append(order[scores[i]])
-        by_key = np.argsort(np.array(keys, dtype=np.int64))
-        self.pair_keys = np.array(keys, dtype=np.int64)[by_key]
-        self.pair_merged = np.array(merged, dtype=np.int32)[by_key]
-        self.pair_ranks = np.array(ranks, dtype=np.int32)[by_key]
-        real = [(p, i) for p, i in node.items() if i < self.size]
+        if kind == "bpe":
+            self._rank_pairs(node, scores)
+        real = [(p, i) for p, i in node.items() if (self.made[i] if kind == "bpe" else i < self.size)]
         self.longest = max((len(p) for p, _ in real), default=1)
         hashes = np.array([self._text_hash(p) for p, _ in real], dtype=np.uint64)
         by_hash = np.argsort(hashes)
@@ -113,8 +103,9 @@ class PieceModel:
         if len(np.unique(hashes)) != len(hashes):
             raise ValueError("two pieces share a hash")
         self.hash_piece = np.array([i for _, i in real], dtype=np.int32)[by_hash]
+        self.by_text = dict(real)
         self.scores = np.array(scores)
-        self.unknown_score = min((scores[i] for _, i in real), default=0.0) - 10.0
+        self.unknown_score = min((scores[i] for _, i in real if i < self.size), default=0.0) - 10.0
         # Bytes of each piece when decoded.
         own = {b: k for k, b in enumerate(byte_ids)}
         raw = [bytes([own[i]]) if i in own else p.replace(MARK, " ").encode() if ok else b"" for i, (p, ok) in enumerate(zip(pieces, normal, strict=True))]
@@ -124,7 +115,7 @@ class PieceModel:
         self._start()
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("lookup", "cache", "flat", "at", "used")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("lookup", "cache", "lists", "flat", "at", "used")}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
@@ -133,6 +124,9 @@ class PieceModel:
     def _start(self) -> None:
         self.lookup = np.arange(0x110000, dtype=np.int32) + self.nodes  # a character without a node stands for itself
         self.lookup[list(self.chars)] = list(self.chars.values())
+        if self.kind == "bpe":  # what _two_apart() looks up
+            a, b = np.divmod(self.pair_keys, self.nodes)
+            self.lists = (self.rank.tolist(), self.left.tolist(), self.right.tolist(), dict(zip(zip(a.tolist(), b.tolist(), strict=True), self.pair_ranks.tolist(), strict=True)))
         self._forget()
 
     def _forget(self) -> None:
@@ -166,90 +160,110 @@ class PieceModel:
             h = (h * int(_BASE) + ord(c) + 1) & 0xFFFFFFFFFFFFFFFF
         return h
 
-    # -- encoding
+    # -- merges of BPE models
 
-    def _pairs(self, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rank and result of each adjacent pair of each row."""
-        left, right = nodes[:, :-1].astype(np.int64), nodes[:, 1:].astype(np.int64)
-        keys = np.where((left < self.nodes) & (right < self.nodes), left * self.nodes + right, -1)
+    def _rank_pairs(self, node: dict[str, int], scores: list[float]) -> None:
+        """Sorted keys of the pairs that merge, with their ranks; of each piece the rank and the parts of the merge that
+        makes it (single characters have rank -1), and whether its own characters are merged to it."""
+        order = {s: r for r, s in enumerate(sorted({scores[i] for i in node.values() if i < self.size}, reverse=True))}
+        keys, ranks, splits = [], [], {}
+        for p, i in node.items():
+            for k in range(1, len(p)):
+                a, b = node.get(p[:k]), node.get(p[k:])
+                if a is not None and b is not None:
+                    keys.append(a * self.nodes + b)
+                    ranks.append(order[scores[i]])
+                    splits.setdefault(len(p), []).append((i, a, b))
+        by_key = np.argsort(np.array(keys, dtype=np.int64))
+        self.pair_keys, self.pair_ranks = np.array(keys, dtype=np.int64)[by_key], np.array(ranks, dtype=np.int64)[by_key]
+        self.rank, self.left, self.right = (np.full(self.nodes, -1, dtype=np.int64) for _ in range(3))
+        self.made = np.zeros(self.nodes, dtype=bool)
+        self.made[[i for p, i in node.items() if len(p) == 1]] = True
+        for length in sorted(splits):  # parts are shorter, so they are known
+            i, a, b = np.array(splits[length], dtype=np.int64).T
+            own = self.made[a] & self.made[b]
+            i, a, b = i[own], a[own], b[own]
+            self.rank[i] = [order[scores[x]] for x in i.tolist()]
+            good = self._apart(a, b, -1)
+            self.left[i[good]], self.right[i[good]], self.made[i[good]] = a[good], b[good], True
+
+    def _pair_rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        if not len(self.pair_keys):
+            return np.full(len(a), _NONE)
+        keys = np.where((a < self.nodes) & (b < self.nodes), a * self.nodes + b, -1)
         at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
-        hit = self.pair_keys[at] == keys
-        return np.where(hit, self.pair_ranks[at], _NONE), self.pair_merged[at]
-
-    def _merge(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rows of characters -> nodes of the rows side by side, and how many each row has."""
-        nodes = self.lookup[codes]
-        n, width = nodes.shape
-        final = nodes.copy()
-        size = np.full(n, width)
-        row = np.arange(n)
-        if width > 1 and len(self.pair_keys):
-            ranks, results = self._pairs(nodes)
-        while width > 1 and len(self.pair_keys):
-            best = ranks.argmin(axis=1)
-            able = ranks[np.arange(len(row)), best] != _NONE
-            if not able.all():
-                final[row[~able], :width] = nodes[~able]
-                size[row[~able]] = width
-                row, nodes, ranks, results, best = row[able], nodes[able], ranks[able], results[able], best[able]
-            if not len(row):
-                break
-            here = np.arange(len(row))
-            nodes[here, best] = results[here, best]
-            columns = np.arange(width - 1)
-            nodes = np.take_along_axis(nodes, columns + (columns > best[:, None]), axis=1)
-            columns = columns[:-1]
-            shifted = columns + (columns >= best[:, None])
-            ranks, results = np.take_along_axis(ranks, shifted, axis=1), np.take_along_axis(results, shifted, axis=1)
-            width -= 1
-            if width == 1:
-                break
-            for side in (best - 1, best):  # the two pairs that the new node is part of
-                ok = np.flatnonzero((side >= 0) & (side < width - 1))
-                if len(ok):
-                    at = side[ok]
-                    rank, result = self._pairs(np.stack([nodes[ok, at], nodes[ok, at + 1]], axis=1))
-                    ranks[ok, at], results[ok, at] = rank[:, 0], result[:, 0]
-        if len(row):
-            final[row, :width] = nodes
-            size[row] = width
-        return final[np.arange(final.shape[1]) < size[:, None]], size
-
-    def _merge_long(self, codes: np.ndarray) -> np.ndarray:
-        """The same for one long unit, by a heap of pairs."""
-        nodes = self.lookup[codes].tolist()
-        after = [*range(1, len(nodes)), -1]
-        before = list(range(-1, len(nodes) - 1))
-        ranks, results = self._pairs(self.lookup[codes][None, :])
-        heap = [(int(r), i, nodes[i], nodes[i + 1], int(m)) for i, (r, m) in enumerate(zip(ranks[0], results[0], strict=True)) if r != _NONE]
-        heapq.heapify(heap)
-
-        def push(a: int, b: int) -> None:
-            if a >= 0 and b >= 0:
-                r, m = self._pairs(np.array([[nodes[a], nodes[b]]], dtype=np.int64))
-                if r[0, 0] != _NONE:
-                    heapq.heappush(heap, (int(r[0, 0]), a, nodes[a], nodes[b], int(m[0, 0])))
-
-        while heap:
-            _, i, a, b, result = heapq.heappop(heap)
-            j = after[i]
-            if nodes[i] != a or j < 0 or nodes[j] != b:
-                continue
-            nodes[i], nodes[j] = result, -1
-            after[i] = after[j]
-            if after[j] >= 0:
-                before[after[j]] = i
-            push(before[i], i)
-            push(i, after[i])
-        return np.array([x for x in nodes if x >= 0], dtype=np.int32)
+        return np.where(self.pair_keys[at] == keys, self.pair_ranks[at], _NONE)
+
+    def _rank_of(self, nodes: np.ndarray) -> np.ndarray:
+        return np.where(nodes < self.nodes, self.rank[np.minimum(nodes, self.nodes - 1)], -1)
+
+    def _apart(self, a: np.ndarray, b: np.ndarray, limit: int = _NONE) -> np.ndarray:
+        """Whether merging leaves a and b side by side; a limit of -1 lets the pair itself be merged at last."""
+        a, b = a.astype(np.int64), b.astype(np.int64)
+        out, live, limits = np.ones(len(a), dtype=bool), np.arange(len(a)), np.full(len(a), limit, dtype=np.int64)
+        while len(live):
+            crossed = self._pair_rank(a, b) < limits
+            out[live[crossed]] = False
+            last_a, last_b = self._rank_of(a), self._rank_of(b)
+            go = ~crossed & ((last_a >= 0) | (last_b >= 0))
+            live, a, b, last_a, last_b = live[go], a[go], b[go], last_a[go], last_b[go]
+            of_a = last_a > last_b  # of equal merges the left one comes first, so the right one is undone first
+            limits = np.where(of_a, last_a, last_b + 1)
+            a, b = np.where(of_a, self.right[np.where(of_a, a, 0)], a), np.where(of_a, b, self.left[np.where(of_a, 0, b)])
+        return out
+
+    # -- encoding
+
+    def _lone(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Nodes of the path of one long unit, walked a position at a time."""
+        n, most, bpe = len(text), self.longest, self.kind == "bpe"
+        last, size, best = np.zeros(n + 1, dtype=np.int32), np.zeros(n + 1, dtype=np.int32), [0.0] * (1 if bpe else n + 1)
+        for end in range(1, n + 1):
+            found = None
+            for start in range(max(0, end - most), end):
+                piece = self.by_text.get(text[start:end])
+                if piece is None:
+                    if start < end - 1:
+                        continue
+                    piece = int(self.lookup[ord(text[start])]) if bpe else ord(text[start]) + self.nodes
+                if bpe:
+                    if start == 0 or self._two_apart(int(last[start]), piece):
+                        found = (start, piece)
+                        break
+                    continue
+                score = best[start] + (float(self.scores[piece]) if piece < self.nodes else self.unknown_score)
+                if found is None or score > best[end]:
+                    found, best[end] = (start, piece), score
+            last[end], size[end] = found[1], end - found[0]
+        path, at = [], n
+        while at:
+            path.append(int(last[at]))
+            at -= int(size[at])
+        return np.array(path[::-1], dtype=np.int32), np.array([len(path)])
+
+    def _two_apart(self, a: int, b: int) -> bool:
+        """_apart() of one pair."""
+        ranks, left, right, pairs = self.lists
+        limit = _NONE
+        while pairs.get((a, b), _NONE) >= limit:
+            last_a, last_b = (ranks[x] if x < self.nodes else -1 for x in (a, b))
+            if last_a < 0 and last_b < 0:
+                return True
+            if last_a > last_b:
+                limit, a = last_a, right[a]
+            else:
+                limit, b = last_b + 1, left[b]
+        return False
 
     def _viterbi(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows of characters -> nodes of the best paths side by side, and how many each row has."""
         n, width = codes.shape
+        bpe = self.kind == "bpe"
         best = np.full((width + 1, n), -np.inf)
         back = np.zeros((width + 1, n), dtype=np.int32)
         piece = np.zeros((width + 1, n), dtype=np.int32)
         best[0] = 0
+        here = np.arange(n)
         hashes = np.zeros((0, n), dtype=np.uint64)  # of the substrings that end here, the longest first
         for end in range(1, width + 1):
             c = codes[:, end - 1].astype(np.uint64) + np.uint64(1)
@@ -258,11 +272,21 @@ class PieceModel:
             hit = self.hashes[at] == hashes
             found = self.hash_piece[at]
             starts = end - np.arange(len(hashes), 0, -1)
-            score = best[starts] + np.where(hit, self.scores[found], -np.inf)
-            lone = best[end - 1] + np.where(hit[-1], -np.inf, self.unknown_score)
-            score[-1] = np.maximum(score[-1], lone)
+            if bpe:
+                found[-1] = self.lookup[codes[:, end - 1]]
+                hit[-1] = True
+                length, row = np.nonzero(hit)
+                before, own = piece[starts[length], row].astype(np.int64), found[length, row]
+                key = before << np.int64(32) | own
+                pair, which = np.unique(key, return_inverse=True)
+                apart = self._apart(pair >> np.int64(32), pair & np.int64(0xFFFFFFFF))[which] | (starts[length] == 0)
+                score = np.full(hashes.shape, -np.inf)
+                score[length[apart], row[apart]] = 0.0
+            else:
+                score = best[starts] + np.where(hit, self.scores[np.minimum(found, self.size - 1)], -np.inf)
+                lone = best[end - 1] + np.where(hit[-1], -np.inf, self.unknown_score)
+                score[-1] = np.maximum(score[-1], lone)
             pick = score.argmax(axis=0)
-            here = np.arange(n)
             best[end], back[end] = score[pick, here], starts[pick]
             piece[end] = np.where(hit[pick, here], found[pick, here], codes[:, end - 1].astype(np.int32) + self.nodes)
         out = np.zeros((n, width), dtype=np.int32)
@@ -295,17 +319,14 @@ class PieceModel:
         for u in units:
             by_length.setdefault(len(u), []).append(u)
         for width, same in by_length.items():
-            rows = max(1, CELLS // (width * (self.longest if self.kind == "unigram" else 4)))
+            rows = max(1, CELLS // (width * self.longest))
             for i in range(0, len(same), rows):
                 part = same[i : i + rows]
                 codes = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(len(part), width)
-                if self.kind == "unigram":
-                    nodes, sizes = self._viterbi(codes)
-                elif width > LONG:
-                    each = [self._merge_long(c) for c in codes]
-                    nodes, sizes = np.concatenate(each), np.array([len(x) for x in each])
+                if width > LONG:
+                    nodes, sizes = (np.concatenate(x) for x in zip(*map(self._lone, part), strict=True))
                 else:
-                    nodes, sizes = self._merge(codes)
+                    nodes, sizes = self._viterbi(codes)
                 ids, sizes = self._bytes(nodes, sizes)
                 need = self.used + len(ids)
                 if need > len(self.flat):
@@ -349,15 +370,16 @@ class PieceModel:
         return out
 
 
-def encode(docs: DataFrame, model: PieceModel, text: str = "text", keep_text: bool = True, check: bool = False) -> DataFrame:
+def encode(docs: DataFrame, model: PieceModel, text: str = "text", keep_text: bool = True, check: bool = False, into: str = "__ids") -> DataFrame:
     """docs with __ids (array of int); with check also __same, whether decoding gives the text back."""
+    fields = [f for f in docs.schema if (keep_text or f.name != text) and f.name not in (into, *["__same"] * check)]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
             names = batch.schema.names
-            keep = [i for i, n in enumerate(names) if keep_text or n != text]
+            keep = [names.index(f.name) for f in fields]
             column = batch.column(names.index(text))
             for a, b in common.steps([len(t) for t in common.texts(batch, text)]):
                 part = batch.slice(a, b - a)
@@ -367,10 +389,10 @@ def encode(docs: DataFrame, model: PieceModel, text: str = "text", keep_text: bo
                 new = [pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))]
                 if check:
                     new.append(pa.array([x == t.replace(MARK, " ") for x, t in zip(own.decode(ids, sizes), strings, strict=True)]))
-                yield pa.RecordBatch.from_arrays([*[part.column(i) for i in keep], *new], names=[*[names[i] for i in keep], "__ids", *["__same"] * check])
+                yield pa.RecordBatch.from_arrays([*[part.column(i) for i in keep], *new], names=[*[names[i] for i in keep], into, *["__same"] * check])
 
-    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if keep_text or f.name != text]
-    return docs.mapInArrow(run, ", ".join([*kept, "`__ids` array<int>", *["`__same` boolean"] * check]))
+    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in fields]
+    return docs.mapInArrow(run, ", ".join([*kept, f"`{into}` array<int>", *["`__same` boolean"] * check]))
 
 
 def decode(df: DataFrame, model: PieceModel, ids: str = "ids", into: str = "text") -> DataFrame:
