@@ -5,32 +5,38 @@ windows of 13 consecutive words; a shorter item, if it has words at all, is one
 occurrence of a window are hit. The scan is one narrow pass over the documents: words are numbered by the benchmark
 vocabulary, only stretches of known words are hashed, and each hash hit is verified word by word.
 
-The window set is broadcast only up to MAX_WINDOWS windows. A larger benchmark is dealt into blocks of items below
-that bound; the documents are then scanned once per block and the hits are merged per document.
+The window set is broadcast only up to MAX_WORDS words and MAX_BYTES bytes of item text, both counted first. A larger
+benchmark is cut into stretches of items that overlap by a window less one word, so that a long item is no exception,
+and the stretches are dealt into blocks below those bounds (the sizes of the blocks are counted too). The documents are
+then scanned once per block, one block is held at a time, and the hits are merged per document.
 
 Defined cases: null and empty texts (documents or items) have no words, so no hits and no windows. Null item ids
 count as items but add nothing to the list of ids. Repeated items with one id count once; repeated documents are
-rows of their own. An empty benchmark leaves all documents clean. Extra columns are dropped by scan() and kept
-by decontaminate().
+rows of their own. An empty benchmark leaves all documents clean. Extra columns of any name are kept by decontaminate(),
+and by hits() but for those named like one that it adds, which are replaced.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakejobs.llm import common
 
 N = 13
-#: Windows in one broadcast set: about 60 bytes each for keys and words, so 120 MB at most.
-MAX_WINDOWS = 2_000_000
+#: Words and bytes of item text behind one broadcast set. A word costs at most a window (13 numbers of 4 bytes, key, owner:
+#: 68 bytes) and an entry of the vocabulary (about 130 bytes and the word), so a set is below 500,000 * 200 + 16 MB = 116 MB.
+MAX_WORDS, MAX_BYTES = 500_000, 16 << 20
+#: Window starts of a document that are looked up at a time.
+STARTS = 1 << 16
 
 _ASCII_WORD = set(range(0x30, 0x3A)) | set(range(0x61, 0x7B)) | set(range(0x80, 0x100))
 _TO_WORDS = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b in _ASCII_WORD else 0x20 for b in range(256))
@@ -45,27 +51,30 @@ class WindowSet:
 
     def __init__(self, items: Iterable[tuple[int | None, bytes]], n: int = N):
         self.vocabulary: dict[bytes, int] = {}
-        found: dict[int, dict[tuple[int, ...], set[int]]] = {}
         self.ids: list[int | None] = []
         place: dict[int | None, int] = {}
+        found: dict[int, list[tuple[np.ndarray, int]]] = {}
         for item_id, text in items:
-            numbers = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words(text)]
-            if not numbers:
+            numbers = np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words(text)], dtype=np.int32)
+            if not len(numbers):
                 continue
             at = place.setdefault(item_id, len(self.ids))
             if at == len(self.ids):
                 self.ids.append(item_id)
             length = min(n, len(numbers))
-            windows = found.setdefault(length, {})
-            for i in range(len(numbers) - length + 1):
-                windows.setdefault(tuple(numbers[i : i + length]), set()).add(at)
-        self.by_length = {}
-        for length, windows in found.items():
-            rows = np.array(list(windows), dtype=np.int32).reshape(len(windows), length)
+            found.setdefault(length, []).append((np.lib.stride_tricks.sliding_window_view(numbers, length), at))
+        #: By length: sorted keys, the windows' word numbers, and the items of each window (from one offset to the next).
+        self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
+        for length, parts in found.items():
+            rows = np.concatenate([w for w, _ in parts])
+            owner = np.repeat(np.array([at for _, at in parts], dtype=np.int32), [len(w) for w, _ in parts])
             keys = self._hash(rows)
-            order = np.argsort(keys, kind="stable")
-            owners = [sorted(x) for x in windows.values()]
-            self.by_length[length] = (keys[order], rows[order], [owners[i] for i in order])
+            order = np.lexsort((owner, keys))
+            keys, rows, owner = keys[order], rows[order], owner[order]
+            same = (keys[1:] == keys[:-1]) & (rows[1:] == rows[:-1]).all(axis=1)
+            first, fresh = np.append(True, ~same), np.append(True, ~same | (owner[1:] != owner[:-1]))
+            offsets = np.append(np.cumsum(fresh)[first] - 1, fresh.sum())
+            self.by_length[length] = (keys[first], rows[first], offsets, owner[fresh])
 
     @staticmethod
     def _hash(rows: np.ndarray) -> np.ndarray:
@@ -82,23 +91,25 @@ class WindowSet:
         np.cumsum(numbers < 0, out=unknown[1:])
         spans: list[tuple[int, int]] = []
         items: set[int] = set()
-        for length, (keys, rows, owners) in self.by_length.items():
+        for length, (keys, rows, offsets, owners) in self.by_length.items():
             if len(numbers) < length:
                 continue
-            starts = np.flatnonzero(unknown[length:] == unknown[:-length])
-            if not len(starts):
-                continue
-            got = numbers[starts[:, None] + np.arange(length)]
-            hashes = self._hash(got)
-            at = np.searchsorted(keys, hashes)
-            maybe = np.flatnonzero(keys[np.minimum(at, len(keys) - 1)] == hashes)
-            for i in maybe:
-                k = at[i]
-                while k < len(keys) and keys[k] == hashes[i]:  # equal hashes of unequal windows lie side by side
-                    if (rows[k] == got[i]).all():
-                        spans.append((int(starts[i]), int(starts[i]) + length))
-                        items.update(owners[k])
-                    k += 1
+            every = np.flatnonzero(unknown[length:] == unknown[:-length])
+            hit: set[int] = set()
+            for c in range(0, len(every), STARTS):
+                starts = every[c : c + STARTS]
+                got = numbers[starts[:, None] + np.arange(length)]
+                hashes = self._hash(got)
+                at = np.searchsorted(keys, hashes)
+                for i in np.flatnonzero(keys[np.minimum(at, len(keys) - 1)] == hashes):
+                    k = at[i]
+                    while k < len(keys) and keys[k] == hashes[i]:  # equal hashes of unequal windows lie side by side
+                        if (rows[k] == got[i]).all():
+                            spans.append((int(starts[i]), int(starts[i]) + length))
+                            hit.add(int(k))
+                        k += 1
+            for k in hit:
+                items.update(owners[offsets[k] : offsets[k + 1]].tolist())
         return len(found), merged(spans), items
 
 
@@ -112,99 +123,120 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-_SCAN = "row_no long, n_words long, spans array<struct<start:int,end:int>>, items array<long>, n_null_items int"
-
-
-def _blocks(benchmark: DataFrame, n: int, max_windows: int) -> list[DataFrame]:
-    """The benchmark in parts of at most about max_windows windows."""
-    windows = F.size(F.split(F.translate("text", "\t\n\r", "   "), "[^0-9A-Za-z\\x{80}-\\x{10FFFF}]+"))
-    total = benchmark.agg(F.sum(windows)).first()[0] or 0
-    parts = -(-total // max_windows)
-    if parts <= 1:
-        return [benchmark]
-    return [benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts * 2)) == i) for i in range(parts * 2)]
-
-
-def hits(docs: DataFrame, benchmark: DataFrame, n: int = N, max_windows: int = MAX_WINDOWS) -> DataFrame:
+_ADDED = "__n_words long, __spans array<struct<start:int,end:int>>, __items array<long>, __n_items long"
+_NAMES = ["__n_words", "__spans", "__items", "__n_items"]
+
+
+def _scan(docs: DataFrame, shared: Broadcast, text: str, only_hits: bool = False) -> DataFrame:
+    """docs and what the scan with a broadcast window set finds; only_hits: without the text and rows without hits."""
+    fields = [f for f in docs.schema if f.name not in _NAMES and not (only_hits and f.name == text)]
+    kind = pa.struct([("start", pa.int32()), ("end", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for batch in batches:
+            found = [own.scan(t) for t in common.texts(batch, text)]
+            if only_hits:
+                hit = [i for i, x in enumerate(found) if x[1]]
+                batch, found = batch.take(pa.array(hit, pa.int64())), [found[i] for i in hit]
+            new = [
+                pa.array([n for n, _, _ in found], pa.int64()), pa.array([[{"start": a, "end": b} for a, b in spans] for _, spans, _ in found], pa.list_(kind)),
+                pa.array([[x for i in sorted(items) if (x := own.ids[i]) is not None] for _, _, items in found], pa.list_(pa.int64())), pa.array([len(items) for _, _, items in found], pa.int64()),
+            ]
+            yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.names.index(f.name)) for f in fields], *new], names=[*[f.name for f in fields], *_NAMES])
+
+    return docs.mapInArrow(run, ", ".join([*[f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in fields], _ADDED]))
+
+
+def _stretches(benchmark: DataFrame, n: int, size: int) -> DataFrame:
+    """(item_id, words, n_words, n_bytes): the items' words in stretches of at most about size words, each with the n - 1
+    words that follow it, so that every window of an item lies in a stretch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(batch.column(0).to_pylist(), common.texts(batch, "text"), strict=True):
+                found = words(text)
+                cut = [found[i : i + size + n - 1] for i in range(0, max(len(found) - n + 1, 1), size)] if found else []
+                joined = [b" ".join(c) for c in cut]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([item] * len(cut), pa.int64()), pa.array(joined, pa.binary()), pa.array([len(c) for c in cut], pa.int64()), pa.array([len(j) for j in joined], pa.int64())],
+                    names=["item_id", "words", "n_words", "n_bytes"],
+                )
+
+    return benchmark.select("item_id", "text").mapInArrow(run, "item_id long, words binary, n_words long, n_bytes long")
+
+
+def _blocks(benchmark: DataFrame, n: int, max_words: int, max_bytes: int) -> Iterator[WindowSet]:
+    """Window sets of the benchmark's parts, each below the bounds (unless a single stretch isn't: one very long word)."""
+    parts = common.saved(_stretches(benchmark, n, max(n, max_words // 16)), "stretches")
+    sums = parts.agg(F.sum("n_words").alias("w"), F.sum("n_bytes").alias("b"), F.count("*").alias("n")).first()
+    blocks = max(1, -(-(sums["w"] or 0) // max_words), -(-(sums["b"] or 0) // max_bytes))
+    numbers = [0]
+    while blocks > 1:
+        dealt = parts.withColumn("block", F.pmod(F.xxhash64("item_id", "words"), F.lit(blocks)))
+        sizes = dealt.groupBy("block").agg(F.sum("n_words").alias("w"), F.sum("n_bytes").alias("b"), F.count("*").alias("n")).collect()  # a row per block
+        numbers = sorted(r["block"] for r in sizes)
+        if blocks > 4 * sums["n"] or all(r["n"] == 1 or r["w"] <= max_words and r["b"] <= max_bytes for r in sizes):
+            break
+        blocks *= 2
+    for i in numbers:
+        own = parts if blocks == 1 else dealt.where(F.col("block") == i)
+        yield WindowSet(((r["item_id"], bytes(r["words"])) for r in own.select("item_id", "words").collect()), n)
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, n: int = N, max_words: int = MAX_WORDS, max_bytes: int = MAX_BYTES, text: str = "text") -> DataFrame:
     """docs with columns __n_words, __spans (hit word stretches), __items (ids of the items hit) and __n_items added."""
     benchmark = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
-    parts = _blocks(benchmark, n, max_windows)
-    added = "__n_words long, __spans array<struct<start:int,end:int>>, __items array<long>, __n_items long"
-    schema = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema) + ", " + added
-    sets = [WindowSet(((r["item_id"], (r["text"] or "").encode()) for r in part.toLocalIterator()), n) for part in parts[:1]]
-
-    def scan_with(window_set: WindowSet):
-        shared = docs.sparkSession.sparkContext.broadcast(window_set)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own = shared.value
-            kind = pa.struct([("start", pa.int32()), ("end", pa.int32())])
-            for batch in batches:
-                n_words, spans, items, n_items = [], [], [], []
-                for text in common.texts(batch, "text"):
-                    count, found, hit = own.scan(text)
-                    n_words.append(count)
-                    spans.append([{"start": a, "end": b} for a, b in found])
-                    items.append([x for i in sorted(hit) if (x := own.ids[i]) is not None])
-                    n_items.append(len(hit))
-                new = [pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(kind)), pa.array(items, pa.list_(pa.int64())), pa.array(n_items, pa.int64())]
-                yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, "__n_words", "__spans", "__items", "__n_items"])
-
-        return run
-
-    if len(parts) == 1:
-        return docs.mapInArrow(scan_with(sets[0]), schema)
-    # Each block adds its own hits to a numbered copy of the documents; the hits of a document are then united.
-    numbered = common.saved(docs.withColumn("__row", F.monotonically_increasing_id()), "documents")
-    base, schema = numbered, "__row long, " + added
+    benchmark = benchmark.where(F.length("text") > 0)
+    send = docs.sparkSession.sparkContext.broadcast
+    if (benchmark.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0) <= min(max_bytes, max_words):  # a word is a byte at least
+        return _scan(docs, send(WindowSet(((r["item_id"], r["text"].encode()) for r in benchmark.collect()), n)), text)
+    sets = _blocks(benchmark, n, max_words, max_bytes)
+    first, second = next(sets), next(sets, None)
+    if second is None:
+        return _scan(docs, send(first), text)
+    # Each block gives its own hits by row; they are united, and the words are counted by a scan for nothing.
+    plain, (body,) = common.by_place(docs, text)
+    base = common.saved(plain.withColumn("row", F.monotonically_increasing_id()), "documents")
     found = None
-    for part in parts:
-        one = WindowSet(((r["item_id"], (r["text"] or "").encode()) for r in part.toLocalIterator()), n)
-        scanned = base.select("__row", "text").mapInArrow(_only(scan_with(one)), schema)
-        found = scanned if found is None else found.unionByName(scanned)
-    spans = F.aggregate(
-        F.array_sort(F.flatten(F.collect_list("__spans"))),
-        F.array().cast("array<struct<start:int,end:int>>"),
-        lambda done, x: F.when(
-            (F.size(done) > 0) & (F.element_at(done, -1)["end"] >= x["start"]),
-            F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(F.element_at(done, -1)["start"].alias("start"), F.greatest(F.element_at(done, -1)["end"], x["end"]).alias("end")))),
-        ).otherwise(F.concat(done, F.array(x))),
+    for one in chain((first, second), sets):
+        shared = send(one)
+        own = common.saved(_scan(base.select("row", F.col(body).alias("text")), shared, "text", only_hits=True), "hits")
+        shared.destroy()
+        found = own if found is None else found.unionByName(own)
+    united = found.groupBy("row").agg(
+        F.flatten(F.collect_list("__spans")).alias("all_spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("__items")))).alias("all_items"), F.max(F.col("__n_items") - F.size("__items")).alias("none")
     )
-    united = found.groupBy("__row").agg(
-        F.max("__n_words").alias("__n_words"), spans.alias("__spans"), F.array_distinct(F.flatten(F.collect_list("__items"))).alias("__items"),
-        F.max(F.col("__n_items") - F.size("__items")).alias("__null_items"),
-    )
-    united = united.withColumn("__n_items", (F.size("__items") + F.col("__null_items")).cast("long")).drop("__null_items")
-    return base.join(united, "__row").drop("__row")
-
-
-def _only(run):
-    """Keep __row and what the scan adds."""
+    counted_words = _scan(base.withColumnRenamed("row", "row_"), send(WindowSet(())), body).drop(*_NAMES[1:])
+    joined = counted_words.join(united, F.col("row_") == F.col("row"), "left")
+    spans = F.coalesce(F.pandas_udf(_union, "array<struct<start:int,end:int>>")(F.coalesce("all_spans", F.array())), F.array())
+    items = F.coalesce("all_items", F.array().cast("array<long>"))
+    kept = [F.col(c).alias(name) for c, name in zip(plain.columns, docs.columns, strict=True) if name not in _NAMES]
+    return joined.select(*kept, "__n_words", spans.alias("__spans"), items.alias("__items"), (F.size(items) + F.coalesce("none", F.lit(0))).cast("long").alias("__n_items"))
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in run(batches):
-            yield batch.select(["__row", "__n_words", "__spans", "__items", "__n_items"])
 
-    return cut
+def _union(spans: pd.Series) -> pd.Series:
+    return pd.Series([[{"start": a, "end": b} for a, b in merged([(x["start"], x["end"]) for x in own])] for own in spans])
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = N, percent: int = 5) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = N, percent: int = 5, text: str = "text") -> DataFrame:
     """hits() with __n_hit (hit words) and __contaminated (any hit, and at least percent of 100 words)."""
     n_hit = F.aggregate("__spans", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
-    out = hits(docs, benchmark, n).withColumn("__n_hit", n_hit)
+    out = hits(docs, benchmark, n, text=text).withColumn("__n_hit", n_hit)
     return out.withColumn("__contaminated", (F.col("__n_hit") > 0) & (F.col("__n_hit") * 100 >= F.col("__n_words") * percent))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "document", n: int = N, percent: int = 5) -> DataFrame:
     """The documents without what the benchmark shares: mode "document" drops contaminated documents, mode "span"
     keeps every document and cuts the hit words (with what stands between them) out of its text."""
-    found = contaminated(docs, benchmark, n, percent)
+    plain, (text,) = common.by_place(docs, "text")
+    found = contaminated(plain, benchmark, n, percent, text)
     if mode == "document":
-        return found.where(~F.col("__contaminated")).select(*docs.columns)
+        return found.where(~F.col("__contaminated")).select(*plain.columns).toDF(*docs.columns)
     if mode != "span":
         raise ValueError(f"unknown mode {mode!r}")
-    cut = F.when(F.size("__spans") > 0, F.pandas_udf(_cut, "string")(F.col("text"), F.col("__spans"))).otherwise(F.col("text"))
-    return found.withColumn("text", cut).select(*docs.columns)
+    cut = F.when(F.size("__spans") > 0, F.pandas_udf(_cut, "string")(F.col(text), F.col("__spans"))).otherwise(F.col(text))
+    return found.withColumn(text, cut).select(*plain.columns).toDF(*docs.columns)
 
 
 def _cut(text: pd.Series, spans: pd.Series) -> pd.Series:
