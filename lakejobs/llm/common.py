@@ -47,12 +47,12 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def free_name(df: DataFrame, name: str) -> str:
-    """name, with underscores at its end until no column of df has it."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
+def by_place(df: DataFrame, *named: str) -> tuple[DataFrame, list[str]]:
+    """df with its columns named by their place, c0, c1, ..., so that no name that an operator adds is among them, and
+    the new names of the columns named."""
+    names = [f"c{i}" for i in range(len(df.columns))]
+    at = {c.lower(): n for c, n in zip(df.columns, names, strict=True)}
+    return df.toDF(*names), [at[n.lower()] for n in named]
 
 
 def crc_fold(column: str, folds: int) -> Column:

@@ -15,7 +15,7 @@ without such tags.
 
 Defined cases: null and empty pages have an empty text; broken mark-up is read as far as it goes (an open tag at the end
 is dropped, unclosed blocks end with the page); character references are decoded, unknown ones stay; repeated rows are
-read alike; an empty table gives no rows; extra columns are kept by extract().
+read alike; an empty table gives no rows; extra columns are kept by extract(), but for one named __text, which is replaced.
 """
 
 from __future__ import annotations
@@ -355,18 +355,19 @@ def main_text(page: str, model: Field, slots: dict[str, int]) -> str:
 def extract(pages: DataFrame, model: Field, column: str = "html", keep_html: bool = True) -> DataFrame:
     """pages with __text."""
     shared = pages.sparkSession.sparkContext.broadcast(model)
+    fields = [f for f in pages.schema if f.name != "__text" and (keep_html or f.name != column)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots = _Slots()
         for batch in batches:
             names = batch.schema.names
-            keep = [i for i, n in enumerate(names) if keep_html or n != column]
+            keep = [names.index(f.name) for f in fields]
             out = pa.array([main_text(p, shared.value, slots) if p else "" for p in batch.column(names.index(column)).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in keep], out], names=[*[names[i] for i in keep], "__text"])
             if len(slots) > 200_000:
                 slots.clear()
 
-    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema if keep_html or f.name != column]
+    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in fields]
     return pages.mapInArrow(run, ", ".join([*kept, "`__text` string"]))
 
 

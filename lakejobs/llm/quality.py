@@ -11,7 +11,8 @@ features and scores are computed for every row.
 
 Defined cases: null text counts as empty, and empty texts are scored like any other; rows with a null label don't
 train; a document of several labels trains once per label; without labels, or with one class only, scores are the
-constant (positives + 1) / (rows + 2); an empty table gives no rows; extra columns are kept by score().
+constant (positives + 1) / (rows + 2); an empty table gives no rows; extra columns of any name are kept by keep_good(), and
+by score() but for one named __score, which is replaced.
 """
 
 from __future__ import annotations
@@ -198,19 +199,22 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: s
 def score(docs: DataFrame, model: Additive, text: str = "text", keep_text: bool = True) -> DataFrame:
     """docs with __score between 0 and 1."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    fields = [f for f in docs.schema if f.name != "__score" and (keep_text or f.name != text)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [i for i, n in enumerate(batch.schema.names) if keep_text or n != text]
+            keep = [batch.schema.names.index(f.name) for f in fields]
             out = shared.value.score(features(common.texts(batch, text)))
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in keep], pa.array(out)], names=[*[batch.schema.names[i] for i in keep], "__score"])
 
-    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if keep_text or f.name != text]
+    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in fields]
     return docs.mapInArrow(run, ", ".join([*kept, "`__score` double"]))
 
 
 def keep_good(docs: DataFrame, model: Additive, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    return score(docs, model, text).where(F.col("__score") >= threshold).select(*docs.columns)
+    """The documents, with all their columns, that score at least the threshold."""
+    plain, (body,) = common.by_place(docs, text)
+    return score(plain, model, body).where(F.col("__score") >= threshold).select(*plain.columns).toDF(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -134,18 +134,18 @@ def redact(docs: DataFrame, text: str = "text", mask: str = "[SECRET]", reposito
 
     Documents without candidates pass by; only the others are joined, with their cuts by chunk of the text.
     """
-    row, own, cuts = (common.free_name(docs, n) for n in ("__row", "__hits", "__cuts"))
-    base = common.saved(docs.select("*", F.monotonically_increasing_id().alias(row), hits(F.col(text)).alias(own)), "secret-hits")
-    found = matches(base.select(F.col(row).alias("row"), F.col(repository).alias("repository"), F.col(owner).alias("owner"), F.col(own).alias("hits")))
+    plain, (text, repository, owner) = common.by_place(docs, text, repository, owner)
+    base = common.saved(plain.select("*", F.monotonically_increasing_id().alias("row"), hits(F.col(text)).alias("hits")), "secret-hits")
+    found = matches(base.select("row", F.col(repository).alias("repository"), F.col(owner).alias("owner"), "hits"))
     spans = _without_overlap(_judged(common.saved(found, "secret-spans"), max_owners).where("live").select("row", "start", "end"))
     parts = spans.select("row", "start", "end", F.explode(F.sequence(*[F.floor(x / CHUNK).cast("int") for x in (F.col("start"), F.col("end") - 1)])).alias("chunk"))
     at = F.col("chunk") * CHUNK
     inside = F.struct(F.greatest(F.col("start") - at, F.lit(0)).alias("start"), F.least(F.col("end") - at, F.lit(CHUNK)).alias("end"), (F.col("start") >= at).alias("first"))
     by_chunk = parts.groupBy("row", "chunk").agg(F.sort_array(F.collect_list(inside)).alias("cuts"))
-    by_row = by_chunk.groupBy(F.col("row").alias(row)).agg(F.map_from_entries(F.collect_list(F.struct("chunk", "cuts"))).alias(cuts))
-    joined = base.where(F.size(own) > 0).join(by_row, row, "left")
-    joined = joined.withColumn(text, F.when(F.col(cuts).isNull(), F.col(text)).otherwise(_masked(F.col(text), F.col(cuts), mask)))
-    return joined.select(*docs.columns).unionByName(base.where(F.size(own) == 0).select(*docs.columns))
+    by_row = by_chunk.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("chunk", "cuts"))).alias("cuts"))
+    joined = base.where(F.size("hits") > 0).join(by_row, "row", "left")
+    joined = joined.withColumn(text, F.when(F.col("cuts").isNull(), F.col(text)).otherwise(_masked(F.col(text), F.col("cuts"), mask)))
+    return joined.select(*plain.columns).unionByName(base.where(F.size("hits") == 0).select(*plain.columns)).toDF(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ different components are kept.
 
 Defined cases: null and empty texts have fingerprint zero; a null id takes part, and is never a component id unless
 all ids of the component are null; repeated rows are rows of their own; an empty table gives no rows; other columns
-are left to the caller.
+of any name are kept by deduplicate() and ignored by components().
 """
 
 from __future__ import annotations
@@ -74,14 +74,15 @@ def _signed(x: int) -> int:
 
 def fingerprints(docs: DataFrame, text: str = "text", k: int = SHINGLE) -> DataFrame:
     """docs (kept columns first) with __fp, the fingerprint as a signed long, in place of the text column."""
+    fields = [f for f in docs.schema if f.name not in (text, "__fp")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [i for i, n in enumerate(batch.schema.names) if n != text]
+            keep = [batch.schema.names.index(f.name) for f in fields]
             fp = pa.array([_signed(fingerprint(shingle_hashes(t, k))) for t in common.texts(batch, text)], pa.int64())
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in keep], fp], names=[*[batch.schema.names[i] for i in keep], "__fp"])
 
-    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != text]
+    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in fields]
     return docs.mapInArrow(run, ", ".join([*kept, "`__fp` long"]))
 
 
@@ -221,7 +222,7 @@ def links(nodes: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
 
 def components(docs: DataFrame, id_column: str = "doc_id", text: str = "text", max_distance: int = MAX_DISTANCE, k: int = SHINGLE) -> DataFrame:
     """(id, __fp, component_id): one row per document."""
-    prints = common.saved(fingerprints(docs.select(F.col(id_column).cast("long").alias("id"), text), text, k), "fingerprints")
+    prints = common.saved(fingerprints(docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("text")), k=k), "fingerprints")
     nodes = common.saved(prints.groupBy(F.col("__fp").alias("fp")).agg(F.count("*").alias("n"), F.min("id").alias("least")), "distinct")
     label = common.connected_components(links(nodes.select("fp", "n"), max_distance))
     joined = nodes.join(label, nodes["fp"] == label["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("c"))
@@ -231,15 +232,16 @@ def components(docs: DataFrame, id_column: str = "doc_id", text: str = "text", m
 
 def deduplicate(docs: DataFrame, id_column: str = "doc_id", text: str = "text", max_distance: int = MAX_DISTANCE, k: int = SHINGLE) -> DataFrame:
     """One document of each group: the one of the smallest id (of repeated rows with that id, one)."""
-    numbered = common.saved(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    keyed = numbered.select("__row", F.col(id_column).cast("long").alias("__id"), text)
-    prints = common.saved(fingerprints(keyed, text, k), "fingerprints")
-    first = F.min(F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__row").alias("row")))
+    plain, (id_column, text) = common.by_place(docs, id_column, text)
+    numbered = common.saved(plain.withColumn("row", F.monotonically_increasing_id()), "numbered")
+    keyed = numbered.select("row", F.col(id_column).cast("long").alias("id"), F.col(text).alias("text"))
+    prints = common.saved(fingerprints(keyed, k=k), "fingerprints")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))
     nodes = common.saved(prints.groupBy(F.col("__fp").alias("fp")).agg(F.count("*").alias("n"), first.alias("first")), "distinct")
     label = common.connected_components(links(nodes.select("fp", "n"), max_distance))
     joined = nodes.join(label, nodes["fp"] == label["node"], "left").select("first", F.coalesce("component", "fp").alias("c"))
-    kept = joined.groupBy("c").agg(F.min("first").alias("first")).select(F.col("first.row").alias("__row"))
-    return numbered.join(kept, "__row", "left_semi").select(*docs.columns)
+    kept = joined.groupBy("c").agg(F.min("first").alias("first")).select("first.row")
+    return numbered.join(kept, "row", "left_semi").select(*plain.columns).toDF(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,8 @@ Exact copies of whole texts are settled first, by the SHA-256 of the text: a lat
 
 Defined cases: null text counts as empty; matches don't cross documents; among rows of one id, and of null ids (which
 come last), the row number decides what is earlier; texts shorter than LENGTH stay; an empty table gives no rows; other
-columns are ignored by removals() and kept by deduplicate(), which replaces bytes of a cut character by nothing.
+columns are ignored by removals() and kept, whatever their names, by deduplicate(), which replaces bytes of a cut character
+by nothing.
 """
 
 from __future__ import annotations
@@ -453,11 +454,13 @@ def _kept(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 def deduplicate(docs: DataFrame, id_column: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """docs without the repeated bytes; a text that ends up without a whole character at a cut loses its odd bytes."""
-    base = common.saved(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    spans = removals(base.select(F.col(id_column).cast("long").alias("id"), F.col("__row").alias("row"), F.col(text).alias("text")), length)
-    joined = base.join(spans.select(F.col("row").alias("__row"), F.col("spans").alias("__spans")), "__row", "left")
+    plain, (id_column, text) = common.by_place(docs, id_column, text)
+    base = common.saved(plain.withColumn("row", F.monotonically_increasing_id()), "numbered")
+    spans = removals(base.select(F.col(id_column).cast("long").alias("id"), "row", F.col(text).alias("text")), length)
+    joined = base.join(spans, "row", "left")
     cut = F.pandas_udf(lambda t, s: _cut_series(t, s), "string")
-    return joined.withColumn(text, F.when(F.col("__spans").isNull(), F.col(text)).otherwise(cut(F.col(text), F.col("__spans")))).select(*docs.columns)
+    out = joined.withColumn(text, F.when(F.col("spans").isNull(), F.col(text)).otherwise(cut(F.col(text), F.col("spans"))))
+    return out.select(*plain.columns).toDF(*docs.columns)
 
 
 def _cut_series(texts, spans):  # noqa: ANN001, ANN202

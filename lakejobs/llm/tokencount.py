@@ -12,7 +12,8 @@ of the whole document, which counts of separately encoded sections don't.
 
 Defined cases: null and empty texts have no tokens; a document without sections has all tokens outside; empty sections
 get none; sections must not overlap (they are sorted; a null list is empty); offsets beyond the text are cut; repeated
-rows are counted alike; an empty table gives no rows; extra columns are kept by attribute().
+rows are counted alike; an empty table gives no rows; extra columns are kept by attribute(), but for those named like one
+that it adds, which are replaced.
 """
 
 from __future__ import annotations
@@ -92,13 +93,14 @@ def attribute(docs: DataFrame, sections: str | None = "sections", text: str = "t
     if rule not in RULES:
         raise ValueError(f"unknown rule {rule!r}")
     shared = docs.sparkSession.sparkContext.broadcast(ranks if ranks is not None else read_ranks())
+    fields = [f for f in docs.schema if f.name not in (sections, "__n_tokens", "__outside", "__counts") and (keep_text or f.name != text)]
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("n_tokens", pa.int64()), ("n_crossing", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, lengths = encoder(shared.value)
         for batch in batches:
             names = batch.schema.names
-            keep = [i for i, n in enumerate(names) if n != sections and (keep_text or n != text)]
+            keep = [names.index(f.name) for f in fields]
             texts = common.texts(batch, text)
             for a, b in common.steps([len(t) for t in texts]):
                 part = batch.slice(a, b - a)
@@ -133,7 +135,7 @@ def attribute(docs: DataFrame, sections: str | None = "sections", text: str = "t
                     [*[part.column(i) for i in keep], pa.array(tokens), pa.array(outside), counts.cast(kind)], names=[*[names[i] for i in keep], "__n_tokens", "__outside", "__counts"]
                 )
 
-    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != sections and (keep_text or f.name != text)]
+    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in fields]
     added = "`__n_tokens` long, `__outside` long, `__counts` array<struct<start:int,end:int,n_tokens:bigint,n_crossing:bigint>>"
     return docs.mapInArrow(run, ", ".join([*kept, added]))
 

@@ -245,8 +245,9 @@ def test_windows_hits_and_blocks(spark, odd, none):
     bench = spark.createDataFrame([(1, passage), (2, "Short one"), (3, None), (4, ""), (2, "short ONE"), (None, "no id here")], "item_id long, text string")
     rows = [(1, "x A-b c d e f g h i j k l m; y"), (2, "a b c d e f g h i j k l"), (3, "so short one it is"), (4, None), (5, passage + " " + "w " * 400), (6, "no id here no id here")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    for most in (decontaminate.MAX_WINDOWS, 2):
-        got = {r["doc_id"]: r for r in decontaminate.hits(df, bench, max_windows=most).collect()}
+    for most in (decontaminate.MAX_WORDS, 20):
+        got = {r["doc_id"]: r for r in decontaminate.hits(df, bench, max_words=most).collect()}
+        assert {r["doc_id"]: r["__n_words"] for r in got.values()} == {1: 15, 2: 12, 3: 5, 4: 0, 5: 415, 6: 6}
         assert {i: [(s["start"], s["end"]) for s in r["__spans"]] for i, r in got.items()} == {1: [(1, 14)], 2: [], 3: [(1, 3)], 4: [], 5: [(0, 15)], 6: [(0, 6)]}
         assert [got[i]["__n_items"] for i in range(1, 7)] == [1, 0, 1, 0, 1, 1] and got[3]["__items"] == [2] and got[6]["__items"] == []
     assert sorted(r["doc_id"] for r in decontaminate.decontaminate(df, bench).collect()) == [2, 4, 5]
@@ -363,7 +364,7 @@ def test_pieces_of_odd_rows(odd, none):
     assert {r["text"] for r in pieces.decode(odd.select(F.lit(None).cast("array<int>").alias("ids")), model).collect()} == {None}
 
 
-def test_units_by_heap_and_by_matrix_agree(monkeypatch):
+def test_units_alone_and_by_matrix_agree(monkeypatch):
     model = pieces.PieceModel.load()
     texts = ["internationalisation", "aaaaaaaaaaaaaaaa", "thethethethe-the", "éèêé ünïcode", "x   y    z"]
     ids, sizes = model.encode(texts)
@@ -373,6 +374,42 @@ def test_units_by_heap_and_by_matrix_agree(monkeypatch):
     assert ids.tolist() == ids2.tolist() and sizes.tolist() == sizes2.tolist()
 
 
+def test_bpe_paths_are_what_merging_makes():
+    """Against the merges themselves, best rank first, leftmost of equals."""
+    model = pieces.PieceModel.load()
+    pairs = dict(zip(model.pair_keys.tolist(), model.pair_ranks.tolist(), strict=True))
+    names = {i: p for p, i in model.by_text.items()}
+
+    def merged(nodes):
+        while True:
+            ranks = [pairs.get(a * model.nodes + b, 1 << 40) for a, b in zip(nodes, nodes[1:], strict=False)]
+            if not ranks or min(ranks) == 1 << 40:
+                return nodes
+            k = ranks.index(min(ranks))
+            nodes = [*nodes[:k], model.by_text[names[nodes[k]] + names[nodes[k + 1]]], *nodes[k + 2 :]]
+
+    r = np.random.default_rng(3)
+    made = sorted(model.by_text.values())
+    a, b = r.choice(made, 3000), r.choice(made, 3000)
+    want = [merged([model.by_text[c] for c in names[x] + names[y]]) == [x, y] for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+    assert model._apart(a, b).tolist() == want == [model._two_apart(x, y) for x, y in zip(a.tolist(), b.tolist(), strict=True)] and 0.05 < np.mean(want) < 1
+    words = ["".join(r.choice(list("aeinorst"), r.integers(2, 14))) for _ in range(500)]
+    ids, sizes = model.encode(words)
+    for w, n, end in zip(words, sizes.tolist(), np.cumsum(sizes).tolist(), strict=True):
+        assert ids[end - n : end].tolist() == merged([model.by_text[c] for c in "▁" + w])
+
+
+def test_a_very_long_unit_is_encoded():
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    model = pieces.PieceModel.load()
+    r = np.random.default_rng(4)
+    texts = ["".join(r.choice(list("etaoinshr"), 200_000)), "ab" * 150_000, "é日🎉" * 1000]
+    ids, sizes = model.encode(texts)
+    assert ids.tolist() == [i for t in texts for i in sp.encode(t)] and model.decode(ids, sizes) == texts
+
+
 def test_the_kind_is_that_of_the_model_file(tmp_path):
     raw = open(pieces.MODEL, "rb").read()
     at = raw.rindex(b"tok_v0\x18\x02")
@@ -554,6 +591,37 @@ def test_a_query_with_too_few_rows_is_scored_against_all(spark, monkeypatch):
     assert set(neighbour_recall(spark, x, list(range(200))).values()) == {1.0}
 
 
+def test_names_that_operators_use_may_clash(spark, odd):
+    """Columns of the operators' own names: kept where the input's columns come back, else replaced by what is added."""
+    own = "__row __id __y __t __score __spans __items __n_words __n_items __n_hit __contaminated __ids __same __counts __outside __n_tokens __text __fp __hits row row_ hits spans cuts none text_ c0 c1 fp node x v".split()
+    df = odd.select("*", *[F.concat(F.lit(f"{n} "), F.col("score").cast("string")).alias(n) for n in own])
+    same = lambda out, source: plain(out.collect()) == plain(source.collect())
+    labels = spark.createDataFrame([(i, int(i % 2 == 0)) for i in range(1, 11)], "doc_id long, quality int")
+    model = quality.train(df, labels)
+    every = quality.keep_good(df, model, threshold=0.0)
+    assert every.columns == df.columns and same(every, df)
+    scored = quality.score(df, model)
+    assert len(scored.columns) == len(df.columns) and all(0 <= r["__score"] <= 1 for r in scored.collect())
+    assert same(simhash.deduplicate(df).select("doc_id", *own), df.join(simhash.deduplicate(df).select("__row"), "__row", "left_semi").select("doc_id", *own))
+    assert simhash.components(df).count() == df.count() and secrets.scan(df).count() == df.count()
+    assert same(secrets.redact(df), df)
+    deduplicated = substrings.deduplicate(df)
+    assert deduplicated.columns == df.columns and same(deduplicated.drop("text"), df.drop("text")) and substrings.report(df).count() == df.count()
+    bench = spark.createDataFrame([(1, "a b c"), (2, "d e f")], "item_id long, text string")
+    for most in (100, 4):
+        found = decontaminate.hits(df, bench, max_words=most)
+        assert sorted(found.columns) == sorted(df.columns) and {len(r["__spans"]) for r in found.collect()} == {0}
+    assert same(decontaminate.decontaminate(df, bench), df) and same(decontaminate.decontaminate(df, bench, "span"), df)
+    coded = pieces.encode(df, pieces.PieceModel.load(), check=True)
+    assert len(coded.columns) == len(df.columns) and all(r["__same"] is True for r in coded.collect())
+    counted = tokencount.attribute(df, None)
+    assert len(counted.columns) == len(df.columns) and all(sum(c["n_tokens"] for c in r["__counts"]) == r["__n_tokens"] for r in counted.collect())
+    assert hmm.score(df, F.col("doc_id") == 10).count() == df.count()
+    slots = htmltext._Slots()
+    field = htmltext.fit([(htmltext.observations(f, slots), y) for f, y in htmltext.seed_labels()[:40]])
+    assert len(htmltext.extract(df, field, column="text").columns) == len(df.columns)
+
+
 def test_json_of_the_odd_rows_is_stable(odd):
     assert json.dumps([r["score"] for r in odd.orderBy("score").collect()]) == json.dumps(list(range(odd.count())))
 
