@@ -37,9 +37,11 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of every document that is left."""
-    out = pieces.encode(docs, pieces.PieceModel.load())
-    return out.select(*docs.columns, F.size("__ids").cast("long").alias("n_tokens"), F.col("__ids").alias("ids"))
+    """The ids of every document that is left, and their number, in place of columns of these names."""
+    plain, (text,) = common.by_place(docs, "text")
+    out = pieces.encode(plain, pieces.PieceModel.load(), text, into="ids")
+    kept = [F.col(c).alias(n) for c, n in zip(plain.columns, docs.columns, strict=True) if n not in ("n_tokens", "ids")]
+    return out.select(*kept, F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
