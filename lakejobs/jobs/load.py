@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakejobs.functions import timekeys
 from lakejobs.functions.naming import apply_naming
 from lakejobs.operators import coverage
-from lakejobs.operators.contract import Contract, validated, with_errors
+from lakejobs.operators.contract import Contract, outcome, validated, with_errors
 from lakejobs.operators.coverage import KEYS
-from lakejobs.operators.rows import attach_meta, coerce_json
+from lakejobs.operators.rows import attach_meta, coerce_json, renamed_json
 from lakejobs.sources import paths, raw, tables
 
 Mapper = Callable[[DataFrame], DataFrame]
@@ -34,12 +39,14 @@ class Source:
 
 def bronze_frame(rows: DataFrame, contract: Contract, source: Source, loaded_at: str, strict: bool = True, stop_at: str | None = None) -> DataFrame:
     """Names, mapper, coercion, validation and meta columns over raw rows that carry the run keys and __filename.
-    stop_at: "rows", "named" or "coerced". Not strict: bad rows stay, with __errors."""
+    stop_at: "rows", "named" or "coerced" (of JSON, the record text is that of the step). Not strict: bad rows stay, with __errors."""
     if stop_at == "rows":
         return rows
+    if source.kind != "csv" and stop_at == "named":
+        return renamed_json(source.mapper(rows) if source.mapper else rows, rename=source.style != "identity")
     if source.kind != "csv":
         checked = coerce_json(source.mapper(rows) if source.mapper else rows, contract, rename=source.style != "identity")
-        if stop_at in ("named", "coerced"):
+        if stop_at == "coerced":
             return checked
         text = F.from_json("__canonical", ", ".join(f"`{f.name}` {f.spark_type.simpleString()}" for f in contract.fields))
         own = checked.withColumn("__r", text)
@@ -73,15 +80,20 @@ def run_rows(spark: SparkSession, runs: DataFrame, source: Source) -> DataFrame:
     return source.read(spark, files, located=True).join(keys, "__file").drop("__file")
 
 
-def load_run(spark: SparkSession, raw_root: str, bronze_path: str, contract: Contract, source: Source, loaded_at: str, run: str | None = None, start: str | None = None, end: str | None = None) -> dict:
-    """Load one committed run (the newest of the window unless named) and return what a validation stamp holds."""
+def load_run(spark: SparkSession, raw_root: str, bronze_path: str, contract: Contract, source: Source, loaded_at: str, run: str | None = None, start: str | None = None, end: str | None = None, validations: str | None = None, schema_path: str = "") -> dict:
+    """Load one committed run (the newest of the window unless named) and return its validation stamp. validations: a table
+    that gets the stamp, a row per run, once the rows are written; a run without one was never proven."""
     runs = coverage.newest_run(coverage.latest_committed(raw.committed_runs(spark, raw_root, start, end), run=run))
     chosen = runs.first()
     if chosen is None:
         raise ValueError("no committed run")
     frame = bronze_frame(run_rows(spark, runs, source), contract, source, loaded_at)
     n = tables.write_runs(frame, bronze_path)
-    return {"ok": True, "validated_at": loaded_at, "row_count": n, "wire_version": chosen["wire_version"], **{k: chosen[k] for k in KEYS}}
+    stamp = {"ok": True, "validated_at": loaded_at, "row_count": n, "wire_version": chosen["wire_version"], **{k: chosen[k] for k in KEYS}}
+    stamp |= {"schema_path": schema_path, "schema_sha256": hashlib.sha256(json.dumps(contract.schema, sort_keys=True).encode()).hexdigest()}
+    if validations is not None:
+        tables.write_runs(spark.createDataFrame([stamp], VALIDATION), validations)
+    return stamp
 
 
 def plan_runs(spark: SparkSession, raw_root: str, contract: Contract, source: Source, loaded_at: str, **select) -> DataFrame:  # noqa: ANN003
@@ -96,15 +108,40 @@ def plan_runs(spark: SparkSession, raw_root: str, contract: Contract, source: So
 
 
 def migrate(spark: SparkSession, raw_root: str, bronze_path: str, contract: Contract, source: Source, loaded_at: str, start: str | None = None, end: str | None = None, wire_version: int | None = None, recreate: bool = False, all_raw: bool = False, all_raw_runs: bool = False) -> int:
-    """Rebuild bronze from raw in one job; the run stamp of a row is its manifest's. all_raw rebuilds everything."""
+    """Rebuild bronze from raw in one job; the run stamp of a row is its manifest's. all_raw rebuilds everything. A table
+    that is recreated is built beside the old one, which is replaced only by a complete new one."""
     if all_raw and (not recreate or start or end):
         raise ValueError("all raw needs a recreate and no window")
     runs = raw.of_version(raw.committed_runs(spark, raw_root, start, end), wire_version)
     runs = coverage.latest_committed(runs, every_run=all_raw_runs)
     frame = bronze_frame(run_rows(spark, runs, source), contract, source, loaded_at)
-    if recreate:
-        paths.purge(spark, bronze_path)
-    return tables.write_runs(frame, bronze_path, single=False)
+    if not recreate:
+        return tables.write_runs(frame, bronze_path, single=False)
+    staged = f"{bronze_path.rstrip('/')}__staged_{uuid.uuid4().hex}"
+    n = tables.write_runs(frame, staged, single=False)
+    if n:
+        paths.swap(spark, staged, bronze_path)
+    else:
+        paths.purge(spark, bronze_path)  # nothing landed: the table that is asked for is empty
+    return n
+
+
+def diagnose(spark: SparkSession, raw_root: str, bronze_path: str, contract: Contract, source: Source, start: str | None = None, end: str | None = None) -> DataFrame:
+    """Findings (code, severity, runs) on the runs of raw and bronze. The newest run that is in raw alone is put through
+    the contract; if it can't be read or a row fails, that is a finding of its own."""
+    committed = raw.committed_runs(spark, raw_root, start, end)
+    have = tables.list_runs(spark, bronze_path, start, end) if paths.exists(spark, bronze_path) else committed.limit(0)
+    diff = coverage.diff_runs(coverage.run_keys(committed), have)
+    newest = coverage.newest_only_raw(diff).first()
+    invalid = False
+    if newest is not None:
+        same = reduce(lambda a, b: a & b, [F.date_trunc("second", k) == F.lit(newest[k]) for k in KEYS])
+        try:
+            checked = bronze_frame(run_rows(spark, committed.where(same), source), contract, source, "1970-01-01 00:00:00", strict=False)
+            invalid = not outcome(checked).first()["ok"]
+        except PySparkException:
+            invalid = True
+    return coverage.findings(diff, F.lit(invalid))
 
 
 def prune(spark: SparkSession, bronze_path: str, keep: int, start: str | None = None, end: str | None = None, dry_run: bool = True) -> DataFrame:
@@ -117,8 +154,8 @@ def prune(spark: SparkSession, bronze_path: str, keep: int, start: str | None =
     return plan
 
 
-def validation_row(stamp: dict, schema_path: str, schema_sha256: str) -> dict:
-    return stamp | {"schema_path": schema_path, "schema_sha256": schema_sha256}
+#: Columns of the validations table.
+VALIDATION = ", ".join(f"{k} timestamp" for k in KEYS) + ", ok boolean, validated_at string, schema_path string, schema_sha256 string, row_count long, wire_version int"
 
 
-__all__ = ["Source", "bronze_frame", "load_run", "migrate", "plan_runs", "prune", "run_rows", "timekeys", "validation_row"]
+__all__ = ["VALIDATION", "Source", "bronze_frame", "diagnose", "load_run", "migrate", "plan_runs", "prune", "run_rows", "timekeys"]

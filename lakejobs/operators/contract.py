@@ -193,6 +193,18 @@ def error_report(checked: DataFrame) -> DataFrame:
     return e.select(F.regexp_extract("e", "^([^:]*):", 1).alias("path"), F.regexp_replace("e", "^[^:]*: ", "").alias("message")).groupBy("path", "message").agg(F.count("*").alias("rows"))
 
 
+#: How the messages of a value that can't be coerced begin; all others are of the rules.
+_COERCION = r"^[^:]*: (cannot coerce|an empty value|empty value|a boolean is no)"
+
+
+def outcome(checked: DataFrame) -> DataFrame:
+    """One row of a frame with __errors: rows, bad rows, errors of coercion and of the rules, and ok: rows, and no errors."""
+    coercion = F.size(F.filter("__errors", lambda e: e.rlike(_COERCION)))
+    every = F.coalesce(F.sum(F.size("__errors")), F.lit(0))
+    out = checked.agg(F.count("*").alias("rows"), F.count_if(F.size("__errors") > 0).alias("bad_rows"), F.coalesce(F.sum(coercion), F.lit(0)).alias("coerce_errors"), every.alias("errors"))
+    return out.select("rows", "bad_rows", "coerce_errors", (F.col("errors") - F.col("coerce_errors")).alias("schema_errors"), ((F.col("rows") > 0) & (F.col("errors") == 0)).alias("ok"))
+
+
 def compatible(live: T.DataType, expected: T.DataType) -> bool:
     a, b = live.simpleString(), expected.simpleString()
     return a == b or any(a in f and b in f for f in _FAMILIES)

@@ -80,6 +80,11 @@ def require_identity(df: DataFrame) -> DataFrame:
     return out.withColumn("ok", (F.col("rows") == 0) | ((F.col("blank") == 0) & (F.col("identities") == 1)))
 
 
+def newest_only_raw(diff: DataFrame) -> DataFrame:
+    """The newest run of a diff_runs() frame that bronze hasn't: one row or none."""
+    return newest_run(diff.where("side = 'only_raw'").select(*KEYS))
+
+
 def findings(diff: DataFrame, invalid: Column | None = None) -> DataFrame:
     """Diagnosis of a diff_runs() frame: (code, severity, runs). invalid: whether the newest raw-only run fails its contract."""
     n = diff.agg(*[F.count_if(F.col("side") == s).alias(s) for s in ("only_raw", "only_bronze", "both")])
@@ -88,7 +93,7 @@ def findings(diff: DataFrame, invalid: Column | None = None) -> DataFrame:
     row = lambda code, severity, runs: F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"), runs.cast("long").alias("runs"))
     found = F.array_compact(
         F.array(
-            F.when(total == 0, row("empty_lake", "warning", total)), F.when(bad & (F.col("only_raw") > 0), row("schema_invalid", "error", F.lit(1))), F.when(F.col("only_raw") > 0, row("raw_without_bronze", "warning", F.col("only_raw"))),
+            F.when(total == 0, row("empty_lake", "error", total)), F.when(bad & (F.col("only_raw") > 0), row("schema_invalid", "error", F.lit(1))), F.when(F.col("only_raw") > 0, row("raw_without_bronze", "warning", F.col("only_raw"))),
             F.when(F.col("only_bronze") > 0, row("bronze_without_raw", "warning", F.col("only_bronze"))), F.when((total > 0) & (total == F.col("both")), row("ok", "info", F.col("both"))),
         )
     )

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lakejobs.functions import timekeys
 from lakejobs.functions.naming import snake
@@ -23,15 +25,52 @@ def canonical_text(record: dict[str, Any]) -> str:
     return json.dumps(record, sort_keys=True, default=str)
 
 
+#: Types whose JSON text column expressions can write; floats, dates and decimals are written by Python.
+_PLAIN = (T.StringType, T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType)
+#: The short escapes of JSON.
+_ESCAPES = {'"': '\\"', "\\": "\\\\", "\n": "\\n", "\r": "\\r", "\t": "\\t", "\b": "\\b", "\f": "\\f"}
+
+
+def _json_text(value: Column) -> Column:
+    """The JSON text of a string, ASCII only. Texts without anything to escape pass as they are."""
+
+    def unit(x: Column) -> Column:
+        return F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(x)), 4, "0"))
+
+    def one(c: Column) -> Column:
+        code = F.ascii(c)
+        out = F.when(code.between(32, 126) & ~c.isin('"', "\\"), c)
+        for char, text in _ESCAPES.items():
+            out = out.when(c == char, F.lit(text))
+        pair = F.concat(unit(F.shiftright(code - 65536, 10) + 0xD800), unit((code - 65536).bitwiseAND(F.lit(1023)) + 0xDC00))
+        return out.when(code > 65535, pair).otherwise(unit(code))
+
+    escaped = F.array_join(F.transform(F.split(value, ""), one), "")
+    return F.concat(F.lit('"'), F.when(value.rlike(r"^[ !#-\[\]-~]*$"), value).otherwise(escaped), F.lit('"'))
+
+
+def canonical_column(fields: list[T.StructField]) -> Column:
+    """canonical_text() of the given columns, which are texts, whole numbers or booleans."""
+    parts = []
+    for i, f in enumerate(sorted(fields, key=lambda f: f.name)):
+        c = F.col("`" + f.name.replace("`", "``") + "`")
+        text = _json_text(c) if isinstance(f.dataType, T.StringType) else c.cast("string")
+        parts += [F.lit((", " if i else "{") + json.dumps(f.name) + ": "), F.coalesce(text, F.lit("null"))]
+    return F.concat(*parts, F.lit("}")) if parts else F.lit("{}")
+
+
 def with_row_hash(df: DataFrame, into: str = "__row_hash") -> DataFrame:
-    """df with the SHA-256 of each row's columns that don't start with __. Nested texts are hashed as text."""
+    """df with the SHA-256 of each row's columns that don't start with __. Nested texts are hashed as text. Rows of texts,
+    whole numbers and booleans are hashed by column expressions, others in Arrow batches."""
     names = [c for c in df.columns if not c.startswith("__")]
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    if all(isinstance(f.dataType, _PLAIN) for f in df.schema if f.name in names):
+        return df.withColumn(into, F.sha2(canonical_column([f for f in df.schema if f.name in names]), 256))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = {n: batch.column(batch.schema.names.index(n)).to_pylist() for n in names}
-            hashes = [hashlib.sha256(canonical_text(dict(zip(names, row, strict=True))).encode()).hexdigest() for row in zip(*at.values(), strict=True)] if names else [hashlib.sha256(b"{}").hexdigest()] * batch.num_rows
+            at = [batch.column(batch.schema.names.index(n)).to_pylist() for n in names]
+            hashes = [hashlib.sha256(canonical_text(dict(zip(names, row, strict=True))).encode()).hexdigest() for row in zip(*at, strict=True)]
             keep = [i for i, n in enumerate(batch.schema.names) if n != into]
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in keep], pa.array(hashes, pa.string())], names=[*[batch.schema.names[i] for i in keep], into])
 
@@ -51,45 +90,47 @@ def attach_meta(df: DataFrame, filename: Column, run: Column, start: Column, end
     )
 
 
-class BadValue(ValueError):
-    pass
+#: Texts that stand for truth values.
+_TRUTH = {"true": True, "1": True, "yes": True, "false": False, "0": False, "no": False}
+_WHOLE = re.compile(r"[-+]*[\d_]+")
 
 
-def _scalar(value: Any, kinds: set[str], path: str) -> Any:
-    if value is None or isinstance(value, str) and not value.strip():
-        if "null" in kinds:
-            return None
-        if "string" in kinds and value is not None:
-            return ""
-        raise BadValue(f"{path}: empty value is not valid")
+def _to_number(x: Any, want: str) -> int | float | None:
+    """A number of a JSON scalar; None if it is none of that kind."""
+    if isinstance(x, str) and _WHOLE.fullmatch(x.strip()):
+        x = x.strip()
+        convert: Any = int
+    else:
+        convert = (lambda v: v) if isinstance(x, int) else float
+    try:
+        found = convert(x)
+    except (TypeError, ValueError):
+        return None
+    if want == "number" or isinstance(found, int):
+        return found
+    return int(found) if found.is_integer() else None
+
+
+def _to_truth(x: Any) -> bool | None:
+    return x if isinstance(x, bool) else _TRUTH.get(x.strip().lower()) if isinstance(x, str) else None
+
+
+def _scalar(value: Any, kinds: set[str]) -> tuple[Any, str | None]:
+    """The value as one of the kinds, and what is wrong if it can't be. Numbers come before truth values and texts; lists
+    and objects are left to the check."""
     if isinstance(value, (dict, list)):
-        return value  # the validation says what is wrong with it
-    text = value.strip() if isinstance(value, str) else None
-    if kinds & {"integer", "number"}:
-        want = "integer" if "integer" in kinds else "number"
-        if isinstance(value, bool):
-            raise BadValue(f"{path}: boolean is not a valid {want}")
-        if isinstance(value, int):
-            return value
-        try:
-            if text is not None and text.lstrip("-+").replace("_", "").isdigit():
-                return int(text)
-            number = float(value if text is None else text)
-        except ValueError as error:
-            raise BadValue(f"{path}: cannot coerce {value!r} to {want}") from error
-        if want == "number":
-            return number
-        if number.is_integer():
-            return int(number)
-        raise BadValue(f"{path}: cannot coerce {value!r} to integer")
-    if "boolean" in kinds:
-        if isinstance(value, bool):
-            return value
-        known = {"true": True, "1": True, "yes": True, "false": False, "0": False, "no": False}
-        if text is not None and text.lower() in known:
-            return known[text.lower()]
-        raise BadValue(f"{path}: cannot coerce {value!r} to boolean")
-    return value if isinstance(value, str) else str(value)
+        return value, None
+    if value is None or value == "" or isinstance(value, str) and value.isspace():
+        if "null" in kinds:
+            return None, None
+        return ("", None) if value is not None and "string" in kinds else (value, "an empty value isn't allowed")
+    want = next((k for k in ("integer", "number", "boolean") if k in kinds), "string")
+    if want == "string":
+        return value if isinstance(value, str) else str(value), None
+    if want != "boolean" and isinstance(value, bool):
+        return value, f"a boolean is no {want}"
+    found = _to_truth(value) if want == "boolean" else _to_number(value, want)
+    return (value, f"cannot coerce {value!r} to {want}") if found is None else (found, None)
 
 
 def _walk(value: Any, rules: dict[str, Any] | None, path: str, rename: bool, errors: list[str]) -> Any:
@@ -111,11 +152,10 @@ def _walk(value: Any, rules: dict[str, Any] | None, path: str, rename: bool, err
         return [_walk(x, items if isinstance(items, dict) else None, f"{path}[{i}]", rename, errors) for i, x in enumerate(value)]
     if not kinds:
         return value
-    try:
-        return _scalar(value, kinds, path)
-    except BadValue as error:
-        errors.append(str(error))
-        return value
+    found, wrong = _scalar(value, kinds)
+    if wrong:
+        errors.append(f"{path}: {wrong}")
+    return found
 
 
 _PYTHON = {"integer": int, "number": (int, float), "boolean": bool, "string": str, "object": dict, "array": list, "null": type(None)}
@@ -154,6 +194,12 @@ def checked_record(text: str, schema: dict[str, Any], rename: bool = True) -> tu
     return canonical, hashlib.sha256(canonical.encode()).hexdigest(), errors
 
 
+def renamed_json(df: DataFrame, column: str = "record", rename: bool = True) -> DataFrame:
+    """df of JSON object texts with the names in snake case, values as they are; __errors has names that meet."""
+    out = coerce_json(df, Contract({}), column, rename)
+    return out.withColumn(column, F.col("__canonical")).drop("__canonical", "__row_hash")
+
+
 def coerce_json(df: DataFrame, contract: Contract, column: str = "record", rename: bool = True) -> DataFrame:
     """df of JSON object texts with __canonical, __row_hash and __errors; other columns are kept."""
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}

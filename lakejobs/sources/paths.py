@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -38,11 +40,38 @@ def purge(spark: SparkSession, path: str) -> None:
         fs.delete(p, True)
 
 
+def _aside(spark: SparkSession, target: str) -> list[str]:
+    """Folders that swaps have put aside for a target, by name."""
+    parent, name = target.rstrip("/").rsplit("/", 1)
+    return [f"{parent}/{x}" for x in children(spark, parent) if x.startswith(f"{name}__old_")]
+
+
+def recover(spark: SparkSession, target: str) -> None:
+    """Undo or finish a swap that was cut short: a missing target gets back what was put aside, else that is deleted."""
+    for old in reversed(_aside(spark, target)):
+        fs, p = _at(spark, old)
+        if exists(spark, target) or not fs.rename(p, _at(spark, target)[1]):
+            fs.delete(p, True)
+
+
 def swap(spark: SparkSession, staged: str, target: str) -> None:
-    """Put a staged folder in the target's place."""
+    """Put a complete staged folder in the target's place. The old one is put aside by a rename and deleted last, so that
+    at every moment one of them is there in whole; recover() mends a swap that was cut short."""
+    recover(spark, target)
     fs, new = _at(spark, staged)
-    _, old = _at(spark, target)
-    if fs.exists(old):
-        fs.delete(old, True)
-    if not fs.rename(new, old):
+    _, place = _at(spark, target)
+    _, old = _at(spark, f"{target.rstrip('/')}__old_{uuid.uuid4().hex}")
+    if not fs.exists(new):
+        raise OSError(f"{staged} could not be renamed to {target}: it isn't there")
+    had = fs.exists(place)
+    if had and not fs.rename(place, old):
+        raise OSError(f"{target} could not be put aside")
+    try:
+        done = fs.rename(new, place)
+    finally:
+        if had and not fs.exists(place):
+            fs.rename(old, place)
+    if not done:
         raise OSError(f"{staged} could not be renamed to {target}")
+    if had:
+        fs.delete(old, True)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from functools import reduce
 from typing import Any
 
@@ -60,17 +61,30 @@ def same_file(path: str) -> Column:
     return F.regexp_replace(F.coalesce(F.try_url_decode(path), F.col(path)), "^file:/+", "/")
 
 
+def first_line(spark: SparkSession, file: str) -> str:
+    """The first line of a text file in any store that Spark reads, decompressed by the codec of its name."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(file)
+    conf = spark._jsc.hadoopConfiguration()
+    stream = path.getFileSystem(conf).open(path)
+    try:
+        codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(path)
+        reader = jvm.java.io.InputStreamReader(stream if codec is None else codec.createInputStream(stream), "UTF-8")
+        return jvm.java.io.BufferedReader(reader).readLine() or ""
+    finally:
+        stream.close()
+
+
 def read_csv(spark: SparkSession, files: list[str], located: bool = False) -> DataFrame:
     """CSV artifacts as text columns and __filename (located: and __file, the path): one read per different header, then a union by name. Quoted line ends
-    are part of values, short rows are filled with null, repeated header rows are dropped."""
-    first = spark.read.text(files).select(F.col("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
-    heads = first.where("at = 0").groupBy("file").agg(F.first("value").alias("head")) if len(files) else None
-    by_head: dict[str, list[str]] = {}
-    for r in heads.collect() if heads is not None else []:  # a row per file of one run
-        by_head.setdefault(r["head"], []).append(r["file"])
+    are part of values, short rows are filled with null, repeated header rows are dropped. Of each file the first line alone
+    is read for its header, which is parsed as CSV."""
+    by_head: dict[tuple[str, ...], list[str]] = {}
+    for file in files:
+        names = next(csv.reader([first_line(spark, file).lstrip("﻿")]), [])
+        by_head.setdefault(tuple(n.strip() for n in names), []).append(file)
     parts = []
-    for head, own in sorted(by_head.items()):
-        names = [n.replace('"', "").strip() for n in head.lstrip("﻿").split(",")]
+    for names, own in sorted(by_head.items()):
         schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
         df = spark.read.schema(schema).options(header=True, multiLine=True, escape='"', enforceSchema=True, mode="PERMISSIVE").csv(own)
         parts.append(drop_header_rows(df).withColumn("__filename", F.element_at(F.split(F.col("_metadata.file_name"), "/"), -1)))
@@ -81,7 +95,7 @@ def read_csv(spark: SparkSession, files: list[str], located: bool = False) -> Da
 
 def drop_header_rows(df: DataFrame) -> DataFrame:
     """df without rows that repeat the header in every cell."""
-    same = reduce(lambda a, b: a & b, [F.trim(F.col(f"`{c}`")).eqNullSafe(F.lit(c.strip())) for c in df.columns if not c.startswith("__")])
+    same = reduce(lambda a, b: a & b, [F.trim(F.col("`" + c.replace("`", "``") + "`")).eqNullSafe(F.lit(c.strip())) for c in df.columns if not c.startswith("__")])
     return df.where(~same)
 
 

@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import PySparkException
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakejobs.functions import timekeys
-from lakejobs.operators.contract import Contract, evolve
-from lakejobs.operators.coverage import KEYS, require_identity, without_runs
+from lakejobs.operators.contract import META, Contract, evolve
+from lakejobs.operators.coverage import KEYS, without_runs
+from lakejobs.operators.staging import Adapt, widened_names
 from lakejobs.sources import paths
 
+_BAD_KEYS = "run keys must be present and the same on all rows"
 PARTITIONS = ["interval_start_key", "interval_end_key", "extract_run_key"]
 
 
@@ -22,49 +26,70 @@ def _keyed(df: DataFrame) -> DataFrame:
 
 def partitioned_by(spark: SparkSession, path: str) -> str | None:
     """extract_run, none, or None if there is no table."""
+    paths.recover(spark, path)
     if not paths.exists(spark, path):
         return None
     return "extract_run" if any(c.startswith(f"{PARTITIONS[0]}=") for c in paths.children(spark, path)) else "none"
 
 
-def read_bronze(spark: SparkSession, path: str, contract: Contract | None = None) -> DataFrame:
-    """Declared columns (or the table's own) without the partition keys, which filters on the run keys still prune."""
+def read_bronze(spark: SparkSession, path: str, contract: Contract | None = None, adapt: Adapt | None = None) -> DataFrame:
+    """Declared columns (or the table's own) without the partition keys, which filters on the run keys still prune.
+
+    adapt: also the historical names that its knobs mention, so that older files give what coalesce and the like look
+    for; names that no file has are null.
+    """
     df = spark.read.option("mergeSchema", "true").parquet(path)
     out = df.drop(*PARTITIONS)
     if contract is None:
         return out
     have = {f.name for f in out.schema}
-    return out.select(*[F.col(f.name) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name) for f in contract.struct_type()])
+    want = {f.name: f.dataType.simpleString() for f in contract.struct_type(meta=False)} | (widened_names(contract, adapt) if adapt else {}) | {f.name: f.dataType.simpleString() for f in META}
+    return out.select(*[F.col(f"`{n}`") if n in have else F.lit(None).cast(kind).alias(n) for n, kind in want.items()])
 
 
 def write_runs(df: DataFrame, path: str, profile: str = "extract_run", single: bool = True) -> int:
     """Replace the runs of a batch: same keys are replaced, others stay; an empty batch writes nothing. Returns rows.
 
-    single: the batch is one run, whose identity is checked first. The batch is computed once for the check and once
-    for the write; give a stored frame if that matters.
+    Blank run keys, and keys of another run in a batch that is a single one, stop the write before anything is replaced.
+    The batch is computed once: its keys are those of its first row, every row is held against them on its way to the
+    files, and the rows are counted by an observation.
     """
     spark = df.sparkSession
-    check = require_identity(df).first()
-    if check["rows"] == 0:
+    first = df.select(*KEYS).first()
+    if first is None:
         return 0
-    if check["blank"] or single and not check["ok"]:
-        raise ValueError(f"run keys must be present and the same on all rows: {check.asDict()}")
+    ok = reduce(lambda a, b: a & b, [F.trim(F.col(k).cast("string")) != "" for k in KEYS])
+    if single:
+        ok = ok & reduce(lambda a, b: a & b, [F.col(k) == F.lit(first[k]) for k in KEYS])
+    stop = F.raise_error(F.concat(F.lit(f"{_BAD_KEYS}: "), F.to_json(F.struct(*KEYS))))
+    rows = Observation(f"rows_{uuid.uuid4().hex}")
+    df = df.withColumn(KEYS[0], F.when(F.coalesce(ok, F.lit(False)), F.col(KEYS[0])).otherwise(stop.cast(df.schema[KEYS[0]].dataType))).observe(rows, F.count(F.lit(1)).alias("n"))
     live = partitioned_by(spark, path)
     if live not in (None, profile):
         raise ValueError(f"the table is laid out as {live}, not {profile}; recreate it to change that")
     if live is not None:
         evolve(T.StructType([f for f in spark.read.parquet(path).schema if f.name not in PARTITIONS]), df.schema)
+    try:
+        _write(df, path, profile, single, live is not None)
+    except PySparkException as error:
+        if _BAD_KEYS in str(error):
+            raise ValueError(f"{_BAD_KEYS}; nothing was replaced") from error
+        raise
+    return rows.get["n"]
+
+
+def _write(df: DataFrame, path: str, profile: str, single: bool, live: bool) -> None:
+    spark = df.sparkSession
     if profile == "extract_run":
         out = _keyed(df)
         if not single:
-            out = out.repartition(*PARTITIONS)
+            out = out.hint("rebalance", *PARTITIONS)  # a run's rows come together; adaptive execution splits a large run
         out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITIONS).parquet(path)
     else:
         staged = f"{path.rstrip('/')}__staged_{uuid.uuid4().hex}"
         kept = without_runs(spark.read.parquet(path), df).unionByName(df, allowMissingColumns=True) if live else df
         kept.write.parquet(staged)
         paths.swap(spark, staged, path)
-    return check["rows"]
 
 
 def write_json_runs(df: DataFrame, path: str, keys: dict[str, str] | None = None) -> None:
@@ -119,7 +144,7 @@ def replace_days(df: DataFrame, path: str, since: str, until: str, day: str = "a
     own = df.where((F.col(day) >= F.lit(a)) & (F.col(day) < F.lit(b)))
     counts = {str(r[day]): r["count"] for r in own.groupBy(day).count().collect()}
     if counts:
-        own.repartition(day).sortWithinPartitions(day, order).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)
+        own.hint("rebalance", day).sortWithinPartitions(day, order).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)
     days = (b - a).days
     for name in paths.children(spark, path):
         value = name.removeprefix(f"{day}=")
