@@ -7,6 +7,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lakejobs.functions import casts
 from lakejobs.operators.contract import Contract
@@ -177,15 +178,27 @@ def relation_frame(bronze: DataFrame, contract: Contract, path: str, key: str, n
     rules = relation_rules(contract, path)
     names = index_names(len(parts))
     meta = [c for c in META_COLUMNS if c in bronze.columns]
-    now = bronze.select(F.col(f"`{key}`"), F.col(f"`{parts[0]}`").cast("string").alias("__item"), *meta)
-    for i, part in enumerate(parts):
-        text = F.col("__item") if i == 0 else F.get_json_object("__item", f"$.{part}")
-        now = now.select(F.col(f"`{key}`"), *names[:i], F.posexplode(F.from_json(text, "array<string>")).alias("__at", "__next"), *meta)
-        now = now.select(F.col(f"`{key}`"), *names[:i], (F.col("__at") + 1).alias(names[i]), F.col("__next").alias("__item"), *meta)
-    if "properties" not in rules:
-        return now.select(F.col(f"`{key}`"), *names, casts.CASTS[_cast_name(_kinds(rules))](F.col("__item")).alias("value"), *meta)
+    plain = "properties" not in rules
     deeper = {p.split(".")[len(parts)] for p in nested or () if p.startswith(path + ".")}
-    leaves: list[tuple[str, str, str]] = []
+    leaves = [] if plain else _item_leaves(rules, deeper)
+    # One parse per level gives all that is needed of its items, leaves and deeper arrays as texts.
+    last: T.DataType = T.StringType() if plain else _texts_at([where for where, _ in leaves])
+    kinds = [*[_texts_at([(p,)]) for p in parts[1:]], last]
+    key_column = F.col(f"`{key}`")
+    now = bronze.select(key_column, F.col(f"`{parts[0]}`").cast("string").alias("__text"), *meta)
+    for i, (name, kind) in enumerate(zip(names, kinds, strict=True)):
+        text = F.col("__text") if i == 0 else F.col(f"__item.`{parts[i]}`")
+        now = now.select(key_column, *names[:i], F.posexplode(_items(text, kind)).alias("__at", "__next"), *meta)
+        now = now.select(key_column, *names[:i], (F.col("__at") + 1).alias(name), F.col("__next").alias("__item"), *meta)
+    if plain:
+        return now.select(key_column, *names, casts.CASTS[_cast_name(_kinds(rules))](F.col("__item")).alias("value"), *meta)
+    texts = now.select(key_column, *names, *[F.col("__item." + ".".join(f"`{p}`" for p in where)).alias("__leaf_" + "__".join(where)) for where, _ in leaves], *meta)
+    return texts.select(key_column, *names, *[casts.CASTS[cast](F.col("`__leaf_" + "__".join(where) + "`")).alias("__".join(where)) for where, cast in leaves], *meta)
+
+
+def _item_leaves(rules: dict[str, Any], deeper: set[str]) -> list[tuple[tuple[str, ...], str]]:
+    """(path, cast) of the scalar leaves of a relation's items; deeper: names that are relations of their own."""
+    out: list[tuple[tuple[str, ...], str]] = []
 
     def walk(own: dict[str, Any], at: tuple[str, ...]) -> None:
         for name, r in (own.get("properties") or {}).items():
@@ -194,11 +207,28 @@ def relation_frame(bronze: DataFrame, contract: Contract, path: str, key: str, n
             if "properties" in r:
                 walk(r, (*at, name))
             elif "array" not in _kinds(r) and "items" not in r:
-                leaves.append(("__".join((*at, name)), ".".join((*at, name)), _cast_name(_kinds(r))))
+                out.append(((*at, name), _cast_name(_kinds(r))))
 
     walk(rules, ())
-    now = now.select(F.col(f"`{key}`"), *names, *[F.get_json_object("__item", f"$.{where}").alias(f"__leaf_{name}") for name, where, _ in leaves], *meta)
-    return now.select(F.col(f"`{key}`"), *names, *[casts.CASTS[kind](F.col(f"`__leaf_{name}`")).alias(name) for name, _, kind in leaves], *meta)
+    return out
+
+
+def _texts_at(paths: list[tuple[str, ...]]) -> T.StructType:
+    """Structs with a text at each path."""
+    below: dict[str, list[tuple[str, ...]]] = {}
+    for head, *rest in paths:
+        below.setdefault(head, []).append(tuple(rest))
+    return T.StructType([T.StructField(n, _texts_at(rest) if rest[0] else T.StringType()) for n, rest in below.items()])
+
+
+def _items(text: Column, kind: T.DataType) -> Column:
+    """The items of a JSON array text. An item that is no object leaves the whole array unread; only then the items are
+    read one by one, and such an item is null."""
+    parsed = F.from_json(text, T.ArrayType(kind))
+    if isinstance(kind, T.StructType):
+        one_by_one = F.transform(F.from_json(text, "array<string>"), lambda x: F.from_json(x, kind))
+        parsed = F.coalesce(parsed, one_by_one)
+    return F.when(F.ltrim(text).startswith("["), parsed)
 
 
 def explode_estimate(df: DataFrame, column: str, parent_limit: int = 500_000, child_limit: int = 2_000_000) -> DataFrame:
