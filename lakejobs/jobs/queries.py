@@ -218,6 +218,19 @@ def contract_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contracts.error_report(contracts.with_errors(_coercion_input(spark, sf_dir), LINES))
 
 
+@_query("contract_outcome", f"WITH {_LINES} SELECT count(*) AS rows, count(*) FILTER (len(errors) > 0) AS bad_rows, CAST(sum(len(list_filter(errors, lambda e: contains(e, ': cannot coerce')))) AS BIGINT) AS coerce_errors, CAST(sum(len(list_filter(errors, lambda e: NOT contains(e, ': cannot coerce')))) AS BIGINT) AS schema_errors, count(*) > 0 AND sum(len(errors)) = 0 AS ok FROM lines")
+def contract_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contracts.outcome(contracts.with_errors(_coercion_input(spark, sf_dir), LINES))
+
+
+@_query("row_hash_parts", """SELECT p_partkey, sha256('{"flag": ' || CASE WHEN p_size > 25 THEN 'true' ELSE 'false' END || ', "name": ' || CASE WHEN p_partkey % 4 = 0 THEN 'null' ELSE '"' || p_name || ' \\u00e9\\ud83c\\udf89 \\"q\\" \\\\ \\t\\n' || '"' END || ', "p_brand": "' || p_brand || '", "p_partkey": ' || p_partkey || '}') AS row_hash FROM part""")
+def row_hash_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hashes of texts with all that JSON escapes, nulls, numbers and truth values."""
+    name = F.when(F.col("p_partkey") % 4 != 0, F.concat("p_name", F.lit(' é\U0001f389 "q" \\ \t\n')))
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", (F.col("p_size") > 25).alias("flag"), name.alias("name"))
+    return rows.with_row_hash(p).select("p_partkey", F.col("__row_hash").alias("row_hash"))
+
+
 @_query("row_hash", """SELECT n_nationkey, sha256('{"n_name": "' || n_name || '", "n_nationkey": ' || n_nationkey || ', "n_regionkey": ' || n_regionkey || '}') AS row_hash FROM nation""")
 def row_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.with_row_hash(table(spark, sf_dir, "nation")).select("n_nationkey", F.col("__row_hash").alias("row_hash"))
@@ -354,6 +367,12 @@ def data_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return silver.run_checks(c, silver.Checks(["c_custkey", "segment"], ["c_custkey", "c_nationkey"], {"segment": ["BUILDING", "FURNITURE"]}))
 
 
+@_query("silver_stamps", f"WITH {_DAMAGE} SELECT l_orderkey, l_linenumber, '{AS_OF}' AS processed, '{AS_OF}' AS updated FROM latest")
+def silver_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = silver.stamped(silver.latest_run(damage_rows(spark, sf_dir), ["l_orderkey", "l_linenumber"], _damage_order()), F.lit(AS_OF).cast("timestamp"))
+    return out.select("l_orderkey", "l_linenumber", _text(F.col("__silver_processed_at")).alias("processed"), _text(F.col("__silver_updated_at")).alias("updated"))
+
+
 # -- relations
 
 
@@ -445,6 +464,22 @@ def diagnosis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coverage.findings(coverage.diff_runs(*_sides(spark, sf_dir)))
 
 
+STATUSES = Contract({"type": "object", "required": ["o_orderkey"], "properties": {"o_orderkey": {"type": "integer"}, "o_orderstatus": {"type": "string", "enum": ["O", "P"]}}})
+
+
+@_query("diagnosis_validated", _SIDES + """, lone AS (SELECT * FROM a EXCEPT SELECT * FROM b), newest AS (SELECT s, x FROM lone ORDER BY x DESC, s DESC LIMIT 1),
+    bad AS (SELECT count(*) AS n FROM o JOIN newest USING (s, x) WHERE o_orderkey % 5 <> 0 AND o_orderstatus NOT IN ('O', 'P')), n AS (SELECT (SELECT count(*) FROM lone) AS l, (SELECT count(*) FROM (SELECT * FROM b EXCEPT SELECT * FROM a)) AS r)
+    SELECT 'schema_invalid' AS code, 'error' AS severity, 1::BIGINT AS runs FROM bad WHERE n > 0 UNION ALL SELECT 'raw_without_bronze', 'warning', l FROM n WHERE l > 0 UNION ALL SELECT 'bronze_without_raw', 'warning', r FROM n WHERE r > 0""")
+def diagnosis_validated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Diagnosis with the rows of the newest run that is in raw alone put through their contract."""
+    a, b = _sides(spark, sf_dir)
+    diff = coverage.diff_runs(a, b)
+    newest = coverage.newest_only_raw(diff)
+    rows_of = a.join(F.broadcast(newest), KEYS, "left_semi").select(F.col("o_orderkey").cast("string").alias("o_orderkey"), "o_orderstatus")  # one row
+    checked = contracts.outcome(contracts.with_errors(rows_of, STATUSES)).first()
+    return coverage.findings(diff, F.lit(checked["bad_rows"] > 0))
+
+
 @_query("bronze_sample", f"WITH {_ORDER_RUNS} SELECT o_orderkey, {_KEYS_SQL} FROM (SELECT * FROM o ORDER BY x, o_orderkey LIMIT 20)")
 def bronze_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A preview: the first rows by run and key are the feature."""
@@ -483,12 +518,12 @@ def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.summary(receipts(spark, sf_dir)).withColumn("error_codes", codes)
 
 
-@_query("slo_expectations", f"WITH {_EXPECTED} SELECT * FROM expected")
+@_query("slo_expectations", f"""WITH {_RECEIPTS}, {_EXPECTED}, ran AS (SELECT pipeline, command, count(*) AS attempts FROM r GROUP BY 1, 2)
+    SELECT coalesce(e.pipeline, n.pipeline) AS pipeline, coalesce(e.command, n.command) AS command, cadence, recency_hours, score_hours, max_error_rate, p95_ms, coalesce(attempts, 0) AS attempts,
+    CASE WHEN n.pipeline IS NULL THEN 'only_expected' WHEN e.pipeline IS NULL THEN 'only_receipts' ELSE 'both' END AS side FROM expected e FULL JOIN ran n ON e.pipeline = n.pipeline AND e.command = n.command""")
 def slo_expectations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Configured rows for the pipelines that the receipts name, and one that has none."""
-    have = receipts(spark, sf_dir).select("pipeline").distinct()
-    expected = runs.expectations(spark, SLOS)
-    return expected.join(have, "pipeline", "left_semi").unionByName(expected.join(have, "pipeline", "left_anti"))
+    """Configured rows against the pairs of which there are receipts, with those missing on either side."""
+    return runs.expectation_coverage(runs.expectations(spark, SLOS), receipts(spark, sf_dir))
 
 
 _WINDOW = f"d.pipeline = e.pipeline AND d.command = e.command AND d.attempt_date >= CAST(TIMESTAMP '{AS_OF}' - to_hours(e.score_hours) AS DATE)"
@@ -561,3 +596,15 @@ def schema_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     old, new = n.select(F.to_json(F.struct(*n.columns)).alias("record")), n.select(F.to_json(F.struct("n_nationkey", (F.col("n_nationkey") + 0.5).cast("double").alias("n_name"), F.lit("x").alias("n_comment"))).alias("record"))
     names = lambda df: profile.profile(df).where("path not like '%.%'").select(F.col("path").alias("name"), F.element_at("types", 1).alias("type"))
     return profile.drift_frame(names(old), names(new))
+
+
+@_query("schema_renames", """SELECT * FROM (VALUES ('type_change', 'o_custkey', 'o_custkey', 'integer', 'string'), ('rename', 'o_orderkey', 'oOrderkey', 'integer', 'integer'), ('rename', 'o_orderstatus', 'O_ORDERSTATUS', 'string', 'string'),
+    ('rename', 'o_orderpriority', 'urgency', 'string', CASE WHEN (SELECT count(*) FROM orders WHERE o_orderkey % 9 = 0) > 0 THEN 'null,string' ELSE 'string' END)) v(change, old_name, new_name, old_type, new_type)""")
+def schema_renames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drift between the profiles of a feed's records and of those under new names, some of them null."""
+    o = table(spark, sf_dir, "orders")
+    old = F.to_json(F.struct("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"))
+    urgency = F.when(F.col("o_orderkey") % 9 != 0, F.col("o_orderpriority"))
+    new = F.to_json(F.struct(F.col("o_orderkey").alias("oOrderkey"), F.col("o_custkey").cast("string").alias("o_custkey"), F.col("o_orderstatus").alias("O_ORDERSTATUS"), urgency.alias("urgency")), {"ignoreNullFields": "false"})
+    types = lambda c: profile.profile(o.select(c.alias("record")), levels=1).select(F.col("path").alias("name"), F.concat_ws(",", "types").alias("type"))
+    return profile.drift_with_renames(types(old), types(new))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import re
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lakejobs.functions.naming import snake, snake_column
+
 _NUMBER_KINDS = {"BIGINT": "integer", "INT": "integer", "SMALLINT": "integer", "TINYINT": "integer", "DOUBLE": "number", "FLOAT": "number", "STRING": "string", "BOOLEAN": "boolean", "VOID": "null"}
 
 
@@ -55,14 +56,12 @@ def draft_contract(found: DataFrame, rows: int) -> dict[str, Any]:
 def drift(old: dict[str, str], new: dict[str, str]) -> list[tuple[str, str | None, str | None]]:
     """Changes (kind, old name, new name) between two name -> type maps: type_change, rename, remove, add.
 
-    Renames are names that are equal but for case and separators, and then a single pair that is left on either side with
-    one type.
+    Renames are names of one snake-case form, and then a single pair that is left on either side with one type.
     """
-    plain = lambda n: re.sub(r"[^a-z0-9]", "", n.lower())
     changes: list[tuple[str, str | None, str | None]] = [("type_change", n, n) for n in sorted(old.keys() & new.keys()) if old[n] != new[n]]
     gone, fresh = sorted(old.keys() - new.keys()), sorted(new.keys() - old.keys())
     for a in list(gone):
-        same = [b for b in fresh if plain(a) == plain(b)]
+        same = [b for b in fresh if snake(a) == snake(b)]
         if len(same) == 1:
             changes.append(("rename", a, same[0]))
             gone.remove(a)
@@ -77,3 +76,28 @@ def drift_frame(old: DataFrame, new: DataFrame) -> DataFrame:
     j = old.select("name", F.col("type").alias("old_type")).join(new.select("name", F.col("type").alias("new_type")), "name", "full_outer")
     change = F.when(F.col("old_type").isNull(), "add").when(F.col("new_type").isNull(), "remove").when(F.col("old_type") != F.col("new_type"), "type_change")
     return j.withColumn("change", change).where("change is not null")
+
+
+def drift_with_renames(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(change, old_name, new_name, old_type, new_type) of two (name, type) frames, renames resolved by joins.
+
+    A name that is gone and a fresh one are a rename if they have one snake-case form (of several, the greatest names),
+    or if they are all that is left on either side and of one type, null aside.
+    """
+    before, after = old.select(F.col("name").alias("old_name"), F.col("type").alias("old_type")), new.select(F.col("name").alias("new_name"), F.col("type").alias("new_type"))
+    order = ["change", "old_name", "new_name", "old_type", "new_type"]
+    named = lambda df, change: df.withColumn("change", F.lit(change)).select(*order)
+    none = F.lit(None).cast("string")
+    changed = before.join(after, F.col("old_name") == F.col("new_name")).where("old_type <> new_type")
+    gone, fresh = before.join(after, F.col("old_name") == F.col("new_name"), "left_anti"), after.join(before, F.col("old_name") == F.col("new_name"), "left_anti")
+    by_form = lambda df, side: df.groupBy(snake_column(F.col(f"{side}_name")).alias("form")).agg(F.max(F.struct(f"{side}_name", f"{side}_type")).alias(side))
+    respelt = by_form(gone, "old").join(by_form(fresh, "new"), "form").select("old.*", "new.*")
+    gone, fresh = gone.join(respelt.select("old_name"), "old_name", "left_anti"), fresh.join(respelt.select("new_name"), "new_name", "left_anti")
+    bare = lambda c: F.array_sort(F.array_remove(F.split(c, ","), "null"))
+    lone = lambda df, side: df.agg(F.count("*").alias(f"{side}s"), F.max(F.struct(f"{side}_name", f"{side}_type")).alias(side))
+    one = lone(gone, "old").join(lone(fresh, "new"), F.lit(True)).where("olds = 1 and news = 1").select("old.*", "new.*")  # one row on either side
+    one = one.where((bare("old_type") == bare("new_type")) & (F.size(bare("old_type")) > 0))
+    gone, fresh = gone.join(one.select("old_name"), "old_name", "left_anti"), fresh.join(one.select("new_name"), "new_name", "left_anti")
+    out = named(changed, "type_change").unionByName(named(respelt.unionByName(one), "rename"))
+    out = out.unionByName(named(gone.withColumns({"new_name": none, "new_type": none}), "remove"))
+    return out.unionByName(named(fresh.withColumns({"old_name": none, "old_type": none}), "add"))

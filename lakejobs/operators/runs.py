@@ -102,6 +102,15 @@ def expectations(spark: SparkSession, slos: dict[str, dict[str, Any]]) -> DataFr
     return spark.createDataFrame([r for p, s in slos.items() for r in expectation_rows(p, s)], EXPECTATION)
 
 
+def expectation_coverage(expected: DataFrame, receipts: DataFrame) -> DataFrame:
+    """Expectations against the pipelines and commands of which there are receipts, with attempts and the side: both,
+    only_expected (configured, never run) or only_receipts (run, but nothing is expected of it)."""
+    ran = receipts.groupBy("pipeline", "command").agg(F.count("*").alias("attempts"))
+    j = expected.withColumn("wanted", F.lit(True)).join(ran, ["pipeline", "command"], "full_outer")
+    side = F.when(F.col("attempts").isNull(), "only_expected").when(F.col("wanted").isNull(), "only_receipts").otherwise("both")
+    return j.select(*expected.columns, F.coalesce("attempts", F.lit(0)).alias("attempts"), side.alias("side"))
+
+
 def _windowed(expected: DataFrame, mart: DataFrame, as_of: Column) -> DataFrame:
     """Expectations (a row per configured pipeline and command) left-joined with the mart's days in their window."""
     e, d = expected.alias("e"), mart.alias("d")

@@ -54,6 +54,12 @@ def incremental(target: DataFrame, staged: DataFrame, keys: list[str], watermark
     return replaced(target, fresh, keys)
 
 
+def stamped(df: DataFrame, at: Column | None = None) -> DataFrame:
+    """df with the two stamps of a silver model, when its rows were processed and last updated: the time of the job."""
+    now = at if at is not None else F.current_timestamp()
+    return df.withColumns({"__silver_processed_at": now, "__silver_updated_at": now})
+
+
 def relation_silver(relation: DataFrame, parent: str, indexes: list[str], order: list[Column] | None = None) -> DataFrame:
     return latest_run(relation, [parent, *indexes], order)
 

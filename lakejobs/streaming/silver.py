@@ -1,31 +1,56 @@
-"""Silver by micro-batches: each new set of bronze files is upserted; replayed batches change nothing."""
+"""Silver by micro-batches: each new set of bronze files is upserted; replayed batches change nothing.
 
-from __future__ import annotations
+A silver table lies in folders by a hash bucket of its keys. A batch reads and rewrites the buckets that its keys fall
+in, and no others; Spark stages their files and replaces these folders when the write is done.
+"""
 
-import uuid
+from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from lakejobs.operators.silver import latest_run, replaced
+from lakejobs.operators.silver import latest_run
 from lakejobs.sources import paths
 
+#: Buckets of a new table. A table keeps the number that it began with, which is in the name of its folders.
+BUCKETS = 64
+_PREFIX = "__bucket_of_"
 
-def upsert(batch: DataFrame, target: str, keys: list[str], order: list[Column]) -> None:
-    """The latest row of each key over target and batch, staged and swapped in."""
-    spark = batch.sparkSession
-    fresh = latest_run(batch, keys, order)
-    if paths.exists(spark, target):
-        old = spark.read.parquet(target)
-        newest = latest_run(old.join(fresh.select(*keys).distinct(), keys, "left_semi").unionByName(fresh, allowMissingColumns=True), keys, order)
-        fresh = replaced(old, newest, keys)
-    staged = f"{target.rstrip('/')}__staged_{uuid.uuid4().hex}"
-    fresh.write.parquet(staged)
-    paths.swap(spark, staged, target)
+
+def _buckets(spark: SparkSession, target: str) -> int | None:
+    """The number of buckets of a table; None if there is none."""
+    found = {name.split("=")[0] for name in paths.children(spark, target) if name.startswith(_PREFIX)}
+    if len(found) > 1:
+        raise ValueError(f"{target} holds buckets of several numbers: {sorted(found)}")
+    return int(found.pop().removeprefix(_PREFIX)) if found else None
 
 
-def stream_silver(spark: SparkSession, bronze: str, schema: T.StructType, target: str, checkpoint: str, keys: list[str], order: list[Column]) -> StreamingQuery:
+def read_silver(spark: SparkSession, target: str) -> DataFrame:
+    """The rows of a table that upsert() keeps."""
+    df = spark.read.parquet(target)
+    return df.drop(*[c for c in df.columns if c.startswith(_PREFIX)])
+
+
+def upsert(batch: DataFrame, target: str, keys: list[str], order: list[Column], buckets: int = BUCKETS) -> None:
+    """The latest row of each key over target and batch, in the buckets that the batch touches. The batch's rows are
+    reduced to one per key first; null keys equal each other."""
+    spark = batch.sparkSession
+    live = _buckets(spark, target)
+    number = live or buckets
+    column = f"{_PREFIX}{number}"
+    fresh = latest_run(batch, keys, order).withColumn(column, F.pmod(F.xxhash64(*keys), F.lit(number)).cast("int"))
+    if live:
+        touched = [r[column] for r in fresh.select(column).distinct().collect()]  # at most a row per bucket
+        if not touched:
+            return
+        old = spark.read.parquet(target).where(F.col(column).isin(touched))
+        fresh = latest_run(old.unionByName(fresh, allowMissingColumns=True), keys, order)
+    fresh.hint("rebalance", column).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(column).parquet(target)
+
+
+def stream_silver(spark: SparkSession, bronze: str, schema: T.StructType, target: str, checkpoint: str, keys: list[str], order: list[Column], buckets: int = BUCKETS) -> StreamingQuery:
     """Everything available, then stop; the checkpoint remembers the files."""
     rows = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(bronze)
-    return rows.writeStream.foreachBatch(lambda batch, _: upsert(batch, target, keys, order)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return rows.writeStream.foreachBatch(lambda batch, _: upsert(batch, target, keys, order, buckets)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

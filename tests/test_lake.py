@@ -13,7 +13,8 @@ from lakejobs.operators import coverage, runs
 from lakejobs.operators.contract import Contract
 from lakejobs.operators.coverage import KEYS
 from lakejobs.sources import paths, raw, tables
-from lakejobs.streaming.silver import stream_silver
+from lakejobs.operators.staging import Adapt, staging_frame
+from lakejobs.streaming.silver import read_silver, stream_silver, upsert
 
 FATAL = Contract({"type": "object", "required": ["fatality_id"], "additionalProperties": False, "properties": {"fatality_id": {"type": "integer"}, "event_id": {"type": "integer"}, "fatality_type": {"type": ["string", "null"]}, "fatality_age": {"type": ["integer", "null"]}}})
 LEVELS = Contract({"type": "object", "required": ["id", "level"], "properties": {"id": {"type": "string"}, "level": {"type": "string"}, "state": {"type": ["string", "null"]}}})
@@ -217,12 +218,125 @@ def test_streamed_silver_is_the_batch_result(spark, tmp_path):
     for part in (first, second):
         part.write.mode("append").parquet(bronze)
         stream_silver(spark, bronze, first.schema, target, check, ["k"], order).awaitTermination()
-    got = sorted(map(tuple, spark.read.parquet(target).collect()))
+    got = sorted(map(tuple, read_silver(spark, target).collect()))
     assert got == [(1, 2, "b"), (2, 3, "d"), (3, 1, "e")]
     stream_silver(spark, bronze, first.schema, target, check, ["k"], order).awaitTermination()
-    assert sorted(map(tuple, spark.read.parquet(target).collect())) == got
+    assert sorted(map(tuple, read_silver(spark, target).collect())) == got
+
+
+def test_a_batch_rewrites_the_buckets_it_touches(spark, tmp_path):
+    target = str(tmp_path / "silver")
+    order = [F.desc("run")]
+    frame = lambda *rows: spark.createDataFrame(rows, "k int, run int, v string")
+    upsert(frame(*[(k, 1, "a") for k in range(200)], (None, 1, "n")), target, ["k"], order, buckets=8)
+    files = {p: p.stat().st_mtime_ns for p in (tmp_path / "silver").rglob("*.parquet")}
+    upsert(frame((5, 2, "b"), (None, 2, "m")), target, ["k"], order, buckets=4)  # the table keeps its eight
+    left = {p for p in files if p.exists()}
+    assert len({p.parent for p in files}) == 8 and len({p.parent for p in left}) in (6, 7)
+    got = {r["k"]: (r["run"], r["v"]) for r in read_silver(spark, target).collect()}
+    assert len(got) == 201 and got[5] == (2, "b") and got[None] == (2, "m") and got[6] == (1, "a")
+    upsert(frame((5, 3, "c")).where("false"), target, ["k"], order)
+    assert read_silver(spark, target).count() == 201
 
 
 def test_gap_days(spark):
     landed = coverage.run_keys(run_rows(spark, "2026-08-05 10:00:00"))
     assert [str(r["day"]) for r in coverage.missing_days(landed, "2026-07-31", "2026-08-03").orderBy("day").collect()] == ["2026-07-31", "2026-08-02"]
+
+
+def test_quoted_headers(spark, tmp_path):
+    (tmp_path / "q.csv").write_bytes(b'"a,b","say ""x""",c\n1,2,3\n')
+    r = raw.read_csv(spark, [str(tmp_path / "q.csv")]).first()
+    assert (r["a,b"], r['say "x"'], r["c"]) == ("1", "2", "3")
+
+
+def test_a_swap_that_is_cut_short_is_mended(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    for s in ("10", "11"):
+        tables.write_runs(run_rows(spark, f"2026-08-05 {s}:00:00"), path, "none")
+    # Ended after the old table was put aside.
+    (tmp_path / "t").rename(tmp_path / "t__old_1")
+    assert not paths.exists(spark, path)
+    tables.write_runs(run_rows(spark, "2026-08-05 12:00:00"), path, "none")
+    assert sorted(r[KEYS[2]].hour for r in tables.list_runs(spark, path).collect()) == [10, 11, 12]
+    # Ended before what was put aside was deleted.
+    (tmp_path / "t__old_2").mkdir()
+    paths.recover(spark, path)
+    assert not (tmp_path / "t__old_2").exists() and tables.list_runs(spark, path).count() == 3
+    # The staged folder can't be renamed: the old table is put back.
+    with pytest.raises(OSError, match="could not be renamed"):
+        paths.swap(spark, str(tmp_path / "nothing"), path)
+    assert tables.list_runs(spark, path).count() == 3
+
+
+@pytest.mark.parametrize("profile", ["extract_run", "none"])
+def test_a_batch_is_computed_once(spark, tmp_path, profile):
+    rows = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            rows.add(b.num_rows)
+            yield b
+
+    df = run_rows(spark, *["2026-08-05 10:00:00"] * 500).repartition(4)
+    assert tables.write_runs(df.mapInArrow(count, df.schema), str(tmp_path / "t"), profile) == 500
+    assert rows.value <= 500 + 200  # and the first row's task for its keys
+    with pytest.raises(Exception, match="run keys must be present"):
+        tables.write_runs(run_rows(spark, "2026-08-05 10:00:00", "2026-08-05 11:00:00"), str(tmp_path / "t"), profile)
+    assert tables.read_bronze(spark, str(tmp_path / "t")).count() == 500
+
+
+def test_a_bad_row_leaves_the_table_that_is_recreated(spark, tmp_path):
+    root, bronze = tmp_path / "raw", str(tmp_path / "bronze")
+    source = load.Source("csv")
+    land(root, 1, "20260805T100000Z", "a.csv", CSV)
+    assert load.migrate(spark, str(root), bronze, FATAL, source, "2026-08-09 00:00:00", recreate=True, all_raw=True) == 2
+    land(root, 2, "20260805T110000Z", "a.csv", CSV.replace(b"2,11", b"x,11"))
+    with pytest.raises(Exception, match="cannot coerce x"):
+        load.migrate(spark, str(root), bronze, FATAL, source, "2026-08-09 00:00:00", recreate=True, all_raw=True)
+    assert tables.read_bronze(spark, bronze, FATAL).count() == 2
+
+
+def test_diagnosis_puts_the_newest_raw_run_through_the_contract(spark, tmp_path):
+    root, bronze = tmp_path / "raw", str(tmp_path / "bronze")
+    found = lambda: {r["code"]: (r["severity"], r["runs"]) for r in load.diagnose(spark, str(root), bronze, FATAL, load.Source("csv")).collect()}
+    land(root, 1, "20260805T100000Z", "a.csv", CSV)
+    assert found() == {"raw_without_bronze": ("warning", 1)}
+    load.load_run(spark, str(root), bronze, FATAL, load.Source("csv"), "2026-08-09 00:00:00")
+    assert found() == {"ok": ("info", 1)}
+    land(root, 2, "20260805T110000Z", "a.csv", CSV.replace(b"2,11", b"x,11"))
+    assert found() == {"schema_invalid": ("error", 1), "raw_without_bronze": ("warning", 1)}
+
+
+def test_validation_stamps_are_a_table(spark, tmp_path):
+    root, bronze, stamps = tmp_path / "raw", str(tmp_path / "bronze"), str(tmp_path / "validations")
+    land(root, 1, "20260805T100000Z", "a.csv", CSV)
+    for at in ("2026-08-09 00:00:00", "2026-08-10 00:00:00"):
+        load.load_run(spark, str(root), bronze, FATAL, load.Source("csv"), at, validations=stamps, schema_path="s.yaml")
+    land(root, 2, "20260805T110000Z", "a.csv", CSV.replace(b"2,11", b"x,11"))
+    with pytest.raises(Exception, match="cannot coerce x"):
+        load.load_run(spark, str(root), bronze, FATAL, load.Source("csv"), "2026-08-10 00:00:00", validations=stamps)
+    (r,) = tables.read_bronze(spark, stamps).collect()
+    assert (r["ok"], r["validated_at"], r["schema_path"], r["row_count"], r["wire_version"], r[KEYS[2]].hour) == (True, "2026-08-10 00:00:00", "s.yaml", 2, 1, 10) and len(r["schema_sha256"]) == 64
+
+
+def test_historical_names_are_read_for_adaptations(spark, tmp_path):
+    path = str(tmp_path / "t")
+    old = run_rows(spark, "2026-08-05 10:00:00").select(F.lit("e0").alias("id"), F.lit("low").alias("severity"), *KEYS)
+    new = run_rows(spark, "2026-08-05 11:00:00").select(F.lit("e1").alias("id"), F.lit("high").alias("level"), *KEYS)
+    for df in (old, new):
+        tables.write_runs(df, path)
+    adapt = Adapt(coalesce={"level": ["level", "severity", "severity_level"]})
+    wide = tables.read_bronze(spark, path, LEVELS, adapt)
+    assert {"severity", "severity_level", "level", "state"} <= set(wide.columns) and wide.where("severity_level is not null").count() == 0
+    levels = Contract({**LEVELS.schema, "properties": {**LEVELS.schema["properties"], "severity": {"type": ["string", "null"]}, "severity_level": {"type": ["string", "null"]}}})
+    assert sorted((r["id"], r["level"]) for r in staging_frame(wide, levels, adapt).collect()) == [("e0", "low"), ("e1", "high")]
+
+
+def test_steps_of_a_json_feed(spark):
+    source = load.Source("json", "data.events")
+    rows = spark.createDataFrame([('{"Id": 7, "Level": " low ", "moreData": 1}', "p.json")], "record string, __filename string").select("*", *[F.lit("2026-08-01").cast("timestamp").alias(k) for k in KEYS])
+    step = lambda s: load.bronze_frame(rows, LEVELS, source, "2026-08-09 00:00:00", strict=False, stop_at=s).first()
+    assert step("rows")["record"] == rows.first()["record"]
+    assert json.loads(step("named")["record"]) == {"id": 7, "level": " low ", "more_data": 1}
+    assert json.loads(step("coerced")["__canonical"]) == {"id": "7", "level": " low ", "more_data": 1}

@@ -63,7 +63,7 @@ def test_json_records_are_renamed_coerced_and_checked(spark):
     got = rows.coerce_json(spark.createDataFrame([(t,) for t in texts], "record string"), schema).collect()
     assert json.loads(got[0]["__canonical"]) == {"id": "7", "items": [{"qty": 51, "at": None}]} and got[0]["__errors"] == []
     assert got[0]["__row_hash"] == hashlib.sha256(got[0]["__canonical"].encode()).hexdigest()
-    assert got[1]["__errors"] == ["items[0].qty: boolean is not a valid integer"]
+    assert got[1]["__errors"] == ["items[0].qty: a boolean is no integer"]
     assert got[2]["__errors"] == ["i_d: unknown field"]
     assert got[3]["__errors"] == ["id: required"] and got[4]["__errors"] == ["<root>: not JSON"] and got[5]["__errors"] == ["x: unknown field"]
 
@@ -199,3 +199,46 @@ def test_profile_and_drift(spark):
     changes = profile.drift({"a": "string", "userId": "integer", "gone": "string"}, {"a": "number", "user_id": "integer", "fresh": "string"})
     assert changes == [("type_change", "a", "a"), ("rename", "userId", "user_id"), ("rename", "gone", "fresh")]
     assert profile.drift({"a": "string"}, {"b": "integer"}) == [("remove", "a", None), ("add", None, "b")]
+
+
+def test_hash_columns_write_what_json_does(spark):
+    texts = ["plain", 'a "b" \\ /', "é \U0001f389 \ud7ff \uffff", "\t\n\r\b\f\x00\x1f\x7f", "", None]
+    df = spark.createDataFrame([(t, i, i % 2 == 0) for i, t in enumerate(texts)], "`b t` string, `A` long, c boolean")
+    got = {r["A"]: r["__row_hash"] for r in rows.with_row_hash(df).collect()}
+    assert got == {i: hashlib.sha256(json.dumps({"b t": t, "A": i, "c": i % 2 == 0}, sort_keys=True).encode()).hexdigest() for i, t in enumerate(texts)}
+    assert "MapInArrow" not in rows.with_row_hash(df)._jdf.queryExecution().toString()
+
+
+def test_outcome_of_a_check(spark):
+    bad = contracts.with_errors(text_frame(spark, ("x", None, "3", "yes", "[]"), ("1", None, None, "1", "[]")), STORM)
+    assert tuple(contracts.outcome(bad).first()) == (2, 1, 1, 0, False)
+    assert contracts.outcome(bad.where("event_id is not null")).first()["ok"] is True
+    assert contracts.outcome(bad.where("false")).first()["ok"] is False
+
+
+def test_renames_in_frames_and_maps_agree(spark):
+    cases = [
+        ({"a": "string", "userId": "integer"}, {"a": "number", "user_id": "integer"}),
+        ({"a": "string", "gone": "null,string"}, {"a": "string", "here": "string"}),
+        ({"gone": "string"}, {"here": "number"}), ({"x": "string", "y": "string"}, {"z": "string"}), ({}, {"n": "string"}),
+    ]
+    frame = lambda d: spark.createDataFrame(list(d.items()), "name string, type string")
+    got = [sorted((r["change"], r["old_name"], r["new_name"]) for r in profile.drift_with_renames(frame(a), frame(b)).collect()) for a, b in cases]
+    assert got == [
+        [("rename", "userId", "user_id"), ("type_change", "a", "a")], [("rename", "gone", "here")], [("add", None, "here"), ("remove", "gone", None)],
+        [("add", None, "z"), ("remove", "x", None), ("remove", "y", None)], [("add", None, "n")],
+    ]
+
+
+def test_silver_stamps(spark):
+    got = silver.stamped(spark.range(2)).first()
+    assert got["__silver_processed_at"] is not None and got["__silver_processed_at"] == got["__silver_updated_at"]
+
+
+def test_items_that_are_not_as_declared(spark):
+    contract = Contract({"type": "object", "required": ["id"], "properties": {"id": {"type": "string"}, "li": {"type": "array", "items": {"type": "object", "properties": {"a": {"type": "integer"}, "s": {"type": "object", "properties": {"f": {"type": "string"}}}, "t": {"type": "array", "items": {"type": "object", "properties": {"r": {"type": "number"}}}}}}}}})
+    texts = ['[{"a":1,"s":{"f":"x"},"t":[{"r":1.50},{"r":"2"}]},"x",{"a":"2","s":"bad","t":[5,{"r":3}]},null,{"a":true,"t":{"r":4}}]', "[]", None, '{"a":1}', "nope", ' [{"a":10,"s":{"f":{"z":1}},"t":[]},[1]]']
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "id string, li string")
+    got = sorted(map(tuple, staging.relation_frame(df, contract, "li", "id", ["li.t"]).collect()))
+    assert got == [("0", 1, 1, "x"), ("0", 2, None, None), ("0", 3, 2, None), ("0", 4, None, None), ("0", 5, None, None), ("5", 1, 10, '{"z":1}'), ("5", 2, None, None)]
+    assert sorted(map(tuple, staging.relation_frame(df, contract, "li.t", "id").collect())) == [("0", 1, 1, 1.5), ("0", 1, 2, 2.0), ("0", 3, 1, None), ("0", 3, 2, 3.0)]
