@@ -107,7 +107,8 @@ def nested_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = li.groupBy("l_orderkey").agg(F.to_json(F.array_sort(F.collect_list(item))).alias("line_items"))
     c = table(spark, sf_dir, "customer")
     who = F.to_json(F.struct(F.col("c_name").alias("name"), F.struct(F.col("c_mktsegment").alias("segment"), F.struct(F.col("c_nationkey").alias("nation")).alias("geo")).alias("address")))
-    o = table(spark, sf_dir, "orders").join(c, F.col("o_custkey") == F.col("c_custkey")).join(items, F.col("o_orderkey") == F.col("l_orderkey"))
+    o = table(spark, sf_dir, "orders").join(c, F.col("o_custkey") == F.col("c_custkey"))
+    o = o.join(items.hint("merge"), F.col("o_orderkey") == F.col("l_orderkey"))  # the items lie by order already; their texts are no small side
     return o.select(F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").cast("string").alias("total"), who.alias("customer"), "line_items")
 
 
