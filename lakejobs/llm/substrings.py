@@ -40,6 +40,11 @@ SEED = 32
 DIGIT = 25
 HOT = 128
 HOT_ANCHOR = 4000
+#: Crowded anchors that are broadcast, 16 bytes each; more (over 4,000 times so many runs) meet their runs in a join that
+#: adaptive execution splits.
+MAX_CROWDED = 500_000
+#: Buckets of a shuffle partition: a task sorts its rows by bucket (Spark spills) and holds one bucket at a time.
+BUCKETS = 16
 #: Bytes of a segment of one text; windows that begin in a segment belong to it.
 SEGMENT = 1 << 20
 #: Text behind the records that a task merges before it hands them on.
@@ -162,6 +167,26 @@ def _packed(kind: int, records: np.ndarray, bucket: np.ndarray) -> list[tuple[in
     return [(kind, int(bucket[a]), records[a:b].tobytes()) for a, b in zip(cuts, [*cuts[1:], len(records)], strict=False)]
 
 
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch | None, list[tuple[int, bytes]]]]:
+    """Of packed rows sorted by bucket: batches of the spans among them, and the (kind, data) of one bucket at a time."""
+    held: list[tuple[int, bytes]] = []
+    last = None
+    for batch in batches:
+        kinds, buckets = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        through = np.flatnonzero(kinds == _SPAN)
+        if len(through):
+            yield batch.take(pa.array(through)), []
+        data = batch.column(5)
+        for i in np.flatnonzero(kinds != _SPAN):
+            if held and buckets[i] != last:
+                yield None, held
+                held = []
+            last = buckets[i]
+            held.append((int(kinds[i]), data[int(i)].as_py()))
+    if held:
+        yield None, held
+
+
 _PACKED = "kind int, bucket int, row long, start long, end long, data binary"
 _RUNS, _HOT_RUNS, _MARKS, _SPAN, _WINDOWS, _TEXTS = range(6)
 
@@ -227,16 +252,16 @@ def _settle_runs(packed: DataFrame, length: int) -> DataFrame:
     """Second pass, per bucket: later equal runs become spans, the first of differing runs become candidates."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[bytes]] = {_RUNS: [], _HOT_RUNS: [], _MARKS: []}
-        for batch in batches:
-            kinds = batch.column(0).to_numpy(zero_copy_only=False)
-            through = np.flatnonzero(kinds == _SPAN)
-            if len(through):
-                part = batch.take(pa.array(through))
+        for part, packed_rows in _by_bucket(batches):
+            if part is not None:
                 yield _candidates(np.zeros(0, dtype=_RUN), tuple(part.column(i).to_numpy(zero_copy_only=False) for i in (2, 3, 4)))
-            data = batch.column(5)
-            for i in np.flatnonzero(kinds != _SPAN):
-                held[int(kinds[i])].append(data[int(i)].as_py())
+            else:
+                yield from settle(packed_rows)
+
+    def settle(packed_rows: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[bytes]] = {_RUNS: [], _HOT_RUNS: [], _MARKS: []}
+        for kind, data in packed_rows:
+            held[kind].append(data)
         marks = np.unique(np.frombuffer(b"".join(held[_MARKS]), dtype=np.uint64))
         for kind in (_RUNS, _HOT_RUNS):
             r = np.frombuffer(b"".join(held[kind]), dtype=_RUN)
@@ -348,21 +373,21 @@ def _sort_windows(packed: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = _Hasher(2 * SEGMENT)
-        heads, bodies, windows = [], [], []
-        for batch in batches:
-            kinds = batch.column(0).to_numpy(zero_copy_only=False)
-            through = np.flatnonzero(kinds == _SPAN)
-            if len(through):
-                part = batch.take(pa.array(through))
+        for part, packed_rows in _by_bucket(batches):
+            if part is not None:
                 yield _packed_batch([], tuple(part.column(i).to_numpy(zero_copy_only=False) for i in (2, 3, 4)))
-            for i in np.flatnonzero(kinds != _SPAN):
-                data = batch.column(5)[int(i)].as_py()
-                if kinds[i] == _WINDOWS:
-                    windows.append(np.frombuffer(data, dtype=_WINDOW))
-                    continue
-                n = int(np.frombuffer(data[:4], dtype=np.uint32)[0])
-                heads.append(np.frombuffer(data[4 : 4 + n * _HEAD.itemsize], dtype=_HEAD))
-                bodies.append(data[4 + n * _HEAD.itemsize :])
+            else:
+                yield from sort(hasher, packed_rows)
+
+    def sort(hasher: _Hasher, packed_rows: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+        heads, bodies, windows = [], [], []
+        for kind, data in packed_rows:
+            if kind == _WINDOWS:
+                windows.append(np.frombuffer(data, dtype=_WINDOW))
+                continue
+            n = int(np.frombuffer(data[:4], dtype=np.uint32)[0])
+            heads.append(np.frombuffer(data[4 : 4 + n * _HEAD.itemsize], dtype=_HEAD))
+            bodies.append(data[4 + n * _HEAD.itemsize :])
         if windows:
             w = np.concatenate(windows)
             yield settle(w["key"], w["key2"], w["id"], w["row"], w["start"])
@@ -413,7 +438,7 @@ def removals(docs: DataFrame, length: int = LENGTH, hot: int = HOT, hot_anchor:
         raise ValueError(f"the length must be over {SEED} and at most 255")
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = parts * 8
+    buckets = parts * BUCKETS
     docs = docs.select(F.coalesce("id", F.lit(2**63 - 1)).alias("id"), "row", F.coalesce("text", F.lit("")).alias("text"))
     size = F.octet_length("text").cast("long")
     keyed = docs.where(size >= length).select("id", "row", size.alias("size"), F.unhex(F.sha2("text", 256)).alias("sha"))
@@ -423,13 +448,16 @@ def removals(docs: DataFrame, length: int = LENGTH, hot: int = HOT, hot_anchor:
     copies = common.saved(copies, "copies")
     originals = docs.where(size >= length).join(copies.select("row"), "row", "left_anti").select("id", "row", "text")
     packed = _find_runs(originals, buckets, length, hot)
-    settled = common.saved(_settle_runs(packed.repartition(parts, "bucket"), length), "runs")
+    settled = common.saved(_settle_runs(packed.repartition(parts, "bucket").sortWithinPartitions("bucket"), length), "runs")
     candidates = settled.where("anchor is not null")
     crowded = candidates.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > hot_anchor).select("anchor", F.lit(True).alias("hot"))
+    crowded = common.saved(crowded, "crowded")
+    if crowded.count() <= MAX_CROWDED:  # the candidates aren't dealt by anchor then, so no task gets all of one
+        crowded = F.broadcast(crowded)
     candidates = candidates.join(crowded, "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     runs_of = candidates.groupBy("row").agg(F.collect_list(F.struct("start", "end", "anchor", "at", "hot")).alias("runs"))
     cut = _cut_out(docs.join(runs_of, "row").select("id", "row", "text", "runs"), buckets, length)
-    spans = common.saved(_sort_windows(cut.repartition(parts, "bucket"), length).select("row", "start", "end"), "window-spans")
+    spans = common.saved(_sort_windows(cut.repartition(parts, "bucket").sortWithinPartitions("bucket"), length).select("row", "start", "end"), "window-spans")
     every = settled.where("anchor is null").select("row", "start", "end").unionByName(spans).unionByName(copies.select("row", F.lit(0).cast("long").alias("start"), F.col("size").alias("end")))
     return every.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
