@@ -11,7 +11,9 @@ rarer word meets its count in a join by word; no word left there has more than t
 
 An iteration of Baum-Welch is one pass over the encoded training texts. Each task gives its expected counts per symbol
 and state; Spark sums them by symbol. For training, a text longer than SEGMENT tokens counts as consecutive segments, so
-that memory doesn't grow with the longest text; scores are exact over the whole text.
+that memory doesn't grow with the longest text. A segment that isn't the first begins in the stationary distribution of
+the states and adds nothing to the start counts; the one transition at each cut isn't counted. README has the effect in
+figures. Scores are exact over the whole text.
 
 Defined cases: null text counts as empty (one token, the end); a null id folds like an empty one; repeated rows are
 counted and scored as rows of their own; without training rows N = V = 0 and the start model, even over all symbols, is
@@ -20,6 +22,7 @@ kept; an empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -44,12 +47,27 @@ CELLS = 400_000
 #: Distinct words that a task gathers before it hands their counts on.
 FLUSH = 300_000
 SMOOTH = 100.0
+#: Times that the forward recursion has in a matrix at once.
+BLOCK = 4096
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def tokens(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
+def parts_of(text: bytes, size: int = 4 << 20) -> Iterator[bytes]:
+    """A text in parts of about size bytes, cut before white space, so that its words are never all held at once."""
+    at = 0
+    while len(text) - at > size:
+        cut = _SPACE.search(text, at + size)
+        if cut is None:
+            break
+        yield text[at : cut.start()]
+        at = cut.start()
+    yield text[at:]
+
+
 def word_class(word: bytes) -> int:
     return OWN + crc32(word[-4:]) % CLASSES
 
@@ -69,9 +87,10 @@ def count_words(docs: DataFrame, text: str) -> DataFrame:
 
         for batch in batches:
             for t in common.texts(batch, text):
-                found.update(tokens(t))
-                if len(found) > FLUSH:
-                    yield from out()
+                for part in parts_of(t):
+                    found.update(tokens(part))
+                    if len(found) > FLUSH:
+                        yield from out()
         yield from out()
 
     return docs.select(text).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -94,23 +113,39 @@ class Vocabulary:
         self.log_class = np.log10(self.class_weight)
 
 
-def frequent(counts: DataFrame, most: int) -> int:
-    """Least count, of those with three leading digits, that at most so many words reach. The histogram that comes to the
-    driver has 900 bins for each power of ten, so only that many rows and the words themselves are ever sent."""
-    unit = F.pow(F.lit(10.0), F.greatest(F.length(F.col("n").cast("string")) - 3, F.lit(0))).cast("long")
-    bins = counts.select((F.floor(F.col("n") / unit) * unit).cast("long").alias("low")).groupBy("low").agg(F.count("*").alias("words")).collect()
-    reached, least = 0, 1 << 62
-    for low, words in sorted(((r["low"], r["words"]) for r in bins), reverse=True):
-        reached += words
-        if reached > most:
-            break
-        least = low
-    return least
+def frequent(counts: DataFrame, most: int) -> Column:
+    """Condition for the most frequent words, at most so many; ties of one count are broken by a hash of the word.
+
+    Three histograms find it, so only their bins and the words themselves ever come to the driver: of counts by three
+    leading digits (900 bins for each power of ten), of the counts in the bin that is too much, and of the hashes of the
+    words of the count that is too much.
+    """
+
+    def cut(bins: DataFrame, reached: int) -> tuple[int | None, int]:
+        """The greatest key that is too much (None: none is), and the words above it."""
+        for key, words in sorted(((r["key"], r["words"]) for r in bins.groupBy("key").agg(F.count("*").alias("words")).collect()), reverse=True):
+            if reached + words > most:
+                return key, reached
+            reached += words
+        return None, reached
+
+    n = F.col("n")
+    unit = F.pow(F.lit(10.0), F.greatest(F.length(n.cast("string")) - 3, F.lit(0))).cast("long")
+    low = (F.floor(n / unit) * unit).cast("long")
+    bin_, reached = cut(counts.select(low.alias("key")), 0)
+    if bin_ is None:
+        return F.lit(True)
+    exact, reached = cut(counts.where(low == bin_).select(n.alias("key")), reached)
+    if exact is None:
+        return low > bin_
+    place = F.shiftrightunsigned(F.xxhash64("word"), 52)
+    top, _ = cut(counts.where(n == exact).select(place.alias("key")), reached)
+    return (n > exact) | ((n == exact) & (place > (top if top is not None else -1)))
 
 
 def vocabulary(counts: DataFrame, ends: int) -> Vocabulary:
     sums = counts.agg(F.sum("n"), F.count("*")).first()
-    top = sorted(((bytes(r["word"]), r["n"]) for r in counts.where(F.col("n") >= frequent(counts, KNOWN)).collect()), key=lambda x: (-x[1], x[0]))
+    top = sorted(((bytes(r["word"]), r["n"]) for r in counts.where(frequent(counts, KNOWN)).collect()), key=lambda x: (-x[1], x[0]))
     own = {w for w, _ in top[:OWN]}
     shared = counts.sparkSession.sparkContext.broadcast(own)
 
@@ -160,21 +195,27 @@ def encode(docs: DataFrame, words: Vocabulary, text: str, kept: list[str]) -> Da
                 out: list[list] = [[], [], [], [], []]
                 rest, times, ends = [], [], [0]
                 for t in found[a:b]:
-                    words_of = tokens(t)
-                    place = np.fromiter(map(v.known.get, words_of, repeat(-1)), dtype=np.int32, count=len(words_of))
-                    held = place >= 0
-                    numbers = np.zeros(len(place) + 1, dtype=np.uint16)
-                    numbers[:-1][held] = symbol[place[held]]
-                    rare = [words_of[i] for i in np.flatnonzero(~held)]
-                    numbers[:-1][~held] = np.fromiter(map(classes.__getitem__, rare), dtype=np.uint16, count=len(rare))
-                    numbers[-1] = END
-                    counted = Counter(rare)
+                    numbers, counted = [], Counter()
+                    n_known, log_known, log_class = known_end, log_end, 0.0
+                    for part in parts_of(t):
+                        words_of = tokens(part)
+                        place = np.fromiter(map(v.known.get, words_of, repeat(-1)), dtype=np.int32, count=len(words_of))
+                        held = place >= 0
+                        own_numbers = np.zeros(len(place), dtype=np.uint16)
+                        own_numbers[held] = symbol[place[held]]
+                        rare = [words_of[i] for i in np.flatnonzero(~held)]
+                        own_numbers[~held] = np.fromiter(map(classes.__getitem__, rare), dtype=np.uint16, count=len(rare))
+                        counted.update(rare)
+                        in_class = own_numbers[own_numbers >= OWN].astype(np.int64) - OWN
+                        n_known += int(held.sum())
+                        log_known += float(log[place[held]].sum())
+                        log_class += float(log[place[place >= OWN]].sum()) - float(v.log_class[in_class].sum())
+                        numbers.append(own_numbers)
+                    numbers = np.append(np.concatenate(numbers), np.uint16(END))
                     rest += counted
                     times += counted.values()
                     ends.append(len(rest))
-                    in_class = numbers[:-1][numbers[:-1] >= OWN].astype(np.int64) - OWN
-                    log_class = float(log[place[place >= OWN]].sum()) - float(v.log_class[in_class].sum())
-                    row = (len(place) + 1, int(held.sum()) + known_end, log_end + float(log[place[held]].sum()), log_class, numbers.astype("<u2").tobytes())
+                    row = (len(numbers), n_known, log_known, log_class, numbers.astype("<u2").tobytes())
                     for column, x in zip(out, row, strict=True):
                         column.append(x)
                 kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary())
@@ -214,7 +255,7 @@ def _groups(lengths: np.ndarray) -> Iterator[np.ndarray]:
     order = np.argsort(lengths, kind="stable")[::-1]
     at = 0
     while at < len(order):
-        n = max(16, CELLS // max(int(lengths[order[at]]), 1))
+        n = max(1, CELLS // max(int(lengths[order[at]]), 1))
         yield order[at : at + n]
         at += n
 
@@ -234,25 +275,44 @@ def _live(lengths: np.ndarray) -> np.ndarray:
 
 def forward(model: Model, symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Natural log likelihood of each column of a time-major matrix, longest first: the exact scaled recursion."""
+    flat = np.ascontiguousarray(symbols.T).ravel()
+    return forward_of(model, flat, np.arange(len(lengths)) * symbols.shape[0], lengths)
+
+
+def forward_of(model: Model, flat: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The same for sequences that lie in a flat array, longest first, a block of times after another."""
     total = np.zeros(len(lengths))
     a = None
-    for t, n in enumerate(_live(lengths)):
-        e = model.emit[symbols[t, :n]]
-        a = (model.start if a is None else a[:n] @ model.move) * e
-        scale = a.sum(axis=1)
-        total[:n] += np.log(scale)
-        a /= scale[:, None]
+    for at in range(0, int(lengths.max()), BLOCK):
+        left = lengths[lengths > at] - at
+        part = np.minimum(left, BLOCK)
+        symbols = _matrix(flat, begins[: len(left)] + at, part)
+        for t, n in enumerate(_live(part)):
+            e = model.emit[symbols[t, :n]]
+            a = (model.start if a is None else a[:n] @ model.move) * e
+            scale = a.sum(axis=1)
+            total[:n] += np.log(scale)
+            a /= scale[:, None]
     return total
 
 
-def expected_counts(model: Model, symbols: np.ndarray, lengths: np.ndarray, emit: np.ndarray, move: np.ndarray, start: np.ndarray) -> None:
-    """Forward and backward over a group, added to the expected counts."""
+def stationary(move: np.ndarray) -> np.ndarray:
+    """The distribution of states that a move leaves as it is."""
+    out = np.full(len(move), 1 / len(move))
+    for _ in range(200):
+        out = out @ move
+    return out / out.sum()
+
+
+def expected_counts(model: Model, symbols: np.ndarray, lengths: np.ndarray, emit: np.ndarray, move: np.ndarray, start: np.ndarray, first: np.ndarray | None = None) -> None:
+    """Forward and backward over a group, added to the expected counts. first: which columns begin a text."""
     live, k = _live(lengths), len(model.start)
     steps, n0 = symbols.shape
     e = model.emit[symbols]
+    begin = np.broadcast_to(model.start, (n0, k)) if first is None else np.where(first[:, None], model.start, stationary(model.move))
     alpha, scale = np.zeros((steps, n0, k)), np.ones((steps, n0))
     for t, n in enumerate(live):
-        a = (np.broadcast_to(model.start, (n, k)) if t == 0 else alpha[t - 1, :n] @ model.move) * e[t, :n]
+        a = (begin if t == 0 else alpha[t - 1, :n] @ model.move) * e[t, :n]
         s = a.sum(axis=1)
         alpha[t, :n], scale[t, :n] = a / s[:, None], s
     gamma = np.zeros((steps, n0, k))
@@ -264,7 +324,7 @@ def expected_counts(model: Model, symbols: np.ndarray, lengths: np.ndarray, emit
         move += model.move * (alpha[t, :m].T @ right)
         beta[:m] = right @ model.move.T
         gamma[t, :n] = alpha[t, :n] * beta[:n]
-    start += gamma[0].sum(axis=0)
+    start += gamma[0].sum(axis=0) if first is None else gamma[0][first].sum(axis=0)
     flat = symbols.ravel()
     for j in range(k):
         emit[:, j] += np.bincount(flat, gamma[:, :, j].ravel(), SYMBOLS)
@@ -301,7 +361,7 @@ def train(encoded: DataFrame, words: Vocabulary, states: int = STATES, iteration
                     nth = np.arange(len(which)) - np.repeat(np.cumsum(parts) - parts, parts)
                     begin, length = begins[which] + nth * SEGMENT, np.minimum(SEGMENT, lengths[which] - nth * SEGMENT)
                     for g in _groups(length):
-                        expected_counts(shared.value, _matrix(flat, begin[g], length[g]), length[g], emit, move, start)
+                        expected_counts(shared.value, _matrix(flat, begin[g], length[g]), length[g], emit, move, start, nth[g] == 0)
             every = np.concatenate([emit, move, start[None]])
             used = np.flatnonzero(every.any(axis=1))
             yield pa.RecordBatch.from_arrays([pa.array(used), *[pa.array(every[used, j]) for j in range(states)]], names=["cell", *[f"k{j}" for j in range(states)]])
@@ -325,7 +385,7 @@ def likelihoods(encoded: DataFrame, model: Model, kept: list[str]) -> DataFrame:
                 flat, lengths = _parsed(batch)
                 begins, out = np.cumsum(lengths) - lengths, np.zeros(len(lengths))
                 for g in _groups(lengths):
-                    out[g] = forward(shared.value, _matrix(flat, begins[g], lengths[g]), lengths[g])
+                    out[g] = forward_of(shared.value, flat, begins[g], lengths[g])
                 yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in kept], pa.array(out / np.log(10))], names=[*kept, "log_model"])
 
     types = {f.name: f.dataType.simpleString() for f in encoded.schema}
