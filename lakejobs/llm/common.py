@@ -20,7 +20,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder of spark.checkpoint.dir. Where that is unset: a temporary folder in local mode,
     else a folder in the warehouse, which all executors see."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    found = spark.conf.get("spark.checkpoint.dir", None) or _scratch.get(spark.sparkContext.applicationId)
     if found:
         return found
     if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
@@ -29,19 +29,39 @@ def scratch_dir(spark: SparkSession) -> str:
         found = "file://" + tempfile.mkdtemp(prefix="spark-lakejobs-")
     else:
         found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-    spark.conf.set("spark.checkpoint.dir", found)
+    _scratch[spark.sparkContext.applicationId] = found
     return found
 
 
+#: Scratch folders by application, where the setting names none.
+_scratch: dict[str, str] = {}
+
+
+def _own_folder(spark: SparkSession) -> tuple[str, object, object]:
+    """The application's folder of saved frames, with its file system and path."""
+    folder = f"{scratch_dir(spark)}/lakejobs/{spark.sparkContext.applicationId}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return folder, path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all frames that saved() has written in this application. Call it when results that stem from them are
+    written; what is left goes when the application ends."""
+    _, fs, path = _own_folder(spark)
+    fs.delete(path, True)
+
+
 def saved(df: DataFrame, label: str) -> DataFrame:
     """Write a frame as Parquet into the shared scratch folder and read it back. This cuts the lineage at a
     place that survives lost executors, and pins the row order decisions of whatever made the frame."""
     conf, clean = df.sparkSession.conf, "spark.sql.shuffleDependency.fileCleanup.enabled"
-    path = f"{scratch_dir(df.sparkSession)}/lakejobs/{label}-{uuid.uuid4().hex}"
+    folder, fs, root = _own_folder(df.sparkSession)
+    path = f"{folder}/{label}-{uuid.uuid4().hex}"
     before = conf.get(clean, None)
     conf.set(clean, "true")  # the shuffle files of this write aren't needed after it
     try:
         df.write.parquet(path)
+        fs.deleteOnExit(root)
     finally:
         conf.unset(clean) if before is None else conf.set(clean, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
