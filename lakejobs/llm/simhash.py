@@ -16,8 +16,8 @@ with all values within t_i; candidates are verified on all 64 bits.
 
 Dense groups of near copies are not expanded into pairs. First every bucket of equal partition values links its
 members to two of its own (the smallest fingerprint and the one of most documents), which joins nearly all of a
-dense group in linear work. Only buckets that still hold different components are then probed, and only pairs of
-different components are kept.
+dense group in linear work. Only buckets that still hold different components are then probed, crowded ones split by
+further bits, and only pairs of different components are kept.
 
 Defined cases: null and empty texts have fingerprint zero; a null id takes part, and is never a component id unless
 all ids of the component are null; repeated rows are rows of their own; an empty table gives no rows; other columns
@@ -43,6 +43,8 @@ MAX_DISTANCE = 4
 SHINGLE = 4
 #: Cost of one probe (a row to shuffle) and of one candidate (a verification in the join).
 PROBE_COST, CANDIDATE_COST = 3.0, 0.25
+#: Entries and probes of one bucket beyond which it is left out, if of one component, or split by further bits.
+CROWDED = 512
 
 
 def shingle_hashes(text: bytes, k: int = SHINGLE) -> np.ndarray:
@@ -195,7 +197,7 @@ def _near(a: str, b: str, max_distance: int):
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= max_distance
 
 
-def links(nodes: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
+def links(nodes: DataFrame, max_distance: int = MAX_DISTANCE, crowded: int = CROWDED) -> DataFrame:
     """Edges (u, v) between distinct fingerprints that have the components of all links, not all the links.
 
     nodes: (fp long, n long) distinct fingerprints and their number of documents.
@@ -213,10 +215,18 @@ def links(nodes: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
     right = probes.select("part", "sig", F.col("fp").alias("v"), F.col("c").alias("cv"))
     left = stored.select("part", "sig", F.col("fp").alias("u"), F.col("c").alias("cu"))
     both = left.select("part", "sig", F.col("cu").alias("c")).unionByName(right.select("part", "sig", F.col("cv").alias("c")))
-    mixed = both.groupBy("part", "sig").agg(F.min("c").alias("a"), F.max("c").alias("b"), F.count("*").alias("n")).where("n > 512").select("part", "sig", (F.col("a") == F.col("b")).alias("same"))
-    only = mixed.where("same").select("part", "sig")
-    left = left.join(only, ["part", "sig"], "left_anti")
-    found = left.join(right, ["part", "sig"]).where((F.col("cu") != F.col("cv")) & _near("u", "v", max_distance))
+    sizes = both.groupBy("part", "sig").agg(F.min("c").alias("a"), F.max("c").alias("b"), F.count("*").alias("n")).where(F.col("n") > crowded)
+    sizes = common.saved(sizes.select("part", "sig", (F.col("a") == F.col("b")).alias("same")), "crowded")
+    key = ["part", "sig"]
+    pairs = left.join(sizes.select(*key), key, "left_anti").join(right, key).select("u", "cu", "v", "cv")
+    mixed = sizes.where("not same").select(*key)
+    if mixed.limit(1).count():
+        # Bits in max_distance + 1 groups: fingerprints within the distance agree in one of them, so a crowded bucket is
+        # split by group and value without losing a pair.
+        groups = np.array_split(np.arange(BITS), max_distance + 1)
+        split = lambda df, fp: df.join(mixed, key, "left_semi").select("*", F.explode(F.array(*[F.struct(F.lit(g).alias("group"), F.col(fp).bitwiseAND(F.lit(_mask(bits.tolist()))).alias("value")) for g, bits in enumerate(groups)])).alias("k")).select("*", "k.*").drop("k")
+        pairs = pairs.unionByName(split(left, "u").join(split(right, "v"), [*key, "group", "value"]).select("u", "cu", "v", "cv"))
+    found = pairs.where((F.col("cu") != F.col("cv")) & _near("u", "v", max_distance))
     return star.unionByName(found.select("u", "v").distinct())
 
 
