@@ -10,8 +10,8 @@ decoded by Viterbi. All kept blocks, in page order, joined by line ends, are the
 
 Labelled pages are those whose own mark-up says what the article is: exactly one <article> or <main>. Blocks in it are
 labelled keep, unless a nav, header, footer, aside, form or the like stands between; the rest are labelled drop. The fit
-takes at most max_pages of them (those of smallest hash of page id), and a fixed set of small labelled pages for layouts
-without such tags.
+takes at most max_pages of them (those of smallest hash of page id), every other one also with its sectioning elements as
+plain divs, and a fixed set of small labelled pages for layouts without such tags.
 
 Defined cases: null and empty pages have an empty text; broken mark-up is read as far as it goes (an open tag at the end
 is dropped, unclosed blocks end with the page); character references are decoded, unknown ones stay; repeated rows are
@@ -35,6 +35,8 @@ from pyspark.sql import functions as F
 from lakejobs.llm import common
 
 MAX_PAGES = 250
+#: Blocks of a labelled page at most; longer pages don't train.
+MAX_BLOCKS = 2000
 #: Pages of the fixed rule that shows layouts without an article element.
 SEED_PAGES = 320
 #: Observations are hashed into so many weights.
@@ -58,6 +60,7 @@ _SCOPE = frozenset("ul ol dl table article section main body div".split())
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|$)", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORDS = re.compile(r"[a-z]+")
+_SECTION = re.compile(r"<(/?)(?:article|main|nav|header|footer|aside)\b", re.I)
 _SPACE = re.compile(r"[ \t\n\f\r\v   -     　\x1c-\x1f\x85]+")
 
 
@@ -331,19 +334,43 @@ def seed_labels() -> list[tuple[list[Block], list[int]]]:
     return out
 
 
+def without_hints(page: str) -> str:
+    """The page with its sectioning elements as plain divs, as many layouts have them."""
+    return _SECTION.sub(r"<\1div", page)
+
+
+def examples(page: str, slots: dict[str, int]) -> list[tuple[list[list[int]], list[int]]]:
+    """(observations, labels) of a page that labels itself, and of every other one (by a hash) also without sectioning
+    elements, so that what is learnt doesn't rest on them alone. None of pages over MAX_BLOCKS blocks."""
+    found = blocks(page)
+    labels = own_labels(found) if len(found) <= MAX_BLOCKS else None
+    if labels is None:
+        return []
+    out = [(observations(found, slots), labels)]
+    if crc32(page.encode("utf-8", "replace")) % 2:
+        bare = blocks(without_hints(page))
+        if [b.text for b in bare] == [b.text for b in found]:
+            out.append((observations(bare, slots), labels))
+    return out
+
+
 def train(pages: DataFrame, id_column: str = "page_id", column: str = "html", max_pages: int = MAX_PAGES) -> Field:
-    """Fit on at most max_pages pages that label themselves, and the seed pages."""
+    """Fit on at most max_pages pages that label themselves, and the seed pages. The tasks read the pages; observations,
+    of at most max_pages * MAX_BLOCKS blocks, come to the driver."""
     marked = pages.where(F.col(column).rlike(r"(?i)<(article|main)\b")).select(F.col(id_column).cast("string").alias("id"), F.col(column).alias("html"))
     chosen = common.smallest_hashes(marked.select("id").distinct(), "id", max_pages)  # ids first: pages are long
-    rows = marked.join(F.broadcast(chosen), "id").select("html").limit(max_pages).toLocalIterator()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slots = _Slots()
+        for batch in batches:
+            for page in batch.column(batch.schema.get_field_index("html")).to_pylist():
+                own = examples(page, slots)
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in own], pa.list_(pa.list_(pa.int32()))), pa.array([y for _, y in own], pa.list_(pa.int32()))], names=["x", "y"])
+
+    rows = marked.join(F.broadcast(chosen), "id").select("html").mapInArrow(run, "x array<array<int>>, y array<int>")
+    data = sorted((r["x"], r["y"]) for r in rows.limit(2 * max_pages).collect())
     slots = _Slots()
-    data = []
-    for r in rows:
-        found = blocks(r["html"])
-        if (labels := own_labels(found)) is not None:
-            data.append((observations(found, slots), labels))
-    for found, labels in seed_labels():
-        data.append((observations(found, slots), labels))
+    data += [(observations(found, slots), labels) for found, labels in seed_labels()]
     return fit(data)
 
 
