@@ -5,7 +5,9 @@ product are neighbours in space. The first graph comes from trees of random hype
 with each other; if nodes end up with under DEGREE neighbours (lone ones, small far groups), all are compared once more in
 random groups, so that none stays apart. Then each iteration joins the graph with itself: a node's list (the best of its
 neighbours, and nodes that have it as neighbour) is joined with the vectors, the list's members are compared with each
-other, and every node keeps its DEGREE best. It ends when few neighbours still change, however many iterations that takes.
+other, and every node keeps its DEGREE best. Two members are compared once: only pairs with a member whose edge is new
+since it was last on a list, and lists without new edges don't meet the vectors at all. It ends when few neighbours still
+change, however many iterations that takes.
 Nodes that few lists hold are added to the lists of their own neighbours, so that searches find them.
 
 Queries search greedily: from its own node's neighbours, and the nodes of a random group, a query expands the best nodes
@@ -45,10 +47,14 @@ BUCKET_NODES = 500
 PARTNERS, ENTRIES = 128, 64
 #: Nodes that fewer lists than this hold are offered to searches by their own neighbours too.
 SELDOM = 20
-#: Leaves over this size are cut into blocks.
+#: Leaves over this size are cut into blocks, along a random direction; tasks get ranges of it, not whole leaves.
 BLOCK = 1000
+#: Buckets of a shuffle partition at most; a task holds the edges of one at a time.
+BUCKETS = 8
 
-_EDGE = np.dtype([("a", "<i8"), ("b", "<i8"), ("s", "<f4")])
+#: How an edge stands: met on a list already, in the graph but not on a list yet, offered.
+_MET, _NEW, _OFFERED = range(3)
+_EDGE = np.dtype([("a", "<i8"), ("b", "<i8"), ("s", "<f4"), ("f", "u1")])
 
 
 def vectors(df: DataFrame, id_column: str, column: str) -> DataFrame:
@@ -90,9 +96,9 @@ def _groups(batches: Iterator[pa.RecordBatch], key: list[int], limit: int | None
 
 
 def _best(edges: np.ndarray, k: int) -> np.ndarray:
-    """The k best different neighbours of each node."""
+    """The k best different neighbours of each node; an edge that is offered again stands as it stood."""
     edges = edges[edges["a"] != edges["b"]]
-    edges = edges[np.lexsort((edges["b"], edges["a"]))]
+    edges = edges[np.lexsort((edges["f"], edges["b"], edges["a"]))]
     edges = edges[np.append(True, (edges["a"][1:] != edges["a"][:-1]) | (edges["b"][1:] != edges["b"][:-1]))] if len(edges) else edges
     edges = edges[np.lexsort((edges["b"], -edges["s"], edges["a"]))]
     first = np.flatnonzero(np.append(True, edges["a"][1:] != edges["a"][:-1])) if len(edges) else np.zeros(0, dtype=np.int64)
@@ -114,24 +120,33 @@ def _packed(edges: np.ndarray, buckets: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(bucket[cuts].astype(np.int32)), pa.array(data, pa.binary())], names=["bucket", "edges"])
 
 
-def _compare(groups: Iterator[pa.Table], node: int, vector: int, least: int | None, offer: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Members of each group with each other: the best of them, if better than what a member has, as packed edges."""
+def _compare(groups: Iterator[pa.Table], node: int, vector: int, least: int | None, offer: int, buckets: int, new: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Members of each group with each other: the best of them, if better than what a member has, as packed edges. new: the
+    column that tells new members; pairs without one are left out."""
     held: list[np.ndarray] = []
     total = 0
     for g in groups:
         ids = g.column(node).to_numpy()
         x = _matrix(g.column(vector).combine_chunks(), len(ids))
-        ids, at = np.unique(ids, return_index=True)
+        old = ~g.column(new).to_numpy() if new is not None else None
+        if old is None:
+            ids, at = np.unique(ids, return_index=True)
+        else:  # a member that is on the list twice is new if either is
+            order = np.lexsort((old, ids))
+            ids, at = np.unique(ids[order], return_index=True)
+            at = order[at]
         if len(ids) < 2:
             continue
         x = x[at]
         s = x @ x.T
         np.fill_diagonal(s, -np.inf)
+        if old is not None and (seen := np.flatnonzero(old[at])).size:
+            s[np.ix_(seen, seen)] = -np.inf
         k = min(offer, len(ids) - 1)
         top = np.argpartition(-s, k - 1, axis=1)[:, :k] if k < len(ids) - 1 else np.argsort(-s, axis=1)[:, :k]
         score = np.take_along_axis(s, top, axis=1)
         good = score > (g.column(least).to_numpy()[at][:, None] if least is not None else -np.inf)
-        e = np.zeros(int(good.sum()), dtype=_EDGE)
+        e = np.full(int(good.sum()), _OFFERED, dtype=_EDGE)
         e["a"], e["b"], e["s"] = np.repeat(ids, k).reshape(-1, k)[good], ids[top][good], score[good]
         held.append(e)
         total += len(e)
@@ -142,11 +157,12 @@ def _compare(groups: Iterator[pa.Table], node: int, vector: int, least: int | No
         yield _packed(_best(np.concatenate(held), DEGREE), buckets)
 
 
-_GRAPH = "node long, neighbours array<long>, scores array<float>, fresh int"
+_GRAPH = "node long, neighbours array<long>, scores array<float>, new array<boolean>, fresh int"
 
 
 def _merge(old: DataFrame | None, offers: DataFrame, parts: int, buckets: int) -> DataFrame:
-    """The DEGREE best of the graph so far and what is offered: (node, neighbours, scores, fresh)."""
+    """The DEGREE best of the graph so far and what is offered: (node, neighbours, scores, new, fresh), where new tells the
+    neighbours that have been on no list yet and fresh counts those that came now."""
     if old is not None:
 
         def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,38 +170,28 @@ def _merge(old: DataFrame | None, offers: DataFrame, parts: int, buckets: int) -
                 sizes = batch.column(1).value_lengths().to_numpy()
                 e = np.zeros(int(sizes.sum()), dtype=_EDGE)
                 e["a"], e["b"], e["s"] = np.repeat(batch.column(0).to_numpy(), sizes), batch.column(1).flatten().to_numpy(), batch.column(2).flatten().to_numpy()
-                p = _packed(e, buckets)
-                yield pa.RecordBatch.from_arrays([*p.columns, pa.array(np.ones(p.num_rows, dtype=bool))], names=["bucket", "edges", "old"])
+                place = np.arange(len(e)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                e["f"] = np.where(batch.column(3).flatten().to_numpy(zero_copy_only=False) & (place >= WIDTH), _NEW, _MET)
+                yield _packed(e, buckets)
 
-        offers = offers.withColumn("old", F.lit(False)).unionByName(old.select("node", "neighbours", "scores").mapInArrow(pack, "bucket int, edges binary, old boolean"))
-    else:
-        offers = offers.withColumn("old", F.lit(False))
+        offers = offers.unionByName(old.select("node", "neighbours", "scores", "new").mapInArrow(pack, "bucket int, edges binary"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, known = [], []
-        for batch in batches:
-            for raw, was in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                (known if was else held).append(np.frombuffer(raw, dtype=_EDGE))
-        none = np.zeros(0, dtype=_EDGE)
-        before = np.concatenate([none, *known])
-        e = _best(np.concatenate([before, *held]), DEGREE)
-        if not len(e):
-            return
-        key = lambda x: x["a"].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ x["b"].astype(np.uint64)
-        new = ~np.isin(key(e), key(before))
-        first = np.flatnonzero(np.append(True, e["a"][1:] != e["a"][:-1]))
-        for i in range(0, len(first), 5000):
-            own = first[i : i + 5000]
-            stop = first[i + 5000] if i + 5000 < len(first) else len(e)
-            offsets = pa.array((np.append(own, stop) - own[0]).astype(np.int32))
-            part = slice(own[0], stop)
-            fresh = np.add.reduceat(new[part].astype(np.int32), own - own[0])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(e["a"][own]), pa.ListArray.from_arrays(offsets, pa.array(e["b"][part])), pa.ListArray.from_arrays(offsets, pa.array(e["s"][part])), pa.array(fresh, pa.int32())],
-                names=["node", "neighbours", "scores", "fresh"],
-            )
-
-    return offers.repartition(parts, "bucket").mapInArrow(run, _GRAPH)
+        for g in _groups(batches, [0]):
+            e = _best(np.concatenate([np.frombuffer(x, dtype=_EDGE) for x in g.column(1).to_pylist()]), DEGREE)
+            if not len(e):
+                continue
+            first = np.flatnonzero(np.append(True, e["a"][1:] != e["a"][:-1]))
+            for i in range(0, len(first), 5000):
+                own = first[i : i + 5000]
+                stop = first[i + 5000] if i + 5000 < len(first) else len(e)
+                offsets = pa.array((np.append(own, stop) - own[0]).astype(np.int32))
+                part = e[own[0] : stop]
+                fresh = np.add.reduceat((part["f"] == _OFFERED).astype(np.int32), own - own[0])
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (part["b"], part["s"], part["f"] != _MET)]
+                yield pa.RecordBatch.from_arrays([pa.array(e["a"][own]), *lists, pa.array(fresh, pa.int32())], names=["node", "neighbours", "scores", "new", "fresh"])
+
+    return offers.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(run, _GRAPH)
 
 
 def _first_graph(nodes: DataFrame, n: int, size: int, parts: int, buckets: int) -> DataFrame:
@@ -215,7 +221,9 @@ def _first_graph(nodes: DataFrame, n: int, size: int, parts: int, buckets: int)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t)), pa.array(leaf.astype(np.int64)), pa.array(side[:, depth].astype(float)), batch.column(0), batch.column(1)], names=["tree", "leaf", "place", "node", "v"])
 
     dealt = nodes.select("node", "v").mapInArrow(leaves, "tree long, leaf long, place double, node long, v binary")
-    dealt = dealt.repartition(parts, "tree", "leaf").sortWithinPartitions("tree", "leaf", "place")
+    # By ranges, so that a leaf of many unequal vectors lies in several tasks; a table that is one leaf stays together.
+    dealt = dealt.repartitionByRange(parts, "tree", "leaf", "place") if n > LEAF else dealt.repartition(parts, "tree", "leaf")
+    dealt = dealt.sortWithinPartitions("tree", "leaf", "place")
     offers = dealt.mapInArrow(lambda batches: _compare(_groups(batches, [0, 1], BLOCK), 3, 4, None, DEGREE, buckets), "bucket int, edges binary")
     return _merge(None, offers, parts, buckets)
 
@@ -240,17 +248,20 @@ def _partners(graph: DataFrame, nodes: DataFrame, n: int, parts: int, buckets: i
 def build(nodes: DataFrame, n: int, size: int) -> DataFrame:
     """The neighbour graph of nodes (node long, v binary of float32 of equal norms)."""
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(1, min(parts, n // BUCKET_NODES))  # a task gives a row per bucket, so buckets follow the nodes
+    buckets = max(1, min(parts * BUCKETS, n // BUCKET_NODES))  # a task gives a row per bucket, so buckets follow the nodes
     graph = common.saved(_first_graph(nodes, n, size, parts, buckets), "graph")
     if n > LEAF and graph.where(F.size("neighbours") >= DEGREE).count() < n:
         graph = common.saved(_merge(graph, _partners(graph, nodes, n, parts, buckets), parts, buckets), "graph")
     for i in count() if n > LEAF else ():  # ends: lists only get better
-        ahead = graph.select("node", F.explode(F.slice("neighbours", 1, WIDTH)).alias("to"))
-        back = graph.select(F.col("node").alias("to"), F.explode("neighbours").alias("node"))
-        order = Window.partitionBy("node").orderBy(F.xxhash64("to", F.lit(i)), "to")
-        back = back.withColumn("place", F.row_number().over(order)).where(F.col("place") <= WIDTH).select("node", "to")
-        lists = ahead.unionByName(back).join(_known(nodes, graph), "to").select("node", "to", "v", "least").repartition(parts, "node").sortWithinPartitions("node")
-        offers = lists.mapInArrow(lambda batches: _compare(_groups(batches, [0]), 1, 2, 3, OFFER, buckets), "bucket int, edges binary")
+        edges = graph.select("node", F.posexplode(F.arrays_zip(F.col("neighbours").alias("to"), "new")).alias("at", "e")).select("node", "at", "e.to", "e.new")
+        ahead = edges.where(F.col("at") < WIDTH).select("node", "to", "new")
+        order = Window.partitionBy("node").orderBy(F.desc("new"), F.xxhash64("to", F.lit(i)), "to")
+        back = edges.select(F.col("to").alias("node"), F.col("node").alias("to"), "new")
+        back = back.withColumn("place", F.row_number().over(order)).where(F.col("place") <= WIDTH).select("node", "to", "new")
+        lists = ahead.unionByName(back).groupBy("node").agg(F.max("new").alias("any"), F.collect_list(F.struct("to", "new")).alias("list")).where("any")
+        lists = lists.select("node", F.explode("list").alias("e")).select("node", "e.to", "e.new").join(_known(nodes, graph), "to")
+        lists = lists.select("node", "to", "v", "least", "new").repartition(parts, "node").sortWithinPartitions("node")
+        offers = lists.mapInArrow(lambda batches: _compare(_groups(batches, [0]), 1, 2, 3, OFFER, buckets, 4), "bucket int, edges binary")
         graph = common.saved(_merge(graph, offers, parts, buckets), "graph")
         if (graph.agg(F.sum("fresh")).first()[0] or 0) < 0.01 * n * DEGREE:
             break
@@ -345,7 +356,10 @@ def nearest(df: DataFrame, is_query: Column, k: int = 20, id_column: str = "vec_
     held = held.groupBy("query").agg(F.count("*").alias("nodes"), F.sum(F.size("members") - F.array_contains("members", F.col("query_id")).cast("int")).alias("rows"))
     short = common.saved(asked.join(held, "query", "left").where((F.coalesce("rows", F.lit(0)) < k) & (F.coalesce("nodes", F.lit(0)) < n)).select("query", "query_id", "x"), "short")
     if short.limit(1).count():
-        pairs = pairs.join(short.select("query"), "query", "left_anti").unionByName(short.crossJoin(candidates))
+        blocks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # these queries against all rows, in blocks
+        dealt = candidates.withColumn("block", F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int"))
+        every = short.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(dealt, "block").drop("block")
+        pairs = pairs.join(short.select("query"), "query", "left_anti").unionByName(every)
     product = F.aggregate(F.zip_with("x", "y", lambda a, b: a * b), F.lit(0.0), lambda s, c: s + c)
     rows = pairs.select("query", "query_id", product.alias("score"), F.explode("members").alias("id")).where(F.col("id") != F.col("query_id"))
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
