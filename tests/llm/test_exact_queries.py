@@ -95,6 +95,82 @@ def test_hmm_base_and_model(spark, sf_dir):
     assert np.mean(gain) > 0.1
 
 
+def test_hmm_scores_by_plain_recursion(spark, sf_dir, monkeypatch):
+    """The model that the query trains, applied word by word: emissions, classes and counts taken anew from the texts."""
+    from lakejobs.llm import hmm
+
+    seen = {}
+    real = hmm.train
+
+    def train(encoded, words, *a, **kw):
+        seen["words"], seen["model"] = words, real(encoded, words, *a, **kw)
+        return seen["model"]
+
+    monkeypatch.setattr(hmm, "train", train)
+    docs = documents(spark, sf_dir)
+    got = {r["doc_id"]: r["score"] for r in registry.QUERIES["op3_hmm_scoring"](spark, sf_dir).collect()}
+    model, own = seen["model"], {w: i for w, i in seen["words"].known.items() if i < hmm.OWN}
+    assert model.emit.sum(axis=0) == pytest.approx(1) and model.move.sum(axis=1) == pytest.approx(1) and model.start.sum() == pytest.approx(1)
+    count = Counter()
+    for i, t in docs:
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            count.update(t.translate(ASCII_LOWER).split())
+    weight = Counter()
+    for w, c in count.items():
+        if w not in own:
+            weight[zlib.crc32(w[-4:]) % hmm.CLASSES] += c + 1
+    for i, t in docs:
+        a, total = None, 0.0
+        for w in [*t.translate(ASCII_LOWER).split(), None]:
+            if w is None:
+                symbol = hmm.END
+            elif w in own:
+                symbol = own[w]
+            else:
+                k = zlib.crc32(w[-4:]) % hmm.CLASSES
+                symbol = hmm.OWN + k
+                total += log10((count[w] + 1) / (weight[k] + 1))
+            a = (model.start if a is None else a @ model.move) * model.emit[symbol]
+            total += log10(a.sum())
+            a = a / a.sum()
+        assert got[i] == pytest.approx(total, rel=1e-9)
+
+
+def test_quality_by_plain_features_and_tables(spark, sf_dir):
+    """Features character by character, the same fit, and scores summed table by table."""
+    from bisect import bisect_right
+    from math import exp, log1p, sqrt
+
+    from lakejobs.llm import quality
+
+    space, symbols = b" \t\n\v\f\r", b"#$%&*+/<=>@[\\]^_`{}~"
+
+    def features(t):
+        words, lines = t.split(), t.split(b"\n")
+        n, w = max(len(t), 1), max(len(words), 1)
+        has = lambda chars: sum(b in chars for b in t)
+        upper, lower, high = sum(65 <= b < 91 for b in t), sum(97 <= b < 123 for b in t), sum(b >= 128 for b in t)
+        mean = sum(map(len, words)) / w
+        known = upper + lower + high + sum(48 <= b < 58 for b in t) + has(space) + has(symbols) + has(b"|") + has(b"!") + has(b".?") + has(b",;:")
+        return [
+            log1p(len(words)), mean, sqrt(max(sum(len(x) ** 2 for x in words) / w - mean**2, 0)), len(set(words)) / w, sum(a == b for a, b in zip(words, words[1:], strict=False)) / w,
+            len(set(lines)) / len(lines), log1p(len(words) / len(lines)), upper / max(upper + lower + high, 1), sum(48 <= b < 58 for b in t) / n, has(space) / n, has(symbols) / n,
+            has(b"|") / n, has(b"!") / n, has(b".?") / n, has(b",;:") / n, (len(t) - known) / n, high / n,
+            sum(65 <= x[0] < 91 for x in words) / w, sum(x[-1] in b".?" for x in words) / w, sum(x[-1] in symbols + b"!|" for x in words) / w,
+        ]
+
+    docs = documents(spark, sf_dir)
+    x = {i: features(t) for i, t in docs}
+    labels = [(r["doc_id"], r["quality"]) for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()]
+    rows = sorted((x[i], y) for i, y in labels if i in x and zlib.crc32(str(i).encode()) % 5)
+    model = quality.fit(np.array([r for r, _ in rows]), np.array([y for _, y in rows], dtype=float))
+    got = {r["doc_id"]: r["score"] for r in registry.QUERIES["op2_quality"](spark, sf_dir).collect()}
+    for i, f in x.items():
+        raw = model.base + sum(table[bisect_right(edges.tolist(), v)] for v, edges, table in zip(f, model.edges, model.tables, strict=True))
+        raw += sum(table[bisect_right(a.tolist(), f[j]), bisect_right(b.tolist(), f[k])] for j, k, a, b, table in model.pairs)
+        assert got[i] == pytest.approx(1 / (1 + exp(-raw)), abs=1e-4)
+
+
 def test_sentencepiece_ids_are_those_of_the_library(spark, sf_dir):
     import sentencepiece
 

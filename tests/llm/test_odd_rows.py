@@ -31,6 +31,19 @@ def test_components(spark):
     assert common.connected_components(edges.where("false")).count() == 0
 
 
+def test_saved_frames_are_released(spark):
+    before = spark.conf.get("spark.checkpoint.dir", None)
+    df = common.saved(spark.range(5).toDF("k"), "x")
+    (file,) = {r["f"].rsplit("/", 1)[0] for r in df.select(F.col("_metadata.file_path").alias("f")).collect()}
+    folder = file.removeprefix("file:").replace("///", "/")
+    import pathlib
+
+    assert pathlib.Path(folder).exists() and spark.conf.get("spark.checkpoint.dir", None) == before
+    common.release(spark)
+    assert not pathlib.Path(folder).exists()
+    assert common.saved(spark.range(5).toDF("k"), "x").count() == 5
+
+
 # -- token counts
 
 
@@ -94,6 +107,37 @@ def test_lookup_tables_learn_an_interaction():
 # -- language model
 
 
+def test_the_most_frequent_words_when_counts_tie(spark):
+    rows = [(f"w{i}".encode(), 7) for i in range(3000)] + [(b"often", 90_001), (b"more", 90_002), (b"once", 1)]
+    df = spark.createDataFrame([(bytearray(w), n) for w, n in rows], "word binary, n long")
+    for most in (1, 2, 500, 3002, 3003):
+        got = [bytes(r["word"]) for r in df.where(hmm.frequent(df, most)).collect()]
+        assert len(got) <= most and (b"more" in got) and (b"often" in got or most < 2)
+        assert len(got) > 0.9 * most
+    assert df.where("false").where(hmm.frequent(df.where("false"), 5)).count() == 0
+
+
+def test_a_very_long_text_is_scored_in_parts(spark, monkeypatch):
+    text = " ".join(f"w{i * i % 977}" for i in range(300_000)) + " " + "x" * 3_000_000
+    df = spark.createDataFrame([(1, text), (2, "w1 w4 w9"), (3, "w1")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in hmm.score(df, F.col("doc_id") == 1).collect()}
+    assert got[1]["n_tokens"] == 300_002 and np.isfinite(got[1]["score"]) and got[2]["n_tokens"] == 4
+    model = hmm.Model(np.array([0.6, 0.4]), np.array([[0.7, 0.3], [0.2, 0.8]]), np.full((hmm.SYMBOLS, 2), 1 / hmm.SYMBOLS))
+    flat = np.arange(50) % 7
+    whole = hmm.forward_of(model, flat, np.array([0, 3]), np.array([40, 11]))
+    monkeypatch.setattr(hmm, "BLOCK", 8)
+    assert hmm.forward_of(model, flat, np.array([0, 3]), np.array([40, 11])) == pytest.approx(whole)
+
+
+def test_cuts_add_nothing_to_the_start_counts():
+    model = hmm.Model(np.array([0.9, 0.1]), np.array([[0.7, 0.3], [0.2, 0.8]]), np.full((hmm.SYMBOLS, 2), 1 / hmm.SYMBOLS))
+    assert hmm.stationary(model.move) == pytest.approx([0.4, 0.6])
+    emit, move, start = np.zeros((hmm.SYMBOLS, 2)), np.zeros((2, 2)), np.zeros(2)
+    hmm.expected_counts(model, np.zeros((3, 2), dtype=int), np.array([3, 3]), emit, move, start, np.array([True, False]))
+    assert start == pytest.approx([0.9, 0.1]) and emit.sum() == pytest.approx(6)
+    assert emit[0] == pytest.approx(np.array([0.4, 0.6]) * 3 + sum(np.array([0.9, 0.1]) @ np.linalg.matrix_power(model.move, t) for t in range(3)))
+
+
 def test_forward_is_the_sum_over_paths():
     r = np.random.default_rng(0)
     model = hmm.Model(np.array([0.6, 0.4]), np.array([[0.7, 0.3], [0.2, 0.8]]), np.zeros((hmm.SYMBOLS, 2)))
@@ -175,6 +219,15 @@ def test_links_lose_no_component(spark, seed):
     assert {int(u[k]): v for k, v in want.items()} == {f: got.get(f, f) for f in fps}
 
 
+def test_crowded_buckets_are_split_without_loss(spark):
+    r = np.random.default_rng(7)
+    low = r.choice(1 << 16, 300, replace=False).tolist()  # one value in the upper 48 bits, so one bucket holds all
+    nodes = spark.createDataFrame([(0x7ABC_0000_0000_0000 | f, 1) for f in low], "fp long, n long")
+    found = [common.connected_components(simhash.links(nodes, 2, crowded=c)).collect() for c in (8, 10**6)]
+    a, b = ({x["node"]: x["component"] for x in f} for f in found)
+    assert a == b and len(a) > 10
+
+
 def test_allocation_is_the_cheapest():
     p = np.full(64, 0.5)
     groups = [list(range(0, 10)), list(range(10, 30)), list(range(30, 64))]
@@ -459,6 +512,19 @@ def test_seed_pages_are_learnt(field):
     assert np.mean([htmltext.main_text(p, field, slots) == t for p, t in pages]) > 0.95
 
 
+def test_pages_without_sectioning_elements_are_learnt(spark):
+    body = "<h1>Title {0}</h1>" + "".join(f"<p>Sentence {k} of page {{0}} has some words, and it ends here.</p>" for k in range(6))
+    page = "<html><body><nav><a href='/a'>Home</a> <a href='/b'>News</a></nav><header><p>Site {0}</p></header><article>" + body + "</article><aside><p>More</p></aside><footer><p>&copy; {0}</p></footer></body></html>"
+    df = spark.createDataFrame([(i, page.format(i)) for i in range(60)], "page_id long, html string")
+    model = htmltext.train(df)
+    bare = htmltext.without_hints(page.format(77))
+    assert "<article" not in bare and "<nav" not in bare
+    want = "\n".join(["Title 77", *[f"Sentence {k} of page 77 has some words, and it ends here." for k in range(6)]])
+    slots = htmltext._Slots()
+    assert htmltext.main_text(page.format(77), model, slots) == want and htmltext.main_text(bare, model, slots) == want
+    assert htmltext.examples("<article><p>a</p></article>" + "<p>b</p>" * (htmltext.MAX_BLOCKS + 1), slots) == []
+
+
 def test_blocks():
     page = "<p>a<br>b&amp;c &copy<div>d<script>var x='</p>'</script><!-- no --> e</div><ul><li>f<li>g</ul>h <i>i</i>\n j<textarea><p>k</textarea><p"
     assert [b.text for b in htmltext.blocks(page)] == ["a b&c ©", "d", "e", "f", "g", "h i j"]
@@ -521,6 +587,16 @@ def test_odd_vectors(spark):
     assert alone.count() == 0
 
 
+def test_a_dense_cluster_is_one_of_many(spark, monkeypatch):
+    """A third of the vectors nearly alike: all planes have them on one side, so one leaf holds them all."""
+    monkeypatch.setattr(neighbours, "LEAF", 50)
+    monkeypatch.setattr(neighbours, "BLOCK", 100)
+    r = np.random.default_rng(11)
+    x = np.concatenate([r.standard_normal(16) + 0.02 * r.standard_normal((400, 16)), r.standard_normal((800, 16))]).astype(np.float32)
+    recall = neighbour_recall(spark, x, list(range(1, 1201)))
+    assert np.mean(list(recall.values())) >= 0.9 and np.mean([v for q, v in recall.items() if q <= 400]) >= 0.9
+
+
 def test_many_equal_vectors(spark):
     df = spark.range(300).select(F.col("id").alias("vec_id"), F.when(F.col("id") % 3 == 0, F.array(F.lit(1.0), F.lit(0.0))).otherwise(F.array(F.col("id") / 1000, F.lit(0.5))).cast("array<float>").alias("embedding"))
     got = neighbours.nearest(df, F.col("id") % 20 == 0).where("query_id = 60").orderBy("rank").collect()
