@@ -44,11 +44,19 @@ def _own_folder(spark: SparkSession) -> tuple[str, object, object]:
     return folder, path.getFileSystem(spark._jsc.hadoopConfiguration()), path
 
 
-def release(spark: SparkSession) -> None:
-    """Delete all frames that saved() has written in this application. Call it when results that stem from them are
-    written; what is left goes when the application ends."""
+def saved_names(spark: SparkSession) -> set[str]:
+    """The folders of the frames that saved() has written in this application."""
     _, fs, path = _own_folder(spark)
-    fs.delete(path, True)
+    return {s.getPath().getName() for s in fs.listStatus(path)} if fs.exists(path) else set()
+
+
+def release(spark: SparkSession, before: set[str] = frozenset(), keep: str = "/") -> None:
+    """Delete the frames that saved() has written in this application, but for those named before and those whose label
+    is to keep. Call it when what stems from them is written; what is left goes when the application ends."""
+    folder, fs, _ = _own_folder(spark)
+    for name in saved_names(spark) - before:
+        if not name.startswith(f"{keep}-"):
+            fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}"), True)
 
 
 def saved(df: DataFrame, label: str) -> DataFrame:

@@ -39,8 +39,14 @@ def test_saved_frames_are_released(spark):
     import pathlib
 
     assert pathlib.Path(folder).exists() and spark.conf.get("spark.checkpoint.dir", None) == before
+    held = common.saved_names(spark)
+    other = common.saved(spark.range(3).toDF("k"), "mine")
+    common.release(spark, before=held, keep="mine")
+    assert pathlib.Path(folder).exists() and other.count() == 3
+    common.release(spark, keep="mine")
+    assert not pathlib.Path(folder).exists() and other.count() == 3
     common.release(spark)
-    assert not pathlib.Path(folder).exists()
+    assert not common.saved_names(spark)
     assert common.saved(spark.range(5).toDF("k"), "x").count() == 5
 
 
