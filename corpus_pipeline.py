@@ -57,9 +57,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
+    """The rows of the last stage. When a stage's documents are written, all that this run wrote before them goes."""
+    docs, before = common.table(spark, sf_dir, "documents"), common.saved_names(spark)
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs = common.saved(docs, name)
+            docs = common.saved(docs, f"stage-{name}")
+            common.release(spark, before, keep=f"stage-{name}")
     return docs
