@@ -673,6 +673,36 @@ def test_a_query_with_too_few_rows_is_scored_against_all(spark, monkeypatch):
     assert set(neighbour_recall(spark, x, list(range(200))).values()) == {1.0}
 
 
+def test_texts_of_megabytes(spark):
+    """A text of 5 MB of prose, its near copy, and one of half a MB without white space, through every operator."""
+    r = np.random.default_rng(12)
+    words = "the of and to in a is that it was for on are as with his they at be this from have or by one had not but what all were".split()
+    prose = " ".join(np.array(words)[r.integers(0, len(words), 1_300_000)].tolist())
+    block = "".join(np.array(list("etaoinshrdlu"))[r.integers(0, 12, 500_000)].tolist())
+    rows = [(1, prose, "a"), (2, prose + " end", "b"), (3, block, "c"), (4, "short text", "d")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4, "doc_id")
+    assert len(prose) > 4_500_000
+    counts = {r["doc_id"]: r for r in tokencount.attribute(df, None, keep_text=False).collect()}
+    assert counts[1]["__n_tokens"] >= 1_300_000 and sum(c["n_tokens"] for c in counts[3]["__counts"]) == counts[3]["__n_tokens"]
+    model = quality.train(df, spark.createDataFrame([(2, 1), (3, 0), (4, 1)], "doc_id long, quality int"))
+    assert quality.score(df, model, keep_text=False).count() == 4
+    scores = {r["doc_id"]: r for r in hmm.score(df, F.col("doc_id") == 2).collect()}
+    assert scores[1]["n_tokens"] == 1_300_001 and scores[3]["n_tokens"] == 2 and all(np.isfinite(r["score"]) for r in scores.values())
+    assert {r["doc_id"]: r["component_id"] for r in simhash.components(df).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
+    assert {r["doc_id"]: len(r["spans"]) for r in secrets.scan(df).collect()} == {1: 0, 2: 0, 3: 0, 4: 0}
+    bench = spark.createDataFrame([(1, " ".join(prose.split(" ")[1000:1040])), (2, "short text")], "item_id long, text string")
+    hit = {r["doc_id"]: (r["__n_words"], r["__spans"][0]["start"] if r["__spans"] else None) for r in decontaminate.hits(df, bench).drop("text").collect()}
+    assert hit == {1: (1_300_000, 1000), 2: (1_300_001, 1000), 3: (1, None), 4: (2, 0)}
+    removed = {r["doc_id"]: (r["n_bytes"], r["n_removed"]) for r in substrings.report(df).collect()}
+    assert removed[2] == (len(prose) + 4, len(prose)) and removed[1] == (len(prose), 0) and removed[3] == (500_000, 0)
+    coded = pieces.encode(df.where("doc_id <> 2"), pieces.PieceModel.load(), keep_text=False, check=True).collect()
+    assert all(r["__same"] for r in coded)
+    page = spark.createDataFrame([(1, "<nav><a href='/'>menu</a></nav><article><p>" + prose + "</p></article>" + "<p>x</p>" * 20_000)], "page_id long, html string")
+    slots = htmltext._Slots()
+    field = htmltext.fit([(htmltext.observations(f, slots), y) for f, y in htmltext.seed_labels()[:80]])
+    assert prose in htmltext.extract(page, field).first()["__text"] and htmltext.train(page) is not None
+
+
 def test_names_that_operators_use_may_clash(spark, odd):
     """Columns of the operators' own names: kept where the input's columns come back, else replaced by what is added."""
     own = "__row __id __y __t __score __spans __items __n_words __n_items __n_hit __contaminated __ids __same __counts __outside __n_tokens __text __fp __hits row row_ hits spans cuts none text_ c0 c1 fp node x v".split()
