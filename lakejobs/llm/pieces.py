@@ -345,7 +345,7 @@ class PieceModel:
         every = {u for own in units for u in own}
         if len(self.cache) + len(every) > CACHE_UNITS:
             self._forget()
-        self._learn(sorted(every - self.cache.keys()))
+        self._learn(list(every - self.cache.keys()))
         counts = np.array([len(x) for x in units], dtype=np.int64)
         index = np.fromiter((self.cache[u] for own in units for u in own), dtype=np.int64, count=int(counts.sum()))
         begin, size = self.at[index], self.at[index + 1] - self.at[index]
