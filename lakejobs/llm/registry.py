@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lakejobs.llm import decontaminate, hmm, htmltext, neighbours, pieces, quality, secrets, simhash, substrings, tokencount
+from lakejobs.llm import decontaminate, hmm, htmltext, neighbours, pieces, quality, secrets, simhash, substrings, tokencount, whitening
 
 QUERIES = {
     "op1_token_counts": tokencount.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_sentencepiece": pieces.query,
     "op9_html_extraction": htmltext.query,
     "op10_nearest_neighbours": neighbours.query,
+    "op13_whitening": whitening.query,
 }
 ORACLES = {
     "op5_secret_scans": secrets.ORACLE_SQL,
