@@ -231,7 +231,8 @@ def whiten(df: DataFrame, column: str = "embedding", components: int = COMPONENT
     found = vectors(plain, v, "x")
     model = fit(found.select("x"), components)
     if model is None:
-        return df.where(F.lit(False)).withColumns({"__deviation": F.lit(None).cast("long"), "__whitened": F.lit(None).cast("array<double>")}), None
+        none = plain.where(F.lit(False)).select("*", F.lit(None).cast("long"), F.lit(None).cast("array<double>"))
+        return none.toDF(*df.columns, "__deviation", "__whitened"), None
     return apply(found, model, "x").toDF(*df.columns, "__deviation", "__whitened"), model
 
 
