@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lakejobs.llm import decontaminate, hmm, htmltext, minmax, neighbours, pieces, quality, secrets, simhash, substrings, tokencount, whitening
+from lakejobs.llm import decontaminate, hmm, htmltext, minmax, neighbours, periodic, pieces, quality, secrets, simhash, substrings, tokencount, whitening
 
 QUERIES = {
     "op1_token_counts": tokencount.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_sentencepiece": pieces.query,
     "op9_html_extraction": htmltext.query,
     "op10_nearest_neighbours": neighbours.query,
+    "op11_periodic_runs": periodic.query,
     "op12_minmax_hash": minmax.query,
     "op13_whitening": whitening.query,
 }
