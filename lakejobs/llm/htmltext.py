@@ -1,6 +1,9 @@
 """HTML main-text extraction: a linear-chain conditional random field over DOM leaf blocks.
 
-A page is split at its tags into leaf blocks: the text between block-level tags, with the block's open ancestors. Inline
+A page is split at its tags into leaf blocks: the text between block-level tags, with the block's open ancestors. Tags
+and comments are read by HTML's own rules: a quote opens a value only after "=", elsewhere it is part of a name; comments
+end with "-->" or "--!>", or at once as "<!-->". The time is linear in the page, however deep elements are nested;
+observations look at the NEAR innermost ancestors. Inline
 tags don't split. Text of scripts, styles, templates, comments, titles and the head is no block; a head without an end
 tag ends at what can't stand in it. A block's observations are its
 ancestors' tags and the words of their class, id and role attributes, what precedes it, and counts of its text (length,
@@ -21,7 +24,9 @@ read alike; an empty table gives no rows; extra columns are kept by extract(), b
 from __future__ import annotations
 
 import html
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from random import Random
@@ -41,84 +46,142 @@ MAX_BLOCKS = 2000
 SEED_PAGES = 320
 #: Observations are hashed into so many weights.
 WEIGHTS = 1 << 14
+#: Ancestors that a block's observations look at, innermost first, and words of attributes that an element has, at most.
+NEAR, ATTRIBUTE_WORDS = 40, 64
 
 #: Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 SKIPPED = frozenset("script style template head title".split())
-RAW = frozenset("script style textarea title template".split())
+RAW = frozenset("script style textarea title template iframe noembed noframes xmp".split())
 IN_HEAD = frozenset("html head base basefont bgsound link meta title style script noscript template".split())
 #: Elements whose own rules hold until one that HTML is read in again, and tags that end them.
 FOREIGN = frozenset("svg math".split())
 HTML_AGAIN = frozenset("foreignobject desc annotation-xml".split())
 BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
-BOILERPLATE = frozenset("nav header footer aside form menu dialog button".split())
+BOILERPLATE = frozenset("nav header footer aside form menu dialog button textarea".split())
+MARKERS = frozenset("article main".split())
+#: Open elements that a tag closes, the innermost of them.
 _SIBLING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+_SIBLINGS = frozenset(t for tags in _SIBLING.values() for t in tags)
 _SCOPE = frozenset("ul ol dl table article section main body div".split())
 
-_TAG = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|$)", re.S)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_WS = r"[ \t\n\f\r]"
+#: An attribute: a name (quotes are part of it) and, after "=", a value in quotes or up to white space or ">".
+_ATTRIBUTE = re.compile(rf"""(=?[^ \t\n\f\r/>=]*+)(?:(?<=[^ \t\n\f\r/>]){_WS}*+={_WS}*+(?>"([^"]*+)(?:"|\Z)|'([^']*+)(?:'|\Z)|([^ \t\n\f\r"'>][^ \t\n\f\r>]*+)|(?=>)|\Z))?+""")
+#: Comments, other declarations, and tags: end mark, name, attributes, and ">" unless the page ends in the tag.
+_TAG = re.compile(
+    rf"""<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*+(?:>|\Z)|</(?:>|[^a-zA-Z>][^>]*+(?:>|\Z))|<(/?)([a-zA-Z][^ \t\n\f\r/>]*+)((?>[ \t\n\f\r/]++|=?[^ \t\n\f\r/>=]++(?:{_WS}*+={_WS}*+(?>"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|[^ \t\n\f\r"'>][^ \t\n\f\r>]*+|(?=>)|\Z))?+|=)*+)(?:(>)|\Z)""",
+    re.S,
+)
+#: Attributes whose words tell what an element is for.
+_TELLING = frozenset("class id role itemprop".split())
+#: What ends the content of a raw element.
+_END = {tag: re.compile(rf"</{tag}(?=[ \t\n\f\r/>])", re.I) for tag in RAW}
 _WORDS = re.compile(r"[a-z]+")
 _SECTION = re.compile(r"<(/?)(?:article|main|nav|header|footer|aside)\b", re.I)
 _SPACE = re.compile(r"[ \t\n\f\r\v   -     　\x1c-\x1f\x85]+")
 
 
+#: Words of attributes that mark a block as not of the article, for labelling only.
+_OUT = frozenset("nav menu header footer sidebar aside ad ads advert advertisement banner notice cookie consent comment comments form share social related breadcrumb breadcrumbs promo popup newsletter subscribe widget pagination".split())
+
+
+def boilerplate(tag: str, words: tuple[str, ...]) -> bool:
+    """Whether an element's own mark-up says that it isn't of an article, for labelling only."""
+    return tag in BOILERPLATE or not _OUT.isdisjoint(words)
+
+
+class Node:
+    """An open element. What blocks need of their ancestors is taken over from the parent, so that no depth costs more."""
+
+    __slots__ = ("tag", "words", "parent", "depth", "paragraph", "siblings", "foreign", "inside", "seen")
+
+    def __init__(self, tag: str, words: tuple[str, ...], parent: Node | None):
+        self.tag, self.words, self.parent = tag, words, parent
+        self.depth = parent.depth + 1 if parent else 0
+        #: Depth of the open p with inline elements only between; of the open siblings that tags close, by family.
+        self.paragraph = self.depth if tag == "p" else parent.paragraph if parent and tag in INLINE else None
+        own = {} if tag in _SCOPE or not parent else parent.siblings
+        self.siblings = own | {f: self.depth for f, tags in _SIBLING.items() if tag in tags} if tag in _SIBLINGS else own
+        #: Depth of the open svg or math element whose rules hold.
+        self.foreign = self.depth if tag in FOREIGN else None if tag in HTML_AGAIN or not parent else parent.foreign
+        #: For labels: in an article or main element (True, or False below what isn't of it), or in none.
+        self.inside = parent.inside if parent else None
+        if self.inside is None and tag in MARKERS:
+            self.inside = True
+        elif self.inside and boilerplate(tag, words):
+            self.inside = False
+        self.seen: tuple[int, ...] | None = None
+
+
 @dataclass
 class Block:
     text: str
-    path: tuple[tuple[str, tuple[str, ...]], ...]  # open ancestors: tag, words of its attributes
+    node: Node | None  # innermost open element
     linked: int  # characters inside links
 
+    @property
+    def path(self) -> tuple[tuple[str, tuple[str, ...]], ...]:
+        """Open ancestors, outermost first: tag, words of its attributes."""
+        out, node = [], self.node
+        while node:
+            out.append((node.tag, node.words))
+            node = node.parent
+        return tuple(out[::-1])
+
+
+def attribute_words(attributes: str) -> tuple[str, ...]:
+    """The words, ATTRIBUTE_WORDS at most, of the attributes that tell what an element is for."""
+    out: list[str] = []
+    for m in _ATTRIBUTE.finditer(attributes):
+        if m[1] and m[1].lower() in _TELLING:
+            out += _WORDS.findall((m[2] or m[3] or m[4] or "").lower())
+    return tuple(out[:ATTRIBUTE_WORDS])
+
 
 def blocks(page: str) -> list[Block]:
     """Leaf blocks of a page in order, without empty ones."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[Node] = []
+    opened: Counter[str] = Counter()
     held: list[str] = []
-    linked = links = skipping = 0
+    linked = skipping = 0
     at = 0
 
     def flush() -> None:
         nonlocal linked
         text = _SPACE.sub(" ", html.unescape("".join(held))).strip(" ")
         if text:
-            out.append(Block(text, tuple(stack), min(linked, len(text))))
+            out.append(Block(text, stack[-1] if stack else None, min(linked, len(text))))
         held.clear()
         linked = 0
 
     def close(k: int) -> None:
-        """Close the open elements from number k on."""
-        nonlocal links, skipping
-        for tag, _ in stack[k:]:
-            links -= tag == "a"
-            skipping -= tag in SKIPPED
+        """Close the open elements from depth k on."""
+        nonlocal skipping
+        for node in stack[k:]:
+            opened[node.tag] -= 1
+            skipping -= node.tag in SKIPPED
         del stack[k:]
 
-    def foreign() -> int | None:
-        """Number of the open svg or math element whose rules hold."""
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in FOREIGN:
-                return k
-            if stack[k][0] in HTML_AGAIN:
-                return None
-        return None
-
     def end_head() -> None:
-        close(next((k for k, (tag, _) in enumerate(stack) if tag == "head"), len(stack)))
+        if opened["head"]:
+            close(next(k for k, node in enumerate(stack) if node.tag == "head"))
 
     while at < len(page):
         m = _TAG.search(page, at)
         end = m.start() if m else len(page)
-        if skipping and stack[-1][0] in ("head", "noscript") and page[at:end].strip(" \t\n\f\r"):
+        if skipping and stack[-1].tag in ("head", "noscript") and page[at:end].strip(" \t\n\f\r"):
             end_head()
         if end > at and not skipping:
             held.append(page[at:end])
-            linked += (end - at) * (links > 0)
+            linked += (end - at) * (opened["a"] > 0)
         if not m:
             break
         at = m.end()
-        if m[2] is None:
+        if m[2] is None or m[4] is None:  # no tag, or one that the page's end cuts
             continue
         tag = m[2].lower()
         block = tag not in INLINE
@@ -127,39 +190,26 @@ def blocks(page: str) -> list[Block]:
         elif tag == "br":
             held.append(" ")
         if m[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    close(k)
-                    break
+            if opened[tag]:
+                close(next(k for k in range(len(stack) - 1, -1, -1) if stack[k].tag == tag))
             continue
         if skipping and tag not in IN_HEAD:
             end_head()
-        own = foreign()
-        if own is not None and tag in BREAKOUT:
-            close(own)
-            own = None
-        if tag in CLOSES_P:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == "p":
-                    close(k)
-                    break
-                if stack[k][0] not in INLINE:
-                    break
-        elif tag in _SIBLING:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in _SIBLING[tag]:
-                    close(k)
-                    break
-                if stack[k][0] in _SCOPE:
-                    break
-        if tag in VOID or m[3].rstrip().endswith("/") and (not block or tag in FOREIGN or own is not None):
+        if stack and stack[-1].foreign is not None and tag in BREAKOUT:
+            close(stack[-1].foreign)
+        if stack and tag in CLOSES_P and stack[-1].paragraph is not None:
+            close(stack[-1].paragraph)
+        elif stack and tag in _SIBLING and tag in stack[-1].siblings:
+            close(stack[-1].siblings[tag])
+        attributes = m[3]
+        closed = attributes.endswith("/") and (not block or tag in FOREIGN or bool(stack) and stack[-1].foreign is not None)
+        if tag in VOID or closed and _ends_itself(attributes):
             continue
-        words = tuple(_WORDS.findall(" ".join(a[1] or a[2] or a[3] for a in _ATTRIBUTE.findall(m[3])).lower())) if m[3] else ()
-        stack.append((tag, words))
-        links += tag == "a"
+        stack.append(Node(tag, attribute_words(attributes) if attributes else (), stack[-1] if stack else None))
+        opened[tag] += 1
         skipping += tag in SKIPPED
         if tag in RAW:  # its content is no mark-up
-            stop = re.compile(rf"</{tag}\b", re.I).search(page, at)
+            stop = _END[tag].search(page, at)
             if not skipping:
                 held.append(page[at : stop.start() if stop else len(page)])
             at = stop.start() if stop else len(page)
@@ -167,6 +217,15 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
+def _ends_itself(attributes: str) -> bool:
+    """Whether the slash before ">" stands by itself and isn't the end of a value."""
+    last = 0
+    for m in _ATTRIBUTE.finditer(attributes):
+        if m.end() > m.start():
+            last = m.end()
+    return last < len(attributes)
+
+
 def _slot(name: str) -> int:
     return crc32(name.encode()) % WEIGHTS
 
@@ -177,24 +236,38 @@ class _Slots(dict):
         return out
 
 
+def _seen(node: Node | None, slots: dict[str, int]) -> tuple[int, ...]:
+    """Numbers of what an element and its ancestors show, kept with it for all its blocks."""
+    if node is None:
+        return ()
+    if node.seen is None:
+        names, outer, inline, at = {}, [], None, node
+        while at and node.depth - at.depth < NEAR:
+            if at.tag in INLINE:
+                inline = at.tag
+            else:
+                outer.append(at.tag)
+                names[f"in {at.tag}"] = None
+                names.update((f"has {w}", None) for w in at.words)
+            at = at.parent
+        found = list(names)
+        if outer:
+            found += [f"leaf {outer[0]}", f"leaf {outer[0]} {[inline] if inline else []}"]
+            if len(outer) > 1:
+                found.append(f"pair {outer[1]} {outer[0]}")
+        node.seen = tuple(slots[x] for x in found)
+    return node.seen
+
+
 def observations(page: list[Block], slots: dict[str, int]) -> list[list[int]]:
     """Numbers of the observations of each block."""
     out = []
     for i, b in enumerate(page):
-        names = []
-        inline = [t for t, _ in b.path if t in INLINE]
-        outer = [(t, w) for t, w in b.path if t not in INLINE]
-        names += [f"in {t}" for t in {t for t, _ in outer}]
-        names += [f"has {w}" for w in {w for _, ws in outer for w in ws}]
-        if outer:
-            names += [f"leaf {outer[-1][0]}", f"leaf {outer[-1][0]} {inline[:1]}"]
-            if len(outer) > 1:
-                names.append(f"pair {outer[-2][0]} {outer[-1][0]}")
         n = len(b.text)
         share = b.linked / n
-        names += [f"size {min(n.bit_length(), 10)}", f"links {int(share * 3.99)}", f"links {int(share * 3.99)} size {min(n.bit_length() // 2, 4)}", f"words {min(b.text.count(' ') // 4, 6)}"]
+        names = [f"size {min(n.bit_length(), 10)}", f"links {int(share * 3.99)}", f"links {int(share * 3.99)} size {min(n.bit_length() // 2, 4)}", f"words {min(b.text.count(' ') // 4, 6)}"]
         names += [f"end {b.text[-1] if b.text[-1] in '.!?:,' else '-'}", f"sign {'©' in b.text}", f"place {min(i, 3)} {min(len(page) - 1 - i, 3)}"]
-        out.append([slots[x] for x in names])
+        out.append([*_seen(b.node, slots), *[slots[x] for x in names]])
     return out
 
 
@@ -226,60 +299,66 @@ class Field:
         return out[::-1]
 
 
-def fit(pages: list[tuple[list[list[int]], list[int]]], epochs: int = 12, rate: float = 0.3, decay: float = 1e-4) -> Field:
-    """Conditional likelihood, page by page, with AdaGrad steps; the pages in a fixed shuffled order."""
+def _expected(p: list[list[float]], move: list[list[float]], start: list[float]) -> tuple[list[list[float]], list[list[float]], float]:
+    """Chances of each block's labels and sums of those of neighbouring labels, by forward-backward; log of the sum over all paths."""
+    (m00, m01), (m10, m11) = move
+    ahead, scales, log = [], [], 0.0
+    a, b = start
+    for k, (x, y) in enumerate(p):
+        a, b = (a * x, b * y) if k == 0 else ((a * m00 + b * m10) * x, (a * m01 + b * m11) * y)
+        scale = a + b
+        a, b, log = a / scale, b / scale, log + math.log(scale)
+        ahead.append((a, b)), scales.append(scale)
+    chances, pairs, c, d = [ahead[-1]], [0.0] * 4, 1.0, 1.0
+    for k in range(len(p) - 2, -1, -1):
+        right, left = p[k + 1][0] * c / scales[k + 1], p[k + 1][1] * d / scales[k + 1]
+        a, b = ahead[k]
+        pairs = [pairs[0] + a * m00 * right, pairs[1] + a * m01 * left, pairs[2] + b * m10 * right, pairs[3] + b * m11 * left]
+        c, d = m00 * right + m01 * left, m10 * right + m11 * left
+        chances.append((a * c, b * d))
+    return chances[::-1], [pairs[:2], pairs[2:]], log
+
+
+def fit(pages: list[tuple[list[list[int]], list[int]]], epochs: int = 12, rate: float = 0.3, decay: float = 1e-4, flat: float = 0.002) -> Field:
+    """Conditional likelihood, page by page, with AdaGrad steps; the pages in a fixed shuffled order. It ends early when
+    no page's mean log likelihood moves by more than flat from one epoch to the next."""
     model = Field(np.zeros((WEIGHTS, 2)), np.zeros((2, 2)), np.zeros(2))
     sums = Field(np.full((WEIGHTS, 2), 1e-3), np.full((2, 2), 1e-3), np.full(2, 1e-3))
     rng = np.random.default_rng(3)
+    ready = []
+    for found, gold in pages:
+        if found:
+            slots, which = np.unique(np.concatenate([np.array(x) for x in found]), return_inverse=True)
+            moves = np.zeros((2, 2))
+            np.add.at(moves, (gold[:-1], gold[1:]), 1)
+            ready.append((found, np.array(gold), slots, which, np.repeat(np.arange(len(found)), [len(x) for x in found]), moves))
+    last = np.full(len(ready), -np.inf)
     for _ in range(epochs):
-        for k in rng.permutation(len(pages)):
-            found, gold = pages[k]
-            if not found:
-                continue
-            p = np.exp(np.clip(model.potentials(found), -30, 30))
-            move, start = np.exp(model.move), np.exp(model.start)
-            n = len(found)
-            a, b, scale = np.zeros((n, 2)), np.ones((n, 2)), np.zeros(n)
-            for t in range(n):
-                v = (start if t == 0 else a[t - 1] @ move) * p[t]
-                scale[t] = v.sum()
-                a[t] = v / scale[t]
-            both = np.zeros((2, 2))
-            for t in range(n - 2, -1, -1):
-                right = p[t + 1] * b[t + 1] / scale[t + 1]
-                both += a[t][:, None] * move * right
-                b[t] = move @ right
-            gamma = a * b
-            want = np.zeros((n, 2))
-            want[np.arange(n), gold] = 1
-            gradient = want - gamma
-            pairs = np.zeros((2, 2))
-            np.add.at(pairs, (gold[:-1], gold[1:]), 1)
-            used = np.concatenate([np.array(x) for x in found])
-            own = np.repeat(gradient, [len(x) for x in found], axis=0)
-            slots, which = np.unique(used, return_inverse=True)
-            g = np.stack([np.bincount(which, own[:, j], len(slots)) for j in (0, 1)], axis=1) - decay * model.emit[slots]
+        now = np.zeros(len(ready))
+        for k in rng.permutation(len(ready)).tolist():
+            found, gold, slots, which, block, moves = ready[k]
+            scores = np.stack([np.bincount(block, model.emit[slots, j][which], len(found)) for j in (0, 1)], axis=1)
+            scores = np.clip(scores, -30, 30)
+            chances, pairs, log = _expected(np.exp(scores).tolist(), np.exp(model.move).tolist(), np.exp(model.start).tolist())
+            now[k] = (scores[np.arange(len(gold)), gold].sum() + (model.move * moves).sum() + model.start[gold[0]] - log) / len(found)
+            gradient = -np.array(chances)
+            gradient[np.arange(len(gold)), gold] += 1
+            g = np.stack([np.bincount(which, gradient[block, j], len(slots)) for j in (0, 1)], axis=1) - decay * model.emit[slots]
             sums.emit[slots] += g**2
             model.emit[slots] += rate * g / np.sqrt(sums.emit[slots])
-            for name, g in (("move", pairs - both), ("start", want[0] - gamma[0])):
+            for name, g in (("move", moves - np.array(pairs)), ("start", gradient[0])):
                 total = getattr(sums, name)
                 total += g**2
                 getattr(model, name)[...] += rate * g / np.sqrt(total)
+        if (np.abs(now - last) <= flat).all():
+            break
+        last = now
     return model
 
 
-#: Words of attributes that mark a block as not of the article, for labelling only.
-_OUT = frozenset("nav menu header footer sidebar aside ad ads advert advertisement banner notice cookie consent comment comments form share social related breadcrumb breadcrumbs promo popup newsletter subscribe widget pagination".split())
-
-
-def own_labels(page: list[Block], markers: tuple[str, ...] = ("article", "main")) -> list[int] | None:
+def own_labels(page: list[Block]) -> list[int] | None:
     """Labels by the page's own mark-up; None unless it is clear (blocks of an article or main element, and others)."""
-    out = []
-    for b in page:
-        tags = [t for t, _ in b.path]
-        inside = next((tags.index(m) for m in markers if m in tags), None)
-        below = b.path[inside + 1 :] if inside is not None else ()
-        out.append(int(inside is not None and not any(t in BOILERPLATE or _OUT.intersection(w) for t, w in below)))
+    out = [int(b.node is not None and b.node.inside is True) for b in page]
     return out if 0 < sum(out) < len(out) else None
 
 
@@ -326,7 +405,7 @@ def seed_labels() -> list[tuple[list[Block], list[int]]]:
         found, left = blocks(page), text.split("\n")
         labels = []
         for b in found:
-            hit = bool(left) and b.text == left[0] and not any(t in BOILERPLATE or _OUT.intersection(w) for t, w in b.path)
+            hit = bool(left) and b.text == left[0] and not any(boilerplate(t, w) for t, w in b.path)
             labels.append(int(hit))
             if hit:
                 left.pop(0)

@@ -533,7 +533,7 @@ def test_pages_without_sectioning_elements_are_learnt(spark):
 
 def test_blocks():
     page = "<p>a<br>b&amp;c &copy<div>d<script>var x='</p>'</script><!-- no --> e</div><ul><li>f<li>g</ul>h <i>i</i>\n j<textarea><p>k</textarea><p"
-    assert [b.text for b in htmltext.blocks(page)] == ["a b&c ©", "d", "e", "f", "g", "h i j"]
+    assert [b.text for b in htmltext.blocks(page)] == ["a b&c ©", "d", "e", "f", "g", "h i j", "<p>k"]  # a form's text is a block, labelled drop
     assert htmltext.blocks("") == [] and htmltext.blocks("<<<") != None  # noqa: E711
     assert [b.text for b in htmltext.blocks("plain &lt;text&gt;")] == ["plain <text>"]
     assert [tuple(t for t, _ in b.path) for b in htmltext.blocks("<p>a<p>b</p></b>c")] == [("p",), ("p",), ()]
