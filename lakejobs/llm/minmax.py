@@ -12,9 +12,12 @@ BANDS bands a pair of J = 0.85 is missed with the chance (1 - 0.85^4)^20 = 4e-7;
 
 Equal sets fall together first: all that follows works on distinct sets. Dense groups aren't expanded into pairs: every
 bucket links its members to two of its own, then, in HUB_ROUNDS rounds, to one member of each of two of the components that
-it still holds; what links confirm falls together. Only pairs of different components are compared at last; a bucket of
-over CROWDED members is split by the other bands that its members share (a pair of J = 0.85 that shares a single band is
-the only one to be missed by that: 9e-6).
+it still holds; what links confirm falls together. Only pairs of different components are compared at last. In a bucket of
+over CROWDED members these are found by what sets the members apart from the bucket's hub H: with D_u the symmetric
+difference of the sets of u and H, those of u and v differ in |D_u ^ D_v|. A link allows t = 15 / 185 (|u| + |v|), so that D_u
+and D_v share at least o = (|D_u| + |D_v| - t) / 2 elements, and one among the first |D_u| - o + 1 of D_u and |D_v| - o + 1 of
+D_v in one order: first what H lacks, which is seldom common. (Where o is 0, both are linked to H.) So variants of one text
+that aren't near each other don't meet at all, and no link is lost.
 
 Sets aren't stored. The texts of those nodes that share a bucket are taken out once, one text a node, and pairs meet the
 texts of both their nodes by joins.
@@ -41,7 +44,7 @@ from lakejobs.llm.simhash import shingle_hashes
 SHINGLE, THRESHOLD = 5, 85
 PERMUTATIONS, BANDS, ROWS = 40, 20, 4
 AGREE = 48
-HUB_ROUNDS, CROWDED = 2, 512
+HUB_ROUNDS, CROWDED = 2, 128
 #: Sets of hubs that a task keeps at hand.
 HELD = 64
 
@@ -155,16 +158,17 @@ def labelled(nodes: DataFrame, docs: DataFrame, threshold: int = THRESHOLD, k: i
     star = shared.select(F.col("node").alias("u"), F.explode(F.array("low", "top")).alias("v")).where("u <> v").distinct()
     tested = common.saved(_candidates(_in_order(star), nodes, threshold), "tested")
     links = common.saved(confirmed(tested, texts, threshold, k), "links")
-    placed = shared.select("node", "band", "key")
     for step in range(HUB_ROUNDS + 1):
         marked = _marked(nodes, links)
-        at = placed.join(marked.select("node", "c"), "node")
+        at = shared.select("node", "band", "key", "top").join(marked.select("node", "c"), "node")
         mixed = at.groupBy("band", "key").agg(F.min(F.struct("c", "node")).alias("a"), F.max(F.struct("c", "node")).alias("b"), F.count("*").alias("size")).where("a.c <> b.c")
         if step < HUB_ROUNDS:
             near = at.join(mixed, ["band", "key"]).select(F.col("node").alias("u"), "c", F.explode(F.array("a", "b")).alias("hub")).where(F.col("c") != F.col("hub.c"))
             new = _candidates(_in_order(near.select("u", F.col("hub.node").alias("v"))).join(tested, ["u", "v"], "left_anti"), nodes, threshold)
         else:
-            new = _last_pairs(at, mixed, marked, threshold).join(tested, ["u", "v"], "left_anti")
+            at = at.join(common.saved(mixed.select("band", "key", (F.col("size") > CROWDED).alias("crowded")), "mixed"), ["band", "key"])
+            new = _pairs_of_few(at.where("not crowded"), marked, threshold)
+            new = new.unionByName(_pairs_of_many(at.where("crowded"), marked, texts, threshold, k)).distinct().join(tested, ["u", "v"], "left_anti")
         new = common.saved(new, "tested")
         tested, links = tested.unionByName(new), links.unionByName(common.saved(confirmed(new, texts, threshold, k), "links"))
     return _marked(nodes, links).select("node", "c")
@@ -176,19 +180,48 @@ def _marked(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return common.saved(nodes.join(label, "node", "left").select("node", F.coalesce("component", "node").alias("c"), "n", "sig"), "marked")
 
 
-def _last_pairs(at: DataFrame, mixed: DataFrame, marked: DataFrame, threshold: int) -> DataFrame:
-    """Candidates (u, v) of different components that share a bucket. at: (node, band, key, c)."""
-    key = ["band", "key"]
-    sizes = common.saved(mixed.select(*key, (F.col("size") > CROWDED).alias("crowded")), "mixed")
-    left = at.join(sizes, key).drop("c")
-    many = left.where("crowded").drop("crowded")
-    # A crowded bucket is split by each other band that is in it: its members under their values in that band.
-    more = many.join(at.select("node", F.col("band").alias("band2"), F.col("key").alias("key2")), "node").where("band <> band2")
-    plain = left.where("not crowded").select("node", *key, F.lit(-1).alias("band2"), F.lit(0).cast("long").alias("key2"))
-    both = plain.unionByName(more.select("node", *key, "band2", "key2")).join(marked, "node")
-    side = lambda w: both.select(*key, "band2", "key2", F.col("node").alias(w), F.col("c").alias(f"c{w}"), F.col("n").alias(f"n{w}"), F.col("sig").alias(f"s{w}"))
-    pairs = side("u").join(side("v"), [*key, "band2", "key2"]).where((F.col("u") < F.col("v")) & (F.col("cu") != F.col("cv")) & _close(threshold))
-    return pairs.select("u", "v").distinct()
+def _pairs_of_few(at: DataFrame, marked: DataFrame, threshold: int) -> DataFrame:
+    """Candidates (u, v) of different components that share a bucket, in buckets of CROWDED members at most."""
+    both = at.select("node", "band", "key").join(marked, "node")
+    side = lambda w: both.select("band", "key", F.col("node").alias(w), F.col("c").alias(f"c{w}"), F.col("n").alias(f"n{w}"), F.col("sig").alias(f"s{w}"))
+    pairs = side("u").join(side("v"), ["band", "key"]).where((F.col("u") < F.col("v")) & (F.col("cu") != F.col("cv")) & _close(threshold))
+    return pairs.select("u", "v")
+
+
+def _pairs_of_many(at: DataFrame, marked: DataFrame, texts: DataFrame, threshold: int, k: int) -> DataFrame:
+    """Candidates (u, v) of different components in crowded buckets, by the first of what sets them apart from the hub."""
+    near = at.where("node <> top").select("node", F.col("top").alias("hub")).distinct().join(marked.select("node", "c", "n"), "node")
+    side = lambda w, t: texts.select(F.col("node").alias(w), F.col("text").alias(t))
+    rows = near.join(side("hub", "th"), "hub").join(side("node", "tu"), "node").select("hub", "node", "c", "n", "tu", "th")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[int | None, np.ndarray] = (None, np.zeros(0, dtype=np.uint64))
+        for batch in batches:
+            hubs, sizes = batch.column(0).to_pylist(), batch.column(3).to_pylist()
+            take, place, apart = [], [], []
+            for i, (hub, n, a, b) in enumerate(zip(hubs, sizes, common.texts(batch, "tu"), common.texts(batch, "th"), strict=True)):
+                if held[0] != hub:
+                    held = (hub, shingle_set(b, k))
+                x, y = shingle_set(a, k), held[1]
+                own, gone = np.setdiff1d(x, y, assume_unique=True), np.setdiff1d(y, x, assume_unique=True)
+                allowed = (100 - threshold) * (100 * n + threshold * n) // (threshold * (100 + threshold))  # by the largest partner
+                first = np.concatenate([own, gone])[: allowed + 1]
+                take.append(np.full(len(first), i)), place.append(np.arange(len(first))), apart.append((first, len(own) + len(gone)))
+            at = np.concatenate([np.zeros(0, dtype=np.int64), *take])
+            found = np.concatenate([np.zeros(0, dtype=np.uint64), *[x for x, _ in apart]]).view(np.int64)
+            d = np.repeat(np.array([x for _, x in apart], dtype=np.int64), [len(x) for x, _ in apart])
+            columns = [batch.column(j).take(pa.array(at)) for j in range(4)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(found), pa.array(d), pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *place]))], names=["hub", "node", "c", "n", "e", "d", "at"])
+
+    found = common.saved(rows.mapInArrow(run, "hub long, node long, c long, n long, e long, d long, at long"), "differences")
+    mixed = found.groupBy("hub", "e").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("hub", "e")
+    found = found.join(mixed, ["hub", "e"], "left_semi")
+    side = lambda w: found.select("hub", "e", F.col("node").alias(w), *[F.col(c).alias(f"{c}{w}") for c in ("c", "n", "d", "at")])
+    allowed = F.floor((100 - threshold) * (F.col("nu") + F.col("nv")) / (100 + threshold))
+    share = F.ceil((F.col("du") + F.col("dv") - allowed) / 2)
+    first = (F.col("atu") <= F.col("du") - share) & (F.col("atv") <= F.col("dv") - share)
+    alike = 100 * F.least("nu", "nv") >= threshold * F.greatest("nu", "nv")
+    return side("u").join(side("v"), ["hub", "e"]).where((F.col("u") < F.col("v")) & (F.col("cu") != F.col("cv")) & alike & first).select("u", "v")
 
 
 def _nodes(rows: DataFrame) -> DataFrame:

@@ -59,13 +59,16 @@ def test_components_of_the_tables(spark, sf_dir):
     assert len({c for _, c in want.values()}) < len(want)
 
 
-@pytest.mark.parametrize("crowded", [2, 512])
+@pytest.mark.parametrize("crowded", [2, 10, 512])
 def test_groups_of_near_copies(spark, monkeypatch, crowded):
     monkeypatch.setattr(minmax, "CROWDED", crowded)
     rows = []
     for g, (words, edits) in enumerate([(150, 1), (150, 2), (200, 4), (400, 6), (90, 2), (12, 1)]):
         base = prose(g, words)
         rows += [(1000 * g + i, edited(base, i, edits if i % 3 else 1)) for i in range(40)]
+    base = prose(77, 150)
+    rows += [(20_000 + i, edited(base, i, r)) for r in (0, 3, 4, 6) for i in range(r * 100, r * 100 + 25)]  # variants that aren't near each other
+    rows += [(30_000 + i, edited(edited(base, 5, 12), i, 1 + i % 2)) for i in range(30)]  # but these are, apart from the rest
     chain = prose(99, 300).split()  # each is near the next only
     for i in range(12):
         chain[20 * i : 20 * i + 2] = [f"x{i}", f"y{i}"]
