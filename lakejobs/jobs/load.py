@@ -48,19 +48,18 @@ def bronze_frame(rows: DataFrame, contract: Contract, source: Source, loaded_at:
         checked = coerce_json(source.mapper(rows) if source.mapper else rows, contract, rename=source.style != "identity")
         if stop_at == "coerced":
             return checked
-        text = F.from_json("__canonical", ", ".join(f"`{f.name}` {f.spark_type.simpleString()}" for f in contract.fields))
-        own = checked.withColumn("__r", text)
+        own = checked
         if strict:
             stop = F.raise_error(F.concat(F.lit("contract: "), F.concat_ws("; ", F.slice("__errors", 1, 10)))).cast("string")
             own = own.withColumn("__row_hash", F.when(F.size("__errors") > 0, stop).otherwise(F.col("__row_hash")))
-        columns = own.select(*[F.col(f"__r.`{f.name}`").alias(f.name) for f in contract.fields], "__filename", *KEYS, "__row_hash", *([] if strict else ["__errors"]))
+        columns = own.select(*[F.col(f"__fields.`{f.name}`").alias(f.name) for f in contract.fields], "__filename", *KEYS, "__row_hash", *([] if strict else ["__errors"]))
         hashed = True
     else:
         named = apply_naming(rows, source.style)
         named = source.mapper(named) if source.mapper else named
         if stop_at == "named":
             return named
-        columns = validated(named, contract) if strict else with_errors(named, contract)
+        columns = validated(named, contract, stop_at is None) if strict else with_errors(named, contract, stop_at is None)
         hashed = False
         if stop_at == "coerced":
             return columns

@@ -237,6 +237,57 @@ def row_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.with_row_hash(table(spark, sf_dir, "nation")).select("n_nationkey", F.col("__row_hash").alias("row_hash"))
 
 
+@_query("row_hash_numbers", """SELECT l_orderkey, l_linenumber, sha256('{"big": ' || CAST(l_extendedprice * 1e12 AS VARCHAR) || ', "l_discount": ' || CAST(l_discount AS VARCHAR) || ', "l_extendedprice": ' || CAST(l_extendedprice AS VARCHAR) || ', "l_orderkey": ' || l_orderkey
+    || ', "part": ' || CASE WHEN l_linenumber = 3 THEN 'null' ELSE CAST(l_extendedprice / 7 AS VARCHAR) END || ', "quantity": ' || CASE WHEN l_linenumber % 2 = 0 THEN CAST(CAST(l_quantity AS INT) AS VARCHAR) ELSE CAST(l_quantity AS VARCHAR) END || ', "small": ' || CAST(l_tax / 1e6 AS VARCHAR) || '}') AS row_hash FROM lineitem""")
+def row_hash_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hashes of doubles of all sizes, and of quantities that were landed as whole numbers on every other line."""
+    li = table(spark, sf_dir, "lineitem")
+    price, landed = F.col("l_extendedprice"), F.when(F.col("l_linenumber") % 2 == 0, F.col("l_quantity").cast("int").cast("string")).otherwise(F.col("l_quantity").cast("string"))
+    own = li.select(F.col("l_linenumber").alias("__line"), landed.alias("__landed"), "l_orderkey", price, "l_discount", F.col("l_quantity").alias("quantity"), (price * 1e12).alias("big"), F.when(F.col("l_linenumber") != 3, price / 7).alias("part"), (F.col("l_tax") / 1e6).alias("small"))
+    return rows.with_row_hash(own, landed={"quantity": F.col("__landed")}).select("l_orderkey", F.col("__line").alias("l_linenumber"), F.col("__row_hash").alias("row_hash"))
+
+
+JSON_ORDERS = Contract(
+    {
+        "type": "object", "required": ["order_key"], "additionalProperties": False,
+        "properties": {
+            "order_key": {"type": "integer", "minimum": 5}, "status": {"type": "string", "enum": ["F", "O"]}, "total": {"type": "number", "exclusiveMaximum": 400000}, "wide": {"type": "integer"},
+            "ship": {"type": "object", "required": ["mode"], "additionalProperties": False, "properties": {"mode": {"type": "string", "minLength": 6, "maxLength": 14, "pattern": "^[1-4]"}, "geo": {"type": "object", "properties": {"lat": {"type": "number", "exclusiveMinimum": -50, "maximum": 60}}}}},
+            "lines": {"type": "array", "items": {"type": "object", "properties": {"qty": {"type": "integer", "maximum": 5}, "tag": {"const": "x"}}}},
+        },
+    }
+)
+
+
+def json_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as nested JSON records under camel-case names; keys of some divisors have something that the contract forbids."""
+    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    text = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    lat = (F.col("o_custkey") % 151 - 75 + 0.5).cast("string")
+    mode = F.concat(F.when(k % 23 == 0, '"Other": ').otherwise('"Mode": '), text(F.col("o_orderpriority")))
+    lines = F.concat(F.lit('[{"Qty": '), (k % 7).cast("string"), F.lit(', "tag": "x"}, {"QTY": '), text(F.when(k % 17 == 0, "bad").otherwise((k % 6).cast("string"))), F.lit(', "tag": '), text(F.when(k % 13 == 0, "y").otherwise("x")), F.lit("}]"))
+    record = F.concat(F.lit('{"OrderKey": '), k.cast("string"), F.lit(', "status": '), text(F.col("o_orderstatus")), F.lit(', "total": '), F.col("o_totalprice").cast("string"), F.lit(', "WIDE": '), (k * 500000).cast("string"), F.lit(', "ship": {'), mode, F.lit(', "geo": {"Lat": '), lat, F.lit('}}, "lines": '), lines, F.when(k % 19 == 0, ', "more": [1.50, null]').otherwise(""), F.lit("}"))
+    return o.select(k.alias("k"), record.alias("record"))
+
+
+_JSON_ERRORS = """CASE WHEN k % 17 = 0 THEN ['lines[1].qty: cannot coerce ''bad'' to integer'] ELSE list_filter([
+    CASE WHEN k % 19 = 0 THEN 'more: unknown field' END, CASE WHEN k < 5 THEN 'order_key: against minimum 5' END, CASE WHEN o_orderstatus NOT IN ('F', 'O') THEN 'status: not one of [''F'', ''O'']' END,
+    CASE WHEN o_totalprice >= 400000 THEN 'total: against exclusiveMaximum 400000' END, CASE WHEN other THEN 'ship.mode: required' END, CASE WHEN other THEN 'ship.other: unknown field' END,
+    CASE WHEN NOT other AND len(m) < 6 THEN 'ship.mode: shorter than 6' END, CASE WHEN NOT other AND len(m) > 14 THEN 'ship.mode: longer than 14' END, CASE WHEN NOT other AND m[1:1] NOT IN ('1', '2', '3', '4') THEN 'ship.mode: doesn''t match ^[1-4]' END,
+    CASE WHEN lat <= -50 THEN 'ship.geo.lat: against exclusiveMinimum -50' END, CASE WHEN lat > 60 THEN 'ship.geo.lat: against maximum 60' END, CASE WHEN k % 7 > 5 THEN 'lines[0].qty: against maximum 5' END,
+    CASE WHEN k % 13 = 0 THEN 'lines[1].tag: not ''x''' END, CASE WHEN k * 500000 > 2147483647 THEN 'wide: beyond 32 bits' END], lambda x: x IS NOT NULL) END"""
+
+
+@_query("json_contract_rows", f"""WITH o AS (SELECT *, o_orderkey AS k, CAST(o_custkey % 151 - 75 + 0.5 AS DOUBLE) AS lat, o_orderpriority AS m, o_orderkey % 23 = 0 AS other FROM orders), e AS (SELECT *, {_JSON_ERRORS} AS errors FROM o)
+    SELECT k, CAST(len(errors) AS INT) AS n_errors, array_to_string(errors, '; ') AS errors, CASE WHEN k * 500000 <= 2147483647 THEN CAST(k * 500000 AS INT) END AS wide, o_totalprice AS total,
+    sha256('{{"lines": [{{"qty": ' || k % 7 || ', "tag": "x"}}, {{"qty": ' || CASE WHEN k % 17 = 0 THEN '"bad"' ELSE CAST(k % 6 AS VARCHAR) END || ', "tag": "' || CASE WHEN k % 13 = 0 THEN 'y' ELSE 'x' END || '"}}]' || CASE WHEN k % 19 = 0 THEN ', "more": [1.5, null]' ELSE '' END
+    || ', "order_key": ' || k || ', "ship": {{"geo": {{"lat": ' || CAST(lat AS VARCHAR) || '}}, "' || CASE WHEN other THEN 'other' ELSE 'mode' END || '": "' || m || '"}}, "status": "' || o_orderstatus || '", "total": ' || CAST(o_totalprice AS VARCHAR) || ', "wide": ' || k * 500000 || '}}') AS row_hash FROM e""")
+def json_contract_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested records through their contract: errors of each keyword at each depth, typed columns, hash of the whole record."""
+    checked = rows.coerce_json(json_orders(spark, sf_dir), JSON_ORDERS)
+    return checked.select("k", F.size("__errors").alias("n_errors"), F.concat_ws("; ", "__errors").alias("errors"), F.col("__fields.wide").alias("wide"), F.col("__fields.total").alias("total"), F.col("__row_hash").alias("row_hash"))
+
+
 BRONZE_ORDERS = Contract({"type": "object", "required": ["order_key"], "additionalProperties": False, "properties": {"order_key": {"type": "integer"}, "cust_key": {"type": ["integer", "null"]}, "order_status": {"type": "string"}, "order_priority": {"type": ["string", "null"]}}})
 
 

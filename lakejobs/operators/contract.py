@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakejobs.functions import casts
+from lakejobs.operators.checks import nested_errors
 
 _TYPES = {"integer": T.IntegerType(), "number": T.DoubleType(), "boolean": T.BooleanType(), "string": T.StringType()}
 _KNOWN = {"type", "required", "additionalProperties", "properties", "items", "enum", "const", "minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum", "minLength", "maxLength", "pattern", "description", "title", "$schema", "$id", "format", "examples", "default"}
@@ -87,6 +88,8 @@ def _refuse_unknown(schema: dict[str, Any], path: str) -> None:
     unknown = set(schema) - _KNOWN
     if unknown:
         raise ValueError(f"unsupported keywords at {path or '<root>'}: {sorted(unknown)}")
+    if isinstance(schema.get("additionalProperties"), dict):
+        raise ValueError(f"additionalProperties with rules at {path or '<root>'}: only true and false are supported")
     for name, rules in (schema.get("properties") or {}).items():
         _refuse_unknown(rules, f"{path}.{name}".strip("."))
     if isinstance(schema.get("items"), dict):
@@ -124,17 +127,20 @@ def _coercion_error(value: Column, out: Column, field: Field) -> Column:
     return failed
 
 
-def _violations(value: Column, field: Field) -> list[Column]:
-    """Errors of a coerced value against the rules of its field."""
+def _violations(value: Column, raw: Column, field: Field) -> list[Column]:
+    """Errors of a coerced value against the rules of its field; raw is its text. A blank that counts as null has to be
+    among the values of enum and const too."""
     r, name, out = field.rules, field.name, []
+    null = value.isNull() & (raw.isNull() | (F.trim(raw) == "")) & F.lit(field.nullable)
 
     def bad(condition: Column, message: str) -> None:
         out.append(F.when(value.isNotNull() & condition, F.lit(f"{name}: {message}")))
 
     if "enum" in r:
-        bad(~value.isin([x for x in r["enum"] if x is not None]), f"not one of {r['enum']}")
+        wrong = value.isNotNull() & ~value.isin([x for x in r["enum"] if x is not None])
+        out.append(F.when(wrong if None in r["enum"] else wrong | null, F.lit(f"{name}: not one of {r['enum']}")))
     if "const" in r:
-        bad(value != F.lit(r["const"]), f"not {r['const']!r}")
+        out.append(F.when(value.isNotNull() if r["const"] is None else null | (value != F.lit(r["const"])), F.lit(f"{name}: not {r['const']!r}")))
     for key, test in (("minimum", lambda v, x: v < x), ("maximum", lambda v, x: v > x), ("exclusiveMinimum", lambda v, x: v <= x), ("exclusiveMaximum", lambda v, x: v >= x)):
         if key in r:
             bad(test(value, F.lit(r[key])), f"against {key} {r[key]}")
@@ -147,11 +153,12 @@ def _violations(value: Column, field: Field) -> list[Column]:
     return out
 
 
-def with_errors(df: DataFrame, contract: Contract) -> DataFrame:
+def with_errors(df: DataFrame, contract: Contract, landed: bool = False) -> DataFrame:
     """df of text columns -> contract columns (coerced), other columns as they are, and __errors: array<string>.
 
     Presence is that of the column: a missing required column, or an unknown one in a closed contract, is an error of
-    every row. Nested fields are taken as JSON text.
+    every row. Nested fields are taken as JSON text, which is read and checked by the rules of what is in it, but stays as
+    it is. landed: also the texts of number columns, as __landed_<name>.
     """
     fields = {f.name: f for f in contract.fields}
     kept = [c for c in df.columns if c.startswith("__")]
@@ -168,19 +175,23 @@ def with_errors(df: DataFrame, contract: Contract) -> DataFrame:
         error = _coercion_error(F.col(f"`__raw_{c}`"), F.col(f"`{c}`"), fields[c])
         errors.append(error)
         if {"enum", "const", "minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum", "minLength", "maxLength", "pattern"} & set(fields[c].rules):
-            errors += _violations(F.col(f"`{c}`"), fields[c])
+            errors += _violations(F.col(f"`{c}`"), F.col(f"`__raw_{c}`"), fields[c])
+    deep = [c for c in own if fields[c].nested]
+    values = values.withColumns({f"__deep_{c}": nested_errors(c, fields[c].rules)(F.col(f"`{c}`").cast("string")) for c in deep})
     for name in contract.required:
         if name not in df.columns:
             errors.append(F.lit(f"{name}: required"))
     if contract.closed:
         errors += [F.lit(f"{c}: unknown field") for c in unknown]
     groups = [F.array_compact(F.array(*errors[i : i + 25])) for i in range(0, len(errors), 25)] or [F.array().cast("array<string>")]
-    return values.select(*[F.col(f"`{c}`") for c in [*own, *unknown, *kept]], F.concat(*groups).alias("__errors"))
+    texts = [F.col(f"`__raw_{c}`").alias(f"__landed_{c}") for c in plain if isinstance(fields[c].spark_type, T.DoubleType)] if landed else []
+    every = F.concat(*groups, *[F.col(f"`__deep_{c}`") for c in deep])
+    return values.select(*[F.col(f"`{c}`") for c in [*own, *unknown, *kept]], *texts, every.alias("__errors"))
 
 
-def validated(df: DataFrame, contract: Contract) -> DataFrame:
+def validated(df: DataFrame, contract: Contract, landed: bool = False) -> DataFrame:
     """with_errors() that fails the job on the first bad row."""
-    checked = with_errors(df, contract)
+    checked = with_errors(df, contract, landed)
     first = checked.columns[0]
     stop = F.raise_error(F.concat(F.lit("contract: "), F.concat_ws("; ", F.slice("__errors", 1, 10))))
     guard = F.when(F.size("__errors") > 0, stop.cast(checked.schema[first].dataType)).otherwise(F.col(f"`{first}`"))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import re
 from collections.abc import Iterator
 from typing import Any
 
@@ -13,8 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakejobs.functions import timekeys
-from lakejobs.functions.naming import snake
+from lakejobs.functions import jsontext, timekeys
+from lakejobs.operators.checks import compile_check, compile_coercion
 from lakejobs.operators.contract import Contract
 
 META_COLUMNS = ("__row_hash", "__filename", "__extract_run_datetime", "__bronze_loaded_at", "__interval_start_datetime", "__interval_end_datetime", "__data_interval_date")
@@ -25,47 +24,35 @@ def canonical_text(record: dict[str, Any]) -> str:
     return json.dumps(record, sort_keys=True, default=str)
 
 
-#: Types whose JSON text column expressions can write; floats, dates and decimals are written by Python.
-_PLAIN = (T.StringType, T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType)
-#: The short escapes of JSON.
-_ESCAPES = {'"': '\\"', "\\": "\\\\", "\n": "\\n", "\r": "\\r", "\t": "\\t", "\b": "\\b", "\f": "\\f"}
+#: Types whose JSON text column expressions can write; dates, decimals and nested values are written by Python.
+_PLAIN = (T.StringType, T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType, T.FloatType, T.DoubleType)
 
 
-def _json_text(value: Column) -> Column:
-    """The JSON text of a string, ASCII only. Texts without anything to escape pass as they are."""
+def canonical_column(fields: list[T.StructField], landed: dict[str, Column] | None = None) -> Column:
+    """canonical_text() of the given columns. landed: the text that a number column was read from, by name; a number that
+    was landed as a whole number is written as one (51 apart from 51.0)."""
 
-    def unit(x: Column) -> Column:
-        return F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(x)), 4, "0"))
-
-    def one(c: Column) -> Column:
-        code = F.ascii(c)
-        out = F.when(code.between(32, 126) & ~c.isin('"', "\\"), c)
-        for char, text in _ESCAPES.items():
-            out = out.when(c == char, F.lit(text))
-        pair = F.concat(unit(F.shiftright(code - 65536, 10) + 0xD800), unit((code - 65536).bitwiseAND(F.lit(1023)) + 0xDC00))
-        return out.when(code > 65535, pair).otherwise(unit(code))
-
-    escaped = F.array_join(F.transform(F.split(value, ""), one), "")
-    return F.concat(F.lit('"'), F.when(value.rlike(r"^[ !#-\[\]-~]*$"), value).otherwise(escaped), F.lit('"'))
-
-
-def canonical_column(fields: list[T.StructField]) -> Column:
-    """canonical_text() of the given columns, which are texts, whole numbers or booleans."""
-    parts = []
-    for i, f in enumerate(sorted(fields, key=lambda f: f.name)):
+    def text(f: T.StructField) -> Column:
         c = F.col("`" + f.name.replace("`", "``") + "`")
-        text = _json_text(c) if isinstance(f.dataType, T.StringType) else c.cast("string")
-        parts += [F.lit((", " if i else "{") + json.dumps(f.name) + ": "), F.coalesce(text, F.lit("null"))]
-    return F.concat(*parts, F.lit("}")) if parts else F.lit("{}")
+        if isinstance(f.dataType, T.StringType):
+            return jsontext.string_text(c)
+        if not isinstance(f.dataType, (T.FloatType, T.DoubleType)):
+            return c.cast("string")
+        if f.name not in (landed or {}):
+            return jsontext.number_text(c)
+        t = F.trim(landed[f.name])
+        return F.when(t.rlike(r"^-?\d+$"), jsontext.whole_text(t)).otherwise(jsontext.number_text(c))
+
+    return jsontext.object_text([f.name for f in fields], [text(f) for f in fields])
 
 
-def with_row_hash(df: DataFrame, into: str = "__row_hash") -> DataFrame:
+def with_row_hash(df: DataFrame, into: str = "__row_hash", landed: dict[str, Column] | None = None) -> DataFrame:
     """df with the SHA-256 of each row's columns that don't start with __. Nested texts are hashed as text. Rows of texts,
-    whole numbers and booleans are hashed by column expressions, others in Arrow batches."""
+    numbers and booleans are hashed by column expressions, others in Arrow batches. landed: see canonical_column()."""
     names = [c for c in df.columns if not c.startswith("__")]
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
     if all(isinstance(f.dataType, _PLAIN) for f in df.schema if f.name in names):
-        return df.withColumn(into, F.sha2(canonical_column([f for f in df.schema if f.name in names]), 256))
+        return df.withColumn(into, F.sha2(canonical_column([f for f in df.schema if f.name in names], landed), 256))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -79,8 +66,10 @@ def with_row_hash(df: DataFrame, into: str = "__row_hash") -> DataFrame:
 
 
 def attach_meta(df: DataFrame, filename: Column, run: Column, start: Column, end: Column | None, loaded_at: Column, hashed: bool = False) -> DataFrame:
-    """df with the seven meta columns; run, start, end and loaded_at are timestamps. hashed: __row_hash is there."""
-    out = df if hashed else with_row_hash(df)
+    """df with the seven meta columns; run, start, end and loaded_at are timestamps. hashed: __row_hash is there.
+    Columns __landed_<name> are the texts of number columns, for the hash."""
+    texts = {c.removeprefix("__landed_"): F.col(f"`{c}`") for c in df.columns if c.startswith("__landed_")}
+    out = df if hashed else with_row_hash(df, landed=texts)
     bound = timekeys.checked_end(start, end if end is not None else F.lit(None).cast("timestamp"))
     return out.withColumns(
         {
@@ -90,125 +79,69 @@ def attach_meta(df: DataFrame, filename: Column, run: Column, start: Column, end
     )
 
 
-#: Texts that stand for truth values.
-_TRUTH = {"true": True, "1": True, "yes": True, "false": False, "0": False, "no": False}
-_WHOLE = re.compile(r"[-+]*[\d_]+")
-
-
-def _to_number(x: Any, want: str) -> int | float | None:
-    """A number of a JSON scalar; None if it is none of that kind."""
-    if isinstance(x, str) and _WHOLE.fullmatch(x.strip()):
-        x = x.strip()
-        convert: Any = int
-    else:
-        convert = (lambda v: v) if isinstance(x, int) else float
-    try:
-        found = convert(x)
-    except (TypeError, ValueError):
-        return None
-    if want == "number" or isinstance(found, int):
-        return found
-    return int(found) if found.is_integer() else None
-
-
-def _to_truth(x: Any) -> bool | None:
-    return x if isinstance(x, bool) else _TRUTH.get(x.strip().lower()) if isinstance(x, str) else None
-
-
-def _scalar(value: Any, kinds: set[str]) -> tuple[Any, str | None]:
-    """The value as one of the kinds, and what is wrong if it can't be. Numbers come before truth values and texts; lists
-    and objects are left to the check."""
-    if isinstance(value, (dict, list)):
-        return value, None
-    if value is None or value == "" or isinstance(value, str) and value.isspace():
-        if "null" in kinds:
-            return None, None
-        return ("", None) if value is not None and "string" in kinds else (value, "an empty value isn't allowed")
-    want = next((k for k in ("integer", "number", "boolean") if k in kinds), "string")
-    if want == "string":
-        return value if isinstance(value, str) else str(value), None
-    if want != "boolean" and isinstance(value, bool):
-        return value, f"a boolean is no {want}"
-    found = _to_truth(value) if want == "boolean" else _to_number(value, want)
-    return (value, f"cannot coerce {value!r} to {want}") if found is None else (found, None)
-
-
-def _walk(value: Any, rules: dict[str, Any] | None, path: str, rename: bool, errors: list[str]) -> Any:
-    """A record or list with names in snake case and scalars coerced, as far as rules reach."""
-    kind = (rules or {}).get("type")
-    kinds = {kind} if isinstance(kind, str) else set(kind or ())
-    if isinstance(value, dict):
-        out: dict[str, Any] = {}
-        for k, v in value.items():
-            name = snake(k) if rename else k
-            if name in out:
-                errors.append(f"{path or '<root>'}: several keys become {name!r}")
-                continue
-            own = ((rules or {}).get("properties") or {}).get(name)
-            out[name] = _walk(v, own, f"{path}.{name}" if path else name, rename, errors)
+class Checker:
+    """A contract's coercion and checks of JSON texts."""
+
+    def __init__(self, contract: Contract, rename: bool = True):
+        self.coerce = compile_coercion(contract.schema, rename)
+        self.check = compile_check(contract.schema | {"type": "object"} if contract.schema else {})
+        self.narrow = [(f.name, compile_check({}, wide=False)) for f in contract.fields if isinstance(f.spark_type, T.IntegerType)]
+        self.fields = [(f.name, f.spark_type) for f in contract.fields]
+
+    def record(self, text: str) -> tuple[str, Any, list[str]]:
+        """(canonical text, record, errors) of one JSON object. What it has against the rules is told if coercion is fine."""
+        errors: list[str] = []
+        try:
+            out = self.coerce(json.loads(text), None, errors)
+        except ValueError:
+            return "{}", {}, ["<root>: not JSON"]
+        except RecursionError:
+            return "{}", {}, ["<root>: nested too deep"]
+        if not errors:
+            self.check(out, None, errors)
+            for n, narrow in self.narrow:
+                if isinstance(out, dict) and n in out:
+                    narrow(out[n], (None, n), errors)
+        return canonical_text(out), out if isinstance(out, dict) else {}, errors
+
+    def column(self, name: str, kind: T.DataType, records: list[dict[str, Any]], fine: list[bool]) -> list:
+        """The values of a field; nested ones are JSON text. Of records that aren't fine, those that fit."""
+        out = []
+        for r, ok in zip(records, fine, strict=True):
+            v = r.get(name)
+            if isinstance(kind, T.StringType):
+                out.append(v if v is None or isinstance(v, str) else canonical_text(v))
+            elif ok or v is None:
+                out.append(float(v) if v is not None and isinstance(kind, T.DoubleType) else v)
+            else:
+                fits = {"int": isinstance(v, int) and not isinstance(v, bool) and -(1 << 31) <= v < 1 << 31, "double": isinstance(v, (int, float)) and not isinstance(v, bool), "boolean": isinstance(v, bool)}
+                out.append((float(v) if isinstance(kind, T.DoubleType) else v) if fits.get(kind.simpleString()) else None)
         return out
-    if isinstance(value, list):
-        items = (rules or {}).get("items")
-        return [_walk(x, items if isinstance(items, dict) else None, f"{path}[{i}]", rename, errors) for i, x in enumerate(value)]
-    if not kinds:
-        return value
-    found, wrong = _scalar(value, kinds)
-    if wrong:
-        errors.append(f"{path}: {wrong}")
-    return found
-
-
-_PYTHON = {"integer": int, "number": (int, float), "boolean": bool, "string": str, "object": dict, "array": list, "null": type(None)}
-
-
-def _check(value: Any, rules: dict[str, Any], path: str, errors: list[str]) -> None:
-    kind = rules.get("type")
-    kinds = [kind] if isinstance(kind, str) else kind or []
-    if kinds and not any(isinstance(value, _PYTHON[k]) and (not isinstance(value, bool) or k == "boolean") for k in kinds):
-        errors.append(f"{path or '<root>'}: not of type {kinds}")
-        return
-    if isinstance(value, dict):
-        known = rules.get("properties") or {}
-        errors += [f"{path}.{n}".strip(".") + ": required" for n in rules.get("required") or () if n not in value]
-        if rules.get("additionalProperties") is False:
-            errors += [f"{path}.{n}".strip(".") + ": unknown field" for n in value if n not in known]
-        for n, own in known.items():
-            if n in value:
-                _check(value[n], own, f"{path}.{n}".strip("."), errors)
-    if isinstance(value, list) and isinstance(rules.get("items"), dict):
-        for i, x in enumerate(value):
-            _check(x, rules["items"], f"{path}[{i}]", errors)
-
-
-def checked_record(text: str, schema: dict[str, Any], rename: bool = True) -> tuple[str, str, list[str]]:
-    """(canonical JSON, hash, errors) of one JSON object."""
-    errors: list[str] = []
-    try:
-        record = json.loads(text)
-    except ValueError:
-        return "{}", hashlib.sha256(b"{}").hexdigest(), ["<root>: not JSON"]
-    out = _walk(record, schema, "", rename, errors)
-    if not errors:
-        _check(out, schema, "", errors)
-    canonical = canonical_text(out)
-    return canonical, hashlib.sha256(canonical.encode()).hexdigest(), errors
 
 
 def renamed_json(df: DataFrame, column: str = "record", rename: bool = True) -> DataFrame:
     """df of JSON object texts with the names in snake case, values as they are; __errors has names that meet."""
     out = coerce_json(df, Contract({}), column, rename)
-    return out.withColumn(column, F.col("__canonical")).drop("__canonical", "__row_hash")
+    return out.withColumn(column, F.col("__canonical")).drop("__canonical", "__row_hash", "__fields")
 
 
 def coerce_json(df: DataFrame, contract: Contract, column: str = "record", rename: bool = True) -> DataFrame:
-    """df of JSON object texts with __canonical, __row_hash and __errors; other columns are kept."""
+    """df of JSON object texts with __canonical, __row_hash, __errors and __fields, a struct of the contract's columns; other
+    columns are kept."""
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
-    schema = contract.schema
+    fields = [(f.name, f.spark_type) for f in contract.fields]
+    arrow = {"int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string()}
+    struct = T.StructType([T.StructField(n, t) for n, t in fields] or [T.StructField("__none", T.BooleanType())]).simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        checker = Checker(contract, rename)
         for batch in batches:
-            out = [checked_record(t or "", schema, rename) for t in batch.column(batch.schema.names.index(column)).to_pylist()]
-            text, digest, errors = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(text, pa.string()), pa.array(digest, pa.string()), pa.array(errors, pa.list_(pa.string()))], names=[*batch.schema.names, "__canonical", "__row_hash", "__errors"])
-
-    return df.mapInArrow(run, ", ".join([*[f"`{c}` {kinds[c]}" for c in df.columns], "__canonical string, __row_hash string, __errors array<string>"]))
+            out = [checker.record(t or "") for t in batch.column(batch.schema.names.index(column)).to_pylist()]
+            text, records, errors = zip(*out, strict=True) if out else ((), (), ())
+            fine = [not e for e in errors]
+            columns = [pa.array(checker.column(n, t, records, fine), arrow[t.simpleString()]) for n, t in fields] or [pa.nulls(len(out), pa.bool_())]
+            values = pa.StructArray.from_arrays(columns, names=[n for n, _ in fields] or ["__none"])
+            digest = pa.array([hashlib.sha256(t.encode()).hexdigest() for t in text], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(text, pa.string()), digest, pa.array(errors, pa.list_(pa.string())), values], names=[*batch.schema.names, "__canonical", "__row_hash", "__errors", "__fields"])
+
+    return df.mapInArrow(run, ", ".join([*[f"`{c}` {kinds[c]}" for c in df.columns], f"__canonical string, __row_hash string, __errors array<string>, __fields {struct}"]))
