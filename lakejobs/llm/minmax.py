@@ -11,7 +11,7 @@ BANDS bands a pair of J = 0.85 is missed with the chance (1 - 0.85^4)^20 = 4e-7;
 80 values, which 0.85 fails with a chance below 1e-8, before its sets are compared.
 
 Equal sets fall together first: all that follows works on distinct sets. Dense groups aren't expanded into pairs: every
-bucket links its members to two of its own, then, in HUB_ROUNDS rounds, to one member of each of two of the components that
+bucket links its members to the one of most documents, then, in HUB_ROUNDS rounds, to one member of each of two of the components that
 it still holds; what links confirm falls together. Only pairs of different components are compared at last. In a bucket of
 over CROWDED members these are found by what sets the members apart from the bucket's hub H: with D_u the symmetric
 difference of the sets of u and H, those of u and v differ in |D_u ^ D_v|. A link allows t = 15 / 185 (|u| + |v|), so that D_u
@@ -44,7 +44,7 @@ from lakejobs.llm.simhash import shingle_hashes
 SHINGLE, THRESHOLD = 5, 85
 PERMUTATIONS, BANDS, ROWS = 40, 20, 4
 AGREE = 48
-HUB_ROUNDS, CROWDED = 2, 128
+HUB_ROUNDS, CROWDED = 1, 128
 #: Sets of hubs that a task keeps at hand.
 HELD = 64
 
@@ -150,12 +150,12 @@ def labelled(nodes: DataFrame, docs: DataFrame, threshold: int = THRESHOLD, k: i
     docs: (id, h, text).
     """
     members = nodes.select("node", "docs", F.posexplode("bands").alias("band", "key"))
-    hubs = members.groupBy("band", "key").agg(F.count("*").alias("size"), F.min("node").alias("low"), F.max_by("node", F.struct("docs", "node")).alias("top")).where("size > 1")
-    shared = common.saved(members.join(hubs, ["band", "key"]).select("node", "band", "key", "low", "top"), "shared")
+    hubs = members.groupBy("band", "key").agg(F.count("*").alias("size"), F.max_by("node", F.struct("docs", "node")).alias("top")).where("size > 1")
+    shared = common.saved(members.join(hubs, ["band", "key"]).select("node", "band", "key", "top"), "shared")
     wanted = nodes.join(shared.select("node").distinct(), "node", "left_semi").select("node", "id", "h")
     texts = docs.join(wanted, docs["id"].eqNullSafe(wanted["id"]) & (docs["h"] == wanted["h"]))
     texts = common.saved(texts.select("node", "text").dropDuplicates(["node"]), "texts")
-    star = shared.select(F.col("node").alias("u"), F.explode(F.array("low", "top")).alias("v")).where("u <> v").distinct()
+    star = shared.select(F.col("node").alias("u"), F.col("top").alias("v")).where("u <> v").distinct()
     tested = common.saved(_candidates(_in_order(star), nodes, threshold), "tested")
     links = common.saved(confirmed(tested, texts, threshold, k), "links")
     for step in range(HUB_ROUNDS + 1):
