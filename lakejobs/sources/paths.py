@@ -22,6 +22,39 @@ def children(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()) if fs.exists(p) else []
 
 
+def files(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files in a folder; none if there is no folder."""
+    fs, p = _at(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isFile()) if fs.exists(p) else []
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small text file."""
+    fs, p = _at(spark, path)
+    stream = fs.open(p)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small text file that isn't there yet."""
+    fs, p = _at(spark, path)
+    stream = fs.create(p, False)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+
+
+def rename_new(spark: SparkSession, path: str, new: str) -> bool:
+    """Give a file a name that isn't taken; whether it got it."""
+    fs, p = _at(spark, path)
+    _, place = _at(spark, new)
+    return not fs.exists(place) and bool(fs.rename(p, place))
+
+
 def delete(spark: SparkSession, path: str, inside: str) -> bool:
     """Delete a folder that lies inside a data set; anything else is refused."""
     base, own = inside.rstrip("/") + "/", path.rstrip("/")

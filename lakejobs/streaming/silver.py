@@ -1,56 +1,43 @@
 """Silver by micro-batches: each new set of bronze files is upserted; replayed batches change nothing.
 
-A silver table lies in folders by a hash bucket of its keys. A batch reads and rewrites the buckets that its keys fall
-in, and no others; Spark stages their files and replaces these folders when the write is done.
+A silver table lies in folders by a hash bucket of its keys, with a commit file per version (sources.commits). A batch reads
+the buckets that its keys fall in, writes them anew beside the old ones, and becomes visible with its commit file, which
+also has the number of the batch: a batch that is run again after a crash is either not there yet, or left out.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from lakejobs.operators.silver import latest_run
-from lakejobs.sources import paths
+from lakejobs.jobs import silver as jobs
+from lakejobs.sources import commits
+from lakejobs.sources.commits import BUCKETS
 
-#: Buckets of a new table. A table keeps the number that it began with, which is in the name of its folders.
-BUCKETS = 64
-_PREFIX = "__bucket_of_"
-
-
-def _buckets(spark: SparkSession, target: str) -> int | None:
-    """The number of buckets of a table; None if there is none."""
-    found = {name.split("=")[0] for name in paths.children(spark, target) if name.startswith(_PREFIX)}
-    if len(found) > 1:
-        raise ValueError(f"{target} holds buckets of several numbers: {sorted(found)}")
-    return int(found.pop().removeprefix(_PREFIX)) if found else None
+#: Versions before the newest one that stay readable while a stream writes.
+KEEP = 2
 
 
 def read_silver(spark: SparkSession, target: str) -> DataFrame:
-    """The rows of a table that upsert() keeps."""
-    df = spark.read.parquet(target)
-    return df.drop(*[c for c in df.columns if c.startswith(_PREFIX)])
+    """The rows of the newest version of a table that upsert() or jobs.silver keeps."""
+    return jobs.read_silver(spark, target)
 
 
-def upsert(batch: DataFrame, target: str, keys: list[str], order: list[Column], buckets: int = BUCKETS) -> None:
+def upsert(batch: DataFrame, target: str, keys: list[str], order: list[Column], buckets: int = BUCKETS, stream: str | None = None, batch_id: int | None = None, keep: int = 0) -> bool:
     """The latest row of each key over target and batch, in the buckets that the batch touches. The batch's rows are
-    reduced to one per key first; null keys equal each other."""
+    reduced to one per key first; null keys equal each other. A batch of a stream whose number isn't above the last one
+    that was committed is left out. keep: earlier versions that stay readable. Returns whether there is a new version."""
     spark = batch.sparkSession
-    live = _buckets(spark, target)
-    number = live or buckets
-    column = f"{_PREFIX}{number}"
-    fresh = latest_run(batch, keys, order).withColumn(column, F.pmod(F.xxhash64(*keys), F.lit(number)).cast("int"))
-    if live:
-        touched = [r[column] for r in fresh.select(column).distinct().collect()]  # at most a row per bucket
-        if not touched:
-            return
-        old = spark.read.parquet(target).where(F.col(column).isin(touched))
-        fresh = latest_run(old.unionByName(fresh, allowMissingColumns=True), keys, order)
-    fresh.hint("rebalance", column).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(column).parquet(target)
+    live = commits.latest(spark, target)
+    if stream is not None and live is not None and batch_id <= live.batches.get(stream, -1):
+        return False
+    done = {stream: batch_id} if stream is not None else {}
+    return jobs.write(batch, target, keys, "latest", order, live=live, buckets=buckets, batches=done, keep=keep) is not None
 
 
 def stream_silver(spark: SparkSession, bronze: str, schema: T.StructType, target: str, checkpoint: str, keys: list[str], order: list[Column], buckets: int = BUCKETS) -> StreamingQuery:
-    """Everything available, then stop; the checkpoint remembers the files."""
+    """Everything available, then stop; the checkpoint remembers the files, the table the last batch of the checkpoint."""
     rows = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(bronze)
-    return rows.writeStream.foreachBatch(lambda batch, _: upsert(batch, target, keys, order, buckets)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    write = lambda batch, n: upsert(batch, target, keys, order, buckets, checkpoint, n, KEEP)
+    return rows.writeStream.foreachBatch(lambda batch, n: (write(batch, n), None)[1]).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
