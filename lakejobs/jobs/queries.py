@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 
 from lakejobs.functions import casts, naming, timekeys
 from lakejobs.jobs import load, ops
+from lakejobs.jobs import silver as silver_jobs
 from lakejobs.operators import contract as contracts
 from lakejobs.operators import coverage, marts, profile, rows, runs, silver, staging
 from lakejobs.operators.contract import Contract
 from lakejobs.operators.coverage import KEYS
-from lakejobs.sources import raw
+from lakejobs.sources import paths, raw
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -405,6 +406,21 @@ _query("incremental_append", _incremental_sql("run > m", append=True))(lambda sp
 _query("incremental_lookback", _incremental_sql("run >= m - INTERVAL 30 DAY"))(lambda spark, sf_dir: _incremental(spark, sf_dir, "30 DAYS", "delete+insert"))
 
 
+def _silver_job(spark: SparkSession, sf_dir: str, lookback: str | None, strategy: str) -> DataFrame:
+    """The same increments as builds of a table: its buckets, commits and watermark."""
+    keys, staged = ["l_suppkey", "l_returnflag"], _by_supplier(spark, sf_dir)
+    target = paths.scratch(spark, "silver")
+    build = lambda rows: silver_jobs.build(rows, target, keys, strategy, lookback=lookback, order=_supplier_order(), keep=0)
+    build(staged.where("__extract_run_datetime < '2000-01-01' and l_linenumber <> 2"))
+    build(staged)
+    return silver_jobs.read_silver(spark, target).select("l_suppkey", "l_returnflag", F.date_format("__extract_run_datetime", "yyyy-MM-dd").alias("run"), "l_orderkey", "l_linenumber")
+
+
+_query("silver_job", _incremental_sql("run > m"))(lambda spark, sf_dir: _silver_job(spark, sf_dir, None, "delete+insert"))
+_query("silver_job_append", _incremental_sql("run > m", append=True))(lambda spark, sf_dir: _silver_job(spark, sf_dir, None, "append"))
+_query("silver_job_lookback", _incremental_sql("run >= m - INTERVAL 30 DAY"))(lambda spark, sf_dir: _silver_job(spark, sf_dir, "30 DAYS", "merge"))
+
+
 @_query("latest_by_aggregate", f"SELECT l_suppkey, l_returnflag, strftime(run, '%Y-%m-%d') AS run, l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey, l_returnflag ORDER BY run DESC, l_orderkey DESC, l_linenumber DESC, l_partkey DESC, l_extendedprice DESC) AS p FROM ({_KEYED_ITEMS})) WHERE p = 1")
 def latest_by_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = silver.latest_run_by_aggregate(_by_supplier(spark, sf_dir), ["l_suppkey", "l_returnflag"], ["__extract_run_datetime", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"])

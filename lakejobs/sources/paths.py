@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -22,6 +23,20 @@ def children(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()) if fs.exists(p) else []
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new folder name for a table that goes when the application ends: below spark.checkpoint.dir, or where that is
+    unset in a temporary folder in local mode, else in the warehouse."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        local = spark.sparkContext.master.split("[")[0] == "local"
+        base = "file://" + tempfile.mkdtemp(prefix="spark-lakejobs-") if local else spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{base.rstrip('/')}/lakejobs-{label}-{uuid.uuid4().hex}"
+    fs, p = _at(spark, path)
+    fs.mkdirs(p)
+    fs.deleteOnExit(p)
+    return path
+
+
 def files(spark: SparkSession, path: str) -> list[str]:
     """Names of the files in a folder; none if there is no folder."""
     fs, p = _at(spark, path)
