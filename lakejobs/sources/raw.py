@@ -3,9 +3,16 @@
 from __future__ import annotations
 
 import csv
+import hashlib
+import io
+import re
+from collections.abc import Iterator
 from functools import reduce
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,20 +20,48 @@ from pyspark.sql.window import Window
 
 from lakejobs.functions import timekeys
 from lakejobs.operators.coverage import KEYS, version_or_one
+from lakejobs.sources import paths
+
+#: Files up to so many bytes are hashed as one value; of larger ones so many bytes are read at a time.
+WHOLE, CHUNK = 256 << 20, 8 << 20
+#: Levels of folders below a root on which interval folders are looked for.
+_LEVELS = 6
+#: Blocks of at least so many bytes are never packed with other files.
+_ALONE = 64 << 20
 
 ARTIFACT = "struct<path:string,origin:string,sha256:string,bytes:string,format:string,content_encoding:string,format_check:string>"
 MANIFEST = f"source string, interval_start string, interval_end string, extract_run_datetime string, wire_version string, lake_layout string, artifacts array<{ARTIFACT}>"
 _KEY_PATTERN = "/__interval_start_datetime=([^/]+)/__interval_end_datetime=([^/]+)/__extract_run_datetime=([^/]+)/"
 
 
+def interval_folders(spark: SparkSession, root: str, start: str | None = None, end: str | None = None) -> list[str] | None:
+    """The interval folders below a root whose start lies in the window, found by listing names level by level down to
+    them; nothing below a folder outside of the window is listed. None if there are none to tell by."""
+    level = [root.rstrip("/")]
+    for _ in range(_LEVELS):
+        below = [f"{folder}/{name}" for folder in level for name in paths.children(spark, folder)]
+        own = [f for f in below if f.rsplit("/", 1)[1].startswith(f"{KEYS[0]}=")]
+        if own:
+            names = spark.createDataFrame([(f, f.rsplit("=", 1)[1]) for f in own], "folder string, key string")
+            key = timekeys.from_key(F.coalesce(F.try_url_decode("key"), "key"))
+            return sorted(r["folder"] for r in names.where(timekeys.in_window(key, start, end) & key.isNotNull()).select("folder").collect())
+        level = below
+    return None
+
+
 def committed_runs(spark: SparkSession, root: str, start: str | None = None, end: str | None = None) -> DataFrame:
     """One row per committed run below a raw root: the run keys, its folder and its manifest. A run is committed if its
-    meta/manifest.json is a JSON object; temporary files never count."""
-    text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "manifest.json").text(root, wholetext=True)
-    path = F.col("_metadata.file_path")
-    rows = text.select(F.col("value"), path.alias("file")).where(F.col("file").rlike("/meta/manifest\\.json$") & F.trim("value").startswith("{"))
+    meta/manifest.json is a JSON object; temporary files never count. A window lists the folders of its intervals only."""
+    chosen = interval_folders(spark, root, start, end) if start or end else None
+    wanted = [root] if chosen is None else chosen
+    options = {"recursiveFileLookup": "true", "pathGlobFilter": "manifest.json", "wholetext": "true"}
+    if wanted:
+        text = spark.read.options(**options).text(wanted).select("value", F.col("_metadata.file_path").alias("file"))
+    else:
+        text = spark.createDataFrame([], "value string, file string")
+    rows = text.where(F.col("file").rlike("/meta/manifest\\.json$") & F.trim("value").startswith("{")).withColumn("file", file_path("file"))
     rows = rows.select(F.from_json("value", MANIFEST + ", _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"}).alias("m"), "file").where("m is not null and m._corrupt is null")
-    decoded = F.url_decode("file")
+    decoded = F.coalesce(F.try_url_decode("file"), "file")
     key = [timekeys.from_key(F.regexp_extract(decoded, _KEY_PATTERN, i)) for i in (1, 2, 3)]
     stamp = F.coalesce(timekeys.instant(F.col("m.extract_run_datetime")), key[2])
     out = rows.select(key[0].alias(KEYS[0]), key[1].alias(KEYS[1]), stamp.alias(KEYS[2]), F.regexp_extract("file", "^(.*)/meta/manifest\\.json$", 1).alias("folder"), "m.source", version_or_one(F.col("m.wire_version")).alias("wire_version"), version_or_one(F.col("m.lake_layout")).alias("lake_layout"), "m.artifacts")
@@ -47,49 +82,97 @@ def artifact_bytes(runs: DataFrame) -> DataFrame:
     return artifacts(runs).groupBy(*KEYS).agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.count("*").alias("artifacts"))
 
 
-def integrity(spark: SparkSession, listed: DataFrame, root: str) -> DataFrame:
-    """Artifacts with what is found: (file, sha256, bytes, found_sha256, found_bytes, ok). Files are hashed where they are read."""
+def integrity(spark: SparkSession, listed: DataFrame, root: str, whole: int = WHOLE) -> DataFrame:
+    """Artifacts with what is found: (file, sha256, bytes, found_sha256, found_bytes, ok). Files are hashed where they are
+    read: up to whole bytes as one value, larger ones as streams, a file a task, of which a task holds CHUNK bytes (their store
+    has to be one that Arrow opens: local, HDFS, S3, GCS)."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    found = files.select(F.regexp_replace("path", "^file:/+", "/").alias("file"), F.sha2("content", 256).alias("found_sha256"), F.col("length").alias("found_bytes"))
+    small = files.where(F.col("length") <= whole).select("path", F.sha2("content", 256).alias("found_sha256"), F.col("length").alias("found_bytes"))
+    large = files.where(F.col("length") > whole).select("path", "length").repartition(_file_tasks(spark), "path")
+    found = small.unionByName(large.mapInArrow(_streamed, "path string, found_sha256 string, found_bytes long"))
+    found = found.select(F.regexp_replace("path", "^file:/+", "/").alias("file"), "found_sha256", "found_bytes")
     want = listed.withColumn("file", F.regexp_replace("file", "^file:/+", "/"))
     j = want.join(found, "file", "left")
     return j.withColumn("ok", F.coalesce((F.col("sha256") == F.col("found_sha256")) & (F.col("bytes") == F.col("found_bytes")), F.lit(False)))
 
 
-def same_file(path: str) -> Column:
-    """A file's path in one form, whether listed or from _metadata."""
-    return F.regexp_replace(F.coalesce(F.try_url_decode(path), F.col(path)), "^file:/+", "/")
-
-
-def first_line(spark: SparkSession, file: str) -> str:
-    """The first line of a text file in any store that Spark reads, decompressed by the codec of its name."""
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(file)
-    conf = spark._jsc.hadoopConfiguration()
-    stream = path.getFileSystem(conf).open(path)
-    try:
-        codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(path)
-        reader = jvm.java.io.InputStreamReader(stream if codec is None else codec.createInputStream(stream), "UTF-8")
-        return jvm.java.io.BufferedReader(reader).readLine() or ""
-    finally:
-        stream.close()
+def _file_tasks(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """SHA-256 and length of each file, read in chunks."""
+    for batch in batches:
+        for path in batch.column(0).to_pylist():
+            fs, place = pafs.FileSystem.from_uri(path if "://" in path else "file://" + re.sub("^file:/*", "/", path))
+            digest, n = hashlib.sha256(), 0
+            with fs.open_input_stream(place) as f:
+                while chunk := f.read(CHUNK):
+                    digest.update(chunk)
+                    n += len(chunk)
+            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([digest.hexdigest()]), pa.array([n])], names=["path", "found_sha256", "found_bytes"])
+
+
+def file_path(column: str) -> Column:
+    """The path of a file of _metadata.file_path, which is told as a URI: percent escapes are decoded, plus signs stay."""
+    return F.url_decode(F.replace(F.col(column), F.lit("+"), F.lit("%2B")))
+
+
+def same_file(path: Column) -> Column:
+    """A file's path in one form, for joins."""
+    return F.regexp_replace(path, "^file:/+", "/")
+
+
+def _first_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(file, head) of rows (value, file, start, length) of text files, in order: the first record of each file, which may
+    go on over line ends in quotes. The rest of a large block isn't read: such a block has its task for itself."""
+    held: dict[str, str] = {}
+    done: set[str] = set()
+    for batch in batches:
+        values, names, starts, lengths = (batch.column(i) for i in range(4))
+        files, heads, alone = [], [], False
+        at = np.flatnonzero(np.append(True, np.array(names.to_pylist()[1:], dtype=object) != np.array(names.to_pylist()[:-1], dtype=object))) if batch.num_rows else []
+        for a, b in zip(at, [*at[1:], batch.num_rows], strict=False):
+            file = names[a].as_py()
+            alone = lengths[a].as_py() >= _ALONE
+            if starts[a].as_py() or file in done:
+                continue
+            for i in range(a, b):
+                text = values[i].as_py()
+                held[file] = f"{held[file]}\n{text}" if file in held else text
+                if held[file].count('"') % 2 == 0:
+                    done.add(file), files.append(file), heads.append(held.pop(file))
+                    break
+        yield pa.RecordBatch.from_arrays([pa.array(files, pa.string()), pa.array(heads, pa.string())], names=["file", "head"])
+        if alone and not held:
+            return
+
+
+def headers(spark: SparkSession, files: list[str]) -> dict[tuple[str, ...], list[str]]:
+    """The files of each different header, the first record of a file, parsed as CSV. One job finds them; files without a
+    line have none."""
+    meta = [F.col(f"_metadata.{c}") for c in ("file_path", "file_block_start", "file_block_length")]
+    heads = spark.read.text(files).select("value", *meta).mapInArrow(_first_records, "file string, head string")
+    out: dict[tuple[str, ...], list[str]] = {}
+    for r in heads.groupBy("head").agg(F.collect_list(file_path("file")).alias("files")).collect():
+        names = next(csv.reader(io.StringIO(r["head"].removeprefix("\ufeff").removesuffix("\r"))), [])
+        out.setdefault(tuple(n.strip() for n in names), []).extend(r["files"])
+    return out
 
 
 def read_csv(spark: SparkSession, files: list[str], located: bool = False) -> DataFrame:
     """CSV artifacts as text columns and __filename (located: and __file, the path): one read per different header, then a union by name. Quoted line ends
-    are part of values, short rows are filled with null, repeated header rows are dropped. Of each file the first line alone
-    is read for its header, which is parsed as CSV."""
-    by_head: dict[tuple[str, ...], list[str]] = {}
-    for file in files:
-        names = next(csv.reader([first_line(spark, file).lstrip("﻿")]), [])
-        by_head.setdefault(tuple(n.strip() for n in names), []).append(file)
+    are part of values, short rows are filled with null, repeated header rows are dropped. Without files or lines there are no
+    columns of rows, and no rows."""
     parts = []
-    for names, own in sorted(by_head.items()):
+    for names, own in sorted(headers(spark, files).items()) if files else ():
         schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
         df = spark.read.schema(schema).options(header=True, multiLine=True, escape='"', enforceSchema=True, mode="PERMISSIVE").csv(own)
         parts.append(drop_header_rows(df).withColumn("__filename", F.element_at(F.split(F.col("_metadata.file_name"), "/"), -1)))
         if located:
-            parts[-1] = parts[-1].withColumn("__file", same_file("_metadata.file_path"))
+            parts[-1] = parts[-1].withColumn("__file", same_file(file_path("_metadata.file_path")))
+    if not parts:
+        return spark.createDataFrame([], "__filename string" + ", __file string" * located)
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
@@ -116,7 +199,9 @@ def page_records(pages: DataFrame, path: str, text: str = "value", keep: list[st
 
 def read_pages(spark: SparkSession, files: list[str] | str, path: str, located: bool = False) -> DataFrame:
     """JSON page artifacts: (record, __filename); located: and __file, the path."""
-    pages = spark.read.text(files, wholetext=True).select("value", F.col("_metadata.file_name").alias("__filename"), same_file("_metadata.file_path").alias("__file"))
+    if not files:
+        return spark.createDataFrame([], "__filename string" + ", __file string" * located + ", record string")
+    pages = spark.read.text(files, wholetext=True).select("value", F.col("_metadata.file_name").alias("__filename"), same_file(file_path("_metadata.file_path")).alias("__file"))
     return page_records(pages, path, keep=["__filename", *(["__file"] if located else [])])
 
 
