@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from lakejobs.operators.contract import Contract
@@ -92,15 +93,27 @@ def unaccepted_values(df: DataFrame, column: str, values: list) -> DataFrame:
     return df.where(F.col(column).isNotNull() & ~F.col(column).isin(values)).groupBy(column).agg(F.count("*").alias("n"))
 
 
+def _exact(df: DataFrame, column: str) -> Column:
+    """A value as a text that is equal where values are; minus zero is zero."""
+    c, kind = F.col(f"`{column}`"), df.schema[column].dataType
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        return (c + F.lit(0.0)).cast("string")
+    return F.to_json(c) if isinstance(kind, (T.StructType, T.ArrayType, T.MapType, T.VariantType)) else F.base64(c) if isinstance(kind, T.BinaryType) else c.cast("string")
+
+
 def run_checks(df: DataFrame, plan: Checks) -> DataFrame:
-    """(check, column, failures): null rows, repeated values, unaccepted values. The null checks are one aggregate."""
+    """(check, column, failures): null rows, repeated values, unaccepted values. One pass, however many checks: each row gives
+    what concerns a check as (check, column, value), and these are counted, combined before the shuffle, so that nulls and
+    frequent values travel as one row a task."""
     spark = df.sparkSession
-    parts = []
-    if plan.not_null:
-        one = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in plan.not_null])
-        parts.append(one.select(F.explode(F.array(*[F.struct(F.lit("not_null").alias("check"), F.lit(c).alias("column"), F.col(f"`{c}`").alias("failures")) for c in plan.not_null])).alias("r")).select("r.*"))
-    for c in plan.unique:
-        parts.append(repeated_values(df, c).agg(F.count("*").alias("failures")).select(F.lit("unique").alias("check"), F.lit(c).alias("column"), "failures"))
-    for c, values in plan.accepted.items():
-        parts.append(unaccepted_values(df, c, values).agg(F.count("*").alias("failures")).select(F.lit("accepted_values").alias("check"), F.lit(c).alias("column"), "failures"))
-    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], "check string, column string, failures long")
+    of = lambda check, c, value: F.struct(F.lit(check).alias("check"), F.lit(c).alias("column"), value.alias("value"))
+    found = [F.when(F.col(f"`{c}`").isNull(), of("not_null", c, F.lit(None).cast("string"))) for c in plan.not_null]
+    found += [F.when(F.col(f"`{c}`").isNotNull(), of("unique", c, _exact(df, c))) for c in plan.unique]
+    found += [F.when(F.col(f"`{c}`").isNotNull() & ~F.col(f"`{c}`").isin(values), of("accepted_values", c, _exact(df, c))) for c, values in plan.accepted.items()]
+    if not found:
+        return spark.createDataFrame([], "check string, column string, failures long")
+    counted = df.select(F.explode(F.array_compact(F.array(*found))).alias("f")).groupBy("f.check", "f.column", "f.value").agg(F.count("*").alias("n"))
+    failures = F.when(F.col("check") == "not_null", F.col("n")).when(F.col("check") == "unique", (F.col("n") > 1).cast("long")).otherwise(F.lit(1).cast("long"))
+    planned = [("not_null", c) for c in plan.not_null] + [("unique", c) for c in plan.unique] + [("accepted_values", c) for c in plan.accepted]
+    every = counted.select("check", "column", failures.alias("failures")).unionByName(spark.createDataFrame([(*p, 0) for p in planned], "check string, column string, failures long"))
+    return every.groupBy("check", "column").agg(F.sum("failures").alias("failures"))

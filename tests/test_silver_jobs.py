@@ -145,3 +145,15 @@ def test_an_empty_table_and_odd_columns(spark, tmp_path):
     assert {(r["k"], r["more"]) for r in read_silver(spark, target).collect()} == {(1, None), (2, 5)}
     text = json.loads((tmp_path / "silver" / "_commits" / f"{2:020d}.json").read_text())
     assert text["version"] == 2 and text["watermark"] is None
+
+
+def test_all_checks_are_one_pass(spark):
+    df = spark.createDataFrame([(i % 50 or None, i, "x" if i % 3 else "y", -0.0 if i % 2 else 0.0, [i % 7], "h") for i in range(400)], "a int, b int, c string, d double, e array<int>, hot string")
+    plan = silver.Checks(["a", "b"], ["a", "b", "d", "e", "hot"], {"c": ["x"], "hot": ["h"]})
+    out = silver.run_checks(df, plan)
+    assert {(r["check"], r["column"]): r["failures"] for r in out.collect()} == {
+        ("not_null", "a"): 8, ("not_null", "b"): 0, ("unique", "a"): 49, ("unique", "b"): 0, ("unique", "d"): 1, ("unique", "e"): 7, ("unique", "hot"): 1, ("accepted_values", "c"): 1, ("accepted_values", "hot"): 0,
+    }
+    assert {r["failures"] for r in silver.run_checks(df.where("false"), plan).collect()} == {0} and silver.run_checks(df, silver.Checks()).count() == 0
+    text = out._jdf.queryExecution().executedPlan().toString()
+    assert text.split("== Initial Plan ==")[0].count("Scan ExistingRDD[a#") == 1
