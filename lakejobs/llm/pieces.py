@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,9 @@ CELLS = 1 << 20
 _UNITS = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n+")
 _NONE = np.iinfo(np.int32).max
 _BASE = np.uint64(0x100000001B3)
+#: Bits of a hash that the sieve of the piece keys looks at; and of the table of pairs that are told apart or not, whose
+#: slots are taken by the golden ratio.
+_SIEVE, _KNOWN_BITS, _GOLDEN = np.uint64((1 << 20) - 1), 20, np.uint64(0x9E3779B97F4A7C15)
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -103,6 +107,8 @@ class PieceModel:
         if len(np.unique(hashes)) != len(hashes):
             raise ValueError("two pieces share a hash")
         self.hash_piece = np.array([i for _, i in real], dtype=np.int32)[by_hash]
+        self.sieve = np.zeros(int(_SIEVE) + 1, dtype=bool)
+        self.sieve[self.hashes & _SIEVE] = True
         self.by_text = dict(real)
         self.scores = np.array(scores)
         self.unknown_score = min((scores[i] for _, i in real if i < self.size), default=0.0) - 10.0
@@ -115,7 +121,7 @@ class PieceModel:
         self._start()
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("lookup", "cache", "lists", "flat", "at", "used")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("lookup", "cache", "lists", "flat", "at", "used", "known", "known_apart")}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
@@ -127,6 +133,8 @@ class PieceModel:
         if self.kind == "bpe":  # what _two_apart() looks up
             a, b = np.divmod(self.pair_keys, self.nodes)
             self.lists = (self.rank.tolist(), self.left.tolist(), self.right.tolist(), dict(zip(zip(a.tolist(), b.tolist(), strict=True), self.pair_ranks.tolist(), strict=True)))
+        # Pairs that are told apart or not: no pair has the key -1.
+        self.known, self.known_apart = np.full(1 << _KNOWN_BITS, -1, dtype=np.int64), np.zeros(1 << _KNOWN_BITS, dtype=bool)
         self._forget()
 
     def _forget(self) -> None:
@@ -212,6 +220,21 @@ class PieceModel:
             a, b = np.where(of_a, self.right[np.where(of_a, a, 0)], a), np.where(of_a, b, self.left[np.where(of_a, 0, b)])
         return out
 
+    def _known_apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """_apart(), by the answers that are known from earlier pairs: a table by a hash of the pair, in which a newer pair takes
+        the place of an older one."""
+        key = a.astype(np.int64) << np.int64(32) | b.astype(np.int64)
+        slot = ((key.view(np.uint64) * _GOLDEN) >> np.uint64(64 - _KNOWN_BITS)).astype(np.int64)
+        known = self.known[slot] == key
+        out = self.known_apart[slot]
+        if not known.all():
+            new = np.flatnonzero(~known)
+            pair, which = np.unique(key[new], return_inverse=True)
+            apart = self._apart(pair >> np.int64(32), pair & np.int64(0xFFFFFFFF))[which]
+            out[new] = apart
+            self.known[slot[new]], self.known_apart[slot[new]] = key[new], apart
+        return out
+
     # -- encoding
 
     def _lone(self, text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -268,24 +291,25 @@ class PieceModel:
         for end in range(1, width + 1):
             c = codes[:, end - 1].astype(np.uint64) + np.uint64(1)
             hashes = np.concatenate([hashes[-(self.longest - 1) :] * _BASE + c, c[None]]) if self.longest > 1 else c[None]
-            at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-            hit = self.hashes[at] == hashes
-            found = self.hash_piece[at]
             starts = end - np.arange(len(hashes), 0, -1)
-            if bpe:
-                found[-1] = self.lookup[codes[:, end - 1]]
-                hit[-1] = True
-                length, row = np.nonzero(hit)
-                before, own = piece[starts[length], row].astype(np.int64), found[length, row]
-                key = before << np.int64(32) | own
-                pair, which = np.unique(key, return_inverse=True)
-                apart = self._apart(pair >> np.int64(32), pair & np.int64(0xFFFFFFFF))[which] | (starts[length] == 0)
-                score = np.full(hashes.shape, -np.inf)
-                score[length[apart], row[apart]] = 0.0
-            else:
-                score = best[starts] + np.where(hit, self.scores[np.minimum(found, self.size - 1)], -np.inf)
-                lone = best[end - 1] + np.where(hit[-1], -np.inf, self.unknown_score)
-                score[-1] = np.maximum(score[-1], lone)
+            length, row = np.nonzero(self.sieve[hashes & _SIEVE])  # few substrings pass that are no pieces
+            probed = hashes[length, row]
+            at = np.minimum(np.searchsorted(self.hashes, probed), len(self.hashes) - 1)
+            is_piece = self.hashes[at] == probed
+            length, row, own = length[is_piece], row[is_piece], self.hash_piece[at[is_piece]]
+            if bpe:  # a single character is always a piece; of the pieces that end here one is apart from its last one
+                several = length < len(hashes) - 1
+                length, row = np.append(length[several], np.full(n, len(hashes) - 1)), np.append(row[several], here)
+                own = np.append(own[several], self.lookup[codes[:, end - 1]])
+                apart = self._known_apart(piece[starts[length], row], own) | (starts[length] == 0)
+                length, row = length[apart][::-1], row[apart][::-1]  # the longest is written last
+                back[end, row], piece[end, row] = starts[length], own[apart][::-1]
+                continue
+            hit, found = np.zeros(hashes.shape, dtype=bool), np.zeros(hashes.shape, dtype=np.int32)
+            hit[length, row], found[length, row] = True, own
+            score = best[starts] + np.where(hit, self.scores[np.minimum(found, self.size - 1)], -np.inf)
+            lone = best[end - 1] + np.where(hit[-1], -np.inf, self.unknown_score)
+            score[-1] = np.maximum(score[-1], lone)
             pick = score.argmax(axis=0)
             best[end], back[end] = score[pick, here], starts[pick]
             piece[end] = np.where(hit[pick, here], found[pick, here], codes[:, end - 1].astype(np.int32) + self.nodes)
@@ -342,12 +366,12 @@ class PieceModel:
         """ids of all texts side by side, and how many each has."""
         prefix = MARK if self.dummy_prefix else ""
         units = [_UNITS.findall(prefix + t.replace(" ", MARK)) if t else [] for t in texts]
-        every = {u for own in units for u in own}
+        every = set(chain.from_iterable(units))
         if len(self.cache) + len(every) > CACHE_UNITS:
             self._forget()
         self._learn(list(every - self.cache.keys()))
         counts = np.array([len(x) for x in units], dtype=np.int64)
-        index = np.fromiter((self.cache[u] for own in units for u in own), dtype=np.int64, count=int(counts.sum()))
+        index = np.fromiter(map(self.cache.__getitem__, chain.from_iterable(units)), dtype=np.int64, count=int(counts.sum()))
         begin, size = self.at[index], self.at[index + 1] - self.at[index]
         ends = np.cumsum(size)
         ids = self.flat[np.repeat(begin - (ends - size), size) + np.arange(int(size.sum()))]
