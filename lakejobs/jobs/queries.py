@@ -676,3 +676,28 @@ def schema_renames(spark: SparkSession, sf_dir: str) -> DataFrame:
     new = F.to_json(F.struct(F.col("o_orderkey").alias("oOrderkey"), F.col("o_custkey").cast("string").alias("o_custkey"), F.col("o_orderstatus").alias("O_ORDERSTATUS"), urgency.alias("urgency")), {"ignoreNullFields": "false"})
     types = lambda c: profile.profile(o.select(c.alias("record")), levels=1).select(F.col("path").alias("name"), F.concat_ws(",", "types").alias("type"))
     return profile.drift_with_renames(types(old), types(new))
+
+
+_EVENT_RUNS = """h AS (SELECT date_trunc('hour', ts) AS run, event_type AS path, CASE WHEN bool_or(event_id % 2 = 1) THEN 'number' ELSE 'integer' END AS type, count(*) AS n FROM events GROUP BY 1, 2
+    UNION ALL SELECT date_trunc('hour', ts), 'id', 'integer', count(*) FROM events GROUP BY 1)"""
+
+
+def event_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kept profiles of events as records of hourly runs, each with a key named by its type: an integer or a number."""
+    e = table(spark, sf_dir, "events")
+    record = F.concat(F.lit('{"id": '), F.col("event_id").cast("string"), F.lit(', "'), F.col("event_type"), F.lit('": '), F.col("event_id").cast("string"), F.when(F.col("event_id") % 2 == 1, ".5").otherwise(""), F.lit("}"))
+    hour = F.date_trunc("hour", "ts")
+    return profile.run_profiles(e.select(record.alias("record"), hour.alias(KEYS[0]), (hour + F.expr("INTERVAL 1 HOUR")).alias(KEYS[1]), hour.alias(KEYS[2])))
+
+
+@_query("drift_by_run", f"""WITH {_EVENT_RUNS}, r AS (SELECT run, lag(run) OVER (ORDER BY run) AS before FROM (SELECT DISTINCT run FROM h)), a AS (SELECT h.run, path, type FROM h JOIN r ON r.run = h.run WHERE before IS NOT NULL),
+    b AS (SELECT r.run, path, type FROM h JOIN r ON r.before = h.run) SELECT strftime(coalesce(a.run, b.run), '%Y-%m-%d %H:%M:%S') AS run, coalesce(a.path, b.path) AS path, b.type AS old_type, a.type AS new_type,
+    CASE WHEN b.type IS NULL THEN 'add' WHEN a.type IS NULL THEN 'remove' ELSE 'type_change' END AS change FROM a FULL OUTER JOIN b ON a.run = b.run AND a.path = b.path WHERE a.type IS DISTINCT FROM b.type""")
+def drift_by_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.drift_by_run(event_profiles(spark, sf_dir)).withColumn("run", _text(F.col("run")))
+
+
+@_query("profiles_merged", f"""WITH {_EVENT_RUNS}, k AS (SELECT date_trunc('hour', ts) AS run, event_type AS path, CASE WHEN event_id % 2 = 1 THEN 'number' ELSE 'integer' END AS type FROM events UNION ALL SELECT date_trunc('hour', ts), 'id', 'integer' FROM events)
+    SELECT path, type, count(*) AS present, strftime(min(run), '%Y-%m-%d %H:%M:%S') AS first_run, strftime(max(run), '%Y-%m-%d %H:%M:%S') AS last_run FROM k GROUP BY 1, 2""")
+def profiles_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.merged(event_profiles(spark, sf_dir)).withColumns({c: _text(F.col(c)) for c in ("first_run", "last_run")})

@@ -6,8 +6,10 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from lakejobs.functions.naming import snake, snake_column
+from lakejobs.functions.naming import snake_column
+from lakejobs.operators.coverage import KEYS
 
 _NUMBER_KINDS = {"BIGINT": "integer", "INT": "integer", "SMALLINT": "integer", "TINYINT": "integer", "DOUBLE": "number", "FLOAT": "number", "STRING": "string", "BOOLEAN": "boolean", "VOID": "null"}
 
@@ -20,26 +22,72 @@ def _kind(v: Column) -> Column:
     return out.otherwise("string")
 
 
-def profile(records: DataFrame, column: str = "record", levels: int = 2) -> DataFrame:
-    """(path, types, present) over all JSON object texts: the types of each key, and of keys one level down (a.b), of array
-    items (a[]) and of the items' keys (a[].b). Keys of the top level that start with __ are left out."""
-    v = records.select(F.try_parse_json(column).alias("v")).where(F.col("v").isNotNull())
+def kinds(records: DataFrame, column: str = "record", levels: int = 2, by: list[str] = ()) -> DataFrame:
+    """(by, path, type, present) over all JSON object texts: how often each key has each type, and keys one level down (a.b),
+    array items (a[]) and the items' keys (a[].b). Keys of the top level that start with __ are left out."""
+    v = records.select(*by, F.try_parse_json(column).alias("v")).where(F.col("v").isNotNull())
     explode = lambda: v.sparkSession.tvf.variant_explode(F.col("v").outer())
-    top = v.lateralJoin(explode()).select(F.col("key").alias("path"), F.col("value").alias("v")).where(~F.col("path").startswith("__"))
+    top = v.lateralJoin(explode()).select(*by, F.col("key").alias("path"), F.col("value").alias("v")).where(~F.col("path").startswith("__"))
     every = top
     below = top
     for _ in range(levels - 1):
         objects = below.where(_kind(F.col("v")) == "object")
-        inner = objects.lateralJoin(explode()).select(F.concat("path", F.lit("."), "key").alias("path"), F.col("value").alias("v"))
+        inner = objects.lateralJoin(explode()).select(*by, F.concat("path", F.lit("."), "key").alias("path"), F.col("value").alias("v"))
         arrays = below.where(_kind(F.col("v")) == "array")
-        items = arrays.lateralJoin(explode()).select(F.concat("path", F.lit("[]")).alias("path"), F.col("value").alias("v"))
-        fields = items.where(_kind(F.col("v")) == "object").lateralJoin(explode()).select(F.concat("path", F.lit("."), "key").alias("path"), F.col("value").alias("v"))
+        items = arrays.lateralJoin(explode()).select(*by, F.concat("path", F.lit("[]")).alias("path"), F.col("value").alias("v"))
+        fields = items.where(_kind(F.col("v")) == "object").lateralJoin(explode()).select(*by, F.concat("path", F.lit("."), "key").alias("path"), F.col("value").alias("v"))
         below = inner
         every = every.unionByName(inner).unionByName(items).unionByName(fields)
-    kinds = every.groupBy("path", _kind(F.col("v")).alias("kind")).agg(F.count("*").alias("n"))
-    out = kinds.groupBy("path").agg(F.array_sort(F.collect_set("kind")).alias("types"), F.sum("n").alias("present"))
+    return every.groupBy(*by, "path", _kind(F.col("v")).alias("type")).agg(F.count("*").alias("present"))
+
+
+def _typed(found: DataFrame, by: list[str] = ()) -> DataFrame:
+    """(by, path, types, present) of rows of kinds(): the types of each path in order, integer left out beside number."""
+    out = found.groupBy(*by, "path").agg(F.array_sort(F.collect_set("type")).alias("types"), F.sum("present").alias("present"))
     merged = F.when(F.array_contains("types", "number"), F.array_remove("types", "integer")).otherwise(F.col("types"))
-    return out.select("path", merged.alias("types"), "present")
+    return out.select(*by, "path", merged.alias("types"), "present")
+
+
+def profile(records: DataFrame, column: str = "record", levels: int = 2) -> DataFrame:
+    """(path, types, present) over all JSON object texts, see kinds()."""
+    return _typed(kinds(records, column, levels))
+
+
+# -- profiles that are kept: a few rows per run, so that later questions read no records
+
+
+def run_profiles(records: DataFrame, column: str = "record", levels: int = 2) -> DataFrame:
+    """(run keys, path, type, present) of records with run keys: the rows that a load appends to a table of profiles
+    (tables.write_runs, which replaces a run that is loaded again)."""
+    return kinds(records, column, levels, KEYS)
+
+
+def merged(profiles: DataFrame) -> DataFrame:
+    """(path, type, present, first_run, last_run) over all runs of kept profiles."""
+    return profiles.groupBy("path", "type").agg(F.sum("present").alias("present"), F.min(KEYS[2]).alias("first_run"), F.max(KEYS[2]).alias("last_run"))
+
+
+def names_of_run(profiles: DataFrame, run: Any) -> DataFrame:
+    """(name, type) of one run by its stamp, for the drift frames; several types are joined by commas."""
+    own = profiles.where(F.col(KEYS[2]) == F.lit(run).cast("timestamp"))
+    return _typed(own).select(F.col("path").alias("name"), F.concat_ws(",", "types").alias("type"))
+
+
+def drift_between(profiles: DataFrame, old: Any, new: Any) -> DataFrame:
+    """drift_with_renames() between any two runs of kept profiles."""
+    return drift_with_renames(names_of_run(profiles, old), names_of_run(profiles, new))
+
+
+def drift_by_run(profiles: DataFrame) -> DataFrame:
+    """(run, path, old_type, new_type, change): what each run's names and types change against those of the run before, by
+    the run stamp; renames not resolved. The list of runs is put in order as a whole, which is a row per run."""
+    typed = _typed(profiles, [KEYS[2]]).select(F.col(KEYS[2]).alias("run"), "path", F.concat_ws(",", "types").alias("type"))
+    runs = typed.select("run").distinct().withColumn("before", F.lag("run").over(Window.orderBy("run"))).where("before is not null")
+    now = typed.join(runs.select("run"), "run").select("run", "path", F.col("type").alias("new_type"))
+    then = typed.join(runs.select(F.col("run").alias("next"), F.col("before").alias("run")), "run").select(F.col("next").alias("run"), "path", F.col("type").alias("old_type"))
+    j = then.join(now, ["run", "path"], "full_outer")
+    change = F.when(F.col("old_type").isNull(), "add").when(F.col("new_type").isNull(), "remove").when(F.col("old_type") != F.col("new_type"), "type_change")
+    return j.withColumn("change", change).where("change is not null").select("run", "path", "old_type", "new_type", "change")
 
 
 def draft_contract(found: DataFrame, rows: int) -> dict[str, Any]:
@@ -53,24 +101,6 @@ def draft_contract(found: DataFrame, rows: int) -> dict[str, Any]:
     return {"type": "object", "required": required, "properties": properties}
 
 
-def drift(old: dict[str, str], new: dict[str, str]) -> list[tuple[str, str | None, str | None]]:
-    """Changes (kind, old name, new name) between two name -> type maps: type_change, rename, remove, add.
-
-    Renames are names of one snake-case form, and then a single pair that is left on either side with one type.
-    """
-    changes: list[tuple[str, str | None, str | None]] = [("type_change", n, n) for n in sorted(old.keys() & new.keys()) if old[n] != new[n]]
-    gone, fresh = sorted(old.keys() - new.keys()), sorted(new.keys() - old.keys())
-    for a in list(gone):
-        same = [b for b in fresh if snake(a) == snake(b)]
-        if len(same) == 1:
-            changes.append(("rename", a, same[0]))
-            gone.remove(a)
-            fresh.remove(same[0])
-    if len(gone) == len(fresh) == 1 and old[gone[0]] == new[fresh[0]] and old[gone[0]]:
-        changes.append(("rename", gone.pop(), fresh.pop()))
-    return changes + [("remove", a, None) for a in gone] + [("add", None, b) for b in fresh]
-
-
 def drift_frame(old: DataFrame, new: DataFrame) -> DataFrame:
     """(name, old_type, new_type, change) of two (name, type) frames, renames not resolved: a full outer join."""
     j = old.select("name", F.col("type").alias("old_type")).join(new.select("name", F.col("type").alias("new_type")), "name", "full_outer")

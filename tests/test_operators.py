@@ -196,9 +196,10 @@ def test_profile_and_drift(spark):
     got = {r["path"]: (r["types"], r["present"]) for r in found.collect()}
     assert got == {"id": (["number"], 3), "name": (["null", "string"], 3), "tags": (["array"], 1), "tags[]": (["integer", "string"], 2), "o": (["object"], 1), "o.z": (["boolean"], 1)}
     assert profile.draft_contract(found, 3)["required"] == ["id", "name"]
-    changes = profile.drift({"a": "string", "userId": "integer", "gone": "string"}, {"a": "number", "user_id": "integer", "fresh": "string"})
-    assert changes == [("type_change", "a", "a"), ("rename", "userId", "user_id"), ("rename", "gone", "fresh")]
-    assert profile.drift({"a": "string"}, {"b": "integer"}) == [("remove", "a", None), ("add", None, "b")]
+    frame = lambda d: spark.createDataFrame(list(d.items()), "name string, type string")
+    changes = lambda a, b: {(r["change"], r["old_name"], r["new_name"]) for r in profile.drift_with_renames(frame(a), frame(b)).collect()}
+    assert changes({"a": "string", "userId": "integer", "gone": "string"}, {"a": "number", "user_id": "integer", "fresh": "string"}) == {("type_change", "a", "a"), ("rename", "userId", "user_id"), ("rename", "gone", "fresh")}
+    assert changes({"a": "string"}, {"b": "integer"}) == {("remove", "a", None), ("add", None, "b")}
 
 
 def test_hash_columns_write_what_json_does(spark):
@@ -242,3 +243,23 @@ def test_items_that_are_not_as_declared(spark):
     got = sorted(map(tuple, staging.relation_frame(df, contract, "li", "id", ["li.t"]).collect()))
     assert got == [("0", 1, 1, "x"), ("0", 2, None, None), ("0", 3, 2, None), ("0", 4, None, None), ("0", 5, None, None), ("5", 1, 10, '{"z":1}'), ("5", 2, None, None)]
     assert sorted(map(tuple, staging.relation_frame(df, contract, "li.t", "id").collect())) == [("0", 1, 1, 1.5), ("0", 1, 2, 2.0), ("0", 3, 1, None), ("0", 3, 2, 3.0)]
+
+
+def test_profiles_are_kept_by_run(spark, tmp_path):
+    from lakejobs.operators.coverage import KEYS
+    from lakejobs.sources import tables
+
+    days = {1: ['{"a": 1, "userId": 2}', '{"a": 1.5}'], 2: ['{"a": "x", "user_id": 2}'], 3: ['{"user_id": 2, "o": {"z": 1}}']}
+    rows = [(t, f"2026-08-{d:02}") for d, own in days.items() for t in own]
+    records = spark.createDataFrame(rows, "record string, day string").select("record", *[F.col("day").cast("timestamp").alias(k) for k in KEYS])
+    path = str(tmp_path / "profiles")
+    for _ in range(2):  # a run that is loaded again replaces its profile
+        tables.write_runs(profile.run_profiles(records), path, single=False)
+    kept = tables.read_bronze(spark, path)
+    got = {(r["path"], r["type"]): (r["present"], r["first_run"].day, r["last_run"].day) for r in profile.merged(kept).collect()}
+    assert got == {("a", "integer"): (1, 1, 1), ("a", "number"): (1, 1, 1), ("a", "string"): (1, 2, 2), ("userId", "integer"): (1, 1, 1), ("user_id", "integer"): (2, 2, 3), ("o", "object"): (1, 3, 3), ("o.z", "integer"): (1, 3, 3)}
+    between = lambda a, b: {(r["change"], r["old_name"], r["new_name"]) for r in profile.drift_between(kept, f"2026-08-{a:02}", f"2026-08-{b:02}").collect()}
+    assert between(1, 2) == {("type_change", "a", "a"), ("rename", "userId", "user_id")} and between(2, 2) == set()
+    assert between(1, 3) == {("remove", "a", None), ("rename", "userId", "user_id"), ("add", None, "o"), ("add", None, "o.z")}
+    by_run = {(r["run"].day, r["path"], r["change"]) for r in profile.drift_by_run(kept).collect()}
+    assert by_run == {(2, "a", "type_change"), (2, "userId", "remove"), (2, "user_id", "add"), (3, "a", "remove"), (3, "o", "add"), (3, "o.z", "add")}
