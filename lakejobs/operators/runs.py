@@ -6,6 +6,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lakejobs.functions import casts, timekeys
 
@@ -52,13 +53,44 @@ def newest(receipts: DataFrame, limit: int = 200) -> DataFrame:
     return receipts.orderBy(F.desc_nulls_last("started_at"), "attempt_id").limit(max(1, limit))
 
 
+_COUNTS = ("attempts", "ok", "error", "rows")
+
+
+def _ranked(receipts: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, duration_ms, counts, upto, all): the receipts counted by duration, which combines before the shuffle, with the
+    number of those that have a duration up to this one and of all that have one. Groups are sorted, not held."""
+    by_value = receipts.groupBy(*keys, "duration_ms").agg(F.count("*").alias("attempts"), F.count_if(F.col("status") == "ok").alias("ok"), F.count_if(F.col("status") == "error").alias("error"), F.sum("rows").alias("rows"))
+    timed = F.when(F.col("duration_ms").isNotNull(), F.col("attempts")).otherwise(0)
+    group = Window.partitionBy(*keys)
+    upto = F.sum(timed).over(group.orderBy("duration_ms").rowsBetween(Window.unboundedPreceding, 0))
+    return by_value.withColumns({"upto": upto, "all": F.sum(timed).over(group)})
+
+
+def _at(rank: Column) -> Column:
+    """The value of a rank, counted from 0, as an aggregate over the rows of _ranked()."""
+    return F.min(F.when(F.col("upto") > rank, F.col("duration_ms")))
+
+
+def _summed() -> list[Column]:
+    return [F.sum(c).alias(c) for c in _COUNTS]
+
+
+def _interpolated(ranked: DataFrame, keys: list[str], shares: dict[str, float]) -> DataFrame:
+    """Sums and interpolated percentiles per group: between the values of the two ranks next to share * (all - 1)."""
+    place = {name: F.lit(q) * (F.col("all") - 1) for name, q in shares.items()}
+    low = [_at(F.floor(x)).alias(f"{name}_low") for name, x in place.items()]
+    high = [_at(F.ceil(x)).alias(f"{name}_high") for name, x in place.items()]
+    out = ranked.groupBy(*keys).agg(*_summed(), F.max("all").alias("all"), *low, *high)
+    value = lambda n, x: F.when(F.floor(x) == F.ceil(x), F.col(f"{n}_low").cast("double")).otherwise((F.ceil(x) - x) * F.col(f"{n}_low") + (x - F.floor(x)) * F.col(f"{n}_high"))
+    return out.select(*keys, *_COUNTS, *[value(n, x).alias(n) for n, x in place.items()])
+
+
 def summary(receipts: DataFrame) -> DataFrame:
     """By pipeline and command: counts, error codes, nearest-rank percentiles, rows."""
-    base = receipts.groupBy("pipeline", "command").agg(
-        F.count("*").alias("attempts"), F.count_if(F.col("status") == "ok").alias("ok"), F.count_if(F.col("status") == "error").alias("error"),
-        F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY duration_ms)").cast("long").alias("p50_ms"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY duration_ms)").cast("long").alias("p95_ms"),
-        F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"),
-    )
+    keys = ["pipeline", "command"]
+    nearest = lambda percent: _at(F.floor((F.col("all") * percent + 99) / 100) - 1)
+    base = _ranked(receipts, keys).groupBy(*keys).agg(*_summed(), nearest(50).alias("p50_ms"), nearest(95).alias("p95_ms"))
+    base = base.select(*keys, "attempts", "ok", "error", "p50_ms", "p95_ms", F.coalesce("rows", F.lit(0)).alias("rows"))
     codes = receipts.where("status = 'error'").groupBy("pipeline", "command", F.coalesce(F.nullif("error_code", F.lit("")), F.lit("unknown")).alias("code")).agg(F.count("*").alias("n"))
     codes = codes.groupBy("pipeline", "command").agg(F.array_sort(F.collect_list(F.struct("code", "n"))).alias("error_codes"))
     none = F.array().cast("array<struct<code:string,n:bigint>>")
@@ -67,8 +99,12 @@ def summary(receipts: DataFrame) -> DataFrame:
 
 def daily(receipts: DataFrame, approximate: bool = False) -> DataFrame:
     """The roll-up by day, pipeline and command, with interpolated percentiles (approximate on demand)."""
-    p = (lambda q: F.percentile_approx("duration_ms", q, 10_000).cast("double")) if approximate else (lambda q: F.percentile("duration_ms", q))
-    return receipts.groupBy("attempt_date", "pipeline", "command").agg(
+    keys = ["attempt_date", "pipeline", "command"]
+    if not approximate:
+        found = _interpolated(_ranked(receipts, keys), keys, {"p50_ms": 0.5, "p95_ms": 0.95})
+        return found.select(*keys, "attempts", "ok", "error", "p50_ms", "p95_ms", "rows")
+    p = lambda q: F.percentile_approx("duration_ms", q, 10_000).cast("double")
+    return receipts.groupBy(*keys).agg(
         F.count("*").alias("attempts"), F.count_if(F.col("status") == "ok").alias("ok"), F.count_if(F.col("status") == "error").alias("error"), p(0.5).alias("p50_ms"), p(0.95).alias("p95_ms"), F.sum("rows").alias("rows"),
     )
 

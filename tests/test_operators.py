@@ -263,3 +263,21 @@ def test_profiles_are_kept_by_run(spark, tmp_path):
     assert between(1, 3) == {("remove", "a", None), ("rename", "userId", "user_id"), ("add", None, "o"), ("add", None, "o.z")}
     by_run = {(r["run"].day, r["path"], r["change"]) for r in profile.drift_by_run(kept).collect()}
     assert by_run == {(2, "a", "type_change"), (2, "userId", "remove"), (2, "user_id", "add"), (3, "a", "remove"), (3, "o", "add"), (3, "o.z", "add")}
+
+
+def test_percentiles_without_buffers(spark):
+    import random
+
+    from lakejobs.operators import runs
+
+    r = random.Random(2)
+    rows = [(f"d{i % 3}", f"p{i % 4}", "load", "ok" if i % 5 else "error", r.choice([None, *range(0, 4000, r.choice((1, 7, 500)))]), i % 7 or None, None) for i in range(3000)] + [("d9", "only nulls", "load", "ok", None, None, None), (None, "one", "load", "ok", 5, 1, None)]
+    df = spark.createDataFrame(rows, "attempt_date string, pipeline string, command string, status string, duration_ms long, rows long, error_code string")
+    keys = ["attempt_date", "pipeline", "command"]
+    want = df.groupBy(*keys).agg(F.count("*").alias("attempts"), F.count_if(F.col("status") == "ok").alias("ok"), F.count_if(F.col("status") == "error").alias("error"), F.percentile("duration_ms", 0.5).alias("p50_ms"), F.percentile("duration_ms", 0.95).alias("p95_ms"), F.sum("rows").alias("rows"))
+    out = runs.daily(df)
+    assert out.columns == want.columns and sorted(map(tuple, out.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    disc = lambda q: F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY duration_ms)").cast("long")
+    want = df.groupBy("pipeline").agg(disc(0.5).alias("a"), disc(0.95).alias("b"))
+    assert sorted(map(tuple, runs.summary(df).select("pipeline", "p50_ms", "p95_ms").collect())) == sorted(map(tuple, want.collect()))
+    assert "percentile(" not in out._jdf.queryExecution().toString()
