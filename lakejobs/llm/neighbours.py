@@ -15,8 +15,8 @@ that it hasn't expanded, joins them with the graph and the vectors, and keeps th
 query has an open node in its beam. The last beam is scored in double precision on the original vectors, with all rows of
 equal vectors. A query whose beam has under k rows is scored against all nodes.
 
-The build carries vectors in 16 bits a component, which moves half as much and tells neighbours apart just as well; searches
-score in 32 bits. All steps are joins and repartitions of rows; no task holds the table, and nothing is broadcast. Lists are bounded by
+Build and search carry vectors as a norm in 32 bits and a unit vector in 16 bits a component: half as much to move, and near
+enough to tell a beam's members from others, whatever the norms. All steps are joins and repartitions of rows; no task holds the table, and nothing is broadcast. Lists are bounded by
 construction (WIDTH of either kind), which is the method's own sampling. Parameters are for hard, high-dimensional data:
 the recall at 20 is measured against brute force in the tests and the README.
 
@@ -68,20 +68,23 @@ def vectors(df: DataFrame, id_column: str, column: str) -> DataFrame:
     return ok.where(F.size("x") == (size["n"] if size else 0))
 
 
-def _matrix(column: pa.Array, rows: int, kind: type = np.float32) -> np.ndarray:
-    """Binary vectors as float32; kind is what they are packed in."""
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=kind).reshape(rows, -1).astype(np.float32) if rows else np.zeros((0, 1), dtype=np.float32)
+def _packed_vectors(x: np.ndarray) -> pa.Array:
+    """Vectors as binary: the norm in 32 bits, then the unit vector in 16 bits a component."""
+    norm = np.sqrt((x * x).sum(axis=1))
+    out = np.zeros(len(x), dtype=[("n", "<f4"), ("u", "<f2", (x.shape[1],))])
+    out["n"], out["u"] = norm, x / np.maximum(norm, np.finfo(float).tiny)[:, None]
+    return pa.array([r.tobytes() for r in out], pa.binary())
 
 
-def _halved(nodes: DataFrame) -> DataFrame:
-    """nodes with v in 16 bits a component, which is what the lists of the build carry."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = _matrix(batch.column(1), batch.num_rows).astype(np.float16)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary())], names=["node", "v"])
-
-    return nodes.select("node", "v").mapInArrow(run, "node long, v binary")
+def _matrix(column: pa.Array, rows: int, last: bool = True) -> np.ndarray:
+    """Packed vectors as float32, with the coordinate that makes all norms one unless last is false."""
+    if not rows:
+        return np.zeros((0, 1), dtype=np.float32)
+    raw = b"".join(column.to_pylist())
+    out = np.frombuffer(raw, dtype=[("n", "<f4"), ("u", "<f2", ((len(raw) // rows - 4) // 2,))])
+    unit = out["u"].astype(np.float32)
+    x = unit * (out["n"] / np.maximum(np.sqrt((unit * unit).sum(axis=1)), np.finfo(np.float32).tiny))[:, None]
+    return np.column_stack([x, np.sqrt(np.maximum(1 - out["n"] ** 2, 0))]) if last else x
 
 
 def beam_width(n: int) -> int:
@@ -145,7 +148,7 @@ def _compare(groups: Iterator[pa.Table], node: int, vector: int, least: int | No
     total = 0
     for g in groups:
         ids = g.column(node).to_numpy()
-        x = _matrix(g.column(vector).combine_chunks(), len(ids), np.float16)
+        x = _matrix(g.column(vector).combine_chunks(), len(ids))
         old = ~g.column(new).to_numpy() if new is not None else None
         if old is None:
             ids, at = np.unique(ids, return_index=True)
@@ -220,7 +223,7 @@ def _first_graph(nodes: DataFrame, n: int, size: int, parts: int, buckets: int)
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros(size)
         for batch in batches:
-            out += _matrix(batch.column(0), batch.num_rows, np.float16).sum(axis=0, dtype=float) if batch.num_rows else 0
+            out += _matrix(batch.column(0), batch.num_rows).sum(axis=0, dtype=float) if batch.num_rows else 0
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), pa.array(out)], names=["k", "s"])
 
     mean = np.zeros(size)
@@ -232,7 +235,7 @@ def _first_graph(nodes: DataFrame, n: int, size: int, parts: int, buckets: int)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = _matrix(batch.column(1), batch.num_rows, np.float16) - middle
+            x = _matrix(batch.column(1), batch.num_rows) - middle
             for t in range(TREES):
                 side = x @ planes[t].T
                 leaf = ((side[:, :depth] > 0) @ (1 << np.arange(depth, dtype=np.int64))) if depth else np.zeros(len(x), dtype=np.int64)
@@ -264,8 +267,7 @@ def _partners(graph: DataFrame, nodes: DataFrame, n: int, parts: int, buckets: i
 
 
 def build(nodes: DataFrame, n: int, size: int) -> DataFrame:
-    """The neighbour graph of nodes (node long, v binary of float32 of equal norms)."""
-    nodes = common.saved(_halved(nodes), "halved")
+    """The neighbour graph of nodes (node long, v packed; size: coordinates, the added one with them)."""
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(1, min(parts * BUCKETS, n // BUCKET_NODES))  # a task gives a row per bucket, so buckets follow the nodes
     graph = common.saved(_first_graph(nodes, n, size, parts, buckets), "graph")
@@ -308,15 +310,14 @@ def _scored(pairs: DataFrame, left: str, right: str) -> DataFrame:
             if not batch.num_rows:
                 continue
             names = batch.schema.names
-            x, y = (_matrix(batch.column(names.index(c)), batch.num_rows) for c in (left, right))
+            x, y = (_matrix(batch.column(names.index(c)), batch.num_rows, last=False) for c in (left, right))
             yield pa.RecordBatch.from_arrays([*[batch.column(names.index(f.name)) for f in keep], pa.array(np.einsum("ij,ij->i", x, y))], names=[*[f.name for f in keep], "s"])
 
     return pairs.mapInArrow(run, ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in keep], "s float"]))
 
 
 def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, n: int) -> DataFrame:
-    """(query, node): the beam of each query. queries: query long, node long (where it starts), w binary (its vector, the
-    added coordinate zero)."""
+    """(query, node): the beam of each query. queries: query long, node long (where it starts), w (its vector, packed)."""
     start = queries.select("query", F.col("node").alias("of")).join(graph.select(F.col("node").alias("of"), "neighbours"), "of", "left")
     pairs = start.select("query", F.explode(F.concat(F.array("of"), F.coalesce("neighbours", F.array().cast("array<long>")))).alias("node"))
     # Graph edges may not lead out of a group of near nodes, and small vectors have their best products far away.
@@ -359,17 +360,14 @@ def nearest(df: DataFrame, is_query: Column, k: int = 20, id_column: str = "vec_
             if not batch.num_rows:
                 continue
             x = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1) / np.sqrt(most)
-            last = np.sqrt(np.maximum(1 - (x * x).sum(axis=1), 0))
-            v = np.column_stack([x, last]).astype(np.float32)
-            w = np.column_stack([x, np.zeros(len(x))]).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in v], pa.binary()), pa.array([r.tobytes() for r in w], pa.binary())], names=["node", "v", "w"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), _packed_vectors(x)], names=["node", "v"])
 
-    nodes = common.saved(grouped.select("node", "x").mapInArrow(pack, "node long, v binary, w binary"), "nodes")
+    nodes = common.saved(grouped.select("node", "x").mapInArrow(pack, "node long, v binary"), "nodes")
     graph = build(nodes.select("node", "v"), n, size)
     asked = common.saved(ok.where(is_query).join(grouped.select("x", "node"), "x").select(F.col("id").alias("query"), "node", "x"), "queries")
     # A repeated id of several vectors asks with each; its rows are told apart by their node.
     asked = asked.withColumn("query_id", F.col("query")).withColumn("query", F.xxhash64("query", "node"))
-    beam = search(graph, nodes, asked.select("query", "node").join(nodes.select("node", "w"), "node").select("query", "node", "w"), n)
+    beam = search(graph, nodes, asked.select("query", "node").join(nodes, "node").select("query", "node", F.col("v").alias("w")), n)
     candidates = grouped.select("node", F.col("x").alias("y"), "members")
     pairs = beam.join(candidates, "node").join(asked.select("query", "query_id", "x"), "query")
     held = beam.join(grouped.select("node", "members"), "node").join(asked.select("query", "query_id"), "query")

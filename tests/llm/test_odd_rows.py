@@ -652,13 +652,22 @@ def test_lone_vectors_and_small_far_groups_are_found(spark, monkeypatch):
 
 
 def test_a_search_goes_on_while_nodes_are_open(spark):
-    raw = lambda x: np.array([np.cos(x), np.sin(x)], dtype=np.float32).tobytes()
+    raw = lambda x: neighbours._packed_vectors(np.array([[np.cos(x), np.sin(x)]]))[0].as_py()
     nodes = spark.createDataFrame([(i, bytearray(raw(i / 10))) for i in range(12)], "node long, v binary")
     graph = spark.createDataFrame([(i, [j for j in (i - 1, i + 1) if 0 <= j < 12]) for i in range(12)], "node long, neighbours array<long>")
     queries = spark.createDataFrame([(0, 0, bytearray(raw(1.1)))], "query long, node long, w binary")
     assert {r["node"] for r in neighbours.search(graph, nodes, queries, 1 << 40).collect()} == set(range(12))
 
 
+def test_packed_vectors_keep_directions_of_any_norm():
+    x = np.random.default_rng(7).standard_normal((50, 16)) * 10.0 ** np.arange(-25, 0, 0.5)[:, None] / 16
+    column = neighbours._packed_vectors(x)
+    got = neighbours._matrix(column, 50, last=False)
+    assert np.allclose(got / np.linalg.norm(x, axis=1)[:, None], x / np.linalg.norm(x, axis=1)[:, None], atol=5e-4)
+    every = neighbours._matrix(column, 50)
+    assert every.shape == (50, 17) and np.allclose((every * every).sum(axis=1), 1, atol=1e-5)
+
+
 def test_small_vectors_reach_large_ones(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "LEAF", 60)
     r = np.random.default_rng(6)
