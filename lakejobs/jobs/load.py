@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from lakejobs.functions import timekeys
 from lakejobs.functions.naming import apply_naming
 from lakejobs.operators import coverage
-from lakejobs.operators.contract import Contract, outcome, validated, with_errors
+from lakejobs.operators.contract import Contract, exploded_errors, outcome, validated, with_errors
 from lakejobs.operators.coverage import KEYS
 from lakejobs.operators.rows import attach_meta, coerce_json, renamed_json
 from lakejobs.sources import paths, raw, tables
@@ -104,7 +104,7 @@ def plan_runs(spark: SparkSession, raw_root: str, contract: Contract, source: So
     checked = bronze_frame(run_rows(spark, runs, source), contract, source, loaded_at, strict=False)
     bad = F.size("__errors") > 0
     per_run = checked.groupBy(*KEYS).agg(F.count("*").alias("rows"), F.count_if(bad).alias("bad_rows"))
-    messages = checked.where(bad).select(*KEYS, F.explode("__errors").alias("e")).groupBy(*KEYS, "e").agg(F.count("*").alias("n"))
+    messages = exploded_errors(checked, *KEYS).groupBy(*KEYS, "e").agg(F.count("*").alias("n"))
     top = messages.groupBy(*KEYS).agg(F.slice(F.array_sort(F.collect_list("e")), 1, 20).alias("errors"))
     return per_run.join(top, KEYS, "left").withColumn("ok", F.col("bad_rows") == 0)
 

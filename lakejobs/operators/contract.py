@@ -198,10 +198,16 @@ def validated(df: DataFrame, contract: Contract, landed: bool = False) -> DataFr
     return checked.withColumn(first, guard).drop("__errors")
 
 
+def exploded_errors(checked: DataFrame, *kept: str) -> DataFrame:
+    """The errors of a with_errors() frame, a row each as e, with the columns kept. Rows without errors are dropped after the
+    explode: a filter before it is pushed below the projections of with_errors(), which are then written out in it."""
+    return checked.select(*kept, F.explode_outer("__errors").alias("e")).where(F.col("e").isNotNull())
+
+
 def error_report(checked: DataFrame) -> DataFrame:
-    """(path, message, rows) over all rows of a with_errors() frame."""
-    e = checked.select(F.explode("__errors").alias("e"))
-    return e.select(F.regexp_extract("e", "^([^:]*):", 1).alias("path"), F.regexp_replace("e", "^[^:]*: ", "").alias("message")).groupBy("path", "message").agg(F.count("*").alias("rows"))
+    """(path, message, rows) over all rows of a with_errors() frame. Errors are counted before they are taken apart."""
+    e = exploded_errors(checked).groupBy("e").agg(F.count("*").alias("n"))
+    return e.select(F.regexp_extract("e", "^([^:]*):", 1).alias("path"), F.regexp_replace("e", "^[^:]*: ", "").alias("message"), "n").groupBy("path", "message").agg(F.sum("n").alias("rows"))
 
 
 #: How the messages of a value that can't be coerced begin; all others are of the rules.

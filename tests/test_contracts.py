@@ -93,3 +93,17 @@ def test_numbers_of_csv_and_json_hash_alike(spark):
     assert got == [r["__row_hash"] for r in told]
     assert [json.loads(r["__canonical"])["n"] for r in told] == [51, 51.0, 51, 0, -7, 5.0, 1000.0, 1e-7, 0.1, 12, 123456789012345678901, None, 1000.0]
     assert got[0] == hashlib.sha256(b'{"i": null, "n": 51}').hexdigest() and got[1] == hashlib.sha256(b'{"i": null, "n": 51.0}').hexdigest()
+
+
+def test_errors_are_exploded_without_the_casts_in_a_filter(spark, capsys):
+    """A filter on the errors before the explode repeats the casts of all projections, each within the next."""
+    rules = {"type": "object", "properties": {"a": {"type": "integer", "maximum": 9}, "b": {"type": "number"}}}
+    checked = contracts.with_errors(spark.createDataFrame([("1", "x"), ("12", None), ("3", "2"), ("y: z", "x")], "a string, b string"), Contract(rules))
+    report = contracts.error_report(checked)
+    assert sorted(map(tuple, report.collect())) == [("a", "against maximum 9", 1), ("a", "cannot coerce y: z to integer", 1), ("b", "cannot coerce x to number", 2), ("b", "empty value is not valid", 1)]
+    texts = []
+    for df in (checked, report):
+        capsys.readouterr()
+        df.explain("extended")
+        texts.append(capsys.readouterr().out.partition("== Optimized Logical Plan ==")[2].count("infinity"))
+    assert 0 < texts[1] <= 2 * texts[0]
