@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lakejobs.functions.jsontext import let
+
 _NUMBER = r"^[+-]?(\d+(_\d+)*\.?(\d+)?|\.\d+)([eE][+-]?\d+)?$"
 _SPECIAL = r"(?i)^[+-]?(inf|infinity|nan)$"
 
@@ -16,17 +18,23 @@ def text(value: Column) -> Column:
 
 
 def double(value: Column) -> Column:
-    """Numbers only: suffixes that the JVM would accept (5d, 5f) are null."""
-    t = F.regexp_replace(text(value), r"(?<=\d)_(?=\d)", "")
+    """Numbers only: suffixes that the JVM would accept (5d, 5f) are null. Plain decimals are read at once."""
+    t = text(value)
+    return F.when(t.rlike(r"^[+-]?\d{1,18}(\.\d{1,18})?$"), t.try_cast("double")).when(t.isNotNull(), let(F.regexp_replace(t, r"(?<=\d)_(?=\d)", ""), _any_double))
+
+
+def _any_double(t: Column) -> Column:
     return F.when(t.rlike(_NUMBER) | t.rlike(_SPECIAL), t.try_cast("double"))
 
 
 def integer(value: Column) -> Column:
-    """32-bit integers; fractions round half away from zero, as DuckDB does."""
+    """32-bit integers; fractions round half away from zero, as DuckDB does. Plain ones are read at once."""
     t = text(value)
-    rounded = F.round(F.when(t.rlike(_NUMBER), double(value)), 0)
-    fits = rounded.between(-2147483648.0, 2147483647.0)
-    return F.when(t.rlike(r"^[+-]?\d{1,9}$"), t.try_cast("int")).otherwise(F.when(fits, rounded).cast("int"))
+    return F.when(t.rlike(r"^[+-]?\d{1,9}$"), t.try_cast("int")).when(t.isNotNull(), let(t, _any_integer))
+
+
+def _any_integer(t: Column) -> Column:
+    return let(F.round(F.when(t.rlike(_NUMBER), double(t)), 0), lambda x: F.when(x.between(-2147483648.0, 2147483647.0), x).cast("int"))
 
 
 def boolean(value: Column) -> Column:

@@ -76,3 +76,21 @@ def test_small_functions(spark):
     assert one(spark, casts.scrub(F.lit("s3://u:p@h/x?token=abc&n=1")), casts.scrub(F.lit("plain ?token=abc")), F.length(casts.scrub(F.lit("a" * 600)))) == ("s3://***@h/x?token=***&n=1", "plain ?token=abc", 500)
     assert one(spark, casts.array_length(F.lit("[1,2]")), casts.array_length(F.lit(None).cast("string")), casts.array_length(F.lit("{}"))) == (2, 0, None)
     assert one(spark, timekeys.duration_ms(F.lit("2026-01-01 00:00:01").cast("timestamp"), F.lit("2026-01-01").cast("timestamp"))) == (0,)
+
+
+def test_plain_numbers_are_read_as_all_others_are(spark):
+    texts = ["7", "+7", "-7", " 7 ", "7.", ".5", "7.5", "-7.5", "1_0", "1__0", "_1", "007", "1e3", "7d", "7f", "", " ", None, "inf", "-NaN", "x", "999999999", "2147483647", "2147483648", "-2147483648.4", "123456789012345678.123456789012345678", "1234567890123456789", "0.1", "2.5", "-2.5", "1.5e9", "7 7", "0x7", "7\n"]
+    number, special = r"^[+-]?(\d+(_\d+)*\.?(\d+)?|\.\d+)([eE][+-]?\d+)?$", r"(?i)^[+-]?(inf|infinity|nan)$"
+    bare = F.regexp_replace(F.nullif(F.trim("t"), F.lit("")), r"(?<=\d)_(?=\d)", "")
+    all_doubles = F.when(bare.rlike(number) | bare.rlike(special), bare.try_cast("double"))
+    rounded = F.round(F.when(F.trim("t").rlike(number), all_doubles), 0)
+    all_whole = F.when(F.trim("t").rlike(r"^[+-]?\d{1,9}$"), F.trim("t").try_cast("int")).otherwise(F.when(rounded.between(-2147483648.0, 2147483647.0), rounded).cast("int"))
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in df.select("t", casts.double(F.col("t")).alias("d"), casts.integer(F.col("t")).alias("i"), all_doubles.alias("all_d"), all_whole.alias("all_i")).collect():
+        assert (str(r["d"]), r["i"]) == (str(r["all_d"]), r["all_i"]), r["t"]
+
+
+def test_casts_of_whole_numbers_stay_small(spark, capsys):
+    """Patterns are repeated by every use of a value within the next; it was 20 before values were bound."""
+    spark.createDataFrame([("7",)], "t string").select(casts.integer(F.col("t"))).explain()
+    assert 0 < capsys.readouterr().out.count("RLIKE") <= 12
