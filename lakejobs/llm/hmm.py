@@ -5,7 +5,7 @@ symbols: the OWN most frequent words and the end have one each, any other word h
 bytes, hashed to CLASSES). A class gives its words in proportion to count + 1, and one more unit to all unseen words, so
 p(text) = p_HMM(symbols) * product over class words of (c + 1) / Z(class), a distribution over token sequences.
 
-Counts cover all training tokens and stay distributed: they are combined per task, summed by word, and written as a
+Counts cover all training tokens and stay distributed: they are combined per step and task, summed by word, and written as a
 table. The driver and the tasks get the KNOWN most frequent words, the class sums and the model, all of fixed size. A
 rarer word meets its count in a join by word; no word left there has more than the 1/KNOWN-th part of all tokens.
 
@@ -23,15 +23,14 @@ kept; an empty table gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import repeat
 from math import log10
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,19 +42,19 @@ OWN, CLASSES, KNOWN = 8192, 4096, 65536
 SYMBOLS = OWN + CLASSES + 1
 END = SYMBOLS - 1
 SEGMENT = 512
-CELLS = 400_000
-#: Distinct words that a task gathers before it hands their counts on.
-FLUSH = 300_000
+CELLS = 200_000
+#: Bytes of text that are split and encoded at once; a single longer text is a step of its own, its words in parts.
+STEP = 2 << 20
 SMOOTH = 100.0
-#: Times that the forward recursion has in a matrix at once.
+#: Times that the forward recursion has the symbols of at once.
 BLOCK = 4096
+#: Times from one scaling to the next. Emissions are over 1e-24 for up to 1e13 tokens, so that 8 factors stay far from the least double.
+EVERY = 8
+#: Bytes of symbols that are worked on at once; a single longer text is a step of its own.
+PIECE = 2 << 20
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
-def tokens(text: bytes) -> list[bytes]:
-    return text.lower().split()
-
-
 def parts_of(text: bytes, size: int = 4 << 20) -> Iterator[bytes]:
     """A text in parts of about size bytes, cut before white space, so that its words are never all held at once."""
     at = 0
@@ -72,26 +71,41 @@ def word_class(word: bytes) -> int:
     return OWN + crc32(word[-4:]) % CLASSES
 
 
+def word_steps(batch: pa.RecordBatch, text: str) -> Iterator[tuple[int, int, Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]]]:
+    """Row ranges of about STEP bytes and their words: distinct ones, and for all of them their place there and their row
+    in the range. A longer text is a range of its own and gives its words in parts."""
+    column = batch.column(batch.schema.get_field_index(text))
+    column = pc.fill_null(column.cast(pa.large_string()), "")
+    sizes = pc.binary_length(column).to_pylist()
+    for a, b in common.steps(sizes, STEP):
+        texts = [column.slice(a, b - a)]
+        if sizes[a] > STEP:
+            texts = (pa.array([p], pa.large_binary()).view(pa.large_string()) for p in parts_of(column[a].as_buffer().to_pybytes()))
+        yield a, b, map(_words, texts)
+
+
+def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    found = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    row = np.repeat(np.arange(len(found)), np.diff(found.offsets.to_numpy()))
+    words = found.flatten()
+    some = pc.greater(pc.binary_length(words), 0)  # white space at the ends of a text leaves empty words
+    if not pc.all(some).as_py():
+        words, row = words.filter(some), row[some.to_numpy(zero_copy_only=False)]
+    coded = words.dictionary_encode()
+    return coded.dictionary.view(pa.large_binary()), coded.indices.to_numpy(), row
+
+
 def count_words(docs: DataFrame, text: str) -> DataFrame:
     """(word binary, n long) over all rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter[bytes] = Counter()
-
-        def out() -> Iterator[pa.RecordBatch]:
-            words = list(found)
-            for i in range(0, len(words), 50_000):
-                part = words[i : i + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array([found[w] for w in part], pa.int64())], names=["word", "n"])
-            found.clear()
-
         for batch in batches:
-            for t in common.texts(batch, text):
-                for part in parts_of(t):
-                    found.update(tokens(part))
-                    if len(found) > FLUSH:
-                        yield from out()
-        yield from out()
+            for _, _, parts in word_steps(batch, text):
+                for words, code, _ in parts:
+                    sums = pa.array(np.bincount(code, minlength=len(words)))
+                    for i in range(0, len(words), 50_000):
+                        yield pa.RecordBatch.from_arrays([words.slice(i, 50_000).cast(pa.binary()), sums.slice(i, 50_000)], names=["word", "n"])
+        pa.default_memory_pool().release_unused()  # the worker goes on to other tasks
 
     return docs.select(text).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -146,21 +160,10 @@ def frequent(counts: DataFrame, most: int) -> Column:
 def vocabulary(counts: DataFrame, ends: int) -> Vocabulary:
     sums = counts.agg(F.sum("n"), F.count("*")).first()
     top = sorted(((bytes(r["word"]), r["n"]) for r in counts.where(frequent(counts, KNOWN)).collect()), key=lambda x: (-x[1], x[0]))
-    own = {w for w, _ in top[:OWN]}
-    shared = counts.sparkSession.sparkContext.broadcast(own)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, v = np.zeros(CLASSES, dtype=np.int64), np.zeros(CLASSES, dtype=np.int64)
-        for batch in batches:
-            for w, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if w not in shared.value:
-                    k = word_class(w) - OWN
-                    n[k] += c
-                    v[k] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES)), pa.array(n), pa.array(v)], names=["k", "n", "v"])
-
+    own = counts.sparkSession.createDataFrame([(bytearray(w),) for w, _ in top[:OWN]], "word binary")
+    class_ = F.crc32(F.substring("word", -4, 4)) % CLASSES
     weight, symbols = np.ones(CLASSES), np.zeros(SYMBOLS)
-    for r in counts.select("word", "n").mapInArrow(run, "k long, n long, v long").groupBy("k").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect():
+    for r in counts.join(F.broadcast(own), "word", "left_anti").groupBy(class_.alias("k")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
         weight[r["k"]] = r["n"] + r["v"] + 1
         symbols[OWN + r["k"]] = r["n"]
     symbols[: len(top[:OWN])] = [n for _, n in top[:OWN]]
@@ -175,55 +178,47 @@ def encode(docs: DataFrame, words: Vocabulary, text: str, kept: list[str]) -> Da
     """Each row's symbols and sums over its known words; rest has its rarer words. docs: row, kept columns, text."""
     shared = docs.sparkSession.sparkContext.broadcast(words)
 
-    class Classes(dict):
-        def __missing__(self, word: bytes) -> int:
-            k = word_class(word)
-            if len(self) < FLUSH:
-                self[word] = k
-            return k
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, classes = shared.value, Classes()
-        log = np.log10(v.counts + 1.0)
-        symbol = np.array([i if i < OWN else word_class(w) for w, i in v.known.items()], dtype=np.uint16)
-        log_end, known_end = log10(v.ends + 1), int(v.ends > 0)
+        v = shared.value
+        known, others = pa.array(list(v.known), pa.large_binary()), len(v.known)
+        end = others + CLASSES  # codes: known words, classes, the end
+        symbol = np.array([*[i if i < OWN else word_class(w) for w, i in v.known.items()], *range(OWN, SYMBOLS)], dtype="<u2")
+        is_known = np.concatenate([np.ones(others, dtype=np.int64), np.zeros(CLASSES, dtype=np.int64), [int(v.ends > 0)]])
+        log_top = np.concatenate([np.log10(v.counts + 1.0), np.zeros(CLASSES), [log10(v.ends + 1)]])
+        in_class = (symbol >= OWN) & (symbol < END)
+        log_own = np.zeros(len(symbol))
+        log_own[in_class] = log_top[in_class] - v.log_class[symbol[in_class].astype(np.int64) - OWN]
         for batch in batches:
             names = batch.schema.names
             own = [batch.column(names.index(c)) for c in ("row", *kept)]
-            found = common.texts(batch, text)
-            for a, b in common.steps([len(t) for t in found]):
-                out: list[list] = [[], [], [], [], []]
-                rest, times, ends = [], [], [0]
-                for t in found[a:b]:
-                    numbers, counted = [], Counter()
-                    n_known, log_known, log_class = known_end, log_end, 0.0
-                    for part in parts_of(t):
-                        words_of = tokens(part)
-                        place = np.fromiter(map(v.known.get, words_of, repeat(-1)), dtype=np.int32, count=len(words_of))
-                        held = place >= 0
-                        own_numbers = np.zeros(len(place), dtype=np.uint16)
-                        own_numbers[held] = symbol[place[held]]
-                        rare = [words_of[i] for i in np.flatnonzero(~held)]
-                        own_numbers[~held] = np.fromiter(map(classes.__getitem__, rare), dtype=np.uint16, count=len(rare))
-                        counted.update(rare)
-                        in_class = own_numbers[own_numbers >= OWN].astype(np.int64) - OWN
-                        n_known += int(held.sum())
-                        log_known += float(log[place[held]].sum())
-                        log_class += float(log[place[place >= OWN]].sum()) - float(v.log_class[in_class].sum())
-                        numbers.append(own_numbers)
-                    numbers = np.append(np.concatenate(numbers), np.uint16(END))
-                    rest += counted
-                    times += counted.values()
-                    ends.append(len(rest))
-                    row = (len(numbers), n_known, log_known, log_class, numbers.astype("<u2").tobytes())
-                    for column, x in zip(out, row, strict=True):
-                        column.append(x)
-                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary())
-                rare_words = pa.StructArray.from_arrays([pa.array(rest, pa.binary()), pa.array(times, pa.int64())], names=["word", "n"])
+            for a, b, parts in word_steps(batch, text):
+                coded, rows, rest, rest_rows, times = [], [], [], [], []
+                for words, code, row in parts:
+                    place = pc.index_in(words, value_set=known).fill_null(-1).to_numpy().copy()
+                    rare = place < 0
+                    place[rare] = [others + crc32(x) % CLASSES for x in pc.binary_slice(words.filter(pa.array(rare)), -4).to_pylist()]
+                    coded.append(place[code])
+                    rows.append(row)
+                    at = np.flatnonzero(rare[code])
+                    pairs, n = np.unique(row[at] * len(words) + code[at], return_counts=True)
+                    rest.append(words.take(pa.array(pairs % max(len(words), 1))))
+                    rest_rows.append(pairs // max(len(words), 1))
+                    times.append(n)
+                rows = np.concatenate(rows)
+                lengths = np.bincount(rows, minlength=b - a) + 1
+                last = np.cumsum(lengths)
+                at = last - lengths
+                every = np.full(last[-1], end, dtype=np.int32)
+                every[np.arange(len(rows)) + rows] = np.concatenate(coded)
+                symbols = pa.Array.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer(np.append(0, last * 2)), pa.py_buffer(symbol[every])])
+                sums = [np.add.reduceat(x[every], at) for x in (is_known, log_top, log_own)]
+                ends = np.append(0, np.cumsum(np.bincount(np.concatenate(rest_rows), minlength=b - a)))
+                rare_words = pa.StructArray.from_arrays([pa.concat_arrays(rest).cast(pa.binary()), pa.array(np.concatenate(times))], names=["word", "n"])
                 yield pa.RecordBatch.from_arrays(
-                    [*[c.slice(a, b - a) for c in own], *[pa.array(x, k) for x, k in zip(out, kinds, strict=True)], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rare_words)],
+                    [*[c.slice(a, b - a) for c in own], pa.array(lengths), *[pa.array(x) for x in sums], symbols.cast(pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rare_words)],
                     names=["row", *kept, "n_tokens", "known_top", "log_top", "log_own", "symbols", "rest"],
                 )
+        pa.default_memory_pool().release_unused()
 
     types = {f.name: f.dataType.simpleString() for f in docs.schema}
     head, tail = _ENCODED.split(", ", 1)
@@ -251,13 +246,10 @@ def prior(words: Vocabulary) -> np.ndarray:
 
 
 def _groups(lengths: np.ndarray) -> Iterator[np.ndarray]:
-    """Sequences of like length together, so that padding is little and a group has about CELLS cells."""
+    """Sequences of like length together, longest first, in groups of about CELLS cells."""
     order = np.argsort(lengths, kind="stable")[::-1]
-    at = 0
-    while at < len(order):
-        n = max(1, CELLS // max(int(lengths[order[at]]), 1))
-        yield order[at : at + n]
-        at += n
+    group = (np.cumsum(lengths[order]) - 1) // CELLS
+    yield from np.split(order, np.flatnonzero(np.diff(group)) + 1)
 
 
 def _matrix(flat: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -279,20 +271,41 @@ def forward(model: Model, symbols: np.ndarray, lengths: np.ndarray) -> np.ndarra
     return forward_of(model, flat, np.arange(len(lengths)) * symbols.shape[0], lengths)
 
 
+def _by_time(flat: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, list[int]]:
+    """The symbols of sequences in a flat array, longest first, time after time, and how many each time has."""
+    live = _live(lengths).tolist()
+    out, at = np.empty(int(lengths.sum()), dtype=np.intp), 0
+    for t, n in enumerate(live):
+        out[at : at + n] = flat[begins[:n] + t]
+        at += n
+    return out, live
+
+
 def forward_of(model: Model, flat: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The same for sequences that lie in a flat array, longest first, a block of times after another."""
-    total = np.zeros(len(lengths))
-    a = None
+    total, ones = np.zeros(len(lengths)), np.ones(len(model.start))
+    a, e = np.empty((2, len(lengths), len(ones))), np.empty((len(lengths), len(ones)))
     for at in range(0, int(lengths.max()), BLOCK):
         left = lengths[lengths > at] - at
-        part = np.minimum(left, BLOCK)
-        symbols = _matrix(flat, begins[: len(left)] + at, part)
-        for t, n in enumerate(_live(part)):
-            e = model.emit[symbols[t, :n]]
-            a = (model.start if a is None else a[:n] @ model.move) * e
-            scale = a.sum(axis=1)
-            total[:n] += np.log(scale)
-            a /= scale[:, None]
+        symbols, live = _by_time(flat, begins[: len(left)] + at, np.minimum(left, BLOCK))
+        live.append(int((left > BLOCK).sum()))
+        done = 0
+        for t in range(len(live) - 1):
+            n, m = live[t], live[t + 1]
+            now = a[t % 2, :n]
+            if at + t:
+                np.matmul(a[(t + 1) % 2, :n], model.move, out=now)
+            else:
+                now[:] = model.start
+            now *= np.take(model.emit, symbols[done : done + n], axis=0, out=e[:n], mode="clip")
+            done += n
+            if (at + t) % EVERY == EVERY - 1:
+                scale = now @ ones
+                total[:n] += np.log(scale)
+                now /= scale[:, None]
+            if m < n:
+                total[m:n] += np.log(now[m:] @ ones)
+        a[1] = a[(len(live) - 2) % 2]  # what the next block begins with
     return total
 
 
@@ -304,30 +317,61 @@ def stationary(move: np.ndarray) -> np.ndarray:
     return out / out.sum()
 
 
+class _Room:
+    """Arrays that one group after another uses: memory of their size is new each time, and to touch it costs more than the sums."""
+
+    def __init__(self) -> None:
+        self._held: dict[str, np.ndarray] = {}
+
+    def __call__(self, name: str, rows: int, columns: int) -> np.ndarray:
+        if len(self._held.get(name, ())) < rows * columns:
+            self._held[name] = np.empty(rows * columns)
+        return self._held[name][: rows * columns].reshape(rows, columns)
+
+
 def expected_counts(model: Model, symbols: np.ndarray, lengths: np.ndarray, emit: np.ndarray, move: np.ndarray, start: np.ndarray, first: np.ndarray | None = None) -> None:
-    """Forward and backward over a group, added to the expected counts. first: which columns begin a text."""
-    live, k = _live(lengths), len(model.start)
-    steps, n0 = symbols.shape
-    e = model.emit[symbols]
-    begin = np.broadcast_to(model.start, (n0, k)) if first is None else np.where(first[:, None], model.start, stationary(model.move))
-    alpha, scale = np.zeros((steps, n0, k)), np.ones((steps, n0))
-    for t, n in enumerate(live):
-        a = (begin if t == 0 else alpha[t - 1, :n] @ model.move) * e[t, :n]
-        s = a.sum(axis=1)
-        alpha[t, :n], scale[t, :n] = a / s[:, None], s
-    gamma = np.zeros((steps, n0, k))
-    beta = np.ones((n0, k))
-    gamma[-1, : live[-1]] = alpha[-1, : live[-1]]
-    for t in range(steps - 2, -1, -1):
-        n, m = live[t], live[t + 1]
-        right = e[t + 1, :m] * beta[:m] / scale[t + 1, :m, None]
-        move += model.move * (alpha[t, :m].T @ right)
-        beta[:m] = right @ model.move.T
-        gamma[t, :n] = alpha[t, :n] * beta[:n]
-    start += gamma[0].sum(axis=0) if first is None else gamma[0][first].sum(axis=0)
-    flat = symbols.ravel()
+    """Forward and backward over a time-major matrix, longest first, added to the expected counts. first: which columns begin a text."""
+    flat = np.ascontiguousarray(symbols.T).ravel()
+    expected_counts_of(model, flat, np.arange(len(lengths)) * symbols.shape[0], lengths, emit, move, start, first)
+
+
+def expected_counts_of(model: Model, flat: np.ndarray, begins: np.ndarray, lengths: np.ndarray, emit: np.ndarray, move: np.ndarray, start: np.ndarray, first: np.ndarray | None = None, room: _Room | None = None) -> None:
+    """The same for sequences that lie in a flat array. Cells lie time after time, without padding; every EVERY times all
+    states are scaled, and a sequence's last sum scales its backward values, so gamma is alpha * beta."""
+    symbols, live = _by_time(flat, begins, lengths)
+    room = _Room() if room is None else room
+    k, cells, n0, ones = len(model.start), len(symbols), len(lengths), np.ones(len(model.start))
+    at = np.cumsum([0, *live]).tolist()
+    live.append(0)
+    e = np.take(model.emit, symbols, axis=0, out=room("e", cells, k), mode="clip")
+    alpha, beta, right = room("alpha", cells, k), room("beta", cells, k), room("right", cells, k)
+    begin = model.start if first is None else np.where(first[:, None], model.start, stationary(model.move))
+    back, scale = np.ascontiguousarray(model.move.T), {}
+    for t in range(len(live) - 1):
+        b, n, m = at[t], live[t], live[t + 1]
+        a = alpha[b : b + n]
+        if t:
+            np.matmul(alpha[at[t - 1] : at[t - 1] + n], model.move, out=a)
+            a *= e[b : b + n]
+        else:
+            np.multiply(begin, e[:n], out=a)
+        if t % EVERY == EVERY - 1:
+            scale[t] = (a @ ones)[:, None]
+            a /= scale[t]
+        if m < n:  # these columns end
+            beta[b + m : b + n] = 1 / (a[m:] @ ones)[:, None]
+            right[b + m : b + n] = 0
+    for t in range(len(live) - 2, 0, -1):
+        b, c, n = at[t], at[t - 1], live[t]
+        r = np.multiply(e[b : b + n], beta[b : b + n], out=right[c : c + n])
+        if t in scale:
+            r /= scale[t]
+        np.matmul(r, back, out=beta[c : c + n])
+    move += model.move * (alpha.T @ right)
+    gamma = np.multiply(alpha, beta, out=alpha)
+    start += gamma[:n0].sum(axis=0) if first is None else gamma[:n0][first].sum(axis=0)
     for j in range(k):
-        emit[:, j] += np.bincount(flat, gamma[:, :, j].ravel(), SYMBOLS)
+        emit[:, j] += np.bincount(symbols, gamma[:, j], SYMBOLS)
 
 
 def _parsed(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -335,9 +379,10 @@ def _parsed(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(raw), dtype="<u2").astype(np.int32), np.array([len(x) // 2 for x in raw], dtype=np.int64)
 
 
-def _pieces_of(batch: pa.RecordBatch, rows: int = 1000) -> Iterator[pa.RecordBatch]:
-    for i in range(0, batch.num_rows, rows):
-        yield batch.slice(i, rows)
+def _pieces_of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    column = batch.column(batch.schema.get_field_index("symbols"))
+    for a, b in common.steps(pc.binary_length(column).to_pylist(), PIECE):
+        yield batch.slice(a, b - a)
 
 
 def train(encoded: DataFrame, words: Vocabulary, states: int = STATES, iterations: int = ITERATIONS) -> Model:
@@ -351,7 +396,7 @@ def train(encoded: DataFrame, words: Vocabulary, states: int = STATES, iteration
         shared = encoded.sparkSession.sparkContext.broadcast(model)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-            emit, move, start = np.zeros((SYMBOLS, states)), np.zeros((states, states)), np.zeros(states)
+            emit, move, start, room = np.zeros((SYMBOLS, states)), np.zeros((states, states)), np.zeros(states), _Room()
             for whole in batches:
                 for batch in _pieces_of(whole):
                     flat, lengths = _parsed(batch)
@@ -361,7 +406,7 @@ def train(encoded: DataFrame, words: Vocabulary, states: int = STATES, iteration
                     nth = np.arange(len(which)) - np.repeat(np.cumsum(parts) - parts, parts)
                     begin, length = begins[which] + nth * SEGMENT, np.minimum(SEGMENT, lengths[which] - nth * SEGMENT)
                     for g in _groups(length):
-                        expected_counts(shared.value, _matrix(flat, begin[g], length[g]), length[g], emit, move, start, nth[g] == 0)
+                        expected_counts_of(shared.value, flat, begin[g], length[g], emit, move, start, nth[g] == 0, room)
             every = np.concatenate([emit, move, start[None]])
             used = np.flatnonzero(every.any(axis=1))
             yield pa.RecordBatch.from_arrays([pa.array(used), *[pa.array(every[used, j]) for j in range(states)]], names=["cell", *[f"k{j}" for j in range(states)]])
@@ -384,8 +429,8 @@ def likelihoods(encoded: DataFrame, model: Model, kept: list[str]) -> DataFrame:
             for batch in _pieces_of(whole):
                 flat, lengths = _parsed(batch)
                 begins, out = np.cumsum(lengths) - lengths, np.zeros(len(lengths))
-                for g in _groups(lengths):
-                    out[g] = forward_of(shared.value, flat, begins[g], lengths[g])
+                order = np.argsort(lengths, kind="stable")[::-1]
+                out[order] = forward_of(shared.value, flat, begins[order], lengths[order])
                 yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in kept], pa.array(out / np.log(10))], names=[*kept, "log_model"])
 
     types = {f.name: f.dataType.simpleString() for f in encoded.schema}
